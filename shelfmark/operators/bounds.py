@@ -1,0 +1,27 @@
+"""Size checks that decide whether a side may be broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def row_count_within(df: DataFrame, limit: int) -> int | None:
+    """Exact row count when it is at most ``limit``, else None.
+
+    Counting stops after ``limit + 1`` rows, so the check stays cheap on a large
+    input.
+    """
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of fixed-width rows only when the row count is proven small.
+
+    Beyond the bound the frame is returned as it is and the join shuffles, with
+    adaptive skew handling splitting hot keys.
+    """
+    return F.broadcast(df) if row_count_within(df, max_rows) is not None else df
