@@ -11,7 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.markup import html_fragments, lift_data_images, markdown_fragments, title_paths
+from shelfmark.functions.markup import (
+    html_fragments,
+    layout_fragments,
+    lift_data_images,
+    markdown_fragments,
+    title_paths,
+)
 from shelfmark.functions.text import LINE_BREAK, WS, WS_CHARS, normalized_type, strip
 from shelfmark.operators.segments import SEGMENT_ROWS, running
 
@@ -158,125 +164,31 @@ def rendered_html(blocks: Column) -> Column:
 # --- layout JSON -----------------------------------------------------------------------
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _leaf(v: Column) -> Column:
-    usable = _kind(v).rlike(r"\A(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(usable, F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast("array<string>"))
-
-
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def layout_block_array(layout_json: Column) -> Column:
+    """All blocks of a layout list, the empty ones included (they count in profiles)."""
+    fields = "block_type:string,content:string,heading_level:int,page_num:int,bbox:string"
+    extras = "table_caption:string,image_caption:string,image_path:string,latex:string"
 
+    @F.pandas_udf(f"array<struct<{fields},{extras}>>")
+    def fragments(layouts: pd.Series) -> pd.Series:
+        return pd.Series([layout_fragments(text) for text in layouts], dtype=object)
 
-def _strings(v: Column) -> Column:
-    """Text-like leaves of a scalar or a list of up to two levels, trimmed, non-empty."""
-    empty = F.array().cast("array<string>")
-    inner = lambda x: F.when(_kind(x).startswith("ARRAY"), F.flatten(F.transform(_items(x), _leaf))).otherwise(_leaf(x))
-    leaves = F.when(v.isNull(), empty).when(
-        _kind(v).startswith("ARRAY"), F.flatten(F.transform(_items(v), inner))
-    ).otherwise(_leaf(v))
-    return F.filter(F.transform(leaves, strip), lambda s: s != "")
-
-
-def _field(block: Column, *names: str) -> Column:
-    """First field that is set: not missing, null, empty, zero or false."""
-    chosen = F.lit(None).cast("variant")
-    for name in reversed(names):
-        value = F.try_variant_get(block, f"$.{name}", "variant")
-        text = F.try_variant_get(value, "$", "string")
-        blank = (
-            value.isNull()
-            | _kind(value).isin("VOID")
-            | (_kind(value).startswith("ARRAY") & (F.size(_items(value)) == 0))
-            | (~_kind(value).startswith("ARRAY") & F.coalesce(text.isin("", "0", "0.0", "false"), F.lit(False)))
+    def typed(b: Column, i: Column) -> Column:
+        chunk_type = F.lit("text")
+        for name, shown in LAYOUT_CHUNK_TYPES.items():
+            chunk_type = F.when(b["block_type"] == name, shown).otherwise(chunk_type)
+        attrs = _present(**{k: b[k] for k in ("table_caption", "image_caption", "image_path", "latex")})
+        return _block(
+            i, b["content"], chunk_type, b["heading_level"], b["block_type"], b["page_num"], b["bbox"], attrs
         )
-        # the text "0" or "false" is a set value; only numbers and booleans can be falsy
-        falsy = blank & ~((_kind(value) == "STRING") & (text != ""))
-        chosen = F.when(F.coalesce(falsy, F.lit(True)), chosen).otherwise(value)
-    return chosen
-
-
-def _first(v: Column) -> Column:
-    return F.get(_strings(v), F.lit(0))
-
-
-def _joined(*values: Column) -> Column:
-    return F.array_join(F.concat(*values), "\n")
 
+    return F.transform(fragments(layout_json), typed)
 
-def _layout_block(block: Column, index: Column) -> Column:
-    raw_type = F.lower(strip(F.coalesce(F.try_variant_get(_field(block, "type"), "$", "string"), F.lit("unknown"))))
-    kind = F.when(raw_type == "", "unknown").otherwise(raw_type)
-    picture = kind.isin("image", "chart")
-    latex = _first(_field(block, "latex", "text", "content"))
-    table_caption = _field(block, "caption", "table_caption")
-    image_caption = _first(_field(block, "caption", "image_caption", "img_caption"))
-    image_path = _first(_field(block, "img_path", "image_path", "path", "src"))
-    alt = F.coalesce(image_caption, F.lit("Image"))
-    alt = F.replace(F.replace(alt, F.lit("\\"), F.lit("\\\\")), F.lit("]"), F.lit("\\]"))
-    image_ref = F.when(image_path.isNull(), F.array().cast("array<string>")).otherwise(
-        F.array(F.concat(F.lit("!["), alt, F.lit("]("), image_path, F.lit(")")))
-    )
-    caption_part = F.when(image_caption.isNull(), F.array().cast("array<string>")).otherwise(F.array(image_caption))
-    text = F.try_variant_get(block, "$.content", "variant")
-    note = F.try_variant_get(block, "$.footnote", "variant")
-    content = (
-        F.when(
-            kind == "equation",
-            F.coalesce(F.concat(F.lit("$$\n"), latex, F.lit("\n$$")), F.lit("")),
-        )
-        .when(
-            kind == "table",
-            _joined(
-                _strings(table_caption),
-                _strings(_field(block, "table_body", "html", "text", "content")),
-                _strings(_field(block, "footnote", "table_footnote")),
-            ),
-        )
-        .when(picture, _joined(caption_part, image_ref, _strings(text), _strings(note)))
-        .when(kind == "list", _joined(_strings(_field(block, "list_items"))))
-        .when(kind == "code", _joined(_strings(_field(block, "code_caption")), _strings(_field(block, "code_body"))))
-        .otherwise(_joined(_strings(_field(block, "text", "content", "html"))))
-    )
-    level_value = _field(block, "level", "heading_level")
-    level_text = F.try_variant_get(level_value, "$", "string")
-    marks = F.length(F.regexp_extract(strip(F.coalesce(_first(_field(block, "text", "content")), F.lit(""))), rf"\A(#{{1,6}}){WS}+", 1))
-    level = F.when(kind != "text", 0).otherwise(
-        F.when(
-            _kind(level_value) == "BIGINT", F.greatest(F.lit(0), level_text.try_cast("int"))
-        )
-        .when((_kind(level_value) == "STRING") & level_text.rlike(r"\A\p{Nd}+\z"), level_text.try_cast("int"))
-        .otherwise(marks)
-    )
-    page = F.when(
-        _kind(F.try_variant_get(block, "$.page_idx", "variant")) == "BIGINT",
-        F.try_variant_get(block, "$.page_idx", "int") + 1,
-    )
-    box = _field(block, "bbox", "position")
-    bbox = (
-        F.when(_kind(box).startswith("OBJECT"), F.to_json(box))
-        .when(_kind(box).startswith("ARRAY"), F.concat(F.lit('{"points":'), F.to_json(box), F.lit("}")))
-    )
-    attrs = _present(
-        table_caption=F.when(kind == "table", _first(table_caption)),
-        image_caption=F.when(picture, image_caption),
-        image_path=F.when(picture, F.replace(image_path, F.lit("\\"), F.lit("/"))),
-        latex=F.when(kind == "equation", latex),
-    )
-    chunk_type = F.lit("text")
-    for name, shown in LAYOUT_CHUNK_TYPES.items():
-        chunk_type = F.when(kind == name, shown).otherwise(chunk_type)
-    return _block(index, content, chunk_type, level, kind, page, bbox, attrs)
 
-
-def layout_block_array(layout_json: Column) -> Column:
-    """All blocks of a layout list, the empty ones included (they count in profiles)."""
-    items = F.try_variant_get(F.try_parse_json(layout_json), "$", "array<variant>")
-    objects = F.filter(items, lambda v: _kind(v).startswith("OBJECT"))
-    return F.transform(objects, _layout_block)
+def is_layout_list(layout_json: Column) -> Column:
+    """Whether a text is a JSON list, which is what a layout parser must deliver."""
+    kind = F.schema_of_variant(F.try_parse_json(layout_json))
+    return F.coalesce(kind.startswith("ARRAY"), F.lit(False))
 
 
 def content_list_blocks(docs: DataFrame, layout: str = "layout_json") -> DataFrame:

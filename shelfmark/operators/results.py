@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.assets import asset_keys, asset_url
+from shelfmark.operators.segments import running
+
+# Width of a time segment in half microseconds: ten seconds.
+CLOCK_SEGMENT = 20_000_000
 
 DOCUMENT_COLUMNS = {
     "name": "document_name",
@@ -194,14 +198,22 @@ def reuse_results(requests: DataFrame, cache: DataFrame, ttl_seconds: int = 300,
     if voided_at is not None:
         last_change = voided_at.agg(F.max("changed_at").alias("t")).scalar()
         usable = usable.where(last_change.isNull() | (F.col("stored_at") > last_change))
-    latest = usable.select("cache_key", "stored_at", "response_id")
-    age = F.col("requested_at").cast("double") - F.col("stored_at").cast("double")
-    # Several stored responses may share a key: the newest valid one is taken.
-    matched = requests.join(latest, "cache_key", "left").where(
-        F.col("stored_at").isNull() | ((age >= 0) & (age < ttl_seconds))
-    )
-    best = matched.where("stored_at is not null").groupBy("request_id").agg(
-        F.max_by("response_id", "stored_at").alias("response_id")
+    # As-of lookup: both sides in one time line, the last stored response so far.
+    # A response stored at the moment of a request counts, hence the doubled clock.
+    stored = usable.groupBy("cache_key", "stored_at").agg(F.max("response_id").alias("response_id"))
+    line = stored.select(
+        "cache_key",
+        (F.unix_micros("stored_at") * 2).alias("__at"),
+        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
+        F.struct(F.unix_micros("stored_at").alias("us"), "response_id").alias("__stored"),
+    ).unionByName(
+        requests.select("cache_key", (F.unix_micros("requested_at") * 2 + 1).alias("__at"), "request_id"),
+        allowMissingColumns=True,
+    )
+    known = running(line, ["cache_key"], "__at", {"__hit": ("last", F.col("__stored"))}, CLOCK_SEGMENT)
+    age = F.floor(F.col("__at") / 2) - F.col("__hit.us")
+    best = known.where("request_id is not null").select(
+        "request_id", F.when(age < ttl_seconds * 1_000_000, F.col("__hit.response_id")).alias("response_id")
     )
     served = requests.join(best, "request_id", "left")
     fresh = served.where("response_id is null").groupBy("cache_key").agg(

@@ -19,13 +19,14 @@ from shelfmark.operators.parsing import (
     asset_rows,
     extract_data_images,
     html_block_array,
+    is_layout_list,
     layout_block_array,
     markdown_block_array,
     route_by_type,
 )
 from shelfmark.operators.vectors import sparse_vectors
-from shelfmark.session import cut_lineage
 
+NOT_A_LIST = "Layout output is not a list"
 _MERGE_FIELDS = ("block_index", "content", "chunk_type", "page_num", "bbox", "heading_level")
 
 
@@ -110,15 +111,13 @@ def build_chunks(docs: DataFrame, kbs: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, kbs: DataFrame) -> Ingested:
     """Chunks with sparse vectors, embedded images, and documents that cannot be parsed."""
     routed = route_by_type(docs)
-    markdown = extract_data_images(routed.where("route = 'markdown'"))
-    html = extract_data_images(routed.where("route = 'html'"), html=True)
+    malformed = (F.col("route") == "layout") & ~is_layout_list(F.col("content"))
+    routed = routed.withColumn("error", F.when(malformed, NOT_A_LIST).otherwise(F.col("error")))
+    parsable = routed.where("error is null")
+    markdown = extract_data_images(parsable.where("route = 'markdown'"))
+    html = extract_data_images(parsable.where("route = 'html'"), html=True)
     with_images = markdown.unionByName(html)
-    rest = routed.where("route in ('text', 'layout')")
+    rest = parsable.where("route in ('text', 'layout')")
     ready = rest.unionByName(with_images.drop("embedded"))
     chunks = sparse_vectors(build_chunks(ready, kbs))
     return Ingested(chunks, asset_rows(with_images), routed.where("error is not null"))
-
-
-def persist_step(df: DataFrame) -> DataFrame:
-    """Cut point for a frame several later jobs read."""
-    return cut_lineage(df)
