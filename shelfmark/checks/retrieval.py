@@ -54,11 +54,12 @@ def sparse_index(spark, sf):
 
 
 def corpus(spark, sf, *, dense=True, visual=True):
+    chunks = X.chunks(spark, sf)
     return Corpus(
         X.knowledge_bases(spark, sf),
         X.documents(spark, sf).drop("content", "tags"),
-        X.chunks(spark, sf).drop("tags", "content_hash"),
-        sparse_index=sparse_index(spark, sf),
+        chunks.drop("tags", "content_hash"),
+        sparse_index=sparse_vectors(chunks),
         dense_index=X.dense_index(spark, sf) if dense else None,
         visual_index=X.visual_index(spark, sf) if visual else None,
     )

@@ -7,6 +7,8 @@ and no grouping by document is involved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +18,13 @@ from shelfmark.functions.markup import (
     layout_fragments,
     lift_data_images,
     markdown_fragments,
-    title_paths,
 )
-from shelfmark.functions.text import LINE_BREAK, WS, WS_CHARS, normalized_type, strip
+from shelfmark.functions.text import LINE_BREAK, WS, WS_CHARS, let, normalized_type, strip
 from shelfmark.operators.segments import SEGMENT_ROWS, running
 
 _IMAGE_REF = rf"!\[([^\]]*)\]\(([^){WS_CHARS}]+)(?:{WS}+[^)]*)?\)"
 _TABLE_RULE = rf"\A{WS}*\|?{WS}*:?-{{3,}}:?{WS}*(?:\|{WS}*:?-{{3,}}:?{WS}*)+\|?{WS}*\z"
 _HEADING_MARK = rf"\A#{{1,6}}{WS}+"
-_HEADING_BLOCK = rf"(?d)\A(#{{1,6}}){WS}+(.+)\z"
 _FENCE_START = rf"\A{WS}*(?:```|~~~)"
 _LIST_START = rf"\A{WS}*(?:[-*+]{WS}+|\p{{Nd}}+[.)]{WS}+)"
 # File types by parser.
@@ -35,17 +35,18 @@ IMAGE_TYPES = ["jpeg", "jpg", "png"]
 # Layout block types kept as their own chunk type.
 LAYOUT_CHUNK_TYPES = {"image": "image", "chart": "image", "table": "table", "equation": "equation"}
 
-_PATHS = "array<array<string>>"
+# Columns every scanner returns besides its own.
+_SCANNED = "content:string,heading_level:int,title_path:array<string>"
 
 
-def _paths(levels: Column, titles: Column, inclusive: bool) -> Column:
-    @F.pandas_udf(_PATHS)
-    def run(all_levels: pd.Series, all_titles: pd.Series) -> pd.Series:
-        return pd.Series(
-            [title_paths(list(a), list(b), inclusive) for a, b in zip(all_levels, all_titles)], dtype=object
-        )
+def _scan(fields: str, scanner) -> Callable[[Column], Column]:
+    """An Arrow-batched scanner from a text column to an array of structs."""
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([scanner(text or "") for text in texts], dtype=object)
 
-    return run(levels, titles)
+    return run
 
 
 def heading_title(content: Column) -> Column:
@@ -54,21 +55,15 @@ def heading_title(content: Column) -> Column:
     return strip(F.get(F.split(bare, LINE_BREAK, -1), F.lit(0)))
 
 
-def _with_paths(blocks: Column, inclusive: bool) -> Column:
-    """Add ``title_path`` to an array of block structs."""
-    levels = F.transform(blocks, lambda b: b["heading_level"])
-    titles = F.transform(blocks, lambda b: heading_title(b["content"]))
-    return F.zip_with(blocks, _paths(levels, titles, inclusive), lambda b, p: b.withField("title_path", p))
-
-
-def _block(index, content, kind, level, block_type, page, bbox, attrs) -> Column:
+def _block(index, scanned, kind, block_type, page, bbox, attrs) -> Column:
     return F.struct(
         index.cast("int").alias("block_index"),
-        content.alias("content"),
+        scanned["content"].alias("content"),
         kind.alias("chunk_type"),
         page.cast("int").alias("page_num"),
         bbox.cast("string").alias("bbox"),
-        level.cast("int").alias("heading_level"),
+        scanned["heading_level"].alias("heading_level"),
+        F.coalesce(scanned["title_path"], F.array().cast("array<string>")).alias("title_path"),
         block_type.alias("block_type"),
         attrs.alias("attrs"),
     )
@@ -95,54 +90,44 @@ def markdown_block_type(block: Column) -> Column:
     )
 
 
-def _markdown_block(block: Column, index: Column) -> Column:
-    level = F.when(block.rlike(_HEADING_BLOCK), F.length(F.regexp_extract(block, _HEADING_BLOCK, 1))).otherwise(0)
-    kind = markdown_block_type(block)
-    atomic = (level == 0) & kind.isin("image", "table", "code")
-    image = (level == 0) & (kind == "image")
-    attrs = _present(
-        image_path=F.when(image, strip(F.regexp_extract(block, _IMAGE_REF, 2))),
-        image_caption=F.when(image, strip(F.regexp_extract(block, _IMAGE_REF, 1))),
-        image_refs=F.when(
-            image, F.array_join(F.regexp_extract_all(block, F.lit(_IMAGE_REF), F.lit(2)), "\n")
-        ),
-    )
-    null = F.lit(None)
-    return _block(index, block, F.when(atomic, kind).otherwise("text"), level, kind, null, null, attrs)
+def markdown_block_array(text: Column) -> Column:
+    """Blocks of a Markdown text as array<struct>; a heading line is never atomic."""
 
+    def typed(b: Column, i: Column) -> Column:
+        block, plain = b["content"], b["heading_level"] == 0
 
-def markdown_block_array(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def fragments(texts: pd.Series) -> pd.Series:
-        return pd.Series([markdown_fragments(t or "") for t in texts], dtype=object)
+        def build(kind: Column) -> Column:
+            image = plain & (kind == "image")
+            refs = F.regexp_extract_all(block, F.lit(_IMAGE_REF), F.lit(2))
+            attrs = _present(
+                image_path=F.when(image, F.regexp_extract(block, _IMAGE_REF, 2)),
+                image_caption=F.when(image, strip(F.regexp_extract(block, _IMAGE_REF, 1))),
+                image_refs=F.when(image, F.array_join(refs, "\n")),
+            )
+            atomic = plain & kind.isin("image", "table", "code")
+            null = F.lit(None)
+            return _block(i, b, F.when(atomic, kind).otherwise("text"), kind, null, null, attrs)
 
-    return F.transform(fragments(text), _markdown_block)
+        return let(markdown_block_type(block), build)
+
+    return F.transform(_scan(_SCANNED, markdown_fragments)(text), typed)
 
 
 # --- HTML ----------------------------------------------------------------------------
 
 
 def html_block_array(html: Column) -> Column:
-    @F.pandas_udf("array<struct<block_type:string,content:string,image_path:string,image_caption:string>>")
-    def fragments(pages: pd.Series) -> pd.Series:
-        return pd.Series([html_fragments(p or "") for p in pages], dtype=object)
+    """Blocks of a page as array<struct>."""
 
     def typed(b: Column, i: Column) -> Column:
-        kind = b["block_type"]
-        heading = kind.rlike(r"\Ah[1-6]\z")
-        null = F.lit(None)
+        kind, null = b["block_type"], F.lit(None)
+        attrs = _present(image_path=b["image_path"], image_caption=b["image_caption"])
         return _block(
-            i,
-            b["content"],
-            F.when(kind.isin("image", "table"), kind).otherwise("text"),
-            F.when(heading, F.substring(kind, 2, 1).cast("int")).otherwise(0),
-            kind,
-            null,
-            null,
-            _present(image_path=b["image_path"], image_caption=b["image_caption"]),
+            i, b, F.when(kind.isin("image", "table"), kind).otherwise("text"), kind, null, null, attrs
         )
 
-    return F.transform(fragments(html), typed)
+    fields = f"{_SCANNED},block_type:string,image_path:string,image_caption:string"
+    return F.transform(_scan(fields, html_fragments)(html), typed)
 
 
 def rendered_html(blocks: Column) -> Column:
@@ -166,23 +151,17 @@ def rendered_html(blocks: Column) -> Column:
 
 def layout_block_array(layout_json: Column) -> Column:
     """All blocks of a layout list, the empty ones included (they count in profiles)."""
-    fields = "block_type:string,content:string,heading_level:int,page_num:int,bbox:string"
-    extras = "table_caption:string,image_caption:string,image_path:string,latex:string"
-
-    @F.pandas_udf(f"array<struct<{fields},{extras}>>")
-    def fragments(layouts: pd.Series) -> pd.Series:
-        return pd.Series([layout_fragments(text) for text in layouts], dtype=object)
+    extras = ("table_caption", "image_caption", "image_path", "latex")
 
     def typed(b: Column, i: Column) -> Column:
         chunk_type = F.lit("text")
         for name, shown in LAYOUT_CHUNK_TYPES.items():
             chunk_type = F.when(b["block_type"] == name, shown).otherwise(chunk_type)
-        attrs = _present(**{k: b[k] for k in ("table_caption", "image_caption", "image_path", "latex")})
-        return _block(
-            i, b["content"], chunk_type, b["heading_level"], b["block_type"], b["page_num"], b["bbox"], attrs
-        )
+        attrs = _present(**{k: b[k] for k in extras})
+        return _block(i, b, chunk_type, b["block_type"], b["page_num"], b["bbox"], attrs)
 
-    return F.transform(fragments(layout_json), typed)
+    fields = f"{_SCANNED},block_type:string,page_num:int,bbox:string," + ",".join(f"{e}:string" for e in extras)
+    return F.transform(_scan(fields, layout_fragments)(layout_json), typed)
 
 
 def is_layout_list(layout_json: Column) -> Column:
@@ -205,22 +184,12 @@ def content_list_blocks(docs: DataFrame, layout: str = "layout_json") -> DataFra
         F.size(F.array_distinct(F.filter(F.transform("__all", lambda b: b["page_num"]), lambda p: p.isNotNull()))).alias("page_count"),
         F.filter("__all", lambda b: b["content"] != "").alias("blocks"),
     )
-    return explode_blocks(
-        summary.withColumn("blocks", _with_paths(F.col("blocks"), True)), reindex=True
-    )
+    return explode_blocks(summary, reindex=True)
 
 
 # --- plain text, data images, routing ----------------------------------------------------
 
 
-def text_block_array(text: Column) -> Column:
-    null = F.lit(None)
-    one = _block(
-        F.lit(0), text, F.lit("text"), F.lit(0), F.lit("text"), null, null, F.create_map().cast("map<string,string>")
-    )
-    return F.when(strip(text) != "", F.array(one)).otherwise(F.filter(F.array(one), lambda b: F.lit(False)))
-
-
 def explode_blocks(df: DataFrame, reindex: bool = False) -> DataFrame:
     keep = [c for c in df.columns if c != "blocks"]
     rows = df.select(*keep, F.posexplode("blocks").alias("__at", "b")).select(*keep, "__at", "b.*")
@@ -237,20 +206,19 @@ def text_blocks(docs: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
-def _array_job(docs: DataFrame, text: str, build, inclusive: bool) -> DataFrame:
+def _array_job(docs: DataFrame, text: str, build) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
-    parsed = docs.select(*keep, build(F.col(text)).alias("blocks"))
-    return explode_blocks(parsed.withColumn("blocks", _with_paths(F.col("blocks"), inclusive)))
+    return explode_blocks(docs.select(*keep, build(F.col(text)).alias("blocks")))
 
 
 def markdown_blocks(docs: DataFrame, text: str = "content") -> DataFrame:
     """Typed Markdown blocks; a heading carries the path before itself."""
-    return _array_job(docs, text, markdown_block_array, False)
+    return _array_job(docs, text, markdown_block_array)
 
 
 def html_blocks(docs: DataFrame, text: str = "content") -> DataFrame:
     """Typed HTML blocks; a heading carries the path before itself."""
-    return _array_job(docs, text, html_block_array, False)
+    return _array_job(docs, text, html_block_array)
 
 
 def extract_data_images(docs: DataFrame, text: str = "content", name: str = "name", html: bool = False) -> DataFrame:

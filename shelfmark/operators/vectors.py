@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,8 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import bound_input
 
-MAX_BLOCK_QUERIES = 1024
-MAX_BLOCK_VALUES = 2_000_000
+MAX_BLOCK_QUERIES = 512
+MAX_QUERY_VALUES = 4096
 TILE_ROWS = 100_000
 CELLS_PER_STEP = 4_000_000
 DENSE_DIGITS = 6
@@ -207,6 +207,26 @@ def _local_topk(
     return _best_rows(pd.concat(best), k, item) if best else None
 
 
+def load_queries(
+    queries: DataFrame, fields: tuple[str, ...], max_block: int = MAX_BLOCK_QUERIES
+) -> list[Row] | None:
+    """Query rows (qid, kb_ids, vectors) when they form one small block, else None.
+
+    One job. At most ``max_block + 1`` rows reach the driver, and a vector with
+    more than ``MAX_QUERY_VALUES`` values is not sent but counts as too large.
+    """
+    kept, sizes = [], []
+    for name in fields:
+        nested = isinstance(queries.schema[name].dataType, T.StructType)
+        size = F.coalesce(F.size(f"{name}.indices" if nested else name), F.lit(0))
+        kept.append(F.when(size <= MAX_QUERY_VALUES, F.col(name)).alias(name))
+        sizes.append(size)
+    widest = F.greatest(F.lit(0), *sizes).alias("__widest")
+    rows = queries.select("qid", "kb_ids", *kept, widest).limit(max_block + 1).collect()
+    small = len(rows) <= max_block and all(r["__widest"] <= MAX_QUERY_VALUES for r in rows)
+    return rows if small else None
+
+
 def topk_search(
     index: DataFrame,
     queries: DataFrame,
@@ -215,17 +235,20 @@ def topk_search(
     kind: str,
     item: str = "chunk_id",
     extra: tuple[str, ...] = ("document_id",),
+    query_field: str | None = None,
+    loaded: list[Row] | None = None,
     max_block: int = MAX_BLOCK_QUERIES,
 ) -> DataFrame:
     """Best k index rows per (query, KB in scope): qid, kb_id, ids, score, kb_rank.
 
-    ``queries`` has qid, kb_ids (the KBs to search) and the vector in ``field``;
-    ``index`` has kb_id, the item id and the vector under the same name. Equal
-    scores are ordered by item id.
+    ``queries`` has qid, kb_ids (the KBs to search) and a vector, named like the
+    index vector ``field`` unless ``query_field`` says otherwise. Equal scores are
+    ordered by item id. ``loaded`` may pass the result of ``load_queries`` on.
     """
     block_type = {"dense": _DenseBlock, "sparse": _SparseBlock}[kind]
+    asked_field = query_field or field
     keep = [item, *extra]
-    asked = queries.select("qid", "kb_ids", field)
+    asked = queries.where(F.col(asked_field).isNotNull())
     narrow = index.select(*keep, "kb_id", field)
     schema = T.StructType(
         [
@@ -243,34 +266,35 @@ def topk_search(
         named = found.assign(qid=[qids[q] for q in found["__q"]])
         return pa.Table.from_pandas(named[arrow_schema.names], schema=arrow_schema, preserve_index=False)
 
-    values = F.size(f"{field}.indices") if kind == "sparse" else F.size(field)
-    size = asked.limit(max_block + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(values).alias("v")).first()
-    if size["n"] <= max_block and (size["v"] or 0) <= MAX_BLOCK_VALUES:
-        rows = asked.collect()  # bounded by the check above
-        qids = [r["qid"] for r in rows]
-        scopes = [set(r["kb_ids"] or []) for r in rows]
-        vectors = [r[field] for r in rows]
+    rows = loaded if loaded is not None else load_queries(asked, (asked_field,), max_block)
+    if rows is not None:
+        used = [r for r in rows if r[asked_field] is not None]
+        qids = [r["qid"] for r in used]
+        scopes = [set(r["kb_ids"] or []) for r in used]
+        vectors = [r[asked_field] for r in used]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not vectors:
+                return
             block = block_type(vectors, field)
             yield from emit(_local_topk(batches, block, scopes, k, keep), qids).to_batches()
 
-        local = narrow.mapInArrow(scan, schema) if rows else narrow.limit(0).mapInArrow(scan, schema)
+        local = narrow.mapInArrow(scan, schema)
     else:
-        local = _grid_topk(narrow, asked, block_type, field, item, keep, k, emit, schema, max_block)
+        local = _grid_topk(narrow, asked, block_type, field, asked_field, keep, k, emit, schema, max_block)
 
     order = Window.partitionBy("qid", "kb_id").orderBy(F.desc("score"), F.asc(item))
     return local.withColumn("kb_rank", F.row_number().over(order)).where(F.col("kb_rank") <= k)
 
 
-def _grid_topk(narrow, asked, block_type, field, item, keep, k, emit, schema, max_block) -> DataFrame:
+def _grid_topk(narrow, asked, block_type, field, asked_field, keep, k, emit, schema, max_block) -> DataFrame:
     """Query set too large for one block: every (index tile, query block) is one group."""
     tiles = max(1, -(-narrow.count() // TILE_ROWS))
     blocks = max(1, -(-2 * asked.count() // max_block))
-    tiled = narrow.withColumn("__tile", F.pmod(F.xxhash64(item), F.lit(tiles))).withColumn(
+    tiled = narrow.withColumn("__tile", F.pmod(F.xxhash64(keep[0]), F.lit(tiles))).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    spread = asked.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn(
+    spread = asked.select("qid", "kb_ids", asked_field).withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn(
         "__tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
     )
 
@@ -279,7 +303,7 @@ def _grid_topk(narrow, asked, block_type, field, item, keep, k, emit, schema, ma
         if not rows or not left.num_rows:
             return emit(None, [])
         scopes = [set(r["kb_ids"] or []) for r in rows]
-        block = block_type([r[field] for r in rows], field)
+        block = block_type([r[asked_field] for r in rows], field)
         found = _local_topk(iter(left.combine_chunks().to_batches()), block, scopes, k, keep)
         return emit(found, [r["qid"] for r in rows])
 

@@ -15,7 +15,6 @@ from shelfmark.functions.hashing import chunk_id, text_hash
 from shelfmark.functions.text import tokenize
 from shelfmark.operators.chunking import CHUNK_FIELDS, merge_block_arrays, split_large
 from shelfmark.operators.parsing import (
-    _with_paths,
     asset_rows,
     extract_data_images,
     html_block_array,
@@ -81,9 +80,9 @@ def build_chunks(docs: DataFrame, kbs: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("attrs"),
     )
 
-    def structured(route: str, blocks, inclusive: bool) -> DataFrame:
+    def structured(route: str, blocks) -> DataFrame:
         part = sized.where(F.col("route") == route)
-        parsed = part.withColumn("blocks", _with_paths(blocks(F.col("content")), inclusive))
+        parsed = part.withColumn("blocks", blocks(F.col("content")))
         merged = merge_block_arrays(
             merge_input(F.filter("blocks", lambda b: b["content"] != "")), F.col("chunk_size"), F.col("chunk_overlap")
         )
@@ -91,9 +90,9 @@ def build_chunks(docs: DataFrame, kbs: DataFrame) -> DataFrame:
         return parsed.select(*base, F.explode(merged).alias("c")).select(*base, *[f"c.{f}" for f in fields])
 
     together = (
-        windows.unionByName(structured("markdown", markdown_block_array, False))
-        .unionByName(structured("html", html_block_array, False))
-        .unionByName(structured("layout", layout_block_array, True))
+        windows.unionByName(structured("markdown", markdown_block_array))
+        .unionByName(structured("html", html_block_array))
+        .unionByName(structured("layout", layout_block_array))
     )
     return together.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import expand_query
-from shelfmark.operators.bounds import MAX_BROADCAST_ROWS, row_count_within
 from shelfmark.operators.filters import governance_filter, governance_predicate, kb_scope, payload_filter
 from shelfmark.operators.ranking import (
     authority_rank,
@@ -24,7 +23,10 @@ from shelfmark.operators.ranking import (
     union_rankings,
 )
 from shelfmark.operators.results import attach_assets, hydrate, parent_context, retrieval_stats
-from shelfmark.operators.vectors import dense_search, sparse_search, visual_asset_keys, visual_search
+from shelfmark.operators.vectors import dense_search, load_queries, sparse_search, visual_asset_keys, visual_search
+
+# Rows of fused candidates that may be broadcast: about 100 bytes each.
+MAX_BROADCAST_ROWS = 200_000
 
 # A reranker adds ``rerank_score`` to (qid, query, chunk_id, content) rows.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -125,19 +127,28 @@ def search(
         visible = corpus.documents.where(governance_predicate(options.filters)).select("document_id")
         return filtered.join(visible, "document_id", "left_semi")
 
+    asked = scoped
+    if corpus.sparse_index is not None:
+        asked = asked.withColumn("sparse", sparse_vector(F.col("query")))
+    wanted = {
+        "dense": corpus.dense_index is not None,
+        "sparse": corpus.sparse_index is not None,
+        "visual": corpus.visual_index is not None and options.enable_visual_search,
+    }
+    fields = tuple(name for name, on in wanted.items() if on and name in asked.columns)
+    # One job fetches the query vectors when they form a small block.
+    loaded = load_queries(asked, fields)
+
     rankings: dict[str, DataFrame] = {}
     asset_keys_by_chunk = None
-    if corpus.dense_index is not None and "dense" in requests.columns:
-        asked = scoped.where("dense is not null").withColumn("embedding", F.col("dense"))
-        hits = dense_search(reachable(corpus.dense_index), asked, limit)
+    if "dense" in fields:
+        hits = dense_search(reachable(corpus.dense_index), asked, limit, query_field="dense", loaded=loaded)
         rankings["dense"] = rank_candidates(hits, options.kb_merge)
-    if corpus.sparse_index is not None:
-        asked = scoped.withColumn("sparse", sparse_vector(F.col("query")))
-        hits = sparse_search(reachable(corpus.sparse_index), asked, limit)
+    if "sparse" in fields:
+        hits = sparse_search(reachable(corpus.sparse_index), asked, limit, loaded=loaded)
         rankings["sparse"] = rank_candidates(hits, options.kb_merge)
-    if options.enable_visual_search and corpus.visual_index is not None and "visual" in requests.columns:
-        asked = scoped.where("visual is not null").withColumn("embedding", F.col("visual"))
-        hits = visual_search(reachable(corpus.visual_index), asked, limit)
+    if "visual" in fields:
+        hits = visual_search(reachable(corpus.visual_index), asked, limit, query_field="visual", loaded=loaded)
         ranked = rank_candidates(hits, options.kb_merge, item="asset_id")
         rankings["visual"] = ranked
         asset_keys_by_chunk = visual_asset_keys(ranked)
@@ -147,9 +158,9 @@ def search(
         score_threshold(rrf_fuse(candidates), options.score_threshold), limit, rank="fused_rank"
     )
 
-    # At most ``limit`` rows per request, so the request count bounds the broadcast.
-    known = row_count_within(requests.select("qid"), MAX_BROADCAST_ROWS // limit)
-    placed = F.broadcast(fused) if known is not None else fused
+    # At most ``limit`` narrow rows per request: a small block of requests bounds them.
+    bounded = loaded is not None and len(loaded) * limit <= MAX_BROADCAST_ROWS
+    placed = F.broadcast(fused) if bounded else fused
     hydrated = governance_filter(hydrate(placed, corpus.chunks, corpus.documents), options.filters)
 
     if options.enable_rerank:
