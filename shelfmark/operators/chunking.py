@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.text import ASSET_TARGET_PREFIXES, join_tokens, paragraphs, strip
-from shelfmark.operators.segments import SEGMENT_ROWS, fold_segments, fold_sorted
+from shelfmark.operators.segments import SEGMENT, SEGMENT_ROWS, fold_segments, fold_sorted, schema_of
+from shelfmark.session import cut_lineage
 
 # Worksheet chunk limits and overlap detection bounds.
 SHEET_MAX_ROWS = 100
@@ -439,45 +441,105 @@ def shared_edge(left: str, right: str) -> int:
     return 0
 
 
-def merge_overlaps(chunks: DataFrame) -> DataFrame:
-    """Per chunk: the part repeated from the text before it and the part that is new.
+def _overlap_rows(rows, before: str) -> Iterator[dict]:
+    """Overlap of each chunk with the text before it; the last row tells the new end."""
+    for row in rows:
+        text = row["content"]
+        n = shared_edge(before, text)
+        joiner = "\n\n" if before and text and not n else ""
+        before = (before + joiner + text[n:])[-MAX_OVERLAP:]
+        yield {
+            "document_id": row["document_id"],
+            "chunk_index": row["chunk_index"],
+            "content": text,
+            "overlap_content": text[:n],
+            "unique_content": text[n:],
+            "overlap_characters": n,
+            "joiner": joiner,
+            "tail": before,
+        }
 
-    The text before a chunk matters only through its last 8000 characters, which
-    is all the stream over a document keeps.
-    """
-    schema = T.StructType(
-        [
-            T.StructField("document_id", chunks.schema["document_id"].dataType),
-            T.StructField("chunk_index", T.IntegerType()),
-            T.StructField("content", T.StringType()),
-            T.StructField("overlap_content", T.StringType()),
-            T.StructField("unique_content", T.StringType()),
-            T.StructField("overlap_characters", T.IntegerType()),
-            T.StructField("joiner", T.StringType()),
-        ]
-    )
 
-    def fold(rows):
-        before = ""
-        for row in rows:
-            text = row["content"]
-            n = shared_edge(before, text)
-            joiner = "\n\n" if before and text and not n else ""
-            before = (before + joiner + text[n:])[-MAX_OVERLAP:]
-            yield {
-                "document_id": row["document_id"],
-                "chunk_index": row["chunk_index"],
-                "content": text,
-                "overlap_content": text[:n],
-                "unique_content": text[n:],
-                "overlap_characters": n,
-                "joiner": joiner,
-            }
+def merge_overlaps(chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Per chunk: the part repeated from the text before it and the part that is new.
 
+    The text before a chunk matters only through its last 8000 characters. A long
+    document is cut into segments that first start from a guess, the tail left by
+    the segment before it when started from nothing. Segments whose guess differs
+    from the true tail are then done again, until every start is confirmed.
+    """
+    fields = [
+        T.StructField("document_id", chunks.schema["document_id"].dataType),
+        T.StructField("chunk_index", T.IntegerType()),
+        *[T.StructField(n, T.StringType()) for n in ("content", "overlap_content", "unique_content")],
+        T.StructField("overlap_characters", T.IntegerType()),
+        T.StructField("joiner", T.StringType()),
+    ]
+    schema = T.StructType(fields)
+    names = [f.name for f in fields]
     narrow = chunks.select(
-        "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), strip(F.col("content")).alias("content")
+        "document_id",
+        F.col("chunk_index").cast("int").alias("chunk_index"),
+        strip(F.col("content")).alias("content"),
     )
-    return fold_sorted(narrow, ["document_id"], ["chunk_index"], fold, schema)
+
+    def rows_only(rows, before=""):
+        for made in _overlap_rows(rows, before):
+            yield {n: made[n] for n in names}
+
+    large = narrow.where(F.col("chunk_index") >= segment_rows).select("document_id").distinct()
+    if large.isEmpty():
+        return fold_sorted(narrow, ["document_id"], ["chunk_index"], rows_only, schema)
+
+    cut = narrow.withColumn(SEGMENT, F.floor(F.col("chunk_index") / segment_rows))
+    small = cut.join(large, "document_id", "left_anti")
+    hot = cut.join(large, "document_id", "left_semi")
+    keys = ["document_id", SEGMENT]
+    tail_schema = T.StructType([*schema_of(hot, keys), T.StructField("tail", T.StringType())])
+    started = hot.withColumn("start", F.lit(None).cast("string"))
+
+    def split_start(rows):
+        """A marker row in front of a segment carries its start text."""
+        rows = iter(rows)
+        first = next(rows)
+        if first["start"] is not None:
+            return first["start"], rows, first
+        return "", chain([first], rows), first
+
+    def last_tail(rows):
+        before, rest, first = split_start(rows)
+        for made in _overlap_rows(rest, before):
+            before = made["tail"]
+        yield {"document_id": first["document_id"], SEGMENT: first[SEGMENT], "tail": before}
+
+    def with_starts(starts: DataFrame) -> DataFrame:
+        markers = starts.select(*keys, "start", F.lit(-1).alias("chunk_index"))
+        return started.unionByName(markers, allowMissingColumns=True)
+
+    def next_starts(tails: DataFrame) -> DataFrame:
+        return tails.select("document_id", (F.col(SEGMENT) + 1).alias(SEGMENT), F.col("tail").alias("start"))
+
+    tails = cut_lineage(fold_sorted(started, keys, ["chunk_index"], last_tail, tail_schema))
+    starts = next_starts(tails)
+    while True:
+        again = with_starts(starts).join(starts.select(*keys), keys, "left_semi")
+        redone = fold_sorted(again, keys, ["chunk_index"], last_tail, tail_schema)
+        old = tails.withColumnRenamed("tail", "__old")
+        merged = old.join(redone, keys, "left").select(*keys, F.coalesce("tail", "__old").alias("tail"), "__old")
+        merged = cut_lineage(merged)
+        changed = merged.where(~F.col("tail").eqNullSafe(F.col("__old")))
+        tails = merged.drop("__old")
+        if changed.isEmpty():
+            break
+        starts = next_starts(changed.select(*keys, "tail"))
+
+    def folded(rows):
+        before, rest, _ = split_start(rows)
+        yield from rows_only(rest, before)
+
+    final = next_starts(tails).join(hot.select(*keys).distinct(), keys, "left_semi")
+    done = fold_sorted(with_starts(final), keys, ["chunk_index"], folded, schema)
+    return done.unionByName(fold_sorted(small, ["document_id"], ["chunk_index"], rows_only, schema))
 
 
 def rebuild_documents(overlaps: DataFrame) -> DataFrame:

@@ -70,11 +70,14 @@ def rate_limit(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     return fold_sorted(busy_runs(narrow, window_ms), ["key", "run"], ["ts_ms", "event_id"], fold, schema)
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+def rate_limit_stream(
+    events: DataFrame, limit: int, window_seconds: int, expire_idle: bool = False
+) -> DataFrame:
     """The same decision on a stream; the state of a key is its admitted times.
 
-    Rows of one micro-batch are taken in time order. State expires when a key was
-    quiet for a whole window of processing time.
+    Rows of one micro-batch are taken in time order. With ``expire_idle`` the state
+    of a key is dropped once it was quiet for a window of processing time; leave it
+    off for ``availableNow`` runs, which such timers would keep from ending.
     """
     window_ms = window_seconds * 1000
 
@@ -86,7 +89,8 @@ def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int) -> Dat
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
         verdicts = [admit(held, int(t), limit, window_ms) for t in rows["ts_ms"]]
         state.update((list(held),))
-        state.setTimeoutDuration(window_ms)
+        if expire_idle:
+            state.setTimeoutDuration(window_ms)
         yield pd.DataFrame(
             {
                 "key": key[0],
@@ -97,8 +101,9 @@ def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int) -> Dat
             }
         )
 
+    timeout = "ProcessingTimeTimeout" if expire_idle else "NoTimeout"
     return (
         events.select("key", "event_id", "ts_ms")
         .groupBy("key")
-        .applyInPandasWithState(step, OUTPUT, "held array<long>", "append", "ProcessingTimeTimeout")
+        .applyInPandasWithState(step, OUTPUT, "held array<long>", "append", timeout)
     )
