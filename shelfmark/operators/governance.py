@@ -63,46 +63,34 @@ def batch_dedup(incoming: DataFrame, position: str = "position") -> DataFrame:
     hash, the earliest open row, so rounds are as many as the longest chain of
     rows that depend on one another. Only per-value minima are shuffled.
     """
-    open_rows = cut_lineage(
-        incoming.select("kb_id", "name", "file_hash", F.col(position).alias("__p"))
-    )
-    settled: DataFrame | None = None
+    def by_name(df: DataFrame, alias: str) -> DataFrame:
+        return df.groupBy("kb_id", "name").agg(F.min("__p").alias(alias))
+
+    def by_hash(df: DataFrame, alias: str) -> DataFrame:
+        hashed = df.where("file_hash is not null")
+        return hashed.groupBy("kb_id", "file_hash").agg(F.min("__p").alias(alias))
+
+    def looked_up(df: DataFrame, source: DataFrame) -> DataFrame:
+        named = df.join(by_name(source, "__named"), ["kb_id", "name"], "left")
+        return named.join(by_hash(source, "__hashed"), ["kb_id", "file_hash"], "left")
+
+    p = F.col("__p")
+    open_rows = cut_lineage(incoming.select("kb_id", "name", "file_hash", F.col(position).alias("__p")))
+    accepted = open_rows.limit(0)
     while not open_rows.isEmpty():
-        first_name = open_rows.groupBy("kb_id", "name").agg(F.min("__p").alias("__first_name"))
-        first_hash = open_rows.where("file_hash is not null").groupBy("kb_id", "file_hash").agg(
-            F.min("__p").alias("__first_hash")
-        )
-        led = open_rows.join(first_name, ["kb_id", "name"]).join(first_hash, ["kb_id", "file_hash"], "left")
-        wins = (F.col("__first_name") == F.col("__p")) & F.coalesce(
-            F.col("__first_hash") == F.col("__p"), F.lit(True)
-        )
-        winners = cut_lineage(led.where(wins).select("kb_id", "name", "file_hash", "__p"))
-        taken_names = winners.select("kb_id", "name", F.col("__p").alias("__named"))
-        taken_hashes = winners.where("file_hash is not null").select(
-            "kb_id", "file_hash", F.col("__p").alias("__hashed")
-        )
-        tested = open_rows.join(taken_names, ["kb_id", "name"], "left").join(
-            taken_hashes, ["kb_id", "file_hash"], "left"
-        )
-        verdict = (
-            F.when((F.col("__named") == F.col("__p")), "created")
-            .when(F.col("__named") < F.col("__p"), "duplicate_name")
-            .when(F.col("__hashed") < F.col("__p"), "duplicate_file_hash")
-        )
-        judged = cut_lineage(
-            tested.select("kb_id", "name", "file_hash", "__p", verdict.alias("__verdict"))
-        )
-        done = judged.where("__verdict is not null")
-        settled = done if settled is None else settled.unionByName(done)
-        open_rows = judged.where("__verdict is null").drop("__verdict")
-    if settled is None:
-        return incoming.withColumn("reason", F.lit(None).cast("string"))
-    verdicts = settled.select(
-        F.col("kb_id"),
-        F.col("__p").alias(position),
-        F.when(F.col("__verdict") != "created", F.col("__verdict")).alias("reason"),
+        leads = (F.col("__named") == p) & F.coalesce(F.col("__hashed") == p, F.lit(True))
+        winners = cut_lineage(looked_up(open_rows, open_rows).where(leads).select(*open_rows.columns))
+        accepted = accepted.unionByName(winners)
+        undecided = looked_up(open_rows, winners).where("__named is null and __hashed is null")
+        open_rows = cut_lineage(undecided.select(*open_rows.columns))
+    # The reason is read off at the end: a name match counts even if a hash match came first.
+    judged = looked_up(incoming.withColumn("__p", F.col(position)), accepted)
+    return judged.select(
+        *incoming.columns,
+        F.when(F.col("__named") < p, "duplicate_name")
+        .when(F.col("__hashed") < p, "duplicate_file_hash")
+        .alias("reason"),
     )
-    return incoming.join(verdicts, ["kb_id", position])
 
 
 # --- snapshots, versions, audit -------------------------------------------------------
