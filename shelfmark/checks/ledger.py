@@ -31,10 +31,16 @@ LEFT JOIN (SELECT kb_id, name, min(document_id) AS d FROM docs WHERE document_id
 LEFT JOIN (SELECT kb_id, file_hash, min(document_id) AS d FROM docs WHERE document_id % 10 <> 9 GROUP BY ALL) h ON h.kb_id = i.kb_id AND h.file_hash = i.file_hash"""
 
 
-@check("find_duplicates", DUPLICATES_SQL, ("docs",))
+@check(
+    "find_duplicates",
+    f"SELECT document_id, coalesce(duplicate_of, -1) AS duplicate_of, reason FROM ({DUPLICATES_SQL})",
+    ("docs",),
+)
 def _(spark, sf):
     existing, incoming = split_documents(spark, sf)
-    return G.find_duplicates(incoming, existing).select("document_id", "duplicate_of", "reason")
+    return G.find_duplicates(incoming, existing).select(
+        "document_id", F.coalesce("duplicate_of", F.lit(-1).cast(big)).alias("duplicate_of"), "reason"
+    )
 
 
 @check("batch_dedup")
@@ -271,7 +277,7 @@ def _(spark, sf):
     """SELECT document_id, CASE WHEN document_id % 3 = 1 THEN 'failed' WHEN document_id % 3 = 2 THEN 'completed' ELSE status END AS status,
   CASE WHEN document_id % 3 = 1 THEN substr(content, 1, 2000) WHEN document_id % 3 = 2 THEN NULL ELSE error_message END AS error_message,
   CASE WHEN document_id % 3 = 2 THEN document_id % 8 ELSE 0 END::bigint AS chunk_count,
-  CASE WHEN document_id % 3 <> 0 THEN 100 END::bigint AS progress FROM docs""",
+  CASE WHEN document_id % 3 <> 0 THEN 100 ELSE -1 END::bigint AS progress FROM docs""",
     ("docs",),
 )
 def _(spark, sf):
@@ -279,7 +285,7 @@ def _(spark, sf):
     i = F.col("document_id")
     outcomes = d.where(i % 3 != 0).select("document_id", F.when(i % 3 == 1, F.col("content")).alias("error"), (i % 8).alias("chunk_count"))
     out = G.mark_outcomes(d, outcomes)
-    return out.select("document_id", "status", "error_message", F.col("chunk_count").cast(big).alias("chunk_count"), F.col("progress").cast(big).alias("progress"))
+    return out.select("document_id", "status", "error_message", F.col("chunk_count").cast(big).alias("chunk_count"), F.coalesce("progress", F.lit(-1)).cast(big).alias("progress"))
 
 
 # --- sinks ------------------------------------------------------------------------------------------------

@@ -265,17 +265,15 @@ def _(spark, sf):
 
 @check(
     "rerank_candidates",
-    """SELECT conv_id AS request_id, turn AS index, text AS document, ((conv_id * 7 + len(text)) % 10)::double AS score,
-  row_number() OVER (PARTITION BY conv_id ORDER BY (conv_id * 7 + len(text)) % 10 DESC, turn) AS rank
-FROM (SELECT conv_id, turn0 AS turn, text FROM (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn0, text FROM conversations))""",
+    """SELECT request_id, index, document, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, index) AS rank FROM (
+  SELECT request_id, n - 1 AS index, lines[n] AS document, ((request_id * 7 + len(lines[n])) % 10)::double AS score FROM (
+    SELECT request_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (
+      SELECT doc_id AS request_id, string_split(text, chr(10)) AS lines FROM documents)))""",
 )
 def _(spark, sf):
-    b = X.blocks(spark, sf)
-    # A caller's list: the turns of one conversation, in order.
-    lists = b.groupBy(F.col("document_id").alias("request_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("block_index", "content"))), lambda x: x["content"]).alias("documents")
-    ).withColumn("query", F.lit("q"))
+    # A caller's list: the lines of one text.
+    d = X.documents(spark, sf)
+    lists = d.select(F.col("document_id").alias("request_id"), F.lit("q").alias("query"), F.split("content", "\n").alias("documents"))
     scored = rerank_candidates(lists, ((F.col("request_id") * 7 + F.length("document")) % 10).cast("double"))
     return scored.select(
         "request_id", F.col("index").cast(big).alias("index"), "document", "score", F.col("rank").cast(big).alias("rank")

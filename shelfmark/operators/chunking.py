@@ -542,11 +542,17 @@ def merge_overlaps(chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
     return done.unionByName(fold_sorted(small, ["document_id"], ["chunk_index"], rows_only, schema))
 
 
-def rebuild_documents(overlaps: DataFrame) -> DataFrame:
-    """The merged text of each document, one value per document."""
+def rebuild_documents(overlaps: DataFrame, part_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The merged text of each document as (document_id, part, content) rows.
+
+    A part holds ``part_rows`` chunks, so an ordinary document is one part and a
+    very long one never has to fit into one value; the parts in order, joined
+    directly, are the whole text.
+    """
     piece = F.struct("chunk_index", F.concat("joiner", "unique_content").alias("piece"))
     ordered = F.array_sort(F.collect_list(piece))
-    return overlaps.groupBy("document_id").agg(
+    part = F.floor(F.col("chunk_index") / part_rows).cast("int").alias("part")
+    return overlaps.groupBy("document_id", part).agg(
         F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("content")
     )
 

@@ -39,12 +39,17 @@ ERROR_CHARS = 2000
 def find_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``duplicate_of`` and ``reason`` from documents already in the same KB.
 
-    A name match wins over a hash match; a null hash never matches.
+    A name match wins over a hash match; a null hash never matches. Existing rows
+    are cut down to the incoming keys before they are aggregated, so a small batch
+    does not shuffle the whole corpus.
     """
-    by_name = existing.groupBy("kb_id", "name").agg(F.min("document_id").alias("__named"))
-    by_hash = existing.where("file_hash is not null").groupBy("kb_id", "file_hash").agg(
-        F.min("document_id").alias("__hashed")
-    )
+
+    def matches(key: str, alias: str) -> DataFrame:
+        wanted = incoming.select("kb_id", key).where(F.col(key).isNotNull()).distinct()
+        held = existing.select("kb_id", key, "document_id").join(wanted, ["kb_id", key], "left_semi")
+        return held.groupBy("kb_id", key).agg(F.min("document_id").alias(alias))
+
+    by_name, by_hash = matches("name", "__named"), matches("file_hash", "__hashed")
     joined = incoming.join(by_name, ["kb_id", "name"], "left").join(by_hash, ["kb_id", "file_hash"], "left")
     return joined.select(
         *incoming.columns,
@@ -124,13 +129,21 @@ def version_rows(docs: DataFrame, number: Column, summary: Column | str) -> Data
     )
 
 
+def latest_versions(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Highest version number of the changed documents only."""
+    touched = versions.select("document_id", "version_number").join(
+        changes.select("document_id").distinct(), "document_id", "left_semi"
+    )
+    return touched.groupBy("document_id").agg(F.max("version_number").alias("__latest"))
+
+
 def next_version(changes: DataFrame, versions: DataFrame, order: str = "change_seq") -> DataFrame:
     """Add ``version_number``: consecutive numbers after each document's latest version.
 
     ``order`` is an integer. Positions come from a two-level running count, so one
     document may own most of the batch.
     """
-    latest = versions.groupBy("document_id").agg(F.max("version_number").alias("__latest"))
+    latest = latest_versions(versions, changes)
     counted = running(changes, ["document_id"], order, {"__nth": ("sum", F.lit(1))})
     return counted.join(latest, "document_id", "left").select(
         *changes.columns,
@@ -208,7 +221,7 @@ _GOVERNED = ("governance_source_type", "authority_level", "review_status")
 
 def _with_old(docs: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
     """Changed documents with their old snapshot and the next version number."""
-    latest = versions.groupBy("document_id").agg(F.max("version_number").alias("__latest"))
+    latest = latest_versions(versions, changes)
     return (
         docs.withColumn("__before", snapshot())
         .join(changes, "document_id")

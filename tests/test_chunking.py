@@ -172,7 +172,9 @@ def test_documents_are_rebuilt_from_chunks(spark, segment_rows):
     chunks += [(2, 0, " first part "), (2, 1, ""), (2, 2, "second part"), (3, 0, "alone")]
     df = spark.createDataFrame(chunks, "document_id long, chunk_index int, content string")
     made = C.merge_overlaps(df, segment_rows)
-    texts = {r["document_id"]: r["content"] for r in C.rebuild_documents(made).collect()}
+    texts: dict = {}
+    for r in sorted(C.rebuild_documents(made, segment_rows).collect(), key=lambda r: (r["document_id"], r["part"])):
+        texts[r["document_id"]] = texts.get(r["document_id"], "") + r["content"]
     assert texts == {1: " ".join(words[:400]), 2: "first part\n\nsecond part", 3: "alone"}
     stats = {r["document_id"]: tuple(r)[1:] for r in C.overlap_stats(made).collect()}
     assert stats[1][1] == 19 and stats[2] == (0, 0)
