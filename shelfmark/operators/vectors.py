@@ -24,6 +24,7 @@ from shelfmark.functions.text import bound_input
 
 MAX_BLOCK_QUERIES = 512
 MAX_QUERY_VALUES = 4096
+MAX_SCOPE_VALUES = 1000
 TILE_ROWS = 100_000
 CELLS_PER_STEP = 4_000_000
 DENSE_DIGITS = 6
@@ -227,6 +228,12 @@ def load_queries(
     return rows if small else None
 
 
+def within_scope(df: DataFrame, rows: list[Row]) -> DataFrame:
+    """Only the KBs some query asks for, which prunes a table partitioned by kb_id."""
+    wanted = sorted({kb for r in rows for kb in r["kb_ids"] or []})
+    return df.where(F.col("kb_id").isin(wanted)) if len(wanted) <= MAX_SCOPE_VALUES else df
+
+
 def topk_search(
     index: DataFrame,
     queries: DataFrame,
@@ -272,6 +279,7 @@ def topk_search(
         qids = [r["qid"] for r in used]
         scopes = [set(r["kb_ids"] or []) for r in used]
         vectors = [r[asked_field] for r in used]
+        narrow = within_scope(narrow, used)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not vectors:

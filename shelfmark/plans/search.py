@@ -23,7 +23,7 @@ from shelfmark.operators.ranking import (
     union_rankings,
 )
 from shelfmark.operators.results import attach_assets, hydrate, parent_context, retrieval_stats
-from shelfmark.operators.vectors import dense_search, load_queries, sparse_search, visual_asset_keys, visual_search
+from shelfmark.operators.vectors import dense_search, load_queries, sparse_search, visual_asset_keys, visual_search, within_scope
 
 # Rows of fused candidates that may be broadcast: about 100 bytes each.
 MAX_BROADCAST_ROWS = 200_000
@@ -161,7 +161,8 @@ def search(
     # At most ``limit`` narrow rows per request: a small block of requests bounds them.
     bounded = loaded is not None and len(loaded) * limit <= MAX_BROADCAST_ROWS
     placed = F.broadcast(fused) if bounded else fused
-    hydrated = governance_filter(hydrate(placed, corpus.chunks, corpus.documents), options.filters)
+    chunks = corpus.chunks if loaded is None else within_scope(corpus.chunks, loaded)
+    hydrated = governance_filter(hydrate(placed, chunks, corpus.documents), options.filters)
 
     if options.enable_rerank:
         scored = reranker(hydrated.join(requests.select("qid", "query"), "qid"))
