@@ -48,7 +48,7 @@ def with_ctes(uses: tuple[str, ...], body: str) -> str:
         visit(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + body
 
 
 def cte(name: str, body: str, needs: tuple[str, ...] = ()) -> None:
@@ -200,3 +200,110 @@ cte(
   PARTITION BY qid ORDER BY authority_level, rerank_score DESC, rerank_rank) AS rank FROM reranked) WHERE rank <= 5""",
     ("reranked",),
 )
+
+
+# --- folds stated as recursive queries ---------------------------------------------------
+
+cte(
+    "sheet_lines",
+    """SELECT o_orderpriority AS sheet, o_orderkey + 1 AS row_number,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS position,
+  'R' || (o_orderkey + 1) || ': ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || printf('%.2f', o_totalprice) ||
+  CASE WHEN o_orderkey % 3 = 0 THEN ' | ' || strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS line FROM orders""",
+)
+cte(
+    "sheet_steps",
+    """SELECT sheet, position, row_number, line, 1 AS part, 1 AS lines, len(line) + 1 AS chars FROM sheet_lines WHERE position = 0
+UNION ALL SELECT sheet, position, row_number, line, CASE WHEN fresh THEN part + 1 ELSE part END, CASE WHEN fresh THEN 1 ELSE lines + 1 END,
+  CASE WHEN fresh THEN len(line) + 1 ELSE chars + len(line) + 1 END FROM (
+    SELECT l.*, s.part, s.lines, s.chars, s.lines >= 100 OR s.chars + len(l.line) > 500 AS fresh
+    FROM sheet_steps s JOIN sheet_lines l ON l.sheet = s.sheet AND l.position = s.position + 1)""",
+    ("sheet_lines",),
+)
+cte(
+    "timed_events",
+    """SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS ts_ms,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events""",
+)
+cte(
+    "limit_steps",
+    """SELECT key, event_id, ts_ms, n, [ts_ms] AS held, true AS allowed, 0 AS retry_after FROM timed_events WHERE n = 1
+UNION ALL SELECT key, event_id, ts_ms, n, CASE WHEN len(inside) < 3 THEN list_append(inside, ts_ms) ELSE inside END, len(inside) < 3,
+  CASE WHEN len(inside) < 3 THEN 0 ELSE greatest(1, (inside[1] + 3600000 - ts_ms + 999) // 1000) END FROM (
+    SELECT e.*, list_filter(s.held, lambda t: t > e.ts_ms - 3600000) AS inside
+    FROM limit_steps s JOIN timed_events e ON e.key = s.key AND e.n = s.n + 1)""",
+    ("timed_events",),
+)
+cte(
+    "turn_blocks",
+    r"""SELECT conv_id AS d, turn, text, CASE WHEN turn % 5 = 4 THEN 'code' ELSE 'text' END AS kind, role = 'system' AS heading,
+  list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
+FROM conversations WHERE trim(text, E' \n\t') <> ''""",
+)
+
+
+def _joined(words: str) -> str:
+    return f"array_to_string({words}, ' ')"
+
+
+MERGE_STEP = f"""SELECT d, n, turn, CASE WHEN atomic THEN []::varchar[] WHEN over THEN held[len(held) - least(6, len(held)) + 1:] || t ELSE held || t END AS held,
+  CASE WHEN atomic THEN NULL WHEN over OR len(held) = 0 THEN turn ELSE opener END AS opener,
+  CASE WHEN flushed OR over THEN [{{'c': {_joined('before')}, 'k': 'text', 'o': opener}}] ELSE [] END ||
+  CASE WHEN kind <> 'text' THEN [{{'c': text, 'k': kind, 'o': turn}}]
+    WHEN len(t) > 40 THEN list_transform(range(0, len(t) - 6, 34), lambda i: {{'c': {_joined('t[i + 1:i + 40]')}, 'k': 'text', 'o': turn}}) ELSE [] END AS made
+FROM (SELECT *, NOT atomic AND len(held) > 0 AND len(held) + len(t) > 40 AS over FROM (
+  SELECT *, CASE WHEN flushed THEN []::varchar[] ELSE before END AS held FROM (
+    SELECT *, kind <> 'text' OR len(t) > 40 AS atomic, len(before) > 0 AND (kind <> 'text' OR len(t) > 40 OR heading) AS flushed FROM ({{0}}))))"""
+cte(
+    "merge_steps",
+    MERGE_STEP.replace("{0}", "SELECT *, []::varchar[] AS before, NULL::bigint AS opener FROM turn_blocks WHERE n = 1")
+    + " UNION ALL "
+    + MERGE_STEP.replace(
+        "{0}", "SELECT b.*, s.held AS before, s.opener FROM merge_steps s JOIN turn_blocks b ON b.d = s.d AND b.n = s.n + 1"
+    ),
+    ("turn_blocks",),
+)
+cte(
+    "overlap_steps",
+    r"""SELECT document_id, chunk_index, text, 0 AS n, text AS before FROM (SELECT *, trim(content, E' \n\t') AS text FROM chunks WHERE chunk_index = 0)
+UNION ALL SELECT document_id, chunk_index, text, n, right(before || CASE WHEN before <> '' AND text <> '' AND n = 0 THEN E'\n\n' ELSE '' END || substr(text, n + 1), 8000) FROM (
+  SELECT *, coalesce(list_max(list_filter(range(12, least(len(before), len(text), 8000) + 1), lambda k: suffix(before, substr(text, 1, k))
+      AND len(regexp_replace(substr(text, 1, k), '\s', '', 'g')) >= 12)), 0) AS n FROM (
+    SELECT c.document_id, c.chunk_index, trim(c.content, E' \n\t') AS text, s.before
+    FROM overlap_steps s JOIN chunks c ON c.document_id = s.document_id AND c.chunk_index = s.chunk_index + 1))""",
+    ("chunks",),
+)
+cte(
+    "dedup_rows",
+    """SELECT document_id, document_id % 2 AS kb, name, file_hash, row_number() OVER (PARTITION BY document_id % 2 ORDER BY document_id) AS n FROM docs""",
+    ("docs",),
+)
+cte(
+    "dedup_steps",
+    """SELECT kb, n, document_id, [name] AS names, [file_hash] AS hashes, NULL::varchar AS reason FROM dedup_rows WHERE n = 1
+UNION ALL SELECT kb, n, document_id, CASE WHEN reason IS NULL THEN list_append(names, name) ELSE names END,
+  CASE WHEN reason IS NULL THEN list_append(hashes, file_hash) ELSE hashes END, reason FROM (
+    SELECT r.*, s.names, s.hashes, CASE WHEN list_contains(s.names, r.name) THEN 'duplicate_name' WHEN list_contains(s.hashes, r.file_hash) THEN 'duplicate_file_hash' END AS reason
+    FROM dedup_steps s JOIN dedup_rows r ON r.kb = s.kb AND r.n = s.n + 1)""",
+    ("dedup_rows",),
+)
+CONTEXT_STEP = """SELECT qid, rank, CASE WHEN over THEN room_left ELSE room_left - len(block) END AS room_left, over,
+  CASE WHEN over THEN text ELSE text || CASE WHEN text = '' THEN '' ELSE E'\n\n' END || block END AS text FROM (
+  SELECT *, was_over OR room <= 0 AS over, head || E'\n' || CASE WHEN len(body) > room THEN rtrim(left(body, greatest(room, 0)), E' \n\t') || E'\n...[truncated]' ELSE body END AS block FROM (
+    SELECT *, room_left - len(head) - 16 AS room FROM ({0})))"""
+cte(
+    "sources",
+    """SELECT qid, rank, '[S' || rank || '] document=' || document_name || ', authority_level=' || authority_level || ', review_status=' || review_status ||
+  ', source_type=' || governance_source_type || ', version=' || document_version || ', chunk_id=' || chunk_id || ', score=' || printf('%.4f', score) AS head,
+  trim(content, E' \n\t') AS body FROM results""",
+    ("results",),
+)
+cte(
+    "context_steps",
+    CONTEXT_STEP.format("SELECT *, 2000 AS room_left, false AS was_over, '' AS text FROM sources WHERE rank = 1")
+    + " UNION ALL "
+    + CONTEXT_STEP.format(
+        "SELECT s.qid, s.rank, s.head, s.body, c.room_left, c.over AS was_over, c.text FROM context_steps c JOIN sources s ON s.qid = c.qid AND s.rank = c.rank + 1"
+    ),
+    ("sources",),
+)

@@ -16,7 +16,15 @@ from shelfmark.sources.tables import read_table, spread
 big = "bigint"
 
 
-@check("merge_blocks")
+@check(
+    "merge_blocks",
+    """SELECT d AS document_id, row_number() OVER (PARTITION BY d ORDER BY n, i) - 1 AS chunk_index, made[i].k AS chunk_type, made[i].c AS content, made[i].o AS opener
+FROM (SELECT d, n, made, unnest(range(1, len(made) + 1)) AS i FROM (
+  SELECT d, n, made FROM merge_steps
+  UNION ALL SELECT d, n + 1, [{'c': array_to_string(held, ' '), 'k': 'text', 'o': opener}] FROM merge_steps
+    WHERE len(held) > 0 AND (d, n) IN (SELECT (d, max(n)) FROM turn_blocks GROUP BY d)))""",
+    ("merge_steps",),
+)
 def _(spark, sf):
     made = C.merge_blocks(X.blocks(spark, sf), 40, 6)
     return made.select("document_id", F.col("chunk_index").cast(big).alias("chunk_index"), "chunk_type", "content", F.col("opener").cast(big).alias("opener"))
@@ -72,9 +80,15 @@ def sheet_lines(spark, sf):
     return counted.withColumn("position", F.col("__n") - 1).drop("__n")
 
 
-@check("sheet_chunks")
+@check(
+    "sheet_chunks",
+    """SELECT sheet, part AS chunk_part, 'Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY position) AS content,
+  min(row_number) AS row_start, max(row_number) AS row_end, count(*) AS row_count FROM sheet_steps GROUP BY sheet, part""",
+    ("sheet_steps",),
+)
 def _(spark, sf):
-    return C.sheet_chunks(sheet_lines(spark, sf), ["sheet"], "sheet", "position")
+    made = C.sheet_chunks(sheet_lines(spark, sf), ["sheet"], "sheet", "position")
+    return made.withColumns({c: F.col(c).cast(big) for c in ("chunk_part", "row_count")})
 
 
 @check(
@@ -96,13 +110,22 @@ def _(spark, sf):
     return D.sheet_profile(sheet_lines(spark, sf).withColumn("workbook", F.lit("orders")), ["workbook"], "sheet")
 
 
-@check("merge_overlaps")
+@check(
+    "merge_overlaps",
+    "SELECT document_id, chunk_index, n AS overlap_characters, sha256(substr(text, n + 1)) AS unique_hash FROM overlap_steps",
+    ("overlap_steps",),
+)
 def _(spark, sf):
     made = C.merge_overlaps(X.chunks(spark, sf))
-    return made.select("document_id", "chunk_index", "overlap_characters", text_hash(F.col("unique_content")).alias("unique_hash"))
+    return made.select("document_id", F.col("chunk_index").cast(big).alias("chunk_index"), F.col("overlap_characters").cast(big).alias("overlap_characters"), text_hash(F.col("unique_content")).alias("unique_hash"))
 
 
-@check("overlap_stats")
+@check(
+    "overlap_stats",
+    """SELECT document_id, sum(n)::bigint AS total_overlap_characters, count(*) FILTER (WHERE n > 0) AS overlapped_chunk_count
+FROM overlap_steps GROUP BY document_id""",
+    ("overlap_steps",),
+)
 def _(spark, sf):
     return C.overlap_stats(C.merge_overlaps(X.chunks(spark, sf)))
 

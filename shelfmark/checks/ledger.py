@@ -43,7 +43,7 @@ def _(spark, sf):
     )
 
 
-@check("batch_dedup")
+@check("batch_dedup", "SELECT document_id, reason FROM dedup_steps", ("dedup_steps",))
 def _(spark, sf):
     d = X.documents(spark, sf)
     batch = d.select("document_id", (F.col("document_id") % 2).alias("kb_id"), "name", "file_hash", F.col("document_id").alias("position"))
@@ -350,12 +350,12 @@ def _(spark, sf):
 # --- streams ------------------------------------------------------------------------------------------------
 
 
-@check("rate_limit")
+@check("rate_limit", "SELECT key, event_id, ts_ms, allowed, retry_after::bigint AS retry_after FROM limit_steps", ("limit_steps",))
 def _(spark, sf):
     e = read_table(spark, sf, "events").select(
         F.col("user_id").alias("key"), "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ts_ms")
     )
-    return rate_limit(e, 3, 3600)
+    return rate_limit(e, 3, 3600).withColumn("retry_after", F.col("retry_after").cast(big))
 
 
 @check(

@@ -98,10 +98,10 @@ def _(spark, sf):
     return postings(sparse_index(spark, sf), ["chunk_id"])
 
 
-@check("embed")
+@check("embed", "SELECT chunk_id, 64::bigint AS dim FROM chunks", ("chunks",))
 def _(spark, sf):
     vectors = embed(X.chunks(spark, sf).select("chunk_id", "content"), hashed_embedder, batch_size=64)
-    return vectors.select("chunk_id", F.size("embedding").alias("dim"))
+    return vectors.select("chunk_id", F.size("embedding").cast(big).alias("dim"))
 
 
 @check(
@@ -607,7 +607,12 @@ def _(spark, sf):
     return numbered.select(F.col("qid").alias("request_id"), "source_id", "chunk_id")
 
 
-@check("source_context")
+@check(
+    "source_context",
+    """SELECT q.qid AS request_id, coalesce(nullif(c.text, ''), 'No source chunks were retrieved.') AS context
+FROM reqs q LEFT JOIN (SELECT qid, arg_max(text, rank) AS text FROM context_steps GROUP BY qid) c ON c.qid = q.qid""",
+    ("reqs", "context_steps"),
+)
 def _(spark, sf):
     found = full_search(spark, sf).results.withColumn("page_num", F.lit(None).cast("int"))
     answered = O.source_context(requests(spark, sf).select("qid", "query"), found, 2000)
