@@ -267,10 +267,10 @@ cte(
     "overlap_steps",
     r"""SELECT document_id, chunk_index, text, 0 AS n, text AS before FROM (SELECT *, trim(content, E' \n\t') AS text FROM chunks WHERE chunk_index = 0)
 UNION ALL SELECT document_id, chunk_index, text, n, right(before || CASE WHEN before <> '' AND text <> '' AND n = 0 THEN E'\n\n' ELSE '' END || substr(text, n + 1), 8000) FROM (
-  SELECT *, coalesce(list_max(list_filter(range(12, least(len(before), len(text), 8000) + 1), lambda k: suffix(before, substr(text, 1, k))
-      AND len(regexp_replace(substr(text, 1, k), '\s', '', 'g')) >= 12)), 0) AS n FROM (
+  SELECT *, CASE WHEN len(regexp_replace(substr(text, 1, m), '\s', '', 'g')) >= 12 THEN m ELSE 0 END AS n FROM (
+    SELECT *, coalesce(list_max(list_filter(range(12, least(len(before), len(text), 8000) + 1), lambda k: suffix(before, substr(text, 1, k)))), 0) AS m FROM (
     SELECT c.document_id, c.chunk_index, trim(c.content, E' \n\t') AS text, s.before
-    FROM overlap_steps s JOIN chunks c ON c.document_id = s.document_id AND c.chunk_index = s.chunk_index + 1))""",
+    FROM overlap_steps s JOIN chunks c ON c.document_id = s.document_id AND c.chunk_index = s.chunk_index + 1)))""",
     ("chunks",),
 )
 cte(
