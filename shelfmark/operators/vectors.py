@@ -22,8 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import bound_input
 
-MAX_BLOCK_QUERIES = 512
-MAX_QUERY_VALUES = 4096
+MAX_BLOCK_QUERIES = 1024
+MAX_QUERY_VALUES = 2048
 MAX_SCOPE_VALUES = 1000
 TILE_ROWS = 100_000
 CELLS_PER_STEP = 4_000_000
