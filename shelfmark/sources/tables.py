@@ -29,9 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Uploaded files with name, type, size and hash; empty ones carry a reason.
+    """Uploaded files with name, type, size and hash.
 
-    The type is the text after the last dot of the lower-cased name, so a name
+    Spark's file scan leaves out files of zero bytes, so an empty upload is never
+    registered; rows of size zero from other sources get their reason in
+    ``register_documents``. The type is the text after the last dot of the lower-cased name, so a name
     without a dot is its own type.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
