@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,26 @@ REQUIRED_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Functions that run inside tasks import it there, whatever folder the driver
+    was started in.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", None):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='shelfmark-package-')}/{package.name}", "zip", package.parent, package.name
+    )
+    context.addPyFile(archive)
+    context._shelfmark_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a session that already exists."""
+    """Ship the package and apply the settings above to an existing session."""
+    ship_package(spark)
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -40,7 +60,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
