@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, packing, quality_rules, secret_scan
+from shelfmark.llm import byte_bpe, ngram_join, packing, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -43,6 +43,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 50 words cover which start in an earlier document."""
+    kept = repeated_spans.remove(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document."""
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def span_text(spans) -> F.Column:
     """kind:start:end of each span, joined by commas."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
