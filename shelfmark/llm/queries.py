@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, ngram_join, packing, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -91,3 +91,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digest = F.crc32("ids").alias("ids_crc32")
     return packing.pack(written(cut.select("doc_id", "piece", "start", "length", digest), "pieces"))
+
+
+@query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels that a model may learn from: those of documents that are not held out."""
+    return labels.where(~quality_classifier.held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(documents, training_labels(table(spark, sf_dir, "labels")))
+    scored = quality_classifier.score(documents, model)
+    return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
