@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.scratch import written
 
 #: Rounds after which a graph that still changes is taken for a fault.
 MOST_ROUNDS = 60
+#: Bits of the table that tells which rows of a scan a join will ask for.
+KEY_BITS = 1 << 25
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,3 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
     raise RuntimeError("components did not settle")
+
+
+def key_bits(rows: DataFrame, place: Column) -> np.ndarray:
+    """Bits of the places of ``rows``, taken modulo KEY_BITS: a table of fixed size whatever the number of rows.
+
+    It lets a scan leave out what surely is not wanted before a join that decides exactly.
+    """
+    spot = F.pmod(place, F.lit(KEY_BITS)) + 1
+    grouped = rows.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    out = np.zeros((KEY_BITS // 32768, 4096), dtype=np.uint8)
+    for bucket, bits in grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
+        out[bucket - 1] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1)

@@ -32,17 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.links import components
+from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import written
-from shelfmark.llm.words import Block, blocks, gram_hashes, mix, windows
+from shelfmark.llm.words import LOWER, Block, blocks, gram_hashes, mix, windows
 
 WIDTH, PERCENT = 5, 80
 #: Cells of the frequency table, cells to a row of it, and the share of columns counted.
 CELLS, CELL_ROW, COUNTED = 1 << 24, 1 << 16, 0.3
 #: Parts into which the rows of a frequent column are dealt in the first pass.
 PARTS = 32
-#: Bits of the table that tells which texts a check needs.
-KEY_BITS = 1 << 25
 #: Rows of one column to a tile of the second pass.
 TILE = 2000
 
@@ -93,7 +91,7 @@ def frequent_cells(df: DataFrame, text: str, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], ["row", "data"])
 
         for batch in batches:
-            for block in blocks(batch.column(0), fold=True):
+            for block in blocks(batch.column(0), LOWER):
                 _, keys = sets(block, width)
                 held.append(_cells(keys[keys < _LOW]).astype(np.int32))
                 size += len(held[-1])
@@ -148,7 +146,7 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         for batch in batches:
-            for block in blocks(batch.column(1), fold=True):
+            for block in blocks(batch.column(1), LOWER):
                 owner, keys = sets(block, width)
                 rows = len(block.rows)
                 size = np.bincount(owner, minlength=rows)
@@ -182,23 +180,13 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
     return source.mapInArrow(run, "key long, n long, h1 long, h2 long, head array<long>, hot array<boolean>")
 
 
-def key_bits(keys: DataFrame) -> np.ndarray:
-    """Bits of the places that hashed keys fall on: KEY_BITS bits whatever the number of keys."""
-    place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)) + 1
-    rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros((KEY_BITS // 32768, 4096), dtype=np.uint8)
-    for bucket, bits in rows.collect():
-        out[bucket - 1] = np.frombuffer(bits, dtype=np.uint8)
-    return out.reshape(-1)
-
-
 def verify(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose whole sets reach the threshold.
 
     Texts of keys that surely are in no pair are left out while scanning: a bit table of
     fixed size tells which, and the joins do the rest.
     """
-    bits = key_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    bits = key_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), F.xxhash64("key"))
     wanted = df.sparkSession.sparkContext.broadcast(bits)  # KEY_BITS bits
     place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)).alias("place")
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select("key", "text", place)
@@ -208,7 +196,7 @@ def verify(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, per
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).astype(bool)))
-            for block in blocks(batch.column(1), fold=True):
+            for block in blocks(batch.column(1), LOWER):
                 owner, keys = sets(block, width)
                 bounds = np.searchsorted(owner, np.arange(len(block.rows) + 1))
                 data = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.rows))]

@@ -2,7 +2,8 @@
 
 A document is a bag of passages of ``WORDS`` words; only the bag has a label. Every
 passage is encoded: counts of its hashed byte n-grams, damped by a logarithm and brought
-to length one, are projected by a fixed random matrix, and a learned layer follows. Gated
+to length one, are projected by a fixed random matrix; shares of symbols, capitals, digits
+and repeated words are set beside them, and a learned layer follows. Gated
 attention gives each passage a weight, ``softmax(w . (tanh(V h) * sigmoid(U h)))`` over
 the passages of its document, and the weighted mean of the passages is scored.
 
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from shelfmark.llm.quality_rules import cells
 from shelfmark.llm.words import Block, blocks
 
-WORDS, BINS, INPUT, HIDDEN, ATTENTION, GRAM = 64, 1024, 48, 24, 16, 3
+WORDS, BINS, PROJECTED, HIDDEN, ATTENTION, GRAM = 64, 1024, 48, 24, 16, 3
+#: Kinds of bytes whose share of a passage is a feature, each with its scale.
+KINDS = ((b"#*$%&|<>", 8.0), (b"!?", 8.0), (bytes(range(65, 91)), 4.0), (bytes(range(48, 58)), 8.0))
+INPUT = PROJECTED + len(KINDS) + 4
 #: Bounds of the training sample.
 DOCUMENTS, PASSAGES = 4000, 48
 STEPS, RATE, DECAY = 300, 0.01, 1e-4
@@ -36,7 +40,7 @@ def held_out(key: str) -> Column:
 
 
 def projection() -> np.ndarray:
-    return (np.random.default_rng(7).standard_normal((BINS, INPUT)) / np.sqrt(INPUT)).astype(np.float32)
+    return (np.random.default_rng(7).standard_normal((BINS, PROJECTED)) / np.sqrt(PROJECTED)).astype(np.float32)
 
 
 def encode(block: Block, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +64,37 @@ def encode(block: Block, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table = np.bincount(owner * BINS + bins, minlength=(hi - lo) * BINS).reshape(hi - lo, BINS)
         table = np.log1p(table.astype(np.float32))
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
-        out[lo:hi] = table @ matrix
+        out[lo:hi, :PROJECTED] = table @ matrix
+    out[:, PROJECTED:] = shares(block, starts, ends, n_words, counts)
     out[np.repeat(n_words == 0, counts)] = 0
     return out, first
 
 
+def shares(block: Block, starts: np.ndarray, ends: np.ndarray, n_words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shares of kinds of bytes, of words seen before in the passage and just before, mean word length, and fill."""
+    columns = []
+    size = np.maximum(ends - starts, 1)
+    for kind, scale in KINDS:
+        member = np.zeros(256, dtype=bool)
+        member[list(kind)] = True
+        total = np.concatenate(([0], np.cumsum(member[block.data], dtype=np.int64)))
+        columns.append(scale * (total[ends] - total[starts]) / size)
+    first = np.concatenate(([0], np.cumsum(counts)))
+    inside = np.arange(len(block.hashes)) - np.repeat(block.first[:-1], n_words)
+    passage = np.repeat(first[:-1], n_words) + inside // WORDS
+    words = np.maximum(np.bincount(passage, minlength=first[-1]), 1)
+    order = np.lexsort((block.hashes, passage))
+    known = np.zeros(len(order), dtype=bool)
+    known[1:] = (block.hashes[order[1:]] == block.hashes[order[:-1]]) & (passage[order[1:]] == passage[order[:-1]])
+    columns.append(2 * np.bincount(passage[order[known]], minlength=first[-1]) / words)
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (block.hashes[1:] == block.hashes[:-1]) & (passage[1:] == passage[:-1])
+    columns.append(4 * np.bincount(passage[again], minlength=first[-1]) / words)
+    columns.append(np.bincount(passage, weights=block.ends - block.starts, minlength=first[-1]) / words / 8)
+    columns.append(words / WORDS)
+    return np.stack(columns, axis=1)
+
+
 class Model(NamedTuple):
     """Weights; a few thousand numbers."""
 

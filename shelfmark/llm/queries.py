@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, fuzzy_lines, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that have a near copy earlier."""
+    kept = fuzzy_lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids again, and digest both."""

@@ -24,8 +24,9 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32  # A-Z
+#: Lower-cases A-Z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,14 +127,14 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, i
         lo = hi
 
 
-def blocks(column: pa.Array, fold: bool = False) -> Iterator[Block]:
-    """The texts of ``column`` block by block; ``fold`` lower-cases A-Z first."""
+def blocks(column: pa.Array, fold: np.ndarray | None = None) -> Iterator[Block]:
+    """The texts of ``column`` block by block; ``fold`` is a table that replaces each byte first."""
     everything, offsets = text_bytes(column)
     for lo, hi in row_blocks(offsets):
         data = everything[offsets[lo] : offsets[hi]]
         bounds = offsets[lo : hi + 1] - offsets[lo]
-        if fold:
-            data = _FOLD[data]
+        if fold is not None:
+            data = fold[data]
         inside = _IS_WORD[data]
         before = np.empty(len(data), dtype=bool)
         before[1:] = inside[:-1]
