@@ -39,6 +39,10 @@ from shelfmark.llm.words import LOWER, Block, blocks, gram_hashes, mix, windows
 WIDTH, PERCENT = 5, 80
 #: Cells of the frequency table, cells to a row of it, and the share of columns counted.
 CELLS, CELL_ROW, COUNTED = 1 << 24, 1 << 16, 0.3
+#: Cells of the table that tells which head columns may be in several rows.
+HEAD_CELLS = 1 << 27
+#: Pairs with one leader to a group of a comparison.
+GROUP = 256
 #: Parts into which the rows of a frequent column are dealt in the first pass.
 PARTS = 32
 #: Rows of one column to a tile of the second pass.
@@ -63,52 +67,46 @@ def sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[fresh], keys[fresh]
 
 
-def _cells(keys: np.ndarray) -> np.ndarray:
-    """Cell of each counted column."""
-    return (mix(keys) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cells(keys: np.ndarray, n_cells: int) -> np.ndarray:
+    """Cell of each column."""
+    return (mix(keys) >> np.uint64(64 - n_cells.bit_length() + 1)).astype(np.int64)
 
 
-def frequent_cells(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Bits of the cells that hold clearly more than a cell's usual share.
+def _flush(held: list[np.ndarray], n_cells: int) -> Iterator[pa.RecordBatch]:
+    """Counts of cells as compact rows of CELL_ROW cells."""
+    at, n = np.unique(np.concatenate(held), return_counts=True)
+    bounds = np.searchsorted(at, np.arange(0, n_cells + 1, CELL_ROW))
+    rows = np.flatnonzero(np.diff(bounds))
+    place, n = (at % CELL_ROW).astype("<u2"), np.minimum(n, 65535).astype("<u2")
+    for lo in range(0, len(rows), 64):
+        some = rows[lo : lo + 64]
+        data = [place[bounds[r] : bounds[r + 1]].tobytes() + n[bounds[r] : bounds[r + 1]].tobytes() for r in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], ["row", "data"])
+
+
+def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
+    """Bits of the cells whose count over the whole of ``source`` the rule accepts.
 
-    Each task sends the counts of its cells in compact rows; they are added up row by
-    row. The result has CELLS bits whatever the corpus is.
+    ``found(batch)`` yields arrays of cells. Each task sends the counts of its cells in
+    compact rows, which are added up row by row; the result has ``n_cells`` bits whatever
+    the corpus is.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            at, n = np.unique(np.concatenate(held), return_counts=True)
-            bounds = np.searchsorted(at, np.arange(0, CELLS + 1, CELL_ROW))
-            rows = np.flatnonzero(np.diff(bounds))
-            place = (at % CELL_ROW).astype("<u2")
-            n = np.minimum(n, 65535).astype("<u2")
-            for lo in range(0, len(rows), 32):
-                some = rows[lo : lo + 32]
-                data = [place[bounds[r] : bounds[r + 1]].tobytes() + n[bounds[r] : bounds[r + 1]].tobytes() for r in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], ["row", "data"])
-
+        held, size = [], 0
         for batch in batches:
-            for block in blocks(batch.column(0), LOWER):
-                _, keys = sets(block, width)
-                held.append(_cells(keys[keys < _LOW]).astype(np.int32))
-                size += len(held[-1])
+            for some in found(batch):
+                held.append(some.astype(np.int32))
+                size += len(some)
                 if size > 4_000_000:
-                    yield from flush()
+                    yield from _flush(held, n_cells)
                     held, size = [], 0
         if size:
-            yield from flush()
+            yield from _flush(held, n_cells)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, total = -1, np.zeros(CELL_ROW, dtype=np.int64)
-
-        def out():
-            mean = total.mean()
-            bits = np.packbits(total > mean + 8 * math.sqrt(mean) + 8)
-            return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["row", "bits"])
-
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([np.packbits(rule(total)).tobytes()], pa.binary())], ["row", "bits"])
         for batch in batches:
             for r, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if r != row:
@@ -121,14 +119,29 @@ def frequent_cells(df: DataFrame, text: str, width: int) -> np.ndarray:
         if row >= 0:
             yield out()
 
-    counted = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "row long, data binary")
+    counted = source.mapInArrow(count, "row long, data binary")
     summed = counted.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, bits binary")
-    bits = np.zeros((CELLS // CELL_ROW, CELL_ROW // 8), dtype=np.uint8)
-    for r, data in summed.collect():  # CELLS bits
+    bits = np.zeros((n_cells // CELL_ROW, CELL_ROW // 8), dtype=np.uint8)
+    for r, data in summed.collect():  # n_cells bits in all
         bits[r] = np.frombuffer(data, dtype=np.uint8)
     return bits.reshape(-1)
 
 
+def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (7 - (cell & 7))) & 1
+
+
+def frequent_cells(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """Bits of the cells that hold clearly more columns than a cell's usual share."""
+
+    def found(batch: pa.RecordBatch):
+        for block in blocks(batch.column(0), LOWER):
+            _, keys = sets(block, width)
+            yield _cells(keys[keys < _LOW], CELLS)
+
+    return cell_bits(df.select(F.col(text).cast("string").alias("t")), found, CELLS, lambda n: n > n.mean() + 8 * math.sqrt(n.mean()) + 8)
+
+
 def least_overlap(a, b, percent: int):
     """Least overlap of linked sets of these sizes: percent / (100 + percent) of their sum, rounded up."""
     return -(-percent * (a + b) // (100 + percent))
@@ -155,8 +168,7 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
                     total = np.zeros(rows, dtype=np.uint64)
                     np.add.at(total, owner, mix(keys + np.uint64(salt)))
                     digest.append(mix(total + size.astype(np.uint64)).view(np.int64))
-                cell = _cells(keys)
-                kind = np.where(keys < _LOW, 2 * ((table[cell >> 3] >> (7 - (cell & 7))) & 1), 1).astype(np.uint8)
+                kind = np.where(keys < _LOW, 2 * _set(table, _cells(keys, CELLS)), 1).astype(np.uint8)
                 order = np.lexsort((keys, kind, owner))
                 keys, kind = keys[order], kind[order]
                 first = np.concatenate(([0], np.cumsum(size)))
@@ -180,45 +192,112 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
     return source.mapInArrow(run, "key long, n long, h1 long, h2 long, head array<long>, hot array<boolean>")
 
 
-def verify(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, columns: DataFrame, keep, percent: int) -> DataFrame:
+    """The pairs (a, b) for which ``keep(x, y, percent)`` holds of their ``columns`` (key, grams: sorted 64-bit numbers).
+
+    Pairs meet in groups of one ``a``, whose columns travel once to each group; a group
+    has GROUP pairs or so and is read as a stream.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    members = dealt.select("a", "part", F.col("b").alias("key")).union(dealt.select("a", "part", F.col("a").alias("key")).distinct())
+    placed = members.join(columns, "key").select("a", "part", "key", "grams").repartition("a", "part").sortWithinPartitions("a", "part", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = None, None
+        for batch in batches:
+            a, b = [], []
+            for x, part, y, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                grams = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if (x, part) != group:  # a is the smaller key of its pairs, so it comes first
+                    group, first = (x, part), np.array(grams)
+                elif keep(first, grams, percent):
+                    a.append(x)
+                    b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = _overlap(p, q)
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _may_be_similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two heads, each after its set's size, leave room for the least overlap.
+
+    Beyond the columns common to the heads, no more than the rest of the row whose head
+    ends earlier can be common.
+    """
+    n, m = int(p[0]), int(q[0])
+    rest = max(n - (len(p) - 1), m - (len(q) - 1))
+    return 100 * min(n, m) >= percent * max(n, m) and _overlap(p[1:], q[1:]) + rest >= least_overlap(n, m, percent)
+
+
+def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose whole sets reach the threshold.
 
-    Texts of keys that surely are in no pair are left out while scanning: a bit table of
-    fixed size tells which, and the joins do the rest.
+    Heads are compared first, whole sets then. Texts of keys that surely are in no pair
+    are left out while scanning: a bit table of fixed size tells which, and the join
+    decides.
     """
-    bits = key_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")), F.xxhash64("key"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(1).to_pylist()
+            data = [np.append(np.uint64(n), np.sort(x.values.to_numpy().view(np.uint64))).tobytes() for n, x in zip(size, batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "grams"])
+
+    packed = table.where("n > 0").select("key", "n", "head").mapInArrow(pack, "key long, grams binary")
+    left = written(_compared(pairs, packed, _may_be_similar, percent), "pairs")
+    bits = key_bits(left.select(F.explode(F.array("a", "b")).alias("key")), F.xxhash64("key"))
     wanted = df.sparkSession.sparkContext.broadcast(bits)  # KEY_BITS bits
     place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)).alias("place")
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select("key", "text", place)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value
+        marks = wanted.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(((marks[at >> 3] >> (at & 7)) & 1).astype(bool)))
             for block in blocks(batch.column(1), LOWER):
                 owner, keys = sets(block, width)
                 bounds = np.searchsorted(owner, np.arange(len(block.rows) + 1))
                 data = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(block.rows)), pa.array(data, pa.binary())], ["key", "grams"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _compared(left, source.mapInArrow(build, "key long, grams binary"), _similar, percent)
+
+
+def _postings(table: DataFrame) -> DataFrame:
+    """(key, n, gram, hot) of the head columns that may be in more than one row."""
+
+    def found(batch: pa.RecordBatch):
+        yield _cells(batch.column(0).flatten().to_numpy().view(np.uint64), HEAD_CELLS)
+
+    twice = table.sparkSession.sparkContext.broadcast(cell_bits(table.select("head"), found, HEAD_CELLS, lambda n: n > 1))  # HEAD_CELLS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = twice.value
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            part = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            if part.num_rows:
-                yield part
-
-    grams = written(source.mapInArrow(build, "key long, grams binary"), "sets")
-    left = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            grams = batch.column(2).flatten().to_numpy()
+            at = np.flatnonzero(_set(bits, _cells(grams.view(np.uint64), HEAD_CELLS)))
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at))],
+                ["key", "n", "gram", "hot"],
+            )
+
+    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean")
 
 
 def _leader_pairs(postings: DataFrame) -> DataFrame:
@@ -321,25 +400,16 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     one element of its set; a null, empty or blank text has no element and no link.
     """
     narrow = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    bits = frequent_cells(narrow, text, width)
-    table = written(heads(narrow, key, text, bits, width, percent), "heads")
+    table = written(heads(narrow, key, text, frequent_cells(narrow, text, width), width, percent), "heads")
     classes = table.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"))
-    chosen = table.where("n > 0").join(classes.select(F.col("first").alias("key"), "h1", "h2"), ["key", "h1", "h2"], "left_semi")
-    postings = chosen.select("key", "n", F.explode(F.arrays_zip("head", "hot")).alias("x")).select("key", "n", F.col("x.head").alias("gram"), F.col("x.hot").alias("hot"))
-    shared = written(_shared(postings), "postings")
-    near = written(verify(written(_leader_pairs(shared), "pairs"), narrow, key, text, width, percent), "links")
+    shared = written(_postings(table).join(classes.select(F.col("first").alias("key")), "key", "left_semi"), "postings")
+    near = written(verify(written(_leader_pairs(shared), "pairs"), narrow, table, key, text, width, percent), "links")
     stars = components(near)
     placed = shared.join(stars, shared["key"] == stars["node"], "left").select("gram", "key", "n", F.coalesce("component", "key").alias("component"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
     found = written(_product(placed.join(mixed, "gram", "left_semi"), percent).select("a", "b"), "pairs")
-    links = near.union(verify(found, narrow, key, text, width, percent))
+    links = near.union(verify(found, narrow, table, key, text, width, percent))
     group = components(links)
     top = classes.join(group, classes["first"] == group["node"], "left").select("h1", "h2", F.coalesce("component", "first").alias("component_id"))
     named = table.join(top, ["h1", "h2"], "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
-
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of the columns that more than one row has in its head."""
-    often = postings.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    return postings.join(often, "gram", "left_semi")
