@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, fuzzy_lines, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, chat, fuzzy_lines, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -100,6 +101,44 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(cut.select("doc_id", "piece", "start", "length", digest), "pieces"))
 
 
+#: Tools that the derived calls name, with their schemas; calls of "forecast" are to an unknown tool.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 5}}, "required": ["query"], "additionalProperties": False},
+    "lookup": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query", "limit"]},
+}
+
+
+def tool_tables(spark: SparkSession, conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, results, tools) that stand in for logged tool use, derived from every turn of every conversation.
+
+    Each assistant turn makes a call about its whole text; the turn after it, if the user
+    speaks, is the result. Every other call of a conversation uses the result of the one before.
+    """
+    name = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    turn = F.col("turn")
+    spoken = conversations.where("role = 'assistant'")
+    kind = F.pmod(F.col("conv_id") + turn, F.lit(5))
+    body = F.to_json(F.struct(F.pmod(turn * 3 + F.col("conv_id"), F.lit(8)).alias("limit"), F.col("text").alias("query")))
+    calls = spoken.select(
+        "conv_id",
+        name(turn).alias("call_id"),
+        "turn",
+        F.when(kind < 2, "search").when(kind < 4, "lookup").otherwise("forecast").alias("tool"),
+        F.when(F.pmod(F.col("conv_id"), F.lit(17)) == 3, F.concat(body, F.lit(","))).otherwise(body).alias("arguments"),
+        F.when(F.pmod(turn, F.lit(4)) >= 2, F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("uses"),
+    )
+    results = conversations.where("role = 'user' AND turn > 0").select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    tools = spark.createDataFrame([(k, json.dumps(v)) for k, v in TOOLS.items()], "tool string, schema string")
+    return calls, results, tools
+
+
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as canonical JSON rows, with tool calls derived from their turns."""
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.link(conversations, *tool_tables(spark, conversations))
+
+
 @query
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
