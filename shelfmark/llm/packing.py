@@ -13,6 +13,7 @@ among the pieces of its length. The plan's size is set by ``limit``, not by the
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,22 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 #: Numbering splits the pieces of one length into so many parts.
 PARTS = 512
-RUNS = 400_000
-MEMO_CHARS = 48
+#: Runs and pieces that a Python worker remembers, and the longest remembered run.
+RUNS, PARTS_KEPT, MEMO_CHARS = 300_000, 150_000, 48
+# The definition of a tokenizer whose runs may be split before the model sees them.
+SHAPE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 _SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -38,35 +53,76 @@ def text_runs(text: str) -> list[str]:
     return _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
 
 
+#: Latin letters that small letters replace one by one, then ASCII characters that are neither letter nor digit.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-/:-@\\[-`{-~]*)")
+
+
 class RunTokenizer:
     """Token ids as little-endian 32-bit numbers, one run between ASCII white space at a time.
 
     The tokenizer must drop white space and never join what it separates; then a text's
-    ids are those of its runs in order, and the runs seen before need not be encoded again.
+    ids are those of its runs in order, and the runs seen before need not be encoded
+    again. A run of letters with a tail of ASCII marks is two pieces to a tokenizer that
+    brings texts to NFC, makes them small, and splits letters from marks; where the
+    definition says so, its model is asked for the pieces, which are kept, too. All other
+    runs go through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [text_runs(t) for t in texts]
+        self.parts: dict[str, bytes] = {}
+        shape = json.loads(definition)
+        self.split = SHAPE == {k: shape[k] for k in SHAPE}
+        self.special = tuple(x["content"] for x in shape["added_tokens"])
+        self.byte_names = _byte_names()
+
+    def piece(self, piece: str) -> bytes:
+        found = self.parts.get(piece)
+        if found is None:
+            if len(self.parts) >= PARTS_KEPT:
+                self.parts.clear()
+            mapped = piece.encode().decode("latin-1").translate(self.byte_names)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            found = self.parts[piece] = np.array(ids, dtype="<u4").tobytes()
+        return found
+
+    def run(self, run: str) -> bytes:
+        plain = _PLAIN.fullmatch(run) if self.split else None
+        if plain is None or any(x in run for x in self.special):
+            made = self.tokenizer.encode(run, add_special_tokens=False).ids
+            return np.array(made, dtype="<u4").tobytes()
+        letters, marks = plain.groups()
+        return (self.piece(letters.lower()) if letters else b"") + (self.piece(marks) if marks else b"")
+
+    def encode(self, text: str) -> bytes:
+        runs = text_runs(text)
         known = self.known
-        fresh = list({r for rs in runs for r in rs if r not in known})
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            for run, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[run] = np.array(made.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
-        if len(known) > RUNS:
-            known.clear()
-        else:
-            for run in fresh:
-                if len(run) > MEMO_CHARS:
-                    del known[run]
-        return out
+        try:
+            return b"".join(map(known.__getitem__, runs))
+        except KeyError:
+            pass
+        out = []
+        for run in runs:
+            ids = known.get(run)
+            if ids is None:
+                ids = self.run(run) if run else b""
+                if len(run) <= MEMO_CHARS:
+                    if len(known) >= RUNS:
+                        known.clear()
+                    known[run] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+def _byte_names() -> dict[int, int]:
+    """The characters that byte-level models use for bytes: printable Latin-1 ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 _TOKENIZERS: dict[int, RunTokenizer] = {}
@@ -94,9 +150,8 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 owners, order, starts, ids = [], [], [], []
-                made = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for row, data in enumerate(made):
-                    data += tail
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    data = encoder.encode(text or "") + tail
                     for n, at in enumerate(range(0, len(data), 4 * limit)):
                         owners.append(row)
                         order.append(n)
@@ -113,7 +168,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     names,
                 )
 
-    source = df.select(F.col(key), F.col(text).cast("string"))
+    source = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
     schema = source.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
     return source.mapInArrow(run, schema)
 
