@@ -88,7 +88,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and its likelihood ratio against documents labelled good."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().hint("merge")
     ratios = quality_rules.fit(documents.join(good, "doc_id", "left_semi"), documents)
     return quality_rules.judge(documents, ratios).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
 
