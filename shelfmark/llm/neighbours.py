@@ -8,10 +8,10 @@ place ``LENGTH``, so that the distance is a constant less ``2 * (LENGTH - max(pl
 for each pivot in common. The nearest share of each part is ranked again by the exact
 inner product of the original vectors, in double precision.
 
-Parts hold a bounded number of vectors, and the queries of a part
-stream past it, so memory does not grow with either table. Pivots are a bounded sample; every vector is indexed.
-Equal vectors are one entry of the index with the smallest keys only: as ties go to
-smaller keys, later copies can never be among the nearest.
+Parts hold a bounded number of vectors, and the queries of a part stream past it, so
+memory does not grow with either table. Pivots are a bounded sample; every vector is
+indexed. Equal vectors are one entry of the index with the smallest keys only: as ties go
+to smaller keys, later copies can never be among the nearest.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """``n`` different vectors, those with the least hashes; a fixed choice that any order of rows gives."""
     rows = vectors.groupBy(F.xxhash64("v").alias("h")).agg(F.first("v").alias("v")).orderBy("h").limit(n).collect()
-    return np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], dtype=np.float64)
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:

@@ -40,7 +40,7 @@ def held_out(key: str) -> Column:
 
 
 def projection() -> np.ndarray:
-    return (np.random.default_rng(7).standard_normal((BINS, PROJECTED)) / np.sqrt(PROJECTED)).astype(np.float32)
+    return (np.random.default_rng(7).standard_normal((BINS, PROJECTED)) / np.sqrt(PROJECTED))
 
 
 def encode(block: Block, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +54,16 @@ def encode(block: Block, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts[later] = block.starts[np.repeat(block.first[:-1], counts)[later] + inside[later] * WORDS]
     ends = np.append(starts[1:], len(block.data))
     found = cells(block.data, BINS, GRAM)
-    out = np.zeros((first[-1], INPUT), dtype=np.float32)
+    out = np.zeros((first[-1], INPUT))
+    stops = ends.copy()
+    stops[first[1:] - 1] -= GRAM - 1  # n-grams do not run into the next text
     for lo in range(0, first[-1], 2048):
         hi = min(lo + 2048, first[-1])
-        sizes = np.maximum(np.minimum(ends[lo:hi], len(found)) - starts[lo:hi], 0)
+        sizes = np.maximum(stops[lo:hi] - starts[lo:hi], 0)
         owner = np.repeat(np.arange(hi - lo), sizes)
-        begin = min(starts[lo], len(found))
-        bins = found[begin : begin + sizes.sum()]
+        bins = found[np.repeat(starts[lo:hi] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(owner))]
         table = np.bincount(owner * BINS + bins, minlength=(hi - lo) * BINS).reshape(hi - lo, BINS)
-        table = np.log1p(table.astype(np.float32))
+        table = np.log1p(table)
         table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
         out[lo:hi, :PROJECTED] = table @ matrix
     out[:, PROJECTED:] = shares(block, starts, ends, n_words, counts)
@@ -188,7 +189,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                 data = []
                 for a, b in zip(first[:-1], first[1:]):
                     chosen = a + np.unique(np.linspace(0, b - a - 1, min(b - a, passages)).astype(np.int64))
-                    data.append(x[chosen].tobytes())
+                    data.append(x[chosen].astype(np.float32).tobytes())
                 part = batch.slice(block.rows.start, len(block.rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["key", "label", "x"])
 
@@ -217,8 +218,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         for batch in batches:
             for block in blocks(batch.column("__text")):
                 x, first = encode(block, matrix)
-                scores, _ = forward(model, x.astype(np.float64), first)
+                scores, _ = forward(model, x, first)
                 part = batch.slice(block.rows.start, len(block.rows))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.round(scores, 12))], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.round(scores, 9))], [*kept, out])
 
     return source.mapInArrow(run, schema)
