@@ -11,7 +11,7 @@ from shelfmark.operators import chunking as C
 from shelfmark.operators import filters as B
 from shelfmark.operators import reports as D
 from shelfmark.plans.ingest import build_chunks, ingest
-from shelfmark.sources.tables import read_table, spread
+from shelfmark.sources.tables import read_table
 
 big = "bigint"
 
@@ -36,14 +36,14 @@ def _(spark, sf):
     ("chunks",),
 )
 def _(spark, sf):
-    docs = spread(X.documents(spark, sf)).withColumn("route", F.lit("text"))
+    docs = X.dealt(X.documents(spark, sf)).withColumn("route", F.lit("text"))
     made = build_chunks(docs, X.knowledge_bases(spark, sf))
     return made.select("chunk_id", "document_id", F.col("chunk_index").cast(big).alias("chunk_index"), "content_hash")
 
 
 @check("build_structured_chunks")
 def _(spark, sf):
-    pages = spread(read_table(spark, sf, "pages")).select(
+    pages = X.dealt(read_table(spark, sf, "pages")).select(
         F.col("page_id").alias("document_id"),
         (F.col("page_id") % 4).alias("kb_id"),
         F.col("url").alias("name"),
@@ -347,13 +347,15 @@ def _(spark, sf):
 
 @check(
     "kb_counts",
-    """SELECT k.kb_id, k.status, coalesce(d.n, 0) AS document_count, coalesce(c.n, 0) AS chunk_count FROM kbs k
-  LEFT JOIN (SELECT kb_id, count(*) AS n FROM docs WHERE kb_id <> 2 GROUP BY kb_id) d ON d.kb_id = k.kb_id
+    """SELECT k.kb_id, k.status, coalesce(d.n, 0) AS document_count, coalesce(c.n, 0) AS chunk_count FROM (SELECT * FROM kbs UNION ALL SELECT * REPLACE (4 AS kb_id) FROM kbs WHERE kb_id = 3) k
+  LEFT JOIN (SELECT kb_id, count(*) AS n FROM docs GROUP BY kb_id) d ON d.kb_id = k.kb_id
   LEFT JOIN (SELECT kb_id, count(*) AS n FROM chunks GROUP BY kb_id) c ON c.kb_id = k.kb_id""",
     ("kbs", "docs", "chunks"),
 )
 def _(spark, sf):
-    counted = D.kb_counts(X.knowledge_bases(spark, sf), X.documents(spark, sf).where("kb_id <> 2"), X.chunks(spark, sf))
+    kbs = X.knowledge_bases(spark, sf)
+    empty = kbs.where("kb_id = 3").withColumn("kb_id", F.lit(4).cast(kbs.schema["kb_id"].dataType))  # holds no document
+    counted = D.kb_counts(kbs.unionByName(empty), X.documents(spark, sf), X.chunks(spark, sf))
     return counted.select("kb_id", "status", "document_count", "chunk_count")
 
 

@@ -12,7 +12,7 @@ from shelfmark.functions.text import parsed_content_type
 from shelfmark.operators import filters as B
 from shelfmark.operators import governance as G
 from shelfmark.sources import sinks as S
-from shelfmark.sources.tables import read_table, spread
+from shelfmark.sources.tables import read_table
 from shelfmark.streaming import ingest as N
 from shelfmark.streaming.ratelimit import rate_limit
 
@@ -165,6 +165,37 @@ def _(spark, sf):
     return B.audit_history(rows).select("document_id", "audit_id", "action")
 
 
+@check(
+    "governance_chain",
+    """SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 2 ELSE 1 END + row_number() OVER (PARTITION BY document_id ORDER BY seq) AS version,
+  b AS before_status, a AS after_status, NULL::varchar AS reason FROM (
+  SELECT document_id, 1 AS seq, review_status AS b, 'published' AS a FROM docs WHERE document_id % 7 = 0
+  UNION ALL SELECT document_id, 2, CASE WHEN document_id % 7 = 0 THEN 'published' ELSE review_status END, CASE WHEN document_id % 7 = 0 THEN 'published' ELSE review_status END FROM docs WHERE document_id % 5 = 0
+  UNION ALL SELECT document_id, 3, 'published', 'reviewed' FROM docs WHERE document_id % 35 = 0)
+UNION ALL SELECT document_id + 1000000000, NULL, NULL, NULL, 'document_not_found' FROM docs WHERE document_id % 5 = 0""",
+    ("docs",),
+)
+def _(spark, sf):
+    """Up to three changes for a document, each with its own version, and changes for unknown documents."""
+    d = X.documents(spark, sf)
+    i = F.col("document_id")
+    none = F.lit(None).cast("string")
+
+    def change(which, seq, level, status, shift=0):
+        return d.where(which).select(
+            (i + shift).alias("document_id"), F.lit(seq).alias("change_seq"), none.alias("governance_source_type"),
+            F.lit(level).cast("int").alias("authority_level"), F.lit(status).cast("string").alias("review_status"), none.alias("change_summary"),
+        )
+
+    changes = change(i % 7 == 0, 1, None, "published").union(change(i % 5 == 0, 2, 2, None)).union(change(i % 35 == 0, 3, None, "reviewed"))
+    ledger = G.update_governance(d, changes.union(change(i % 5 == 0, 1, 3, None, 1_000_000_000)), versions(spark, sf))
+    made = ledger.audit.select(
+        "document_id", F.col("after.current_version").cast(big).alias("version"), F.col("before.review_status").alias("before_status"), F.col("after.review_status").alias("after_status"), none.alias("reason")
+    )
+    refused = ledger.rejected.select("document_id", F.lit(None).cast(big).alias("version"), none.alias("before_status"), none.alias("after_status"), "reason")
+    return made.union(refused)
+
+
 # --- content, reprocess, deletion ---------------------------------------------------------------------------
 
 
@@ -390,7 +421,7 @@ def work_folder(spark, name):
 )
 def _(spark, sf):
     root = work_folder(spark, "ingest")
-    docs = spread(X.documents(spark, sf).select("document_id", "kb_id", "name", "file_type", "tags", "content"))
+    docs = X.dealt(X.documents(spark, sf).select("document_id", "kb_id", "name", "file_type", "tags", "content"))
     docs.write.parquet(f"{root}/arriving")
     query = N.ingest_stream(spark, f"{root}/arriving", X.knowledge_bases(spark, sf), f"{root}/out", f"{root}/cp", 4)
     query.awaitTermination()

@@ -306,9 +306,9 @@ def _(spark, sf):
 
 @check(
     "retrieval_stats",
-    f"""SELECT request_id, total_candidates, coalesce(after_fusion, 0) AS after_fusion, coalesce(after_rerank, 0) AS after_rerank FROM
-  (SELECT qid AS request_id, count(*) AS total_candidates FROM (
-     SELECT qid FROM dense_hits UNION ALL SELECT qid FROM sparse_hits UNION ALL SELECT qid FROM visual_hits) GROUP BY qid)
+    f"""SELECT request_id, coalesce(total_candidates, 0) AS total_candidates, coalesce(after_fusion, 0) AS after_fusion, coalesce(after_rerank, 0) AS after_rerank FROM
+  (SELECT qid AS request_id FROM reqs) LEFT JOIN (SELECT qid AS request_id, count(*) AS total_candidates FROM (
+     SELECT qid FROM dense_hits UNION ALL SELECT qid FROM sparse_hits UNION ALL SELECT qid FROM visual_hits) GROUP BY qid) USING (request_id)
   LEFT JOIN (SELECT qid AS request_id, count(*) AS after_fusion FROM trimmed GROUP BY qid) USING (request_id)
   LEFT JOIN (SELECT qid AS request_id, count(*) AS after_rerank FROM results GROUP BY qid) USING (request_id)""",
     ("results",),
@@ -450,7 +450,7 @@ def linked_chunks(spark, sf):
     d = uuid_of(F.col("document_id"))
     mention = lambda n: asset_url(d, uuid_of(F.col("document_id") * 1000 + n))
     text = F.concat(
-        F.substring("content", 1, 40),
+        F.col("content"),
         F.lit(" ![a]("),
         mention(F.col("chunk_index") + 1),
         F.lit(") ![b]("),
@@ -558,8 +558,10 @@ def _(spark, sf):
         "request_id",
         F.when(i % 2 == 0, "good").otherwise("bad").alias("feedback"),
         F.concat(F.lit("note "), i).alias("feedback_detail"),
+        F.lit(2).alias("given_at"),
     )
-    return J.apply_feedback(logs, given)
+    earlier = given.withColumns({"feedback": F.lit("unsure"), "feedback_detail": text, "given_at": F.lit(1)})
+    return J.apply_feedback(logs, earlier.union(given))
 
 
 @check(

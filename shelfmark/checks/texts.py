@@ -26,12 +26,12 @@ def query_texts(spark, sf):
     """Passages dressed up as questions: spread spaces, separators, closing marks."""
     b = S.read_table(spark, sf, "benchmark")
     t = F.col("text")
-    dressed = F.concat(F.lit("  "), F.substring(t, 1, 40), F.lit("  and "), F.substring(t, 41, 30), F.lit("; "), F.substring(t, 71, 20), F.lit(" ?! "))
+    dressed = F.concat(F.lit("  "), F.substring(t, 1, 40), F.lit("  and "), F.substring(t, 41, 30), F.lit("; "), F.substr(t, F.lit(71)), F.lit(" ?! "))
     return b.select(F.col("item_id").alias("request_id"), dressed.alias("query"))
 
 
 QUERY_SQL = """(SELECT item_id AS request_id, '  ' || substr(text, 1, 40) || '  and ' || substr(text, 41, 30) || '; ' ||
-  substr(text, 71, 20) || ' ?! ' AS query FROM benchmark)"""
+  substr(text, 71) || ' ?! ' AS query FROM benchmark)"""
 
 
 @check("source_files")
@@ -244,16 +244,16 @@ def markdown_docs(spark, sf):
     def dress(line, n):
         level = F.repeat(F.lit("#"), (1 + n % 3).cast("int"))
         return (
-            F.when(n % 7 == 0, F.concat(level, F.lit(" "), F.substring(line, 1, 20)))
+            F.when(n % 7 == 0, F.concat(level, F.lit(" "), line))
             .when(n % 7 == 2, F.concat(F.lit("- "), line))
             .when(n % 7 == 3, F.concat(F.lit("```\n"), line, F.lit("\n\nmore\n```")))
             .when(n % 7 == 4, F.concat(F.lit("![pic](images/p"), n, F.lit(".png)")))
-            .when(n % 7 == 5, F.concat(F.lit("|a|b|\n|---|---|\n|"), F.substring(line, 1, 8), F.lit("|x|")))
+            .when(n % 7 == 5, F.concat(F.lit("|a|b|\n|---|---|\n|"), line, F.lit("|x|")))
             .otherwise(line)
         )
 
     text = F.array_join(F.transform(lines, dress), "\n\n")
-    return S.spread(texts(spark, sf)).select("document_id", "kb_id", "name", F.concat(text, F.lit("\n")).alias("content"))
+    return X.dealt(texts(spark, sf)).select("document_id", "kb_id", "name", F.concat(text, F.lit("\n")).alias("content"))
 
 
 def block_rows(df):
@@ -275,7 +275,7 @@ def _(spark, sf):
 
 @check("html_blocks")
 def _(spark, sf):
-    pages = S.spread(S.read_table(spark, sf, "pages"))
+    pages = X.dealt(S.read_table(spark, sf, "pages"))
     rows = pages.select(F.col("page_id").alias("document_id"), F.col("html").alias("content"))
     return block_rows(M.html_blocks(rows))
 
@@ -285,7 +285,7 @@ def image_docs(spark, sf):
     lines = F.split("content", "\n")
 
     def dress(line, n):
-        data = F.regexp_replace(F.base64(F.substring(line, 1, 30).cast("binary")), r"\s", "")
+        data = F.regexp_replace(F.base64(line.cast("binary")), r"\s", "")
         payload = F.when(n % 3 == 2, F.lit("@@")).otherwise(data)
         return F.concat(line, F.lit(" ![p]("), F.lit("data:image/png;base64,"), payload, F.lit(")"))
 
@@ -298,14 +298,14 @@ def image_docs(spark, sf):
     "data_images",
     """SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY n) - 1) AS asset_index,
   'assets/' || name || '-' || row_number() OVER (PARTITION BY document_id ORDER BY n) || '.png' AS source_path,
-  strlen(substr(line, 1, 30)) AS file_size, sha256(substr(line, 1, 30)) AS file_hash FROM (
+  strlen(line) AS file_size, sha256(line) AS file_hash FROM (
   SELECT document_id, name, n - 1 AS n, lines[n] AS line FROM (
     SELECT document_id, name, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT document_id, name, string_split(content, chr(10)) AS lines FROM docs)))
 WHERE n % 3 <> 2 AND line <> ''""",
     ("docs",),
 )
 def _(spark, sf):
-    rows = M.asset_rows(M.extract_data_images(S.spread(image_docs(spark, sf))))
+    rows = M.asset_rows(M.extract_data_images(X.dealt(image_docs(spark, sf))))
     return rows.select(
         "document_id", F.col("asset_index").cast(big).alias("asset_index"), "source_path", "file_size", "file_hash"
     )
@@ -323,7 +323,7 @@ def layout_docs(spark, sf):
             F.when(n % 6 == 0, 1 + n % 2).alias("level"),
             F.floor(n / 4).alias("page_idx"),
             F.array(n, n + 1).alias("bbox"),
-            F.when(kind == "list", F.array(F.substring(line, 1, 5), F.lit("two"))).alias("list_items"),
+            F.when(kind == "list", F.array(line, F.lit("two"))).alias("list_items"),
             F.when(kind == "image", F.array(F.lit("cap]"))).alias("caption"),
             F.when(kind == "image", F.concat(F.lit("images/"), n, F.lit(".png"))).alias("img_path"),
         )
@@ -339,7 +339,7 @@ def layout_docs(spark, sf):
   (n // 4 + 1)::bigint AS page_num, '{"points":[' || n || ',' || (n + 1) || ']}' AS bbox,
   CASE n % 6 WHEN 2 THEN CASE WHEN t = '' THEN '' ELSE '$$' || chr(10) || t || chr(10) || '$$' END
     WHEN 3 THEN 'cap]' || chr(10) || '![cap\]](images/' || n || '.png)'
-    WHEN 4 THEN ltrim(regexp_replace(substr(line, 1, 5), '^\s+|\s+$', '', 'g') || chr(10) || 'two', chr(10)) ELSE t END AS content
+    WHEN 4 THEN ltrim(regexp_replace(line, '^\s+|\s+$', '', 'g') || chr(10) || 'two', chr(10)) ELSE t END AS content
 FROM (SELECT document_id, n, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM (
   SELECT document_id, n - 1 AS n, lines[n] AS line FROM (
   SELECT document_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT document_id, string_split(content, chr(10)) AS lines FROM docs)))))
@@ -347,7 +347,7 @@ WHERE content <> ''""",
     ("docs",),
 )
 def _(spark, sf):
-    rows = M.content_list_blocks(S.spread(layout_docs(spark, sf)))
+    rows = M.content_list_blocks(X.dealt(layout_docs(spark, sf)))
     return rows.select("document_id", "chunk_type", "block_type", F.col("page_num").cast(big).alias("page_num"), "content", "bbox")
 
 

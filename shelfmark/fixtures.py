@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.hashing import chunk_id, text_hash
 from shelfmark.functions.text import tokenize
 from shelfmark.operators.chunking import split_large
-from shelfmark.sources.tables import read_table, spread
+from shelfmark.sources.tables import read_table
 
 CHUNK_SIZE = 128
 CHUNK_OVERLAP = 16
@@ -20,6 +20,15 @@ REVIEW_CYCLE = ["published", "published", "reviewed", "draft", "deprecated"]
 STATUS_CYCLE = ["completed", "completed", "completed", "pending", "processing", "failed"]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Test tables are one row group each; deal such a scan out to all cores.
+
+    Decided by the number of scan tasks, so a table of many splits is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], position):
     return F.get(F.array(*[F.lit(v) for v in values]), position.cast("int"))
 
@@ -67,7 +76,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over every document, without a shuffle."""
-    d = spread(documents(spark, sf_dir).select("document_id", "kb_id", "tags", "content")).select(
+    d = dealt(documents(spark, sf_dir).select("document_id", "kb_id", "tags", "content")).select(
         "document_id", "kb_id", "tags", tokenize(F.col("content")).alias("tokens")
     )
     windows = split_large(d, "tokens", CHUNK_SIZE, CHUNK_OVERLAP)

@@ -209,50 +209,72 @@ def register_documents(incoming: DataFrame, existing: DataFrame, summary: str =
 
 @dataclass(frozen=True)
 class Ledger:
-    """Documents after a change, with the version and audit rows to append."""
+    """Documents after a change, with the version and audit rows to append and the refused changes."""
 
     documents: DataFrame
     versions: DataFrame
     audit: DataFrame
+    rejected: DataFrame
 
 
 _GOVERNED = ("governance_source_type", "authority_level", "review_status")
 
 
-def _with_old(docs: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
-    """Changed documents with their old snapshot and the next version number."""
-    latest = latest_versions(versions, changes)
-    return (
-        docs.withColumn("__before", snapshot())
-        .join(changes, "document_id")
-        .join(latest, "document_id", "left")
-        .withColumn("__number", (F.coalesce("__latest", F.lit(0)) + 1).cast("int"))
-    )
+def _refused(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes for documents that are not in the ledger, with ``reason``."""
+    return changes.join(docs.select("document_id"), "document_id", "left_anti").withColumn("reason", F.lit("document_not_found"))
+
+
+def _numbered(docs: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Changes of known documents with consecutive version numbers.
+
+    Several changes of one document follow ``change_seq``; without that column, or where
+    it repeats, the values decide.
+    """
+    known = changes.join(docs.select("document_id"), "document_id", "left_semi")
+    if "change_seq" not in changes.columns:
+        known = known.withColumn("change_seq", F.xxhash64(*changes.columns))
+    return next_version(known, versions)
+
+
+def _last(changed: DataFrame) -> DataFrame:
+    """The rows with each document's highest version number."""
+    newest = changed.groupBy("document_id").agg(F.max("version_number").alias("version_number"))
+    return changed.join(newest, ["document_id", "version_number"], "left_semi")
 
 
 def update_governance(docs: DataFrame, changes: DataFrame, versions: DataFrame) -> Ledger:
-    """Apply partial governance changes (at most one row per document).
+    """Apply partial governance changes in the order of ``change_seq``.
 
-    Only supplied (non-null) fields change. A row that supplies none is a no-op:
-    no version and no audit row.
+    Only supplied (non-null) fields change. A row that supplies none is a no-op: no
+    version and no audit row. Every other row gets a version and an audit row of its own,
+    whose snapshots hold the state before and after that one change.
     """
     supplied = F.lit(False)
     for field in _GOVERNED:
         supplied = supplied | F.col(field).isNotNull()
-    wanted = changes.where(supplied).select(
-        "document_id",
-        *[F.col(f).alias(f"__new_{f}") for f in _GOVERNED],
-        F.coalesce(F.nullif("change_summary", F.lit("")), F.lit(GOVERNANCE_SUMMARY)).alias("__summary"),
-    )
-    old = _with_old(docs, wanted, versions)
-    changed = old.withColumns(
-        {f: F.coalesce(f"__new_{f}", f) for f in _GOVERNED} | {"current_version": F.col("__number")}
-    )
-    untouched = docs.join(wanted.select("document_id"), "document_id", "left_anti")
+    order = ["change_seq"] if "change_seq" in changes.columns else []
+    wanted = changes.where(supplied).select("document_id", *order, *[F.col(f).alias(f"__new_{f}") for f in _GOVERNED], "change_summary")
+    numbered = _numbered(docs, wanted, versions)
+    states = running(numbered, ["document_id"], "version_number", {f"__set_{f}": ("last", F.col(f"__new_{f}")) for f in _GOVERNED})
+    states = cut_lineage(states.select("document_id", "version_number", "change_summary", *[f"__set_{f}" for f in _GOVERNED]))
+    earlier = states.select("document_id", (F.col("version_number") + 1).alias("version_number"), F.lit(True).alias("__chained"), *[F.col(f"__set_{f}").alias(f"__was_{f}") for f in _GOVERNED])
+    paired = states.join(earlier, ["document_id", "version_number"], "left").withColumn(
+        "__summary", F.coalesce(F.nullif("change_summary", F.lit("")), F.lit(GOVERNANCE_SUMMARY))
+    ).drop("change_summary")
+    old = docs.join(paired, "document_id")
+    fields = [*_GOVERNED, "current_version"]
+    held = old.withColumns({f"__old_{f}": F.col(f) for f in fields})
+    was = {f: F.coalesce(f"__was_{f}", f) for f in _GOVERNED}
+    was["current_version"] = F.when(F.col("__chained"), F.col("version_number") - 1).otherwise(F.col("current_version"))
+    before = held.withColumns(was).withColumn("__before", snapshot()).withColumns({f: F.col(f"__old_{f}") for f in fields})
+    changed = before.withColumns({f: F.coalesce(f"__set_{f}", f) for f in _GOVERNED} | {"current_version": F.col("version_number")})
+    untouched = docs.join(states.select("document_id"), "document_id", "left_anti")
     return Ledger(
-        untouched.unionByName(changed.select(*docs.columns)),
-        version_rows(changed, F.col("__number"), F.col("__summary")),
+        untouched.unionByName(_last(changed).select(*docs.columns)),
+        version_rows(changed, F.col("version_number"), F.col("__summary")),
         audit_events(changed, "document.governance_updated", F.col("__summary"), F.col("__before"), snapshot()),
+        _refused(docs, changes),
     )
 
 
@@ -263,20 +285,28 @@ class ContentChange:
     audit: DataFrame
     chunks: DataFrame
     assets: DataFrame
+    rejected: DataFrame | None = None
 
 
 def update_content(
     docs: DataFrame, changes: DataFrame, versions: DataFrame, chunks: DataFrame, assets: DataFrame
 ) -> ContentChange:
-    """Replace source text: the document becomes pending inline text without chunks."""
+    """Replace source text: the document becomes pending inline text without chunks.
+
+    Several changes of one document follow ``change_seq``: each gets a version and an
+    audit row, the last one's text stays.
+    """
     kind = F.coalesce("file_type", F.lit("md"))
+    order = ["change_seq"] if "change_seq" in changes.columns else []
     wanted = changes.select(
         "document_id",
+        *order,
         F.col("content").alias("__text"),
         F.when(kind == "markdown", "md").otherwise(kind).alias("__type"),
         F.coalesce(F.nullif("change_summary", F.lit("")), F.lit(CONTENT_SUMMARY)).alias("__summary"),
     )
-    old = _with_old(docs, wanted, versions)
+    base = docs.withColumn("__before", snapshot())
+    old = base.join(_numbered(docs, wanted, versions).drop("change_seq"), "document_id")
     new_values = {
         "source_type": F.lit("text"),
         "source_url": F.lit(None).cast("string"),
@@ -288,17 +318,18 @@ def update_content(
         "status": F.lit("pending"),
         "error_message": F.lit(None).cast("string"),
         "chunk_count": F.lit(0),
-        "current_version": F.col("__number"),
+        "current_version": F.col("version_number"),
     }
     changed = old.withColumns({k: v for k, v in new_values.items() if k in docs.columns})
     ids = wanted.select("document_id")
     untouched = docs.join(ids, "document_id", "left_anti")
     return ContentChange(
-        untouched.unionByName(changed.select(*docs.columns)),
-        version_rows(changed, F.col("__number"), F.col("__summary")),
+        untouched.unionByName(_last(changed).select(*docs.columns)),
+        version_rows(changed, F.col("version_number"), F.col("__summary")),
         audit_events(changed, "document.content_updated", F.col("__summary"), F.col("__before"), snapshot()),
         delete_rows(chunks, ids),
         delete_rows(assets, ids),
+        _refused(docs, changes),
     )
 
 

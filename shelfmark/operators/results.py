@@ -135,50 +135,47 @@ def retrieval_log(results: DataFrame, requests: DataFrame, latencies: DataFrame
     return log
 
 
-def cache_hit_log(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Log rows of requests answered from a stored response: zero latency, missing scores 0."""
-    joined = requests.join(stored.drop("request_id"), "cache_key")
-    return joined.select(
-        *requests.columns,
-        "retrieved_chunk_ids",
-        F.transform("rerank_scores", lambda s: F.coalesce(s, F.lit(0.0))).alias("rerank_scores"),
-        F.lit(0).alias("total_latency_ms"),
-        F.create_map(F.lit("cache_hit"), F.lit(1)).alias("stage_latencies"),
-    )
-
-
 def stage_latency_sum(logs: DataFrame, key: str = "request_id") -> DataFrame:
     """Latency per stage summed over the responses of a request."""
     staged = logs.select(key, F.explode("stage_latencies").alias("stage", "ms"))
     return staged.groupBy(key, "stage").agg(F.sum("ms").cast("bigint").alias("total_ms"))
 
 
-def retrieval_stats(candidates: DataFrame, fused: DataFrame, results: DataFrame) -> DataFrame:
-    """Row counts per query after each stage; queries without any hit have no row."""
+def retrieval_stats(candidates: DataFrame, fused: DataFrame, results: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Row counts per query after each stage.
+
+    With ``requests`` every query has a row, zeros where nothing was found; without,
+    queries without any hit have none.
+    """
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
 
+    first = counted(candidates, "total_candidates")
+    if requests is not None:
+        first = requests.select("qid").distinct().join(first, "qid", "left")
     return (
-        counted(candidates, "total_candidates")
-        .join(counted(fused, "after_fusion"), "qid", "left")
+        first.join(counted(fused, "after_fusion"), "qid", "left")
         .join(counted(results, "after_rerank"), "qid", "left")
         .na.fill(0)
     )
 
 
-def apply_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Logs with feedback set; several log rows of one request all take it."""
-    given = feedback.select(
-        "request_id", F.col("feedback").alias("__feedback"), F.col("feedback_detail").alias("__detail")
-    )
-    joined = logs.join(given, "request_id", "left")
-    hit = F.col("__feedback").isNotNull()
+def apply_feedback(logs: DataFrame, feedback: DataFrame, order: str = "given_at") -> DataFrame:
+    """Logs with feedback set; several log rows of one request all take it.
+
+    Of several feedback rows for a request the latest by ``order`` counts, if there is
+    such a column; what still ties is settled by the values.
+    """
+    by = ([order] if order in feedback.columns else []) + ["feedback", "feedback_detail"]
+    latest = feedback.groupBy("request_id").agg(F.max(F.struct(*by)).alias("__given"))
+    joined = logs.join(latest, "request_id", "left")
+    hit = F.col("__given.feedback").isNotNull()
     return joined.withColumns(
         {
-            "feedback": F.when(hit, F.col("__feedback")).otherwise(F.col("feedback")),
-            "feedback_detail": F.when(hit, F.col("__detail")).otherwise(F.col("feedback_detail")),
+            "feedback": F.when(hit, F.col("__given.feedback")).otherwise(F.col("feedback")),
+            "feedback_detail": F.when(hit, F.col("__given.feedback_detail")).otherwise(F.col("feedback_detail")),
         }
-    ).drop("__feedback", "__detail")
+    ).drop("__given")
 
 
 def unmatched_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -65,12 +65,16 @@ class Corpus:
 
 @dataclass(frozen=True)
 class SearchOutput:
+    """Results and what led to them; ``rejected`` holds the requests with a scope error."""
+
     results: DataFrame
     candidates: DataFrame
     fused: DataFrame
+    requests: DataFrame
+    rejected: DataFrame
 
     def stats(self) -> DataFrame:
-        return retrieval_stats(self.candidates, self.fused, self.results)
+        return retrieval_stats(self.candidates, self.fused, self.results, self.requests)
 
 
 def table_reranker(scores: DataFrame) -> Reranker:
@@ -118,7 +122,8 @@ def search(
     authority and cut to ``top_k``.
     """
     limit = candidate_limit(options.top_k, options.filters)
-    scoped = kb_scope(requests, corpus.knowledge_bases).where("scope_error is null")
+    checked = kb_scope(requests, corpus.knowledge_bases)
+    scoped = checked.where("scope_error is null")
 
     def reachable(index: DataFrame) -> DataFrame:
         filtered = payload_filter(index, options.filters)
@@ -174,7 +179,7 @@ def search(
         results = parent_context(results, corpus.chunks)
     if corpus.assets is not None:
         results = attach_assets(results, corpus.assets, asset_keys_by_chunk)
-    return SearchOutput(results, candidates, fused)
+    return SearchOutput(results, candidates, fused, scoped.select("qid"), checked.where("scope_error is not null"))
 
 
 def expand_requests(

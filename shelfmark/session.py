@@ -63,15 +63,21 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     return configure(spark)
 
 
+def private_folder(master: str) -> str:
+    """A new folder on this machine; an error on a cluster."""
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shelfmark-checkpoint-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
     Used by the iterative operators only. The folder comes from
-    ``spark.checkpoint.dir``; a private one is made only when nothing is set,
-    which is the case in local tests.
+    ``spark.checkpoint.dir``. Only a local master may do without: a folder of one
+    machine is of no use to the others.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shelfmark-checkpoint-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or private_folder(context.master))
     return df.checkpoint(eager=True)

@@ -32,10 +32,17 @@ def read_current(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
     return spark.read.parquet(path).join(latest, ["document_id", BATCH], "left_semi").drop(BATCH)
 
 
-def compact(spark: SparkSession, path: str, manifest: DataFrame, target: str, partitions: tuple[str, ...] = ()) -> None:
-    read_current(spark, path, manifest).write.mode("overwrite").partitionBy(*partitions).parquet(
-        f"{target}/{BATCH}=0"
-    )
+def compact(spark: SparkSession, path: str, manifest: DataFrame, target: str, partitions: tuple[str, ...] = ()) -> DataFrame:
+    """Write the current rows as one batch below ``target`` and return the manifest that goes with it.
+
+    The table stands in ``target/rows`` and its manifest in ``target/manifest``; the old
+    table and manifest are left as they are.
+    """
+    write_batch(read_current(spark, path, manifest), f"{target}/rows", 0, partitions)
+    newest = manifest.groupBy("document_id").agg(F.max(BATCH).alias(BATCH))
+    held = manifest.join(newest, ["document_id", BATCH], "left_semi").dropDuplicates(["document_id"])
+    write_batch(held.drop(BATCH), f"{target}/manifest", 0)
+    return spark.read.parquet(f"{target}/manifest")
 
 
 def replace_rows(old: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:

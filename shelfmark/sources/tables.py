@@ -17,17 +17,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reader.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of only a few files; larger inputs are left alone.
-
-    A file with one row group is one task however many cores there are. With at
-    least as many files as cores the scan is already parallel and a shuffle would
-    be wasted.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Uploaded files with name, type, size and hash.
 
