@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.session import private_folder
+
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -17,9 +18,7 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfmark-scratch-"))
+        context.setCheckpointDir(private_folder(context.master))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
