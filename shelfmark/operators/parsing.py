@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.assets import file_extension, source_stem
 from shelfmark.functions.markup import (
+    data_images,
     html_fragments,
     layout_fragments,
-    lift_data_images,
     markdown_fragments,
+    splice_images,
 )
 from shelfmark.functions.text import LINE_BREAK, WS, WS_CHARS, let, normalized_type, strip
 from shelfmark.operators.segments import SEGMENT_ROWS, running
@@ -221,17 +223,42 @@ def html_blocks(docs: DataFrame, text: str = "content") -> DataFrame:
     return _array_job(docs, text, html_block_array)
 
 
-def extract_data_images(docs: DataFrame, text: str = "content", name: str = "name", html: bool = False) -> DataFrame:
-    """Rewrite ``text`` and add ``embedded``: the images that were inside it."""
-    asset = "array<struct<source_path:string,content_type:string,content:binary>>"
+_FOUND = "array<struct<start:int,stop:int,head:string,tail:string,kind:string,data:string>>"
 
-    @F.pandas_udf(f"struct<text:string,embedded:{asset}>")
-    def lift(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-        done = [lift_data_images(t or "", n, html) for t, n in zip(texts, names)]
-        return pd.DataFrame({"text": [t for t, _ in done], "embedded": [a for _, a in done]})
 
-    lifted = docs.withColumn("__lifted", lift(F.col(text), F.col(name)))
-    return lifted.withColumns({text: F.col("__lifted.text"), "embedded": F.col("__lifted.embedded")}).drop("__lifted")
+def extract_data_images(docs: DataFrame, text: str = "content", name: str = "name", html: Column | bool = False) -> DataFrame:
+    """Rewrite ``text`` and add ``embedded``: the images that were inside it.
+
+    An image whose base64 text cannot be decoded, or is empty, stays where it is.
+    ``html`` may be a column that tells it row by row.
+    """
+    @F.pandas_udf(_FOUND)
+    def find(texts: pd.Series, marked: pd.Series) -> pd.Series:
+        return pd.Series([data_images(t or "", bool(h)) for t, h in zip(texts, marked)], dtype=object)
+
+    @F.pandas_udf("string")
+    def splice(texts: pd.Series, images: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(i) else splice_images(t, list(i)) for t, i in zip(texts, images)], dtype=object)
+
+    marked = F.lit(html) if isinstance(html, bool) else html
+    decoded = F.transform(
+        find(F.col(text), marked),
+        lambda i: F.struct(*[i[c].alias(c) for c in ("start", "stop", "head", "tail", "kind")], F.try_to_binary(i["data"], F.lit("base64")).alias("content")),
+    )
+    usable = F.filter(decoded, lambda i: F.octet_length(i["content"]) > 0)
+
+    def named(i: Column, n: Column) -> Column:
+        extension = F.when(i["kind"] == "image/jpeg", ".jpg").otherwise(file_extension(i["kind"]))
+        path = F.concat(F.lit("assets/"), source_stem(F.col(name)), F.lit("-"), n + 1, extension)
+        return i.withField("source_path", path)
+
+    found = docs.withColumn("__usable", usable).withColumn("__images", F.transform("__usable", named))
+    return found.withColumns(
+        {
+            text: splice(F.coalesce(F.col(text), F.lit("")), F.transform("__images", lambda i: i.dropFields("content"))),
+            "embedded": F.transform("__images", lambda i: F.struct(i["source_path"].alias("source_path"), i["kind"].alias("content_type"), i["content"].alias("content"))),
+        }
+    ).drop("__usable", "__images")
 
 
 def asset_rows(docs: DataFrame, embedded: str = "embedded") -> DataFrame:

@@ -53,6 +53,14 @@ class EmbeddingTimeout(Exception):
 MIN_RETRY_CHARS = 1000
 
 
+def halved(text: str, cause: Exception) -> str:
+    """The first half of a text, at least MIN_RETRY_CHARS of it; an error if that is all of it."""
+    cut = text[: max(len(text) // 2, MIN_RETRY_CHARS)].rstrip()
+    if len(text) <= MIN_RETRY_CHARS or len(cut) == len(text):
+        raise RuntimeError("embedding one bounded text timed out") from cause
+    return cut
+
+
 def embed_texts(texts: list[str], model: Callable[[list[str]], list], batch_size: int) -> list:
     """One vector per text, in order; a timed-out request is retried in halves."""
     out: list = []
@@ -67,10 +75,7 @@ def embed_texts(texts: list[str], model: Callable[[list[str]], list], batch_size
                 half = len(batch) // 2
                 stack += [batch[half:], batch[:half]]
                 continue
-            shorter = batch[0][: max(MIN_RETRY_CHARS, len(batch[0]) // 2)].rstrip()
-            if len(batch[0]) <= MIN_RETRY_CHARS or shorter == batch[0]:
-                raise RuntimeError("embedding one bounded text timed out") from slow
-            stack.append([shorter])
+            stack.append([halved(batch[0], slow)])
             continue
         if len(vectors) != len(batch):
             raise RuntimeError(f"expected {len(batch)} vectors, got {len(vectors)}")
