@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import fixtures as X
-from shelfmark.checks.base import check
+from shelfmark.checks.base import check, split_sql
 from shelfmark.functions.hashing import text_hash
 from shelfmark.operators import chunking as C
 from shelfmark.operators import filters as B
@@ -41,6 +41,60 @@ def _(spark, sf):
     return made.select("chunk_id", "document_id", F.col("chunk_index").cast(big).alias("chunk_index"), "content_hash")
 
 
+MIXED_KINDS = ["txt", "md", "html", "pdf", "png", "exe", "txt", "txt"]
+
+
+def mixed_documents(spark, sf):
+    """Documents of all kinds by turns of eight; the seventh is of an unknown KB, the eighth has no content."""
+    d = X.dealt(X.documents(spark, sf).select("document_id", "kb_id", "name", "tags", "content"))
+    turn, lines = F.col("document_id") % 8, F.split("content", "\n")
+    marked = F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    image = F.concat(F.lit(" ![p](data:image/png;base64,"), F.base64(F.col("content").cast("binary")), F.lit(")"))
+    listed = F.to_json(F.transform(lines, lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))))
+    return d.select(
+        "document_id",
+        F.when(turn == 6, 99).otherwise(F.col("kb_id")).alias("kb_id"),
+        "name",
+        F.element_at(F.array(*[F.lit(k) for k in MIXED_KINDS]), (turn + 1).cast("int")).alias("file_type"),
+        "tags",
+        F.when(turn == 1, F.concat(F.lit("# Head\n\nbody"), F.regexp_replace(image, r"[\r\n]", "")))
+        .when(turn == 2, F.concat(F.lit("<h1>T</h1><p>"), marked, F.lit("</p>")))
+        .when((turn == 3) & (F.col("document_id") % 16 == 3), F.lit("[]"))
+        .when(turn == 3, listed)
+        .when(turn != 7, F.col("content"))
+        .alias("content"),
+    )
+
+
+@check(
+    "ingest_outcomes",
+    f"""SELECT document_id, CASE WHEN reason IS NULL THEN 'completed' ELSE 'failed' END AS status, reason AS error, coalesce(n, -1) AS chunk_count FROM (
+  SELECT document_id, CASE document_id % 8 WHEN 3 THEN CASE WHEN document_id % 16 = 3 THEN 'empty_layout' END WHEN 4 THEN 'unsupported_image'
+    WHEN 5 THEN 'Unsupported document type: exe' WHEN 6 THEN 'unknown_kb' WHEN 7 THEN 'missing_content' END AS reason,
+    CASE document_id % 8 WHEN 0 THEN {split_sql()} WHEN 1 THEN 2 END::bigint AS n FROM toks)""",
+    ("toks",),
+)
+def _(spark, sf):
+    """One row per document of every kind: completed, or the reason; chunk counts of plain and Markdown texts."""
+    done = ingest(mixed_documents(spark, sf), X.knowledge_bases(spark, sf)).outcomes
+    return done.select("document_id", "status", "error", F.when(F.col("document_id") % 8 < 2, F.col("chunk_count").cast(big)).otherwise(F.lit(-1).cast(big)).alias("chunk_count"))
+
+
+@check(
+    "ingest_mixed",
+    """SELECT document_id, 1::bigint AS images, sha256(content) AS image_hash, true AS linked, 0::bigint AS paths_left FROM docs WHERE document_id % 8 = 1""",
+    ("docs",),
+)
+def _(spark, sf):
+    """Embedded images of Markdown documents: content, a chunk that holds their URL, and no path left in any chunk."""
+    done = ingest(mixed_documents(spark, sf).where("document_id % 8 = 1"), X.knowledge_bases(spark, sf))
+    counts = done.assets.groupBy("document_id").agg(F.count(F.lit(1)).alias("images"), F.max("file_hash").alias("image_hash"))
+    held = done.chunks.select("chunk_id", "content")
+    linked = done.assets.join(held.withColumnRenamed("content", "text"), "chunk_id").groupBy("document_id").agg(F.bool_and(F.col("text").contains(F.col("url"))).alias("linked"))
+    paths = done.chunks.groupBy("document_id").agg(F.count(F.when(F.col("content").contains("](assets/"), 1)).alias("paths_left"))
+    return counts.join(linked, "document_id").join(paths, "document_id")
+
+
 @check("build_structured_chunks")
 def _(spark, sf):
     pages = X.dealt(read_table(spark, sf, "pages")).select(

@@ -172,7 +172,7 @@ def _(spark, sf):
   SELECT document_id, 1 AS seq, review_status AS b, 'published' AS a FROM docs WHERE document_id % 7 = 0
   UNION ALL SELECT document_id, 2, CASE WHEN document_id % 7 = 0 THEN 'published' ELSE review_status END, CASE WHEN document_id % 7 = 0 THEN 'published' ELSE review_status END FROM docs WHERE document_id % 5 = 0
   UNION ALL SELECT document_id, 3, 'published', 'reviewed' FROM docs WHERE document_id % 35 = 0)
-UNION ALL SELECT document_id + 1000000000, NULL, NULL, NULL, 'document_not_found' FROM docs WHERE document_id % 5 = 0""",
+UNION ALL SELECT document_id + 1000000000, 0, NULL, NULL, 'document_not_found' FROM docs WHERE document_id % 5 = 0""",
     ("docs",),
 )
 def _(spark, sf):
@@ -192,7 +192,7 @@ def _(spark, sf):
     made = ledger.audit.select(
         "document_id", F.col("after.current_version").cast(big).alias("version"), F.col("before.review_status").alias("before_status"), F.col("after.review_status").alias("after_status"), none.alias("reason")
     )
-    refused = ledger.rejected.select("document_id", F.lit(None).cast(big).alias("version"), none.alias("before_status"), none.alias("after_status"), "reason")
+    refused = ledger.rejected.select("document_id", F.lit(0).cast(big).alias("version"), none.alias("before_status"), none.alias("after_status"), "reason")
     return made.union(refused)
 
 

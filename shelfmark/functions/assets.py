@@ -30,6 +30,25 @@ def asset_url(document_id: Column, asset_id: Column) -> Column:
     return F.concat(F.lit("/api/v1/documents/"), document_id, F.lit("/assets/"), asset_id)
 
 
+def _uuid_shape(digest: Column) -> Column:
+    parts, at = [], 1
+    for n in (8, 4, 4, 4, 12):
+        parts.append(F.substring(digest, at, n))
+        at += n
+    return F.concat_ws("-", *parts)
+
+
+def asset_id(document_id: Column, asset_index: Column) -> Column:
+    """Stable id of a document's asset, shaped as asset URLs want it."""
+    return _uuid_shape(F.sha2(F.concat_ws(":", F.lit("asset"), document_id, asset_index), 256))
+
+
+def url_id(document_id: Column) -> Column:
+    """A document id as asset URLs hold it: itself if it has the shape, else derived from it."""
+    text = document_id.cast("string")
+    return F.when(text.rlike(rf"\\A{_UUID}\\z"), F.lower(text)).otherwise(_uuid_shape(F.sha2(text, 256)))
+
+
 def asset_keys(content: Column) -> Column:
     """array<struct(document_id, asset_id)> of the URLs in a text, first use first."""
     urls = F.regexp_extract_all(content, F.lit(ASSET_URL), F.lit(0))

@@ -35,6 +35,17 @@ def window_count(n: Column, size: Column, overlap: Column) -> Column:
     ).cast("int")
 
 
+def window_array(tokens: Column, size: int | Column, overlap: int | Column) -> Column:
+    """Texts of the windows of ``size`` tokens, stepping ``size - overlap``."""
+    limit = F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(1))
+    shared = F.greatest(
+        F.least(F.lit(overlap) if isinstance(overlap, int) else overlap, limit - 1), F.lit(0)
+    )
+    n = window_count(F.size(tokens), limit, shared)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: join_tokens(F.slice(tokens, i * (limit - shared) + 1, limit)))
+
+
 def split_large(
     df: DataFrame, tokens: str, size: int | Column, overlap: int | Column
 ) -> DataFrame:
@@ -43,16 +54,8 @@ def split_large(
     Replaces the token column by (chunk_index, content). Narrow: a document's
     windows come from its own row.
     """
-    limit = F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(1))
-    shared = F.greatest(
-        F.least(F.lit(overlap) if isinstance(overlap, int) else overlap, limit - 1), F.lit(0)
-    )
-    t = F.col(tokens)
-    n = window_count(F.size(t), limit, shared)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: join_tokens(F.slice(t, i * (limit - shared) + 1, limit)))
     keep = [c for c in df.columns if c != tokens]
-    return df.select(*keep, F.posexplode(windows).alias("chunk_index", "content"))
+    return df.select(*keep, F.posexplode(window_array(F.col(tokens), size, overlap)).alias("chunk_index", "content"))
 
 
 # --- greedy merge of blocks --------------------------------------------------
@@ -265,7 +268,8 @@ def merge_block_arrays(blocks: Column, size: Column, overlap: Column) -> Column:
             ]
         )
 
-    return merge(blocks, size, overlap)
+    # Marked so that the optimizer keeps it in a projection of its own and runs it once.
+    return merge.asNondeterministic()(blocks, size, overlap)
 
 
 def paragraph_blocks(df: DataFrame, text: str = "content") -> DataFrame:

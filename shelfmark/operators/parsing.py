@@ -48,7 +48,7 @@ def _scan(fields: str, scanner) -> Callable[[Column], Column]:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([scanner(text or "") for text in texts], dtype=object)
 
-    return run
+    return run.asNondeterministic()
 
 
 def heading_title(content: Column) -> Column:
@@ -226,15 +226,16 @@ def html_blocks(docs: DataFrame, text: str = "content") -> DataFrame:
 _FOUND = "array<struct<start:int,stop:int,head:string,tail:string,kind:string,data:string>>"
 
 
-def extract_data_images(docs: DataFrame, text: str = "content", name: str = "name", html: Column | bool = False) -> DataFrame:
+def extract_data_images(docs: DataFrame, text: str = "content", name: str = "name", html: Column | bool = False, url: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rewrite ``text`` and add ``embedded``: the images that were inside it.
 
     An image whose base64 text cannot be decoded, or is empty, stays where it is.
-    ``html`` may be a column that tells it row by row.
+    ``html`` may be a column that tells it row by row; rows where it is null are left
+    alone. The text then holds the image's path, or what ``url`` makes of its number.
     """
     @F.pandas_udf(_FOUND)
     def find(texts: pd.Series, marked: pd.Series) -> pd.Series:
-        return pd.Series([data_images(t or "", bool(h)) for t, h in zip(texts, marked)], dtype=object)
+        return pd.Series([data_images(t or "", bool(h)) if h is not None and h == h else [] for t, h in zip(texts, marked)], dtype=object)
 
     @F.pandas_udf("string")
     def splice(texts: pd.Series, images: pd.Series) -> pd.Series:
@@ -242,7 +243,7 @@ def extract_data_images(docs: DataFrame, text: str = "content", name: str = "nam
 
     marked = F.lit(html) if isinstance(html, bool) else html
     decoded = F.transform(
-        find(F.col(text), marked),
+        F.col("__found"),
         lambda i: F.struct(*[i[c].alias(c) for c in ("start", "stop", "head", "tail", "kind")], F.try_to_binary(i["data"], F.lit("base64")).alias("content")),
     )
     usable = F.filter(decoded, lambda i: F.octet_length(i["content"]) > 0)
@@ -250,15 +251,18 @@ def extract_data_images(docs: DataFrame, text: str = "content", name: str = "nam
     def named(i: Column, n: Column) -> Column:
         extension = F.when(i["kind"] == "image/jpeg", ".jpg").otherwise(file_extension(i["kind"]))
         path = F.concat(F.lit("assets/"), source_stem(F.col(name)), F.lit("-"), n + 1, extension)
-        return i.withField("source_path", path)
+        shown = i.withField("source_path", path)
+        return shown.withField("url", url(n) if url else path)
 
-    found = docs.withColumn("__usable", usable).withColumn("__images", F.transform("__usable", named))
+    # Non-deterministic to the optimizer, so each scan stays a projection of its own and runs once.
+    searched = docs.withColumn("__found", find.asNondeterministic()(F.col(text), marked))
+    found = searched.withColumn("__usable", usable).withColumn("__images", F.transform("__usable", named))
     return found.withColumns(
         {
-            text: splice(F.coalesce(F.col(text), F.lit("")), F.transform("__images", lambda i: i.dropFields("content"))),
+            text: splice.asNondeterministic()(F.col(text), F.transform("__images", lambda i: i.dropFields("content", "source_path"))),
             "embedded": F.transform("__images", lambda i: F.struct(i["source_path"].alias("source_path"), i["kind"].alias("content_type"), i["content"].alias("content"))),
         }
-    ).drop("__usable", "__images")
+    ).drop("__found", "__usable", "__images")
 
 
 def asset_rows(docs: DataFrame, embedded: str = "embedded") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions.progress import STAGE_PROGRESS
 from shelfmark.operators.governance import batch_dedup, find_duplicates
-from shelfmark.plans.ingest import ingest
+from shelfmark.plans.ingest import parse_documents, split
 from shelfmark.sources.sinks import BATCH, read_current, write_batch
 
 DOCUMENT_STREAM = (
@@ -20,48 +20,81 @@ DOCUMENT_STREAM = (
 )
 
 
+#: When and where a row arrived, from the file source: later rows of a document replace earlier ones.
+ARRIVAL = "arrival"
+_ARRIVED = "struct(_metadata.file_modification_time AS at, _metadata.file_path AS path, _metadata.row_index AS row) AS arrival"
+
+
 def _newest(batch: DataFrame) -> DataFrame:
-    """One row per document of a micro-batch (a re-sent document is processed once)."""
-    others = [c for c in batch.columns if c != "document_id"]
-    return batch.groupBy("document_id").agg(F.max(F.struct(*others)).alias("r")).select("document_id", "r.*")
+    """One row per document of a micro-batch, the one that arrived last."""
+    others = [c for c in batch.columns if c not in ("document_id", ARRIVAL)]
+    order = [ARRIVAL] if ARRIVAL in batch.columns else []
+    newest = F.max(F.struct(*order, F.struct(*others).alias("r"))).alias("m")
+    return batch.groupBy("document_id").agg(newest).select("document_id", "m.r.*")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) -> None:
-    """Process one micro-batch; bad rows are set aside instead of failing it."""
+    """Process one micro-batch; bad rows are set aside instead of failing it.
+
+    Every row ends in ``rejected`` (no id, KB or content) or its document in ``manifest``,
+    as completed or failed. Documents are parsed once: the parsed rows are written and
+    the other tables are made from what was written.
+    """
     bad = (
         F.when(F.col("document_id").isNull(), "missing_document_id")
         .when(F.col("kb_id").isNull(), "missing_kb_id")
         .when(F.col("content").isNull(), "missing_content")
     )
+    spark = batch.sparkSession
     # The batch feeds several writes; it is bounded by the source's rate options.
     checked = batch.withColumn("reason", bad).persist()
     try:
-        write_batch(checked.where("reason is not null"), f"{root}/rejected", batch_id)
+        refused = checked.where("reason is not null")
+        write_batch(refused.drop(ARRIVAL), f"{root}/rejected", batch_id)
+        if ARRIVAL in batch.columns:
+            write_batch(checked.select(F.col("arrival.path").alias("path")).distinct(), f"{root}/files", batch_id)
         good = _newest(checked.where("reason is null").drop("reason"))
-        done = ingest(good, kbs)
-        write_batch(done.chunks, f"{root}/chunks", batch_id, ("kb_id",))
-        write_batch(done.assets, f"{root}/assets", batch_id)
-        failures = done.failed.select("document_id", "error")
-        manifest = good.select("document_id").join(failures, "document_id", "left").select(
-            "document_id",
-            F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"),
-            F.substring("error", 1, 2000).alias("error_message"),
-            F.lit(STAGE_PROGRESS["completed"]).alias("progress"),
-        )
-        write_batch(manifest, f"{root}/manifest", batch_id)
+        write_batch(parse_documents(good, kbs), f"{root}/parsed", batch_id)
     finally:
         checked.unpersist()
+    done = split(spark.read.parquet(f"{root}/parsed/{BATCH}={batch_id}"))
+    write_batch(done.chunks, f"{root}/chunks", batch_id, ("kb_id",))
+    write_batch(done.assets, f"{root}/assets", batch_id)
+    manifest = done.outcomes.select(
+        "document_id",
+        "status",
+        F.substring("error", 1, 2000).alias("error_message"),
+        F.lit(STAGE_PROGRESS["completed"]).alias("progress"),
+        "chunk_count",
+    )
+    write_batch(manifest, f"{root}/manifest", batch_id)
+    now = F.current_timestamp()
+    ended = manifest.where("status = 'completed'"), manifest.where("status = 'failed'")
+    write_batch(stage_rows(ended[0], "completed", now).unionByName(stage_rows(ended[1], "failed", now)), f"{root}/stages", batch_id)
+
+
+def unread_files(spark: SparkSession, source: str, root: str) -> DataFrame:
+    """Files of ``source`` that gave no row, with a reason: damaged ones are passed over while streaming."""
+    seen = spark.read.parquet(f"{root}/files").select("path").distinct()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
+    plain = lambda c: F.regexp_replace(c, r"\Afile:/+", "/")
+    left = listed.withColumn("__p", plain("path")).join(seen.select(plain("path").alias("__p")), "__p", "left_anti").drop("__p")
+    return left.withColumn("reason", F.lit("unreadable_or_empty_file"))
 
 
 def ingest_stream(
     spark: SparkSession, source: str, kbs: DataFrame, root: str, checkpoint: str, max_files: int = 100
 ) -> StreamingQuery:
-    """Start ingest of Parquet document files arriving in ``source``; runs until caught up."""
+    """Start ingest of Parquet document files arriving in ``source``; runs until caught up.
+
+    A damaged file does not stop the stream; ``unread_files`` lists it.
+    """
     arriving = (
         spark.readStream.schema(DOCUMENT_STREAM)
         .option("maxFilesPerTrigger", max_files)
         .option("ignoreCorruptFiles", "true")
         .parquet(source)
+        .selectExpr("*", _ARRIVED)
     )
     return (
         arriving.writeStream.foreachBatch(lambda df, n: ingest_batch(df, n, kbs, root))
@@ -79,7 +112,8 @@ def dedup_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Registration of arriving documents: by name or by hash within a KB.
 
     Two keys are ORed, so this cannot be ``dropDuplicates``; each micro-batch is
-    checked against the registered table and against itself.
+    checked against the registered table and against itself. Refused rows are kept with
+    their reason in ``refused``.
     """
     spark = batch.sparkSession
     registered = f"{root}/registered"
@@ -91,11 +125,15 @@ def dedup_batch(batch: DataFrame, batch_id: int, root: str) -> None:
             raise
     held = batch.persist()
     try:
-        known = held
+        known, refused = held, None
         if earlier is not None:
-            known = find_duplicates(held, earlier).where("reason is null").drop("reason", "duplicate_of")
-        fresh = batch_dedup(known, "position").where("reason is null").drop("reason")
-        write_batch(fresh, registered, batch_id)
+            judged = find_duplicates(held, earlier)
+            known = judged.where("reason is null").drop("reason", "duplicate_of")
+            refused = judged.where("reason is not null").drop("duplicate_of")
+        settled = batch_dedup(known, "position")
+        write_batch(settled.where("reason is null").drop("reason"), registered, batch_id)
+        later = settled.where("reason is not null")
+        write_batch(later if refused is None else later.unionByName(refused), f"{root}/refused", batch_id)
     finally:
         held.unpersist()
 
@@ -123,3 +161,16 @@ def latest_progress(stages: DataFrame) -> DataFrame:
     """Latest milestone per document; a partial maximum runs before the shuffle."""
     newest = F.max(F.struct("at", "progress", "stage"))
     return stages.groupBy("document_id").agg(newest.alias("m")).select("document_id", "m.stage", "m.progress", "m.at")
+
+
+def progress_stream(stages: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
+    """Keep the latest milestone per document of arriving stage rows in the memory table ``table``."""
+    return (
+        latest_progress(stages)
+        .writeStream.format("memory")
+        .queryName(table)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

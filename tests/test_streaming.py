@@ -83,7 +83,8 @@ def test_ingest_replaces_quarantines_and_marks_failures(spark, tmp_path):
     N.ingest_stream(spark, source, kbs(spark), root, str(tmp_path / "cp")).awaitTermination()
     rows = {(r["document_id"], r["chunk_index"]): r for r in N.current_chunks(spark, root).collect()}
     assert rows[(1, 0)]["content"] == "old text" and rows[(1, 0)]["sparse"]["indices"]
-    assert rows[(2, 0)]["content"] == "# Head body ![p](assets/b-1.png)" or (2, 1) in rows
+    (asset,) = spark.read.parquet(f"{root}/assets").collect()
+    assert rows[(2, 1)]["content"] == f"body ![p]({asset['url']})" and asset["chunk_id"] == rows[(2, 1)]["chunk_id"]
     status = {r["document_id"]: (r["status"], r["error_message"]) for r in spark.read.parquet(f"{root}/manifest").collect()}
     assert status[1] == ("completed", None)
     assert status[3] == ("failed", "Unsupported document type: exe")
@@ -113,3 +114,52 @@ def test_dedup_stream_checks_state_and_batch(spark, tmp_path):
         N.dedup_stream(arriving, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     kept = sorted(r["document_id"] for r in spark.read.parquet(str(tmp_path / "out" / "registered")).collect())
     assert kept == [1, 4, 6, 7]
+    refused = sorted((r["document_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out" / "refused")).collect())
+    assert refused == [(2, "duplicate_name"), (3, "duplicate_file_hash"), (5, "duplicate_file_hash")]
+
+
+def test_newest_by_arrival_and_damaged_files(spark, tmp_path):
+    import os
+
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    for n, row in enumerate([(1, 1, "z", "txt", [], "old"), (1, 1, "a", "txt", [], "new")]):
+        spark.createDataFrame([row], DOC).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        (file,) = [f for f in os.listdir(tmp_path / f"w{n}") if f.endswith(".parquet")]
+        os.makedirs(source, exist_ok=True)
+        target = source / f"{'ba'[n]}.parquet"
+        target.write_bytes((tmp_path / f"w{n}" / file).read_bytes())
+        os.utime(target, (1_000_000 + n, 1_000_000 + n))
+    (source / "damaged.parquet").write_bytes(b"PAR1 nothing PAR1")
+    N.ingest_stream(spark, str(source), kbs(spark), root, str(tmp_path / "cp")).awaitTermination()
+    assert [r["content"] for r in N.current_chunks(spark, root).collect()] == ["new"]
+    assert [os.path.basename(r["path"]) for r in N.unread_files(spark, str(source), root).collect()] == ["damaged.parquet"]
+
+
+def test_progress_stream(spark, tmp_path):
+    schema = "document_id long, stage string, progress int, at long"
+    rows = [(1, "queued", 10, 1), (1, "completed", 100, 5), (2, "parsing", 24, 3), (1, "parsing", 24, 2)]
+    for n, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    N.progress_stream(arriving, str(tmp_path / "cp"), "newest_stage").awaitTermination()
+    assert sorted((r["document_id"], r["stage"]) for r in spark.table("newest_stage").collect()) == [(1, "completed"), (2, "parsing")]
+
+
+def test_compact_keeps_rows_and_manifest(spark, tmp_path):
+    from shelfmark.sources import sinks as S
+
+    path, manifest = str(tmp_path / "t"), str(tmp_path / "m")
+    for batch, rows in enumerate([[(1, "a"), (2, "b")], [(1, "c")]]):
+        df = spark.createDataFrame(rows, "document_id long, v string")
+        S.write_batch(df, path, batch)
+        S.write_batch(df.select("document_id"), manifest, batch)
+    held = S.compact(spark, path, spark.read.parquet(manifest), str(tmp_path / "c"))
+    got = sorted(tuple(r) for r in S.read_current(spark, str(tmp_path / "c" / "rows"), held).collect())
+    assert got == [(1, "c"), (2, "b")]
+
+
+def test_private_folder_only_on_one_machine():
+    from shelfmark.session import private_folder
+
+    with pytest.raises(ValueError):
+        private_folder("spark://host:7077")
