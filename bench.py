@@ -32,6 +32,8 @@ REGISTERED = [
     "content_list_blocks",
     "build_chunks",
     "build_structured_chunks",
+    "ingest_outcomes",
+    "ingest_mixed",
     "sheet_chunks",
     "merge_overlaps",
     "title_path",
