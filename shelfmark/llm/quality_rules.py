@@ -51,8 +51,12 @@ def _gram_bounds(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi
 
 
+#: Cells to a row of counts.
+ROW = 1024
+
+
 def gram_counts(df: DataFrame, text: str, n_cells: int = CELLS, width: int = WIDTH) -> np.ndarray:
-    """Counts per cell over the whole column. Each task sends its non-empty cells, which Spark adds up."""
+    """Counts per cell over the whole column. Each task sends its counts as rows of ROW cells, which are added up row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_cells, dtype=np.int64)
@@ -64,14 +68,23 @@ def gram_counts(df: DataFrame, text: str, n_cells: int = CELLS, width: int = WID
                 np.add.at(inside, np.minimum(lo, len(found)), 1)
                 np.add.at(inside, np.minimum(hi, len(found)), -1)
                 total += np.bincount(found[np.cumsum(inside[:-1]) > 0], minlength=n_cells)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["cell", "n"])
-
-    rows = df.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "cell long, n long")
-    counts = np.zeros(n_cells, dtype=np.float64)
-    for cell, n in rows.groupBy("cell").agg(F.sum("n")).collect():
-        counts[cell] = n
-    return counts
+        parts = total.reshape(-1, min(ROW, n_cells))
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([parts[r].tobytes() for r in held], pa.binary())], ["row", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # at most n_cells numbers
+        for batch in batches:
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[row] = sums.get(row, 0) + np.frombuffer(data.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "counts"])
+
+    texts = df.select(F.col(text).cast("string").alias("t")).where("t is not null")
+    summed = texts.mapInArrow(run, "row long, counts binary").repartition("row").mapInArrow(add, "row long, counts binary")
+    counts = np.zeros((max(n_cells // ROW, 1), min(ROW, n_cells)), dtype=np.float64)
+    for row, data in summed.collect():
+        counts[row] += np.frombuffer(data, dtype=np.int64)
+    return counts.reshape(-1)
 
 
 def fit(target: DataFrame, raw: DataFrame, text: str = "text", n_cells: int = CELLS, width: int = WIDTH) -> np.ndarray:
