@@ -10,16 +10,22 @@ threshold. Size-derived bounds leave most of the product uncomputed:
 * Overlaps are accumulated over the head's columns, and a pair is dropped when what was
   counted and what may still come stay below the least overlap its sizes allow.
 
+* If a column is the first that two rows share, no more than the rest of each row from
+  there on can be common; pairs for which that is too little are dropped at that column.
+
 Frequent columns are put last, so that heads hold rare ones. Frequency is counted over
-all documents in a hashed table of ``CELLS`` cells for columns whose hash lies in the low
-part of the range (others stand between rare and frequent). It steers cost only: results
-are exact under any order.
-
-Rows with the same set are one class, found by a 128-bit digest. The product is taken in
-two passes. The first links each head column's rows to one leader per size class, which
-settles large groups of near copies without their pairs; frequent columns are dealt into
-parts with a leader each. The second takes the full product of the head columns that
-still hold rows of different components. Survivors of both are verified on whole sets.
+all documents in a hashed table of ``CELLS`` cells. It steers cost only: results are
+exact under any order.
+
+Texts with the same words are one class, found by a 128-bit digest, and mostly one row
+(a bit table of fixed size lets the others be left out while scanning; those that slip
+through do no harm). The product is taken in two passes. The first links each head
+column's rows to a leader, the row of a size class in which the column comes earliest:
+it has the fewest rare columns of its own, so whatever is similar to another row of the
+column is mostly similar to it. This settles large groups of near copies without their
+pairs; frequent columns are dealt into parts with a leader each. The second pass takes
+the full product of the head columns that still hold rows of different components. Pairs
+of both passes are compared on heads and then verified on whole sets.
 """
 
 from __future__ import annotations
@@ -34,11 +40,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import written
-from shelfmark.llm.words import LOWER, Block, blocks, gram_hashes, mix, windows
+from shelfmark.llm.words import LOWER, Block, blocks, constants, gram_hashes, mix, windows
 
 WIDTH, PERCENT = 5, 80
-#: Cells of the frequency table, cells to a row of it, and the share of columns counted.
-CELLS, CELL_ROW, COUNTED = 1 << 24, 1 << 16, 0.3
+#: Cells of the frequency table, and cells to a row of it.
+CELLS, CELL_ROW = 1 << 25, 1 << 16
 #: Cells of the table that tells which head columns may be in several rows.
 HEAD_CELLS = 1 << 27
 #: Pairs with one leader to a group of a comparison.
@@ -48,8 +54,6 @@ PARTS = 32
 #: Rows of one column to a tile of the second pass.
 TILE = 2000
 
-_LOW = np.uint64(int(COUNTED * 2**64))
-
 
 def sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, n-gram hash) of the distinct n-grams of each text, in order of both."""
@@ -78,9 +82,16 @@ def _flush(held: list[np.ndarray], n_cells: int) -> Iterator[pa.RecordBatch]:
     bounds = np.searchsorted(at, np.arange(0, n_cells + 1, CELL_ROW))
     rows = np.flatnonzero(np.diff(bounds))
     place, n = (at % CELL_ROW).astype("<u2"), np.minimum(n, 65535).astype("<u2")
+
+    def packed(row: int) -> bytes:
+        """Number of cells seen once, those, then the others and their counts."""
+        p, c = place[bounds[row] : bounds[row + 1]], n[bounds[row] : bounds[row + 1]]
+        once = p[c == 1]
+        return np.array([len(once) % 65536, len(once) // 65536], dtype="<u2").tobytes() + once.tobytes() + p[c > 1].tobytes() + c[c > 1].tobytes()
+
     for lo in range(0, len(rows), 64):
         some = rows[lo : lo + 64]
-        data = [place[bounds[r] : bounds[r + 1]].tobytes() + n[bounds[r] : bounds[r + 1]].tobytes() for r in some]
+        data = [packed(r) for r in some]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], ["row", "data"])
 
 
@@ -114,8 +125,10 @@ def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
                         yield out()
                     row, total = r, np.zeros(CELL_ROW, dtype=np.int64)
                 values = np.frombuffer(data.as_buffer(), dtype="<u2")
-                half = len(values) // 2
-                total[values[:half]] += values[half:]
+                once = 2 + int(values[0]) + 65536 * int(values[1])
+                more = (len(values) - once) // 2
+                total[values[2:once]] += 1
+                total[values[once : once + more]] += values[once + more :]
         if row >= 0:
             yield out()
 
@@ -131,15 +144,15 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7))) & 1
 
 
-def frequent_cells(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Bits of the cells that hold clearly more columns than a cell's usual share."""
+def frequent_cells(df: DataFrame, width: int) -> np.ndarray:
+    """Bits of the cells that hold clearly more columns than a cell's usual share; ``df`` has a column text."""
 
     def found(batch: pa.RecordBatch):
         for block in blocks(batch.column(0), LOWER):
-            _, keys = sets(block, width)
-            yield _cells(keys[keys < _LOW], CELLS)
+            starts, _ = windows(block, width)
+            yield _cells(gram_hashes(block.hashes, starts, width), CELLS)
 
-    return cell_bits(df.select(F.col(text).cast("string").alias("t")), found, CELLS, lambda n: n > n.mean() + 8 * math.sqrt(n.mean()) + 8)
+    return cell_bits(df.select("text"), found, CELLS, lambda n: n > n.mean() + 5 * math.sqrt(n.mean()) + 3)
 
 
 def least_overlap(a, b, percent: int):
@@ -147,14 +160,32 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, n, h1, h2, head, hot) of each row: set size, digest of the set, its first columns, and which are frequent.
+def digests(df: DataFrame) -> DataFrame:
+    """(key, words, h1, h2) of each text of ``df`` (key, text): number of words and digest of their sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), LOWER):
+                size = np.diff(block.first)
+                inside = np.arange(len(block.hashes)) - np.repeat(block.first[:-1], size)
+                made = []
+                for seed in (3, 5):
+                    terms = np.append(block.hashes * constants(int(size.max()), seed)[inside], np.uint64(0))
+                    total = np.add.reduceat(terms, np.minimum(block.first[:-1], len(terms) - 1))
+                    made.append(pa.array(np.where(size > 0, mix(total + size.astype(np.uint64)), np.uint64(0)).view(np.int64)))
+                rows = batch.column(0).slice(block.rows.start, len(block.rows))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(size, pa.int64()), *made], ["key", "words", "h1", "h2"])
+
+    return df.select("key", "text").mapInArrow(run, "key long, words long, h1 long, h2 long")
+
+
+def heads(df: DataFrame, bits: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, n, head, hot) of each text of ``df`` (key, text): set size, first columns, and which are frequent.
 
-    Rare columns come first, then those not counted, then frequent ones; equal ranks are
-    in order of their hashes.
+    Rare columns come first, then frequent ones; equal ranks are in order of their hashes.
     """
-    frequent = df.sparkSession.sparkContext.broadcast(bits)  # CELLS / 8 bytes
-    names = ["key", "n", "h1", "h2", "head", "hot"]
+    frequent = df.sparkSession.sparkContext.broadcast(bits)  # CELLS bits
+    names = ["key", "n", "head", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
@@ -163,13 +194,9 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
                 owner, keys = sets(block, width)
                 rows = len(block.rows)
                 size = np.bincount(owner, minlength=rows)
-                digest = []
-                for salt in (3, 5):
-                    total = np.zeros(rows, dtype=np.uint64)
-                    np.add.at(total, owner, mix(keys + np.uint64(salt)))
-                    digest.append(mix(total + size.astype(np.uint64)).view(np.int64))
-                kind = np.where(keys < _LOW, 2 * _set(table, _cells(keys, CELLS)), 1).astype(np.uint8)
-                order = np.lexsort((keys, kind, owner))
+                kind = _set(table, _cells(keys, CELLS))
+                # Columns are in order of their hashes already: a stable sort by rank keeps that.
+                order = np.argsort(owner * 2 + kind, kind="stable")
                 keys, kind = keys[order], kind[order]
                 first = np.concatenate(([0], np.cumsum(size)))
                 head = size - (-(-percent * size // 100)) + 1
@@ -180,16 +207,13 @@ def heads(df: DataFrame, key: str, text: str, bits: np.ndarray, width: int, perc
                     [
                         batch.column(0).slice(block.rows.start, rows),
                         pa.array(size, pa.int64()),
-                        pa.array(digest[0]),
-                        pa.array(digest[1]),
                         pa.ListArray.from_arrays(offsets, pa.array(keys[lists].view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(kind[lists] == 2)),
+                        pa.ListArray.from_arrays(offsets, pa.array(kind[lists] == 1)),
                     ],
                     names,
                 )
 
-    source = df.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return source.mapInArrow(run, "key long, n long, h1 long, h2 long, head array<long>, hot array<boolean>")
+    return df.select("key", "text").mapInArrow(run, "key long, n long, head array<long>, hot array<boolean>")
 
 
 def _compared(pairs: DataFrame, columns: DataFrame, keep, percent: int) -> DataFrame:
@@ -242,7 +266,7 @@ def _may_be_similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * min(n, m) >= percent * max(n, m) and _overlap(p[1:], q[1:]) + rest >= least_overlap(n, m, percent)
 
 
-def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose whole sets reach the threshold.
 
     Heads are compared first, whole sets then. Texts of keys that surely are in no pair
@@ -261,7 +285,7 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, key: str, text: st
     bits = key_bits(left.select(F.explode(F.array("a", "b")).alias("key")), F.xxhash64("key"))
     wanted = df.sparkSession.sparkContext.broadcast(bits)  # KEY_BITS bits
     place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)).alias("place")
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select("key", "text", place)
+    source = df.select("key", "text", place)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = wanted.value
@@ -278,7 +302,7 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, key: str, text: st
 
 
 def _postings(table: DataFrame) -> DataFrame:
-    """(key, n, gram, hot) of the head columns that may be in more than one row."""
+    """(key, n, gram, hot, pos) of the head columns that may be in more than one row; pos counts from 0."""
 
     def found(batch: pa.RecordBatch):
         yield _cells(batch.column(0).flatten().to_numpy().view(np.uint64), HEAD_CELLS)
@@ -291,32 +315,41 @@ def _postings(table: DataFrame) -> DataFrame:
             sizes = np.diff(batch.column(2).offsets.to_numpy())
             grams = batch.column(2).flatten().to_numpy()
             at = np.flatnonzero(_set(bits, _cells(grams.view(np.uint64), HEAD_CELLS)))
+            place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at))],
-                ["key", "n", "gram", "hot"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at)), pa.array(place[at], pa.int64())],
+                ["key", "n", "gram", "hot", "pos"],
             )
 
-    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean")
+    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean, pos long")
+
 
+def _room(n, pos, m, other, percent: int):
+    """Whether two rows may be similar whose first common column is at ``pos`` and ``other``."""
+    return F.least(n - pos, m - other) >= F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
-def _leader_pairs(postings: DataFrame) -> DataFrame:
+
+def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each row of a column with the leader of its size class, and leaders with those of other parts and the class above."""
     level = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
     dealt = postings.withColumn("level", level).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(F.lit(0)))
+    early = F.shiftleft("pos", 36) + F.pmod(F.xxhash64("key"), F.lit(1 << 36))
     group = ["gram", "level", "part"]
-    leaders = dealt.groupBy(*group).agg(F.min("key").alias("leader"), F.count("*").alias("rows"))
-    inside = dealt.join(leaders.where("rows > 1"), group).where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    heads = leaders.groupBy("gram", "level").agg(F.min("leader").alias("head"))
+    named = [F.min_by("key", early).alias("leader"), F.min_by("n", early).alias("m"), F.min(early).alias("early")]
+    leaders = dealt.groupBy(*group).agg(*named, F.count("*").alias("rows"))
+    near = _room(F.col("n"), F.col("pos"), F.col("m"), F.shiftright("early", 36), percent)
+    inside = dealt.join(leaders.where("rows > 1"), group).where((F.col("key") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    heads = leaders.groupBy("gram", "level").agg(F.min_by("leader", "early").alias("head"))
     parts = leaders.join(heads, ["gram", "level"]).where("leader <> head").select(F.col("head").alias("a"), F.col("leader").alias("b"))
     above = heads.select("gram", (F.col("level") + 1).alias("level"), F.col("head").alias("other"))
-    levels = heads.join(above, ["gram", "level"]).where("head <> other").select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b"))
+    levels = heads.join(above, ["gram", "level"]).where("head <> other").select(F.col("head").alias("a"), F.col("other").alias("b"))
     ordered = inside.union(parts).union(levels)
     return ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _product(postings: DataFrame, percent: int) -> DataFrame:
-    """Overlaps counted in the heads, (a, b, na, nb, seen), over pairs of rows of different components.
+    """Pairs (a, b) of rows of different components that share a head column with room for enough overlap.
 
     The rows of a column are cut into tiles of TILE rows in order of size; each pair of
     tiles that sizes allow is one group, so no group holds more than two tiles.
@@ -327,7 +360,7 @@ def _product(postings: DataFrame, percent: int) -> DataFrame:
     pairs = tiles.alias("p").join(tiles.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.tile") <= F.col("q.tile")) & (100 * F.col("p.high") >= percent * F.col("q.low")))
     pairs = pairs.select(F.col("p.gram").alias("gram"), F.col("p.tile").alias("p"), F.col("q.tile").alias("q"))
     sides = pairs.select("gram", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("tile"))
-    members = sides.join(placed, ["gram", "tile"]).select("gram", "p", "q", "tile", "key", "n", "component")
+    members = sides.join(placed, ["gram", "tile"]).select("gram", "p", "q", "tile", "key", "n", "pos", "component")
     sorted_rows = members.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "tile", "n", "key")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,20 +375,17 @@ def _product(postings: DataFrame, percent: int) -> DataFrame:
 
         def run(table: pa.Table, lo: int, hi: int):
             part = table.slice(lo, hi - lo)
-            key, n, component, tile = (part.column(c).to_numpy() for c in ("key", "n", "component", "tile"))
+            key, n, pos, component, tile = (part.column(c).to_numpy() for c in ("key", "n", "pos", "component", "tile"))
             p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
             left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
             for i in left:
                 others = right[right > i] if p == q else right
-                others = others[(component[others] != component[i]) & (100 * n[i] >= percent * n[others]) & (100 * n[others] >= percent * n[i])]
+                others = others[component[others] != component[i]]
+                room = np.minimum(n[i] - pos[i], n[others] - pos[others])
+                others = others[(room >= least_overlap(n[i], n[others], percent)) & (100 * n[i] >= percent * n[others]) & (100 * n[others] >= percent * n[i])]
                 if len(others):
-                    a, b = np.full(len(others), key[i]), key[others]
-                    swap = a > b
-                    na, nb = np.full(len(others), n[i]), n[others]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b)), pa.array(np.where(swap, nb, na)), pa.array(np.where(swap, na, nb))],
-                        ["a", "b", "na", "nb"],
-                    )
+                    a, b = np.minimum(key[i], key[others]), np.maximum(key[i], key[others])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         def packed(made):
             held, size = [], 0
@@ -384,12 +414,7 @@ def _product(postings: DataFrame, percent: int) -> DataFrame:
 
         yield from packed(all_groups())
 
-    made = sorted_rows.mapInArrow(multiply, "a long, b long, na long, nb long")
-    counted = made.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("seen"))
-    # Beyond the shared part of the heads, no more than the rest of the row with the earlier last head column can come.
-    rest = lambda n: F.ceil(F.lit(percent) * n / 100) - 1
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return counted.where(F.col("seen") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need)
+    return sorted_rows.mapInArrow(multiply, "a long, b long").distinct()
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -399,17 +424,34 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     A-Z count as a-z. A text of fewer than ``width`` words has its whole sequence as the
     one element of its set; a null, empty or blank text has no element and no link.
     """
-    narrow = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    table = written(heads(narrow, key, text, frequent_cells(narrow, text, width), width, percent), "heads")
-    classes = table.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"))
-    shared = written(_postings(table).join(classes.select(F.col("first").alias("key")), "key", "left_semi"), "postings")
-    near = written(verify(written(_leader_pairs(shared), "pairs"), narrow, table, key, text, width, percent), "links")
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    table = written(digests(texts), "digests")
+    classes = table.where("words > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"))
+    first = texts.sparkSession.sparkContext.broadcast(key_bits(classes, F.xxhash64("first")))  # KEY_BITS bits
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array(((first.value[at >> 3] >> (at & 7)) & 1).astype(bool))).select([0, 1])
+
+    place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)).alias("place")
+    single = texts.where("key is not null").select("key", "text", place).mapInArrow(some, "key long, text string")
+    known = written(heads(single, frequent_cells(single, width), width, percent), "heads")
+    shared = written(_postings(known.where("n > 0")), "postings")
+    near = written(verify(written(_leader_pairs(shared, percent), "pairs"), texts, known, width, percent), "links")
     stars = components(near)
-    placed = shared.join(stars, shared["key"] == stars["node"], "left").select("gram", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = shared.join(stars, shared["key"] == stars["node"], "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    found = written(_product(placed.join(mixed, "gram", "left_semi"), percent).select("a", "b"), "pairs")
-    links = near.union(verify(found, narrow, table, key, text, width, percent))
+    found = written(_product(placed.join(mixed, "gram", "left_semi"), percent), "pairs")
+    links = near.union(verify(found, texts, known, width, percent))
     group = components(links)
-    top = classes.join(group, classes["first"] == group["node"], "left").select("h1", "h2", F.coalesce("component", "first").alias("component_id"))
+    sizes = known.select("key", "n").distinct()
+    top = classes.join(group, classes["first"] == group["node"], "left").select("h1", "h2", "first", F.coalesce("component", "first").alias("component_id"))
+    top = top.join(sizes, top["first"] == sizes["key"], "left").select("h1", "h2", "component_id", F.col("n").alias("size"))
     named = table.join(top, ["h1", "h2"], "left")
-    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    present = F.col("words") > 0
+    return named.select(
+        F.col("key").alias(key),
+        F.when(present, F.col("size")).otherwise(F.lit(0)).cast("long").alias("n_shingles"),
+        F.when(present, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+    )

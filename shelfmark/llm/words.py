@@ -42,8 +42,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def constants(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit numbers fixed by ``seed``."""
-    step, shift = 0x9E3779B97F4A7C15, seed * 0xD1342543DE82EF95
-    return mix(np.array([(i * step + shift) % 2**64 for i in range(1, n + 1)], dtype=np.uint64)) | np.uint64(1)
+    steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(steps + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)) | np.uint64(1)
 
 
 _BYTE = constants(256, 1)
