@@ -21,7 +21,7 @@ from shelfmark.llm.words import Block, blocks, gram_hashes, windows
 
 CELLS, WIDTH, WINDOW = 1 << 16, 3, 5
 #: Least score kept, in nats per n-gram.
-THRESHOLD = -0.15
+THRESHOLD = -0.7
 LEAST_WORDS, REPEATED_PERCENT = 10, 20
 # The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
