@@ -11,9 +11,10 @@ there the earliest line.
 If two SimHashes differ in at most three bits, one of their four blocks of 16 bits is
 equal; lines meet in the buckets of their blocks. A bucket with very many lines is split
 exactly: of the 48 bits left, one of four parts of 12 bits must be equal too. A first pass
-links each line of a bucket to the first one near it, which settles large groups of near
-copies without their pairs; a second one takes all pairs that are near and still in
-different groups.
+links each line of a bucket to the first one near it on either side, which settles large
+groups of near copies without their pairs; a second one takes all pairs that are near
+and still in different groups. Lines whose sets of words, hashed to 64 bits, differ too
+much for the edits that their lengths allow are never near.
 """
 
 from __future__ import annotations
@@ -43,14 +44,13 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 
 
 class Lines(NamedTuple):
-    """Lines with enough words of a block: text number, line number, words (range), digest, SimHash."""
+    """Lines with enough words of a block: text number, line number, words (range), digest."""
 
     text: np.ndarray
     line: np.ndarray
     start: np.ndarray
     end: np.ndarray
     digest: np.ndarray
-    simhash: np.ndarray
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,39 +87,53 @@ def lines(block: Block, least: int = LEAST) -> Lines:
     start, end = start[long], end[long]
     n = end - start
     if not len(start):
-        return Lines(start, start, start, end, start, start.astype(np.uint64))
+        return Lines(start, start, start, end, start)
     factors = constants(int(n.max()), 17)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     terms = block.hashes[np.repeat(start, n) + inside] * factors[inside]
     digest = mix(np.add.reduceat(terms, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
-    return Lines(owner[start], line[start], start, end, digest, simhashes(block.hashes, start, end))
+    return Lines(owner[start], line[start], start, end, digest)
+
+
+def word_bits(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run of words, the bits that they hash to: one edit changes two of them at most."""
+    bits = np.append(np.uint64(1) << (hashes >> np.uint64(58)), np.uint64(0))
+    return np.bitwise_or.reduceat(bits, np.stack([starts, ends], axis=1).reshape(-1))[::2]
 
 
 def occurrences(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(key, line, h, sim, n): every line's first occurrence in each document."""
-    names = ["key", "line", "h", "sim", "n"]
+    """(key, version, line, again, h, sim, bits, n) of every line; again tells a line that the same text had before.
+
+    ``version`` is a hash of the text, which tells texts of one key apart.
+    """
+    names = ["key", "version", "line", "again", "h", "sim", "bits", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1), FOLD):
+            keys, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in blocks(batch.column(2), FOLD):
                 found = lines(block, least)
+                if not len(found.line):
+                    continue
                 order = np.lexsort((found.line, found.digest, found.text))
                 t, h = found.text[order], found.digest[order]
-                fresh = np.ones(len(order), dtype=bool)
-                fresh[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-                at = np.sort(order[fresh])
-                columns = [keys[block.rows.start + found.text[at]], found.line[at].astype(np.int32), found.digest[at], found.simhash[at].view(np.int64), (found.end - found.start)[at].astype(np.int32)]
+                again = np.zeros(len(order), dtype=bool)
+                again[order[1:]] = (t[1:] == t[:-1]) & (h[1:] == h[:-1])
+                rows = block.rows.start + found.text
+                sim = simhashes(block.hashes, found.start, found.end).view(np.int64)
+                bits = word_bits(block.hashes, found.start, found.end).view(np.int64)
+                columns = [keys[rows], versions[rows], found.line.astype(np.int32), again, found.digest, sim, bits, (found.end - found.start).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
-    return source.mapInArrow(run, "key long, line int, h long, sim long, n int")
+    text = F.col(text).cast("string")
+    source = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("version"), text.alias("text")).where("key is not null and text is not null")
+    return source.mapInArrow(run, "key long, version long, line int, again boolean, h long, sim long, bits long, n int")
 
 
 def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> DataFrame:
-    """Pairs (a, b) of lines ``nodes`` (h, sim, n, component) of different components whose SimHashes are near."""
+    """Pairs (a, b) of lines ``nodes`` (h, sim, bits, n, component) of different components that are near."""
     block = lambda i: F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    dealt = nodes.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(i).alias("value")) for i in range(4)])).alias("b")).select("h", "sim", "n", "component", "b.i", "b.value")
+    dealt = nodes.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(i).alias("value")) for i in range(4)])).alias("b")).select("h", "sim", "bits", "n", "component", "b.i", "b.value")
     sizes = dealt.groupBy("i", "value").agg(F.count("*").alias("lines")).where(F.col("lines") > bucket)
     crowded = F.broadcast(sizes)  # at most 4 * 65,536 rows
     marked = dealt.join(crowded, ["i", "value"], "left")
@@ -129,28 +143,32 @@ def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> Data
     rest = low.bitwiseOR(high)
     part = lambda j: F.shiftrightunsigned(F.col("rest"), 12 * j).bitwiseAND(F.lit(0xFFF))
     split = marked.withColumn("rest", rest).select(
-        "h", "sim", "n", "component", "i", "value",
+        "h", "sim", "bits", "n", "component", "i", "value",
         F.explode(F.when(F.col("lines").isNull(), F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("more")))).otherwise(F.array(*[F.struct(F.lit(j).alias("j"), part(j).alias("more")) for j in range(4)]))).alias("p"),
     )
     group = ["i", "value", "j", "more"]
-    placed = split.select("h", "sim", "n", "component", "i", "value", "p.j", "p.more").repartition(*group).sortWithinPartitions(*group, "sim", "h")
+    placed = split.select("h", "sim", "bits", "n", "component", "i", "value", "p.j", "p.more").repartition(*group).sortWithinPartitions(*group, "sim", "h")
 
-    def compare(sim: np.ndarray, h: np.ndarray, n: np.ndarray, component: np.ndarray):
+    def compare(sim, bits, h, n, component):
         """Tiles of rows against all rows before them."""
         for lo in range(0, len(sim), TILE):
             for before in range(0, lo + 1, TILE):
                 p, q = slice(before, before + TILE), slice(lo, lo + TILE)
                 near = np.bitwise_count(sim[p, None] ^ sim[None, q]) <= BITS
-                near &= component[p, None] != component[None, q]
-                near &= (100 * n[p, None] >= percent * n[None, q]) & (100 * n[None, q] >= percent * n[p, None])
                 if before == lo:
                     near = np.triu(near, 1)
-                if first_only:
-                    some = np.flatnonzero(near.any(axis=0))
-                    yield h[p][near[:, some].argmax(axis=0)], h[q][some]
-                else:
-                    a, b = np.nonzero(near)
-                    yield h[p][a], h[q][b]
+                a, b = np.nonzero(near)
+                a, b = a + before, b + lo
+                edits = (100 - percent) * np.maximum(n[a], n[b]) // 100
+                fits = (np.abs(n[a] - n[b]) <= edits) & (np.bitwise_count(bits[a] ^ bits[b]) <= 2 * edits) & (component[a] != component[b])
+                a, b = a[fits], b[fits]
+                if first_only and len(a):
+                    _, earlier = np.unique(b, return_index=True)  # rows come in order of a, then b
+                    _, later = np.unique(a, return_index=True)
+                    some = np.union1d(earlier, later)
+                    a, b = a[some], b[some]
+                if len(a):
+                    yield h[a], h[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -164,12 +182,12 @@ def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> Data
             marks = [table.column(c).to_numpy() for c in group]
             change = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             bounds = [0, *change.tolist(), table.num_rows]
-            columns = [table.column(c).to_numpy() for c in ("sim", "h", "n", "component")]
+            columns = [table.column(c).to_numpy() for c in ("sim", "bits", "h", "n", "component")]
             done = len(bounds) - (1 if last else 2)
             for lo, hi in zip(bounds[:done], bounds[1:]):
                 if hi - lo > 1:
-                    sim, h, n, component = (c[lo:hi] for c in columns)
-                    held.extend(compare(sim.view(np.uint64), h, n.astype(np.int64), component))
+                    sim, bits, h, n, component = (c[lo:hi] for c in columns)
+                    held.extend(compare(sim.view(np.uint64), bits.view(np.uint64), h, n.astype(np.int64), component))
             return bounds[done]
 
         for batch in batches:
@@ -214,11 +232,11 @@ def edit_distance(a: list, b: list) -> int:
     return distance
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str, text: str, least: int, percent: int) -> DataFrame:
-    """The pairs whose word sequences are similar enough. Each line's words are read at its first occurrence."""
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi").select("h", F.col("first").alias("key"), "line")
+def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(h, words) of the lines ``wanted`` (h, first, line): their word hashes, read at their first occurrence."""
+    asked = wanted.select("h", F.col("first").alias("key"), "line")
     place = F.col("h").bitwiseXOR(F.col("key")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 20))
-    bits = df.sparkSession.sparkContext.broadcast(key_bits(wanted, place))  # KEY_BITS bits
+    bits = df.sparkSession.sparkContext.broadcast(key_bits(asked, place))  # KEY_BITS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -233,40 +251,50 @@ def _verify(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str, text: s
                 columns = [pa.array(owner[at]), pa.array(found.line[at].astype(np.int32)), pa.array(found.digest[at]), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "line", "h", "words"])
 
+    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
+    read = source.mapInArrow(build, "key long, line int, h long, words binary").join(asked, ["h", "key", "line"], "left_semi")
+    return read.dropDuplicates(["h"]).select("h", "words")
+
+
+def _verify(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose word sequences are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64).tolist() for z in (x, y))
-                longer = max(len(p), len(q))
-                keep.append(100 * edit_distance(p, q) <= (100 - percent) * longer)
+                keep.append(100 * edit_distance(p, q) <= (100 - percent) * max(len(p), len(q)))
             part = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             if part.num_rows:
                 yield part
 
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
-    read = source.mapInArrow(build, "key long, line int, h long, words binary").join(wanted, ["h", "key", "line"], "left_semi")
-    sequences = written(read.dropDuplicates(["h"]).select("h", "words"), "sequences")
     left = pairs.join(sequences.select(F.col("h").alias("a"), F.col("words").alias("x")), "a")
     both = left.join(sequences.select(F.col("h").alias("b"), F.col("words").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket: int) -> DataFrame:
-    """(key, gone): digests of the lines that each document loses wholly."""
-    rows = occurrences(df, key, text, least)
-    nodes = written(rows.groupBy("h", "sim", "n").agg(F.min("key").alias("first"), F.min_by("line", "key").alias("line"), F.count("*").alias("documents")), "nodes")
-    pairs = written(_near(nodes.withColumn("component", F.col("h")), True, percent, bucket), "pairs")
-    near = written(_verify(pairs, nodes, df, key, text, least, percent), "links")
-    placed = nodes.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    tried = written(_near(placed.select("h", "sim", "n", "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = near.union(_verify(tried, nodes, df, key, text, least, percent))
+    """(key, version, gone): numbers of the lines that each text loses."""
+    rows = written(occurrences(df, key, text, least), "lines")
+    once = rows.where("not again").groupBy("h", "sim", "bits", "n")
+    nodes = written(once.agg(F.min("key").alias("first"), F.min_by("line", "key").alias("line"), F.max("key").alias("last")), "nodes")
+    narrow = nodes.select("h", "sim", "bits", "n", F.col("h").alias("component"))
+    pairs = written(_near(narrow, True, percent, bucket), "pairs")
+    # Every line that is near another one is in some pair of the first pass.
+    some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
+    sequences = written(_sequences(some, df, key, text, least), "sequences")
+    near = written(_verify(pairs, sequences, percent), "links")
+    placed = some.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    tried = written(_near(placed.select("h", "sim", "bits", "n", "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = near.union(_verify(tried, sequences, percent))
     grouped = nodes.join(components(links).withColumnRenamed("node", "h"), "h")
     best = grouped.groupBy("component").agg(F.min(F.struct("first", "line", "h")).alias("best"))
     linked = grouped.join(best, "component").select("h", F.col("best.first").alias("keeper"), (F.col("h") == F.col("best.h")).alias("stays"))
-    copied = nodes.where("documents > 1").join(linked.select("h"), "h", "left_anti").select("h", F.col("first").alias("keeper"), F.lit(True).alias("stays"))
-    judged = rows.select("key", "h").join(linked.union(copied), "h")
-    return judged.where(~(F.col("stays") & (F.col("key") == F.col("keeper")))).groupBy("key").agg(F.collect_list("h").alias("gone"))
+    copied = nodes.where("first <> last").join(linked.select("h"), "h", "left_anti").select("h", F.col("first").alias("keeper"), F.lit(True).alias("stays"))
+    judged = rows.select("key", "version", "line", "again", "h").join(linked.union(copied), "h", "left")
+    kept = ~F.col("again") & (F.col("keeper").isNull() | (F.col("stays") & (F.col("key") == F.col("keeper"))))
+    return judged.where(~kept).groupBy("key", "version").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
@@ -275,41 +303,31 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = L
     Lines are what ``\\n`` separates; those that stay are unchanged and joined by ``\\n``,
     and a document that loses nothing keeps its text byte for byte. A null text stays null
     and has no lines; an empty text is one line. A row with a null key is returned as it
-    is and takes no part. Rows that share a key are one document to the comparison and
-    lose the same lines. All columns stay; ``n_lines`` and ``n_removed`` are replaced.
+    is and takes no part. Rows that share a key are one document to the comparison. All columns stay; ``n_lines`` and ``n_removed`` are replaced.
     """
     made = ["n_lines", "n_removed"]
     columns = [c for c in df.columns if c not in made]
-    kept = [c for c in columns if c != text]
-    gone = losers(df, key, text, least, percent, bucket).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"), F.col(key).cast("long").alias("__of"))
-    joined = source.join(gone, F.col("__of") == F.col("__key"), "left").drop("__key")
-    schema = joined.select(*kept).schema.add(text, "string").add("n_lines", "long").add("n_removed", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists, keys = batch.column("__text"), batch.column("__gone"), batch.column("__of")
-            for block in blocks(texts, FOLD):
-                found = lines(block, least)
-                bounds = np.searchsorted(found.text, np.arange(len(block.rows) + 1))
-                out, total, removed = [], [], []
-                for i, row in enumerate(block.rows):
-                    value = texts[row].as_py()
-                    parts = value.split("\n") if value is not None else []
-                    total.append(len(parts))
-                    digest, number = found.digest[bounds[i] : bounds[i + 1]], found.line[bounds[i] : bounds[i + 1]]
-                    drop: set[int] = set()
-                    if keys[row].is_valid and len(digest):
-                        _, first = np.unique(digest, return_index=True)
-                        repeats = np.ones(len(digest), dtype=bool)
-                        repeats[first] = False
-                        if lists[row].is_valid:
-                            repeats |= np.isin(digest, lists[row].values.to_numpy())
-                        drop = set(number[repeats].tolist())
-                    removed.append(len(drop))
-                    out.append("\n".join([p for j, p in enumerate(parts) if j not in drop]) if drop else value)
-                part = batch.slice(block.rows.start, len(block.rows))
-                arrays = [*(part.column(c) for c in kept), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, text, *made])
-
-    return joined.mapInArrow(run, schema).select(*columns, *made)
+    body = F.col(text).cast("string")
+    gone = losers(df, key, text, least, percent, bucket).select(F.col("key").alias("__key"), F.col("version").alias("__of"), F.col("gone").alias("__gone"))
+    source = df.select(*columns, F.col(key).cast("long").alias("__id"), F.xxhash64(body).alias("__version"))
+    joined = source.join(gone, (F.col("__id") == F.col("__key")) & (F.col("__version") == F.col("__of")), "left")
+
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for value, drop in zip(texts, numbers):
+            if value.is_valid:
+                missing = set(drop.values.to_pylist())
+                out.append("\n".join([p for j, p in enumerate(value.as_py().split("\n")) if j not in missing]))
+            else:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    lost = F.col("__gone").isNotNull()
+    count = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    changed = joined.withColumn("__rest", rest(F.when(lost, body), F.col("__gone")))
+    return changed.select(
+        *[F.when(lost, F.col("__rest")).otherwise(body).alias(c) if c == text else F.col(c) for c in columns],
+        F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(lost, F.size("__gone")).otherwise(0).cast("long").alias("n_removed"),
+    )
