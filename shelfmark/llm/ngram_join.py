@@ -109,7 +109,7 @@ def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
             for some in found(batch):
                 held.append(some.astype(np.int32))
                 size += len(some)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from _flush(held, n_cells)
                     held, size = [], 0
         if size:
@@ -144,15 +144,21 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7))) & 1
 
 
-def frequent_cells(df: DataFrame, width: int) -> np.ndarray:
-    """Bits of the cells that hold clearly more columns than a cell's usual share; ``df`` has a column text."""
+def _let_through(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """Rows of (key, text, place) whose place has its bit set."""
+    at = batch.column(2).to_numpy()
+    return batch.filter(pa.array(((bits[at >> 3] >> (at & 7)) & 1).astype(bool)))
+
+
+def frequent_cells(df: DataFrame, first, width: int) -> np.ndarray:
+    """Bits of the cells that hold clearly more columns than a cell's usual share, over the texts that ``first`` lets through."""
 
     def found(batch: pa.RecordBatch):
-        for block in blocks(batch.column(0), LOWER):
+        for block in blocks(_let_through(batch, first.value).column(1), LOWER):
             starts, _ = windows(block, width)
             yield _cells(gram_hashes(block.hashes, starts, width), CELLS)
 
-    return cell_bits(df.select("text"), found, CELLS, lambda n: n > n.mean() + 5 * math.sqrt(n.mean()) + 3)
+    return cell_bits(df, found, CELLS, lambda n: n > n.mean() + 5 * math.sqrt(n.mean()) + 3)
 
 
 def least_overlap(a, b, percent: int):
@@ -179,8 +185,10 @@ def digests(df: DataFrame) -> DataFrame:
     return df.select("key", "text").mapInArrow(run, "key long, words long, h1 long, h2 long")
 
 
-def heads(df: DataFrame, bits: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, n, head, hot) of each text of ``df`` (key, text): set size, first columns, and which are frequent.
+def heads(df: DataFrame, first, bits: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, n, head, hot) of each text of ``df`` (key, text, place) that ``first`` lets through.
+
+    These are set size, first columns, and which of those are frequent.
 
     Rare columns come first, then frequent ones; equal ranks are in order of their hashes.
     """
@@ -190,6 +198,7 @@ def heads(df: DataFrame, bits: np.ndarray, width: int, percent: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         for batch in batches:
+            batch = _let_through(batch, first.value)
             for block in blocks(batch.column(1), LOWER):
                 owner, keys = sets(block, width)
                 rows = len(block.rows)
@@ -198,10 +207,10 @@ def heads(df: DataFrame, bits: np.ndarray, width: int, percent: int) -> DataFram
                 # Columns are in order of their hashes already: a stable sort by rank keeps that.
                 order = np.argsort(owner * 2 + kind, kind="stable")
                 keys, kind = keys[order], kind[order]
-                first = np.concatenate(([0], np.cumsum(size)))
+                begin = np.concatenate(([0], np.cumsum(size)))
                 head = size - (-(-percent * size // 100)) + 1
                 head[size == 0] = 0
-                lists = np.repeat(first[:-1], head) + np.arange(head.sum()) - np.repeat(np.cumsum(head) - head, head)
+                lists = np.repeat(begin[:-1], head) + np.arange(head.sum()) - np.repeat(np.cumsum(head) - head, head)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(head))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -213,7 +222,7 @@ def heads(df: DataFrame, bits: np.ndarray, width: int, percent: int) -> DataFram
                     names,
                 )
 
-    return df.select("key", "text").mapInArrow(run, "key long, n long, head array<long>, hot array<boolean>")
+    return df.mapInArrow(run, "key long, n long, head array<long>, hot array<boolean>")
 
 
 def _compared(pairs: DataFrame, columns: DataFrame, keep, percent: int) -> DataFrame:
@@ -290,8 +299,7 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percen
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = wanted.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(((marks[at >> 3] >> (at & 7)) & 1).astype(bool)))
+            batch = _let_through(batch, marks)
             for block in blocks(batch.column(1), LOWER):
                 owner, keys = sets(block, width)
                 bounds = np.searchsorted(owner, np.arange(len(block.rows) + 1))
@@ -429,14 +437,9 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     classes = table.where("words > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"))
     first = texts.sparkSession.sparkContext.broadcast(key_bits(classes, F.xxhash64("first")))  # KEY_BITS bits
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(((first.value[at >> 3] >> (at & 7)) & 1).astype(bool))).select([0, 1])
-
     place = F.pmod(F.xxhash64("key"), F.lit(KEY_BITS)).alias("place")
-    single = texts.where("key is not null").select("key", "text", place).mapInArrow(some, "key long, text string")
-    known = written(heads(single, frequent_cells(single, width), width, percent), "heads")
+    single = texts.where("key is not null").select("key", "text", place)
+    known = written(heads(single, first, frequent_cells(single, first, width), width, percent), "heads")
     shared = written(_postings(known.where("n > 0")), "postings")
     near = written(verify(written(_leader_pairs(shared, percent), "pairs"), texts, known, width, percent), "links")
     stars = components(near)

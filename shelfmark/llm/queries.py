@@ -51,6 +51,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Windows of 50 words, the first document of each, and the words that no earlier document's window covers.
+ORACLES["op3_repeated_spans"] = r"""WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50),
+spans AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS f FROM spans GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM spans JOIN firsts USING (s) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of 50 words cover which start in an earlier document."""
