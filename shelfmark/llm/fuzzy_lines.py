@@ -2,19 +2,21 @@
 
 Lines are normalised: A-Z become small, digits become 0, ASCII punctuation separates
 words, and white space no longer counts. Lines of fewer than ``LEAST`` words are left
-alone. Equal normalised lines are one line. Two different ones are linked if their 64-bit
-SimHashes over words differ in at most ``BITS`` bits and the edit similarity of their word
-sequences, 1 - distance / longer length, is at least ``PERCENT`` %. Of each group of
-connected lines only the first occurrence stays: the one in the smallest document and
-there the earliest line.
-
-If two SimHashes differ in at most three bits, one of their four blocks of 16 bits is
-equal; lines meet in the buckets of their blocks. A bucket with very many lines is split
-exactly: of the 48 bits left, one of four parts of 12 bits must be equal too. A first pass
-links each line of a bucket to the first one near it on either side, which settles large
-groups of near copies without their pairs; a second one takes all pairs that are near
-and still in different groups. Lines whose sets of words, hashed to 64 bits, differ too
-much for the edits that their lengths allow are never near.
+alone. Equal normalised lines are one line. Two different ones are linked if the edit
+similarity of their word sequences, 1 - distance / longer length, is at least ``PERCENT`` %.
+Of each group of connected lines only the first occurrence stays: the one in the smallest
+document and there the earliest line.
+
+The search is exact. A line of n words allows e(n) = (100 - PERCENT) * n // 100 edits, so two
+linked lines share all words but e(n) of the longer one, counted with repeats. In any common
+order of the words they then share one of the first e(n) + 1 words of each; lines meet in
+the buckets of these words. The order is by counts in a sample of the texts, rare words first;
+it sets the size of the buckets, not the links. A bucket with very many lines is dealt into parts,
+and every two parts meet. A first pass links each line of a bucket to the first one near it
+on either side, which settles large groups of near copies without their pairs; a second
+one takes all pairs that are near and still in different groups. Lines whose words, hashed
+to the parities of 256 cells, differ in more cells than the edits that their lengths allow
+can change are never near; the others are compared word by word.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import written
 from shelfmark.llm.words import LOWER, Block, blocks, constants, mix
 
-LEAST, BITS, PERCENT = 4, 3, 80
-#: Lines to a bucket before it is split, and lines compared at a time.
-BUCKET, TILE = 4096, 512
+LEAST, PERCENT = 4, 80
+#: Lines to a bucket before it is split, lines compared at a time, and lines of a bucket whose pairs are all taken.
+BUCKET, TILE, SMALL = 4096, 512, 16
+#: Cells of the word counts; one text in SAMPLE is counted, and one line in SAMPLE when crowded buckets are sought.
+CELLS, SAMPLE = 1 << 20, 8
 
 FOLD = LOWER.copy()
 FOLD[48:58] = 48
@@ -95,18 +99,68 @@ def lines(block: Block, least: int = LEAST) -> Lines:
     return Lines(owner[start], line[start], start, end, digest)
 
 
-def word_bits(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each run of words, the bits that they hash to: one edit changes two of them at most."""
-    bits = np.append(np.uint64(1) << (hashes >> np.uint64(58)), np.uint64(0))
-    return np.bitwise_or.reduceat(bits, np.stack([starts, ends], axis=1).reshape(-1))[::2]
+def parities(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each run of words, the parity of each of 256 cells that they hash to: one edit changes two of them at most."""
+    bits, word = np.uint64(1) << (hashes >> np.uint64(58)), (hashes >> np.uint64(56)) & np.uint64(3)
+    runs = np.stack([starts, ends], axis=1).reshape(-1)
+    return [np.bitwise_xor.reduceat(np.append(np.where(word == i, bits, np.uint64(0)), np.uint64(0)), runs)[::2].view(np.int64) for i in range(4)]
 
 
-def occurrences(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(key, version, line, again, h, sim, bits, n) of every line; again tells a line that the same text had before.
+def tokens(block: Block, found: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(token, number of its line) by line: the words of ``found``, repeats within a line told apart by their number."""
+    n = found.end - found.start
+    line = np.repeat(np.arange(len(n)), n)
+    hashes = block.hashes[np.repeat(found.start, n) + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)]
+    order = np.lexsort((hashes, line))
+    hashes = hashes[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    at = np.flatnonzero(fresh)
+    before = (np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order))))).astype(np.uint64)
+    return np.where(before > 0, mix(hashes + before * np.uint64(0x9E3779B97F4A7C15)), hashes), line
 
-    ``version`` is a hash of the text, which tells texts of one key apart.
+
+def cells(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(20)) % np.uint64(CELLS)
+
+
+def counts(df: DataFrame, text: str, least: int) -> np.ndarray:
+    """Tokens of a sample of the texts by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0), FOLD):
+                found = lines(block, least)
+                if len(found.line):
+                    cell, n = np.unique(cells(tokens(block, found)[0]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], ["cell", "n"])
+
+    text = F.col(text).cast("string")
+    some = df.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    summed = some.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    out = np.zeros(CELLS, dtype=np.int32)
+    out[summed.column("cell").to_numpy()] = np.minimum(summed.column("n").to_numpy(), (1 << 24) - 1)
+    return out
+
+
+def rare(block: Block, found: Lines, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, how many of each line): the rarest tokens of each line, one more than it may have edits."""
+    token, line = tokens(block, found)
+    rank = table[cells(token)].astype(np.uint64) << np.uint64(40) | token >> np.uint64(24)
+    order = np.lexsort((token, rank, line))
+    n = found.end - found.start
+    inside = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    take = (100 - percent) * n // 100 + 1
+    return token[order][inside < np.repeat(take, n)], np.minimum(take, n)
+
+
+def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) -> DataFrame:
+    """(key, version, line, again, h, n, q0 .. q3, rare) of every line; again tells a line that the same text had before.
+
+    ``version`` is a hash of the text, which tells texts of one key apart. Lines that are there again have no ``rare`` words.
     """
-    names = ["key", "version", "line", "again", "h", "sim", "bits", "n"]
+    names = ["key", "version", "line", "again", "h", "n", "q0", "q1", "q2", "q3", "rare"]
+    table = df.sparkSession.sparkContext.broadcast(counts(df, text, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,91 +174,106 @@ def occurrences(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 again = np.zeros(len(order), dtype=bool)
                 again[order[1:]] = (t[1:] == t[:-1]) & (h[1:] == h[:-1])
                 rows = block.rows.start + found.text
-                sim = simhashes(block.hashes, found.start, found.end).view(np.int64)
-                bits = word_bits(block.hashes, found.start, found.end).view(np.int64)
-                columns = [keys[rows], versions[rows], found.line.astype(np.int32), again, found.digest, sim, bits, (found.end - found.start).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                token, n = rare(block, Lines(*[c[~again] for c in found]), table.value, percent)
+                taken = np.zeros(len(again) + 1, dtype=np.int32)
+                taken[1:][~again] = n
+                part = pa.ListArray.from_arrays(pa.array(np.cumsum(taken, dtype=np.int32)), pa.array(token.view(np.int64)))
+                columns = [keys[rows], versions[rows], found.line.astype(np.int32), again, found.digest, (found.end - found.start).astype(np.int32)]
+                columns += parities(block.hashes, found.start, found.end)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part], names)
 
     text = F.col(text).cast("string")
     source = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("version"), text.alias("text")).where("key is not null and text is not null")
-    return source.mapInArrow(run, "key long, version long, line int, again boolean, h long, sim long, bits long, n int")
+    return source.mapInArrow(run, "key long, version long, line int, again boolean, h long, n int, q0 long, q1 long, q2 long, q3 long, rare array<long>")
 
 
 def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> DataFrame:
-    """Pairs (a, b) of lines ``nodes`` (h, sim, bits, n, component) of different components that are near."""
-    block = lambda i: F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    dealt = nodes.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(i).alias("value")) for i in range(4)])).alias("b")).select("h", "sim", "bits", "n", "component", "b.i", "b.value")
-    sizes = dealt.groupBy("i", "value").agg(F.count("*").alias("lines")).where(F.col("lines") > bucket)
-    crowded = F.broadcast(sizes)  # at most 4 * 65,536 rows
-    marked = dealt.join(crowded, ["i", "value"], "left")
-    # The 48 bits beside the shared block, in order, cut into four parts of 12.
-    low = F.expr("sim & (shiftleft(1L, 16 * i) - 1)")
-    high = F.when(F.col("i") == 3, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(shiftrightunsigned(sim, 16 * (i + 1)), 16 * i)"))
-    rest = low.bitwiseOR(high)
-    part = lambda j: F.shiftrightunsigned(F.col("rest"), 12 * j).bitwiseAND(F.lit(0xFFF))
-    split = marked.withColumn("rest", rest).select(
-        "h", "sim", "bits", "n", "component", "i", "value",
-        F.explode(F.when(F.col("lines").isNull(), F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("more")))).otherwise(F.array(*[F.struct(F.lit(j).alias("j"), part(j).alias("more")) for j in range(4)]))).alias("p"),
-    )
-    group = ["i", "value", "j", "more"]
-    placed = split.select("h", "sim", "bits", "n", "component", "i", "value", "p.j", "p.more").repartition(*group).sortWithinPartitions(*group, "sim", "h")
-
-    def compare(sim, bits, h, n, component):
-        """Tiles of rows against all rows before them."""
-        for lo in range(0, len(sim), TILE):
-            for before in range(0, lo + 1, TILE):
-                p, q = slice(before, before + TILE), slice(lo, lo + TILE)
-                near = np.bitwise_count(sim[p, None] ^ sim[None, q]) <= BITS
-                if before == lo:
-                    near = np.triu(near, 1)
-                a, b = np.nonzero(near)
-                a, b = a + before, b + lo
-                edits = (100 - percent) * np.maximum(n[a], n[b]) // 100
-                fits = (np.abs(n[a] - n[b]) <= edits) & (np.bitwise_count(bits[a] ^ bits[b]) <= 2 * edits) & (component[a] != component[b])
-                a, b = a[fits], b[fits]
+    """Pairs (a, b) of lines ``nodes`` (h, n, q0 .. q3, rare, component) of different components that may be near."""
+    columns = ["h", "n", "q0", "q1", "q2", "q3", "component"]
+    seen = nodes.where(F.pmod("h", F.lit(SAMPLE)) == 0).select(F.explode("rare").alias("w")).groupBy("w").agg((F.count("*") * SAMPLE).alias("lines"))
+    crowded = seen.where(F.col("lines") > bucket).select("w", F.ceil(F.col("lines") / bucket).alias("parts"))
+    dealt = nodes.select(*columns, F.explode("rare").alias("w")).join(crowded, "w", "left")
+    mine = F.pmod(F.xxhash64("h"), F.col("parts"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    group = ["w", "i", "j"]
+    split = dealt.select(*columns, "w", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(meets)).alias("p")).select(*columns, "w", "p.i", "p.j")
+    placed = split.repartition(*group).sortWithinPartitions(*group, "n", "h")
+
+    def fitting(c, a, b):
+        """Those of the row pairs (a, b) that are not ruled out."""
+        edits = (100 - percent) * np.maximum(c["n"][a], c["n"][b]) // 100
+        fits = (np.abs(c["n"][a] - c["n"][b]) <= edits) & (c["component"][a] != c["component"][b])
+        a, b, edits = a[fits], b[fits], edits[fits]
+        apart = sum(np.bitwise_count(c[q][a] ^ c[q][b]).astype(np.int64) for q in ("q0", "q1", "q2", "q3"))
+        return a[apart <= 2 * edits], b[apart <= 2 * edits]
+
+    def compare(c, first, until):
+        """Tiles of rows of one bucket against all rows before them."""
+        for lo in range(first, until, TILE):
+            for before in range(first, lo + 1, TILE):
+                p, q = np.arange(before, min(before + TILE, until)), np.arange(lo, min(lo + TILE, until))
+                n, m = c["n"][p], c["n"][q]
+                if m[0] - n[-1] > (100 - percent) * m[0] // 100:  # rows come by length
+                    continue
+                a, b = (x.reshape(-1) for x in np.meshgrid(p, q, indexing="ij"))
+                a, b = fitting(c, a[a < b], b[a < b])
                 if first_only and len(a):
                     _, earlier = np.unique(b, return_index=True)  # rows come in order of a, then b
                     _, later = np.unique(a, return_index=True)
                     some = np.union1d(earlier, later)
                     a, b = a[some], b[some]
                 if len(a):
-                    yield h[a], h[b]
+                    yield c["h"][a], c["h"][b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        held: list[np.ndarray] = []
-
-        def batch_of():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def groups(table: pa.Table, last: bool) -> int:
-            marks = [table.column(c).to_numpy() for c in group]
+        def pairs(table: pa.Table, last: bool):
+            """Pairs of the buckets that end in ``table``, and the rows after them."""
+            marks = [table.column(x).to_numpy() for x in group]
             change = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
-            bounds = [0, *change.tolist(), table.num_rows]
-            columns = [table.column(c).to_numpy() for c in ("sim", "bits", "h", "n", "component")]
-            done = len(bounds) - (1 if last else 2)
-            for lo, hi in zip(bounds[:done], bounds[1:]):
-                if hi - lo > 1:
-                    sim, bits, h, n, component = (c[lo:hi] for c in columns)
-                    held.extend(compare(sim.view(np.uint64), bits.view(np.uint64), h, n.astype(np.int64), component))
-            return bounds[done]
+            bounds = np.array([0, *change.tolist(), *([table.num_rows] if last else [])])
+            c = {x: table.column(x).to_numpy() for x in columns}
+            c["n"] = c["n"].astype(np.int64)
+            size = np.diff(bounds)
+            end = np.repeat(bounds[1:], np.where(size <= SMALL, size, 0))
+            at = np.flatnonzero(np.repeat(size <= SMALL, size))
+            for step in range(1, SMALL):
+                a = at[at + step < end]
+                if not len(a):
+                    break
+                a, b = fitting(c, a, a + step)
+                yield c["h"][a], c["h"][b]
+            for k in np.flatnonzero(size > SMALL):
+                lo, hi = int(bounds[k]), int(bounds[k + 1])
+                if (c["component"][lo:hi] != c["component"][lo]).any():
+                    yield from compare(c, lo, hi)
+            return int(bounds[-1])
+
+        def batch_of(found):
+            held = [(a, b) for a, b in _each(found, done) if len(a)]
+            if held:
+                a, b = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+        done: list[int] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            rest = table.slice(groups(table, False))
-            if held:
-                yield batch_of()
-                held.clear()
+            yield from batch_of(pairs(table, False))
+            rest = table.slice(done.pop())
         if rest is not None and rest.num_rows:
-            groups(rest, True)
-            if held:
-                yield batch_of()
+            yield from batch_of(pairs(rest, True))
 
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _each(found: Iterator, done: list[int]) -> Iterator:
+    """The items of a generator; what it returns goes to ``done``."""
+    done.append((yield from found))
+
+
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences; the columns of the table are bit vectors."""
     lo = 0
@@ -276,17 +345,17 @@ def _verify(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
 
 def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket: int) -> DataFrame:
     """(key, version, gone): numbers of the lines that each text loses."""
-    rows = written(occurrences(df, key, text, least), "lines")
-    once = rows.where("not again").groupBy("h", "sim", "bits", "n")
+    rows = written(occurrences(df, key, text, least, percent), "lines")
+    sketch = ["h", "n", "q0", "q1", "q2", "q3", "rare"]
+    once = rows.where("not again").groupBy(*sketch)
     nodes = written(once.agg(F.min("key").alias("first"), F.min_by("line", "key").alias("line"), F.max("key").alias("last")), "nodes")
-    narrow = nodes.select("h", "sim", "bits", "n", F.col("h").alias("component"))
-    pairs = written(_near(narrow, True, percent, bucket), "pairs")
+    pairs = written(_near(nodes.select(*sketch, F.col("h").alias("component")), True, percent, bucket), "pairs")
     # Every line that is near another one is in some pair of the first pass.
     some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
     sequences = written(_sequences(some, df, key, text, least), "sequences")
     near = written(_verify(pairs, sequences, percent), "links")
     placed = some.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    tried = written(_near(placed.select("h", "sim", "bits", "n", "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    tried = written(_near(placed.select(*sketch, "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = near.union(_verify(tried, sequences, percent))
     grouped = nodes.join(components(links).withColumnRenamed("node", "h"), "h")
     best = grouped.groupBy("component").agg(F.min(F.struct("first", "line", "h")).alias("best"))

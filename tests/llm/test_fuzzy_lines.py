@@ -133,3 +133,18 @@ def test_query(spark):
     for r in QUERIES["op1_fuzzy_lines"](spark, sf).collect():
         n, removed, text = want[r["doc_id"]]
         assert (r["n_lines"], r["n_removed"], r["kept_sha256"]) == (n, removed, hashlib.sha256(text.encode()).hexdigest())
+
+
+def similar(documents):
+    """``expected`` with no rule but the edit similarity of lines of four words or more."""
+    return expected(documents, bits=64)
+
+
+def test_all_lines_of_the_stated_similarity(spark, monkeypatch):
+    documents = near_lines(11) | {200 + i: t for i, t in enumerate(["one two three four five", "one two three four", "six six seven six eight six", "six six seven eight six six", "Chapter 1: the sea at night", "Chapter 2: the lake at night"])}
+    want, links = similar(documents)
+    assert links > expected(documents)[1]
+    assert run(spark, documents) == want
+    monkeypatch.setattr(L, "TILE", 4)
+    monkeypatch.setattr(L, "SMALL", 2)
+    assert run(spark, documents, bucket=3) == want
