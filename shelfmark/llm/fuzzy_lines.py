@@ -1,9 +1,10 @@
 """Line dedup (operator 1).
 
 Lines are normalised: A-Z become small, digits become 0, ASCII punctuation separates
-words, and white space no longer counts. Lines of fewer than ``LEAST`` words are left
-alone. Equal normalised lines are one line. Two different ones are linked if the edit
-similarity of their word sequences, 1 - distance / longer length, is at least ``PERCENT`` %.
+words, and white space no longer counts. In scripts without spaces each character is a
+word. Equal normalised lines are one line, however short; a line without any word is left
+alone. Two different ones of at least ``LEAST`` words are linked if the edit similarity of
+their word sequences, 1 - distance / longer length, is at least ``PERCENT`` %.
 Of each group of connected lines only the first occurrence stays: the one in the smallest
 document and there the earliest line.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import written
-from shelfmark.llm.words import LOWER, Block, blocks, constants, mix
+from shelfmark.llm.words import LOWER, Block, blocks, constants, hash_words, mix
 
 LEAST, PERCENT = 4, 80
 #: Lines to a bucket before it is split, lines compared at a time, and lines of a bucket whose pairs are all taken.
@@ -48,7 +49,7 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 
 
 class Lines(NamedTuple):
-    """Lines with enough words of a block: text number, line number, words (range), digest."""
+    """Lines with words of a block: text number, line number, words (range), digest."""
 
     text: np.ndarray
     line: np.ndarray
@@ -79,7 +80,30 @@ def _run_sums(values: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarr
     return np.add.reduceat(values, np.stack([at, until], axis=1).reshape(-1))[::2].copy()
 
 
-def lines(block: Block, least: int = LEAST) -> Lines:
+def units(block: Block) -> Block:
+    """``block`` with each character of a script without spaces as a word of its own."""
+    data, size = block.data, len(block.data)
+    if not size:
+        return block
+    two = np.zeros(size, dtype=np.int64)  # the first two bytes of each character that has three or four
+    two[:-1] = np.where(data[:-1] >= 0xE0, data[:-1].astype(np.int64) << 8 | data[1:], 0)
+    # Thai, Lao, Tibetan; Myanmar; Khmer; kana to ideographs; compatibility ideographs; the planes of rarer ideographs.
+    alone = (two >= 0xE0B8) & (two <= 0xE0BF) | (two >= 0xE180) & (two <= 0xE182) | (two >= 0xE19E) & (two <= 0xE19F)
+    alone |= (two >= 0xE380) & (two <= 0xE9BF) | (two >= 0xEFA4) & (two <= 0xEFAB) | (two >= 0xF0A0) & (two <= 0xF0BF)
+    at = np.flatnonzero(alone)
+    if not len(at):
+        return block
+    after = at + np.where(data[at] >= 0xF0, 4, 3)
+    starts = np.union1d(block.starts, np.concatenate((at, after)))
+    word = np.searchsorted(block.starts, starts, side="right") - 1
+    starts = starts[(word >= 0) & (starts < block.ends[word])]
+    word = np.searchsorted(block.starts, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], size), block.ends[word])
+    return block._replace(starts=starts, ends=ends, hashes=hash_words(data, starts, ends), first=np.searchsorted(starts, block.bounds))
+
+
+def lines(block: Block) -> Lines:
+    """Lines with words of a block that was cut into ``units``."""
     owner = block.owners()
     breaks = np.concatenate(([0], np.cumsum(block.data == 10)))
     line = breaks[block.starts] - breaks[block.bounds[:-1]][owner]
@@ -87,8 +111,6 @@ def lines(block: Block, least: int = LEAST) -> Lines:
     fresh[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
     start = np.flatnonzero(fresh)
     end = np.append(start[1:], len(owner))
-    long = end - start >= least
-    start, end = start[long], end[long]
     n = end - start
     if not len(start):
         return Lines(start, start, start, end, start)
@@ -124,13 +146,13 @@ def cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(20)) % np.uint64(CELLS)
 
 
-def counts(df: DataFrame, text: str, least: int) -> np.ndarray:
+def counts(df: DataFrame, text: str) -> np.ndarray:
     """Tokens of a sample of the texts by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), FOLD):
-                found = lines(block, least)
+            for block in map(units, blocks(batch.column(0), FOLD)):
+                found = lines(block)
                 if len(found.line):
                     cell, n = np.unique(cells(tokens(block, found)[0]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], ["cell", "n"])
@@ -143,15 +165,15 @@ def counts(df: DataFrame, text: str, least: int) -> np.ndarray:
     return out
 
 
-def rare(block: Block, found: Lines, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, how many of each line): the rarest tokens of each line, one more than it may have edits."""
+def rare(block: Block, found: Lines, table: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, how many of each line): the rarest tokens of each line, one more than it may have edits, none of short lines."""
     token, line = tokens(block, found)
     rank = table[cells(token)].astype(np.uint64) << np.uint64(40) | token >> np.uint64(24)
     order = np.lexsort((token, rank, line))
     n = found.end - found.start
     inside = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-    take = (100 - percent) * n // 100 + 1
-    return token[order][inside < np.repeat(take, n)], np.minimum(take, n)
+    take = np.where(n < least, 0, np.minimum((100 - percent) * n // 100 + 1, n))
+    return token[order][inside < np.repeat(take, n)], take
 
 
 def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) -> DataFrame:
@@ -160,13 +182,13 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
     ``version`` is a hash of the text, which tells texts of one key apart. Lines that are there again have no ``rare`` words.
     """
     names = ["key", "version", "line", "again", "h", "n", "q0", "q1", "q2", "q3", "rare"]
-    table = df.sparkSession.sparkContext.broadcast(counts(df, text, least))
+    table = df.sparkSession.sparkContext.broadcast(counts(df, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in blocks(batch.column(2), FOLD):
-                found = lines(block, least)
+            for block in map(units, blocks(batch.column(2), FOLD)):
+                found = lines(block)
                 if not len(found.line):
                     continue
                 order = np.lexsort((found.line, found.digest, found.text))
@@ -174,7 +196,7 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
                 again = np.zeros(len(order), dtype=bool)
                 again[order[1:]] = (t[1:] == t[:-1]) & (h[1:] == h[:-1])
                 rows = block.rows.start + found.text
-                token, n = rare(block, Lines(*[c[~again] for c in found]), table.value, percent)
+                token, n = rare(block, Lines(*[c[~again] for c in found]), table.value, least, percent)
                 taken = np.zeros(len(again) + 1, dtype=np.int32)
                 taken[1:][~again] = n
                 part = pa.ListArray.from_arrays(pa.array(np.cumsum(taken, dtype=np.int32)), pa.array(token.view(np.int64)))
@@ -301,7 +323,7 @@ def edit_distance(a: list, b: list) -> int:
     return distance
 
 
-def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """(h, words) of the lines ``wanted`` (h, first, line): their word hashes, read at their first occurrence."""
     asked = wanted.select("h", F.col("first").alias("key"), "line")
     place = F.col("h").bitwiseXOR(F.col("key")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 20))
@@ -311,8 +333,8 @@ def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str, least: int
         table = bits.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1), FOLD):
-                found = lines(block, least)
+            for block in map(units, blocks(batch.column(1), FOLD)):
+                found = lines(block)
                 owner = keys[block.rows.start + found.text]
                 spot = (found.digest ^ owner ^ (found.line.astype(np.int64) << 20)) % KEY_BITS
                 at = np.flatnonzero((table[spot >> 3] >> (spot & 7)) & 1)
@@ -352,7 +374,7 @@ def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket:
     pairs = written(_near(nodes.select(*sketch, F.col("h").alias("component")), True, percent, bucket), "pairs")
     # Every line that is near another one is in some pair of the first pass.
     some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
-    sequences = written(_sequences(some, df, key, text, least), "sequences")
+    sequences = written(_sequences(some, df, key, text), "sequences")
     near = written(_verify(pairs, sequences, percent), "links")
     placed = some.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     tried = written(_near(placed.select(*sketch, "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")

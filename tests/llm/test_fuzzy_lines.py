@@ -148,3 +148,16 @@ def test_all_lines_of_the_stated_similarity(spark, monkeypatch):
     monkeypatch.setattr(L, "TILE", 4)
     monkeypatch.setattr(L, "SMALL", 2)
     assert run(spark, documents, bucket=3) == want
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    documents = {
+        1: "Read more\nread, MORE\nMenu\n\n---", 2: "Read more\nHome\n\n---", 3: "menu\nread less",
+        4: "今天天气很好我们去公园散步", 5: "今天天气很好我们去公园跑步", 6: "他说abc明天一定会回来的吧\n你好", 7: "你好\n他說abc明天一定会回来的吧\n日本語",
+        8: "สวัสดีครับผมชื่อสมชาย", 9: "สวัสดีครับผมชื่อสมชัย", 10: "안녕하세요반갑습니다여러분", 11: "안녕하세요반갑습니다여러불",
+    }
+    got = {i: text for i, (_, _, text) in run(spark, documents).items()}
+    assert got == {
+        1: "Read more\nMenu\n\n---", 2: "Home\n\n---", 3: "read less",
+        4: documents[4], 5: "", 6: documents[6], 7: "日本語", 8: documents[8], 9: "", 10: documents[10], 11: documents[11],
+    }
