@@ -643,7 +643,7 @@ def _(spark, sf):
 def pictured_results(spark, sf):
     """Chunks as results of one question per document, with their assets."""
     rows = linked_chunks(spark, sf).withColumns({"qid": F.col("document_id"), "rank": F.col("chunk_index") + 1})
-    return J.attach_assets(rows.where("chunk_index < 50"), linked_assets(spark, sf))
+    return J.attach_assets(rows, linked_assets(spark, sf))
 
 
 @check(

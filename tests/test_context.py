@@ -61,3 +61,13 @@ def test_image_selection(spark):
     rows = [result(1, 1, "x", [pic("a"), pic("b", "text/csv")]), result(1, 2, "x", [pic("a"), pic("c", "IMAGE/GIF"), pic("d")])]
     picked = O.select_images(spark.createDataFrame(rows, RESULT), 2).orderBy("image_rank").collect()
     assert [(r["asset_id"], r["source_id"]) for r in picked] == [("a", "S1"), ("c", "S2")]
+
+
+def test_pictured_results_keep_every_chunk(spark, monkeypatch):
+    from shelfmark.checks import load, retrieval
+
+    load()
+    held = spark.range(60).selectExpr("'c' || id AS chunk_id", "1L AS document_id", "int(id) AS chunk_index", "'t' AS content")
+    monkeypatch.setattr(retrieval.X, "chunks", lambda spark, sf: held)
+    got = {r["chunk_index"]: len(r["assets"]) for r in retrieval.pictured_results(spark, "").collect()}
+    assert sorted(got) == list(range(60)) and got[56] > 0
