@@ -86,8 +86,8 @@ def _(spark, sf):
     ("docs",),
 )
 def _(spark, sf):
-    """Embedded images of Markdown documents: content, a chunk that holds their URL, and no path left in any chunk."""
-    done = ingest(mixed_documents(spark, sf).where("document_id % 8 = 1"), X.knowledge_bases(spark, sf))
+    """Embedded images of documents of all kinds in one ingest: content, a chunk that holds their URL, and no path left in any chunk."""
+    done = ingest(mixed_documents(spark, sf), X.knowledge_bases(spark, sf))
     counts = done.assets.groupBy("document_id").agg(F.count(F.lit(1)).alias("images"), F.max("file_hash").alias("image_hash"))
     held = done.chunks.select("chunk_id", "content")
     linked = done.assets.join(held.withColumnRenamed("content", "text"), "chunk_id").groupBy("document_id").agg(F.bool_and(F.col("text").contains(F.col("url"))).alias("linked"))

@@ -178,3 +178,39 @@ def test_documents_are_rebuilt_from_chunks(spark, segment_rows):
     assert texts == {1: " ".join(words[:400]), 2: "first part\n\nsecond part", 3: "alone"}
     stats = {r["document_id"]: tuple(r)[1:] for r in C.overlap_stats(made).collect()}
     assert stats[1][1] == 19 and stats[2] == (0, 0)
+
+
+def test_mixed_ingest_takes_all_kinds(spark, monkeypatch):
+    import json
+    from collections import defaultdict
+
+    from shelfmark.checks import QUERIES, corpus, load
+
+    load()
+    seen, whole = [], corpus.ingest
+
+    def ingest(docs, kbs):
+        seen.append(docs)
+        return whole(docs, kbs)
+
+    monkeypatch.setattr(corpus, "ingest", ingest)
+    sf = "/root/testdata/sf0.001"
+    found = QUERIES["ingest_mixed"](spark, sf)
+    docs = {r["document_id"]: r for r in seen[0].collect()}
+    assert {r["document_id"] for r in found.collect()} == {i for i in docs if i % 8 == 1}
+    assert {i % 8 for i in docs} == set(range(8))
+    done = whole(seen[0], corpus.X.knowledge_bases(spark, sf))
+    chunks = defaultdict(dict)
+    for r in done.chunks.select("document_id", "chunk_index", "content").collect():
+        assert r["chunk_index"] not in chunks[r["document_id"]]
+        chunks[r["document_id"]][r["chunk_index"]] = r["content"]
+    outcomes = done.outcomes.collect()
+    assert sorted(r["document_id"] for r in outcomes) == sorted(docs)
+    for r in outcomes:
+        made = chunks.get(r["document_id"], {})
+        assert sorted(made) == list(range(r["chunk_count"]))
+        assert (r["chunk_count"] > 0) == (r["status"] == "completed")
+    for i, d in docs.items():
+        if i % 8 == 3 and chunks.get(i):
+            want = {w for b in json.loads(d["content"]) for w in b["text"].split()}
+            assert {w for c in chunks[i].values() for w in c.split()} == want
