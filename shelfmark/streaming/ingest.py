@@ -52,7 +52,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
         refused = checked.where("reason is not null")
         write_batch(refused.drop(ARRIVAL), f"{root}/rejected", batch_id)
         if ARRIVAL in batch.columns:
-            write_batch(checked.select(F.col("arrival.path").alias("path")).distinct(), f"{root}/files", batch_id)
+            write_batch(checked.groupBy(F.col("arrival.path").alias("path")).agg(F.count("*").alias("rows")), f"{root}/files", batch_id)
         good = _newest(checked.where("reason is null").drop("reason"))
         write_batch(parse_documents(good, kbs), f"{root}/parsed", batch_id)
     finally:
@@ -74,12 +74,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
 
 
 def unread_files(spark: SparkSession, source: str, root: str) -> DataFrame:
-    """Files of ``source`` that gave no row, with a reason: damaged ones are passed over while streaming."""
-    seen = spark.read.parquet(f"{root}/files").select("path").distinct()
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
+    """Files of ``source`` that gave no row or fewer than their footer counts, with a reason: streaming passes over what is damaged."""
     plain = lambda c: F.regexp_replace(c, r"\Afile:/+", "/")
-    left = listed.withColumn("__p", plain("path")).join(seen.select(plain("path").alias("__p")), "__p", "left_anti").drop("__p")
-    return left.withColumn("reason", F.lit("unreadable_or_empty_file"))
+    # A retried batch overwrites its folder, and a file is read in one batch.
+    seen = spark.read.parquet(f"{root}/files").groupBy(plain("path").alias("__p")).agg(F.sum("rows").alias("rows"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(source).select("path", "length", plain("path").alias("__p"))
+    # A count without columns takes the footers' row counts and reads no data.
+    footers = spark.read.schema(DOCUMENT_STREAM).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(source)
+    expected = footers.groupBy(plain("_metadata.file_path").alias("__p")).agg(F.count("*").alias("expected"))
+    judged = listed.join(seen, "__p", "left").join(expected, "__p", "left").withColumn(
+        "reason",
+        F.when(F.col("rows").isNull(), "unreadable_or_empty_file").when(F.col("expected").isNull() | (F.col("rows") < F.col("expected")), "partly_read_file"),
+    )
+    return judged.where("reason is not null").select("path", "length", "reason")
 
 
 def ingest_stream(
@@ -87,7 +94,7 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start ingest of Parquet document files arriving in ``source``; runs until caught up.
 
-    A damaged file does not stop the stream; ``unread_files`` lists it.
+    A damaged file does not stop the stream; ``unread_files`` lists it, also if some of its rows were read.
     """
     arriving = (
         spark.readStream.schema(DOCUMENT_STREAM)

@@ -135,6 +135,29 @@ def test_newest_by_arrival_and_damaged_files(spark, tmp_path):
     assert [os.path.basename(r["path"]) for r in N.unread_files(spark, str(source), root).collect()] == ["damaged.parquet"]
 
 
+def test_partly_read_file_is_listed(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    os.makedirs(source)
+    rows = [{"document_id": i, "kb_id": 1, "name": f"n{i}", "file_type": "txt", "tags": ["t"], "content": f"text {i}"} for i in range(40)]
+    schema = pa.schema([("document_id", pa.int64()), ("kb_id", pa.int64()), ("name", pa.string()), ("file_type", pa.string()), ("tags", pa.list_(pa.string())), ("content", pa.string())])
+    for name, part in (("whole", rows[:20]), ("partly", rows[20:])):
+        pq.write_table(pa.Table.from_pylist(part, schema), source / f"{name}.parquet", row_group_size=10)
+    second = pq.ParquetFile(source / "partly.parquet").metadata.row_group(1)
+    begin = min(second.column(i).dictionary_page_offset or second.column(i).data_page_offset for i in range(second.num_columns))
+    data = bytearray((source / "partly.parquet").read_bytes())
+    data[begin : begin + second.total_byte_size // 2] = b"\xff" * (second.total_byte_size // 2)
+    (source / "partly.parquet").write_bytes(bytes(data))
+    N.ingest_stream(spark, str(source), kbs(spark), root, str(tmp_path / "cp")).awaitTermination()
+    read = {r["document_id"] for r in N.current_chunks(spark, root).collect()}
+    assert set(range(20)) < read < set(range(40))
+    assert [(os.path.basename(r["path"]), r["reason"]) for r in N.unread_files(spark, str(source), root).collect()] == [("partly.parquet", "partly_read_file")]
+
+
 def test_progress_stream(spark, tmp_path):
     schema = "document_id long, stage string, progress int, at long"
     rows = [(1, "queued", 10, 1), (1, "completed", 100, 5), (2, "parsing", 24, 3), (1, "parsing", 24, 2)]
