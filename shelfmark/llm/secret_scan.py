@@ -3,8 +3,8 @@
 Three base patterns find assignments, access keys and hexadecimal strings. Beyond them,
 candidate strings are judged by Shannon entropy: a window of fixed width slides over each
 candidate, the counts of its characters are kept incrementally, and windows whose entropy
-reaches the threshold of the candidate's character class are joined into a span. Spans on
-an allow list, and spans that lie wholly inside a base span, are not added.
+reaches the threshold of the candidate's character class are joined into a span. Parts of a
+candidate that hold a placeholder word are left out, the rest is judged. Spans on an allow list, and spans that lie wholly inside a base span, are not added.
 
 Positions count code points; ends are exclusive. A null text counts as empty and has no
 spans. Very long texts are read whole; the window state is a table of counts.
@@ -50,8 +50,10 @@ ALLOW = (
     r"[0-9+=_-]+",
     r"[a-z]+([/_-][a-z]+)*=*",
     r"[A-Z]+([/_-][A-Z]+)*=*",
-    r"(?i:.*(example|placeholder|changeme|dummy|xxxxx|abcdefghijklm|0123456789).*)",
 )
+#: Words that mark the part of a candidate between separators that holds them as a placeholder; the other parts are judged.
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|xxxxx|abcdefghijklm|0123456789", re.IGNORECASE)
+PART = re.compile(r"[^/=_+-]+")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
 
@@ -74,7 +76,7 @@ def dense_windows(value: str, width: int, bits: float) -> Iterator[tuple[int, in
     With counts c and width w, entropy is log2(w) - sum(c * log2(c)) / w. The sum
     changes by two terms when the window moves by one character.
     """
-    term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     limit = width * (math.log2(width) - bits) + 1e-9
     counts: dict[str, int] = {}
     total, begin, until = 0.0, -1, -1
@@ -97,6 +99,17 @@ def dense_windows(value: str, width: int, bits: float) -> Iterator[tuple[int, in
         yield begin, until
 
 
+def unmarked(value: str) -> Iterator[tuple[int, int]]:
+    """Ranges of ``value`` between the parts that hold a placeholder word."""
+    at = 0
+    if PLACEHOLDER.search(value):
+        for m in PART.finditer(value):
+            if PLACEHOLDER.search(m[0]):
+                yield at, m.start()
+                at = m.end()
+    yield at, len(value)
+
+
 def entropy_spans(text: str, rule: EntropyRule, allowed) -> list[tuple[str, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
@@ -104,7 +117,8 @@ def entropy_spans(text: str, rule: EntropyRule, allowed) -> list[tuple[str, int,
         if allowed(value):
             continue
         kind, bits = ("entropy_hex", rule.hex_bits) if HEX_ONLY(value) else ("entropy_base64", rule.base64_bits)
-        found += [(kind, m.start() + a, m.start() + b) for a, b in dense_windows(value, rule.width, bits) if not allowed(value[a:b])]
+        for lo, hi in unmarked(value):
+            found += [(kind, m.start() + lo + a, m.start() + lo + b) for a, b in dense_windows(value[lo:hi], rule.width, bits) if not allowed(value[lo + a : lo + b])]
     return found
 
 

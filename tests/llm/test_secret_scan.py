@@ -55,6 +55,14 @@ def test_added_spans_and_allow_list():
     assert [x[0] for x in inside] == ["assign"]
 
 
+def test_a_placeholder_word_hides_its_own_part_only():
+    key = "q7Zp2Lk9Xv4Rt8Wn3Bm6Yc5Hd1Gf0Js"
+    for text in (f"example-bucket/{key}", f"DUMMY_OLD/{key}", f"{key}/placeholder"):
+        assert key not in S.redacted(text, S.all_spans(text))
+    assert S.all_spans(f"key EXAMPLE{key}") == []
+    assert S.all_spans("example/Zz" + "q" * 30) == []
+
+
 def test_table(spark):
     rows = [(1, "token = abcdef123", 5), (1, "token = abcdef123", 5), (2, None, 6), (3, "", 7), (4, "x" * 300_000 + " AKIA" + "A" * 20, 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
