@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, chat, fuzzy_lines, neighbours, ngram_join, packing, quality_classifier, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, chat, fuzzy_lines, neighbours, ngram_join, packing, phrases, quality_classifier, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -171,3 +171,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(documents, training_labels(table(spark, sf_dir, "labels")))
     scored = quality_classifier.score(documents, model)
     return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+#: Phrases of 1 to 4 words within pieces, their counts, the lowest cut of each, and the best 2000 of each language.
+ORACLES["op11_phrases"] = r"""WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::bigint AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, w[i:i + k - 1] AS ws, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 30),
+named AS (SELECT lang, k AS m, ws, array_to_string(ws, ' ') AS phrase, f FROM counts),
+cuts AS (SELECT lang, m, ws, phrase, f, unnest(range(1, m)) AS k FROM named WHERE m >= 2),
+scored AS (
+  SELECT c.lang, c.phrase, c.m, c.f AS a, c.k, l.f AS l, r.f AS r, ((2000000::hugeint * c.f) // (l.f::hugeint + r.f))::bigint AS score
+  FROM cuts c JOIN named l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN named r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, f, ws, m, s, unnest(range(1, m - s + 2)) AS i FROM named, (SELECT unnest(range(2, 4)) AS s) WHERE m > s),
+holders AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS within FROM parts GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN holders h USING (lang, phrase) WHERE h.within IS NULL OR 100 * h.within::hugeint < 80 * o.a::hugeint)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
