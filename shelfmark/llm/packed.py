@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 #: Words to a block.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
 
 
 def pack(values: np.ndarray) -> bytes:
