@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, chat, fuzzy_lines, neighbours, ngram_join, packing, phrases, quality_classifier, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, chat, conversation_repair, fuzzy_lines, neighbours, ngram_join, packing, phrases, quality_classifier, quality_rules, repeated_spans, secret_scan
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -201,3 +201,66 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best collocations of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def _least_way(s: str, moves: list[tuple[str, str, str]]) -> str:
+    """SQL of the least of some ways: (state before, added cost, edit), as strings that sort by cost and audit."""
+    ways = [f"format('{{:09d}}', {s}[{q}][1:9]::bigint + {cost}) || {s}[{q}][10:] || '{edit}'" for q, cost, edit in moves]
+    return ", ".join(ways)
+
+
+def _repair_sql() -> str:
+    """Plain dynamic programming over the rows of each conversation: four ways, one to each state, row by row."""
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+    more = "3 * x[3]::int"
+    when = lambda test, state, cost, edit: f"CASE WHEN x[2] = '0' AND {test} THEN {_least_way('s', [(state, cost, edit)])} END"
+    delete = lambda q: _least_way("s", [(q, "4", "D")])
+    to_user = ", ".join(f"{when("x[1] = 'u'", q, more, 'K')}, {when('true', q, f'3 + {more}', 'R')}" for q in "124")
+    rows = f"[{delete('1')}, least({delete('2')}, {when("x[1] = 's'", '1', more, 'K')}), least({delete('3')}, {to_user}), least({delete('4')}, {when("x[1] = 'a'", '3', more, 'K')}, {when('true', '3', f'3 + {more}', 'R')})]"
+    users = f"[s[1], s[2], least(s[3], {_least_way('s', [('1', '3', 'I'), ('2', '3', 'I'), ('4', '3', 'I')])}), s[4]]"
+    helpers = f"[s[1], s[2], s[3], least(s[4], {_least_way('s', [('3', '3', 'I')])})]"
+    return rf"""WITH keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, {crc} % 20 AS kind FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (
+  SELECT *, substr(role, 1, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt),
+judged AS (
+  SELECT *, body = '' AS blank, body <> '' AND nth > 1 AS same, body <> '' AND nth = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM placed),
+convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (same) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([ini, (blank OR same)::int::varchar, cut::int::varchar] ORDER BY i) AS items FROM judged GROUP BY conv_id),
+ways AS (
+  SELECT * EXCLUDE items, list_reduce(
+    list_prepend(['000000000', NULL, NULL, NULL], flatten(list_prepend([['+u'], ['+a']], list_transform(items, lambda x: [x, ['+u'], ['+a']])))),
+    lambda s, x: CASE x[1] WHEN '+u' THEN {users} WHEN '+a' THEN {helpers} ELSE {rows} END) AS s FROM convs),
+best AS (SELECT * EXCLUDE s, least(s[1], s[4]) AS way FROM ways),
+letters AS (SELECT conv_id, way[10:] AS audit, unnest(range(1, len(way) - 8)) AS p FROM best),
+edits AS (SELECT conv_id, p, audit[p] AS e, count(*) FILTER (audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM letters),
+staying AS (
+  SELECT e.conv_id, p, e, role, text, ini, row_number() OVER (PARTITION BY e.conv_id ORDER BY p) AS nth
+  FROM edits e LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM e.conv_id AND j.i = e.i AND e.e <> 'I' WHERE e <> 'D'),
+shifted AS (SELECT *, max((nth = 1 AND e = 'K' AND ini = 's')::int) OVER (PARTITION BY conv_id) AS o FROM staying),
+turns AS (SELECT conv_id, p, CASE WHEN e = 'K' THEN role WHEN (nth - o) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line FROM shifted),
+repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS lines FROM turns GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated,
+  coalesce(illegal, 0)::bigint AS illegal, coalesce(way[1:9]::bigint, 0) AS cost, coalesce(way[10:], '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN repaired r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_sql()
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planted faults."""
+    hurt = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repaired_digest(hurt)
