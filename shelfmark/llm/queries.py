@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import byte_bpe, chat, conversation_repair, fuzzy_lines, neighbours, ngram_join, packing, phrases, quality_classifier, quality_rules, repeated_spans, secret_scan
+from shelfmark.llm import byte_bpe, chat, conversation_repair, fuzzy_lines, neighbours, ngram_join, packing, phrases, quality_classifier, quality_rules, repeated_spans, secret_scan, subword_lm
 from shelfmark.llm.scratch import written
 from shelfmark.session import configure
 
@@ -203,6 +203,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+@query
+def op12_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the word and the subword model."""
+    vocab = subword_lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return subword_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+
+
 def _least_way(s: str, moves: list[tuple[str, str, str]]) -> str:
     """SQL of the least of some ways: (state before, added cost, edit), as strings that sort by cost and audit."""
     ways = [f"format('{{:09d}}', {s}[{q}][1:9]::bigint + {cost}) || {s}[{q}][10:] || '{edit}'" for q, cost, edit in moves]
