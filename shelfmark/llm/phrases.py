@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import packed
-from shelfmark.llm.packed import look_up, pack, unpack
+from shelfmark.llm.packed import look_up, pack, pack_sorted, unpack, unpack_sorted
 from shelfmark.llm.scratch import written
 from shelfmark.llm.words import LOWER, blocks, mix, text_bytes
 
@@ -48,7 +48,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Parts into which the last ranking of a language is dealt first.
 RANK_PARTS = 64
 
-_BASE = "block long, base_slots binary, base_ids binary, base_keys binary"
+_BASE = "block long, size long, base_slots binary, base_ids binary, base_keys binary"
 _RELATION = f"{_BASE}, slots binary, ids binary, keys binary"
 _FOUND = f"{_RELATION}, found array<struct<key: long, first: long, last: long, lang: string, word: string, f: long>>"
 
@@ -97,7 +97,8 @@ class _Held:
         code = {x: k for k, x in enumerate(kinds)}
         return {
             "block": block,
-            "slots": pack(np.diff(np.concatenate(self.slots), prepend=0)),
+            "size": self.n,
+            "slots": pack_sorted(np.concatenate(self.slots)),
             "ids": pack(ids),
             "keys": pack(keys),
             "words": pack(np.frombuffer(b" ".join(self.names[p] for p in place), dtype=np.uint8)),
@@ -106,7 +107,7 @@ class _Held:
         }
 
 
-_WORDS = "block long, slots binary, ids binary, keys binary, words binary, langs binary, n array<struct<lang: string, n: long>>"
+_WORDS = "block long, size long, slots binary, ids binary, keys binary, words binary, langs binary, n array<struct<lang: string, n: long>>"
 
 
 def occurrences(documents: DataFrame, text: str, lang: str, block_words: int) -> DataFrame:
@@ -131,20 +132,17 @@ def occurrences(documents: DataFrame, text: str, lang: str, block_words: int) ->
     return rows.where("text is not null").mapInArrow(run, _WORDS)
 
 
-def _counts(block: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], ["block", "key", "n"])
-
-
-_COUNTS = "block long, key long, n int"
-
-
 def word_counts(words: DataFrame) -> DataFrame:
+    arrow, ranges = packed.arrow_schema(packed.REPORT), packed.ranges_for(packed.entries(words))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _counts(row["block"], unpack(row["keys"], np.uint64), np.bincount(unpack(row["ids"], np.uint32)))
+                keys, counts = unpack(row["keys"], np.uint64), np.bincount(unpack(row["ids"], np.uint32))
+                order = np.argsort(keys)
+                yield packed.report_batch(packed.reports(row["block"], keys[order], counts[order], ranges), arrow)
 
-    return words.select("block", "ids", "keys").mapInArrow(run, _COUNTS)
+    return words.select("block", "ids", "keys").mapInArrow(run, packed.REPORT)
 
 
 def frequent_words(row: dict, keys: np.ndarray, total: np.ndarray, own: np.ndarray) -> list[dict]:
@@ -154,7 +152,7 @@ def frequent_words(row: dict, keys: np.ndarray, total: np.ndarray, own: np.ndarr
     ids = unpack(row["ids"], np.uint32)
     kept = (at >= 0)[ids]
     number = np.cumsum(at >= 0) - 1
-    slots = np.cumsum(unpack(row["slots"], np.int64))[kept]
+    slots = unpack_sorted(row["slots"], np.int64)[kept]
     names, langs = unpack(row["words"], np.uint8).tobytes().split(b" "), unpack(row["langs"], np.uint32)
     kinds = [x["lang"] for x in row["n"]]
     named = [i for i in np.flatnonzero(at >= 0) if own[at[i]]]
@@ -163,16 +161,16 @@ def frequent_words(row: dict, keys: np.ndarray, total: np.ndarray, own: np.ndarr
 
 
 def _relation(block: int, base: tuple, level: tuple | None, found: list[dict]) -> dict:
-    out = {"block": block, "found": found}
+    out = {"block": block, "size": len((level or base)[0]), "found": found}
     for prefix, part in (("base_", base), ("", level)):
         slots, ids, keys = part or base
         if prefix or part is not None:
-            out |= {f"{prefix}slots": pack(np.diff(slots, prepend=0)), f"{prefix}ids": pack(ids), f"{prefix}keys": pack(keys)}
+            out |= {f"{prefix}slots": pack_sorted(slots), f"{prefix}ids": pack(ids), f"{prefix}keys": pack(keys)}
     return out
 
 
 def _part(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.cumsum(unpack(row[f"{prefix}slots"], np.int64)), unpack(row[f"{prefix}ids"], np.uint32), unpack(row[f"{prefix}keys"], np.uint64)
+    return unpack_sorted(row[f"{prefix}slots"], np.int64), unpack(row[f"{prefix}ids"], np.uint32), unpack(row[f"{prefix}keys"], np.uint64)
 
 
 def extend(row: dict, width: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,13 +188,15 @@ def extend(row: dict, width: int) -> tuple[tuple, np.ndarray, np.ndarray, np.nda
 
 
 def extended_counts(relations: DataFrame, width: int) -> DataFrame:
+    arrow, ranges = packed.arrow_schema(packed.REPORT), packed.ranges_for(packed.entries(relations))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, made, _, _ = extend(row, width)
-                yield _counts(row["block"], *np.unique(made, return_counts=True))
+                yield packed.report_batch(packed.reports(row["block"], *np.unique(made, return_counts=True), ranges), arrow)
 
-    return relations.drop("found").mapInArrow(run, _COUNTS)
+    return relations.drop("found", "size").mapInArrow(run, packed.REPORT)
 
 
 def frequent_phrases(width: int):
@@ -232,13 +232,13 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", least:
     words = written(occurrences(documents, text, lang, block_words), "words")
     n = words.select(F.explode("n").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
     enough = written(packed.totals(word_counts(words), least), "frequent")
-    relations = written(packed.answered(words, enough, [*words.columns[1:]], frequent_words, _FOUND), "relation")
+    relations = written(packed.answered(words, enough, words.columns[2:], frequent_words, _FOUND), "relation")
     single = relations.select(F.inline("found")).select("key", "lang", "word", "f")
     level = single.select("key", "lang", F.array("word").alias("words"), "f")
     out = level
     for width in range(1, longest):
         enough = written(packed.totals(extended_counts(relations, width), least), "frequent")
-        relations = written(packed.answered(relations, enough, [*relations.columns[1:-1]], frequent_phrases(width), _FOUND), "relation")
+        relations = written(packed.answered(relations, enough, relations.columns[2:-1], frequent_phrases(width), _FOUND), "relation")
         made = relations.select(F.inline("found")).select("key", "first", "last", "f")
         before = level.select(F.col("key").alias("first"), "lang", "words")
         named = made.join(before, "first").join(single.select(F.col("key").alias("last"), "word"), "last")

@@ -232,7 +232,7 @@ def chunk_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(_BYTE[data] * powers(int(lengths.max()))[inside], starts) + lengths.astype(np.uint64))
 
 
-_BLOCK = "block long, ids array<{key}>, held array<boolean>, word_first binary, word_ids binary, word_keys binary, word_n binary, chunk_first binary, chunk_ids binary, chunk_data binary, chunk_lengths binary, chunk_n binary"
+_BLOCK = "block long, size long, ids array<{key}>, held array<boolean>, word_first binary, word_ids binary, word_keys binary, word_n binary, chunk_first binary, chunk_ids binary, chunk_data binary, chunk_lengths binary, chunk_n binary"
 
 
 class _Held:
@@ -275,7 +275,7 @@ class _Held:
     def row(self, block: int) -> dict:
         held = np.concatenate(self.held)
         first, ids, keys, _, n = self._merged(self.words, held)
-        out = {"block": block, "ids": self.ids, "held": held.tolist(), "word_first": pack(first), "word_ids": pack(ids), "word_keys": pack(keys), "word_n": pack(n)}
+        out = {"block": block, "size": self.n, "ids": self.ids, "held": held.tolist(), "word_first": pack(first), "word_ids": pack(ids), "word_keys": pack(keys), "word_n": pack(n)}
         first, ids, _, place, n = self._merged(self.chunks, held)
         tiles = pa.chunked_array(self.bytes, pa.binary()).combine_chunks().take(pa.array(place)) if len(place) else pa.array([], pa.binary())
         data, offsets = text_bytes(tiles.view(pa.string()))
@@ -307,15 +307,17 @@ def encoded(documents: DataFrame, key: str, text: str, vocab: Vocabulary, block_
 
 
 def word_counts(held: DataFrame) -> DataFrame:
-    """(block, key, n): training count of every word of every block, 0 where only held-out texts have it."""
+    """Reports of the training count of every word of every block, 0 where only held-out texts have it."""
+    arrow, ranges = packed.arrow_schema(packed.REPORT), packed.ranges_for(packed.entries(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, n = unpack(row["word_keys"], np.uint64), unpack(row["word_n"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"])), pa.array(keys.view(np.int64)), pa.array(n)], ["block", "key", "n"])
+                order = np.argsort(keys)
+                yield packed.report_batch(packed.reports(row["block"], keys[order], n[order], ranges), arrow)
 
-    return held.select("block", "word_keys", "word_n").mapInArrow(run, "block long, key long, n long")
+    return held.select("block", "word_keys", "word_n").mapInArrow(run, packed.REPORT)
 
 
 def _distinct_chunks(row: dict) -> Chunks:
@@ -365,9 +367,9 @@ def score(documents: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: st
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Scores are log10 probabilities."""
     held = written(encoded(documents, key, text, vocab, block_words), "texts")
     counts = written(packed.totals(word_counts(held)), "word-counts")
-    known = counts.where("own").agg(F.count("*").alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    n_known, n_words = packed.owned(counts)
     ends = held.select(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("n")).first()["n"]
-    train_tokens, kinds = known["n"] + ends, known["v"] + (ends > 0)
+    train_tokens, kinds = n_words + ends, n_known + (ends > 0)
     shares, end = learn(written(chunk_counts(held), "chunks"), ends, vocab, iterations)
     shares = shares * (1 - end)
     kind = held.schema["ids"].dataType.elementType.simpleString()
@@ -392,14 +394,14 @@ def score(documents: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: st
         owner = np.repeat(np.arange(n_texts), sizes)
         logs = np.bincount(owner, weights=np.log10(count + 1.0)[ids], minlength=n_texts) + np.log10(ends + 1.0)
         base = logs - (sizes + 1) * np.log10(float(train_tokens + kinds + 1))
-        n_known = np.bincount(owner, weights=(count > 0)[ids], minlength=n_texts).astype(np.int64) + (ends > 0)
+        seen = np.bincount(owner, weights=(count > 0)[ids], minlength=n_texts).astype(np.int64) + (ends > 0)
         sums = unpack(row["lattice"], np.float64)
         return [
             {"id": i, "held_out": h, "n_tokens": int(n) + 1, "n_known": int(k), "train_tokens": train_tokens, "base_score": float(b), "score": float(s)}
-            for i, h, n, k, b, s in zip(row["ids"], row["held"], sizes, n_known, base, sums)
+            for i, h, n, k, b, s in zip(row["ids"], row["held"], sizes, seen, base, sums)
         ]
 
-    scored = held.drop("word_n", "chunk_n").mapInArrow(lattice, with_lattice)
+    scored = held.drop("size", "word_n", "chunk_n").mapInArrow(lattice, with_lattice)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = packed.answered(scored, counts, [*scored.columns[1:]], answer, schema)
+    out = packed.answered(scored, counts, scored.columns[1:], answer, schema)
     return out.withColumnRenamed("id", key)
