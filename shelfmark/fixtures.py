@@ -23,10 +23,12 @@ STATUS_CYCLE = ["completed", "completed", "completed", "pending", "processing",
 def dealt(df: DataFrame) -> DataFrame:
     """Test tables are one row group each; deal such a scan out to all cores.
 
-    Decided by the number of scan tasks, so a table of many splits is never shuffled.
+    Decided by the number of scan tasks that hold rows (a file has splits without a row
+    group of their own), so a table of many row groups is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    filled = df.select(F.spark_partition_id().alias("task")).distinct().limit(cores).count()
+    return df.repartition(cores) if filled < cores else df
 
 
 def pick(values: list[str], position):

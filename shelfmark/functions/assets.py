@@ -46,7 +46,7 @@ def asset_id(document_id: Column, asset_index: Column) -> Column:
 def url_id(document_id: Column) -> Column:
     """A document id as asset URLs hold it: itself if it has the shape, else derived from it."""
     text = document_id.cast("string")
-    return F.when(text.rlike(rf"\\A{_UUID}\\z"), F.lower(text)).otherwise(_uuid_shape(F.sha2(text, 256)))
+    return F.when(text.rlike(rf"\A{_UUID}\z"), F.lower(text)).otherwise(_uuid_shape(F.sha2(text, 256)))
 
 
 def asset_keys(content: Column) -> Column:

@@ -38,6 +38,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """``value``, computed a single time per row however often the column is used.
+
+    To the optimizer it is not deterministic, so it stays in a projection of its own:
+    no filter and no later projection repeats it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of whitespace on both sides."""
     return F.regexp_replace(col, rf"\A{WS}+|{WS}+\z", "")
@@ -169,6 +178,7 @@ def bound_input(col: Column, max_chars: int = DEFAULT_MAX_INPUT_CHARS) -> Column
 
 # --- content kinds ----------------------------------------------------------
 
+# What counts as HTML or Markdown.
 _HTML_TAGS = "html|body|main|article|section|h[1-6]|p|table|ul|ol|pre|blockquote"
 _HEADING_LINE = rf"(?md)^#{{1,6}}{WS}+{NON_WS}"
 _IMAGE_REF = r"!\[[^\]]*\]\([^)]+\)"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions.assets import asset_id, asset_url, url_id
 from shelfmark.functions.hashing import chunk_id, text_hash
-from shelfmark.functions.text import paragraphs, strip, tokenize
+from shelfmark.functions.text import once, paragraphs, tokenize
 from shelfmark.operators.chunking import CHUNK_FIELDS, merge_block_arrays, window_array
 from shelfmark.operators.parsing import (
     asset_rows,
@@ -127,7 +127,8 @@ def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, Block
     size, overlap = F.coalesce("chunk_size", F.lit(1)), F.coalesce("chunk_overlap", F.lit(0))
     filled = filled.withColumn("__merged", merge_block_arrays(F.col("__blocks"), size, overlap))
     merged = F.col("__merged")
-    windows = window_array(tokenize(F.when(usable & (route == "text"), text).otherwise(F.lit(""))), size, overlap)
+    filled = filled.withColumn("__tokens", once(tokenize(F.when(usable & (route == "text"), text).otherwise(F.lit("")))))
+    windows = window_array(F.col("__tokens"), size, overlap)
     kind = T.ArrayType(T.StructType([f for f in CHUNK_FIELDS if f.name != "opener"]))
     null = F.lit(None)
     plain = F.transform(
@@ -135,7 +136,7 @@ def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, Block
         lambda w, i: F.struct(i.alias("chunk_index"), w.alias("content"), F.lit("text").alias("chunk_type"), null.alias("page_num"), null.alias("bbox"), F.lit('{"block_type":"text"}').alias("attrs")),
     ).cast(kind)
     structured = F.transform(merged, lambda c: F.struct(*[c[f.name].alias(f.name) for f in kind.elementType.fields])).cast(kind)
-    made = filled.withColumn("made", F.when(route == "text", plain).otherwise(structured))
+    made = filled.withColumn("made", once(F.when(route == "text", plain).otherwise(structured)))
     empty = F.when(usable & (F.size("made") == 0), F.when(route == "layout", "empty_layout").otherwise("empty_document"))
     base = F.col("metadata").cast("string") if "metadata" in docs.columns else F.lit(None).cast("string")
     return made.select(
