@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,10 +11,11 @@ from shelfmark.checks.base import check
 from shelfmark.functions.text import parsed_content_type
 from shelfmark.operators import filters as B
 from shelfmark.operators import governance as G
+from shelfmark.session import private_folder
 from shelfmark.sources import sinks as S
 from shelfmark.sources.tables import read_table
 from shelfmark.streaming import ingest as N
-from shelfmark.streaming.ratelimit import rate_limit
+from shelfmark.streaming.ratelimit import admission_sink, rate_limit
 
 big = "bigint"
 
@@ -395,23 +396,58 @@ def _(spark, sf):
   SELECT user_id, ['queued', 'parsing', 'chunking', 'completed'][(event_id % 4)::int + 1] AS stage, [10, 24, 40, 100][(event_id % 4)::int + 1] AS p, epoch_us(ts) AS k FROM events) GROUP BY user_id""",
 )
 def _(spark, sf):
-    e = read_table(spark, sf, "events").withColumnRenamed("user_id", "document_id")
+    return N.latest_progress(event_stages(read_table(spark, sf, "events"))).select("document_id", "stage", F.col("progress").cast(big).alias("progress"))
+
+
+def event_stages(events):
+    """Events as milestones of as many documents as there are users."""
+    e = events.withColumnRenamed("user_id", "document_id")
     stages = ["queued", "parsing", "chunking", "completed"]
     rows = None
     for n, stage in enumerate(stages):
         part = N.stage_rows(e.where(F.col("event_id") % 4 == n), stage, F.col("ts"))
         rows = part if rows is None else rows.unionByName(part)
-    return N.latest_progress(rows).select("document_id", "stage", F.col("progress").cast(big).alias("progress"))
+    return rows
 
 
 def work_folder(spark, name):
-    """A fresh folder next to the checkpoints of the cluster, or a private one in tests."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"shelfmark-{name}-")
-    import uuid
+    """A fresh folder next to the checkpoints of the cluster, or a private one on a single machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or private_folder(spark.sparkContext.master)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def in_turns(df, order, folder, parts=3):
+    """Write ``df`` as a folder of files that arrive one after another, and open it as a stream of one file at a time."""
+    bounds = df.select(F.percentile_approx(order, [n / parts for n in range(1, parts)], 10_000).alias("b")).first()["b"] or []
+    for lo, hi in zip([None, *bounds], [*bounds, None]):
+        above, below = F.lit(True) if lo is None else F.col(order) > lo, F.lit(True) if hi is None else F.col(order) <= hi
+        df.where(above & below).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+@check("rate_limit_stream", "SELECT key, event_id, ts_ms, allowed, retry_after::bigint AS retry_after FROM limit_steps", ("limit_steps",))
+def _(spark, sf):
+    """The batch decisions, made by a stream of files in time order with text keys."""
+    root = work_folder(spark, "admission")
+    e = read_table(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("key"), "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ts_ms")
+    )
+    admission_sink(in_turns(e, "ts_ms", f"{root}/arriving"), 3, 3600, f"{root}/out", f"{root}/cp").awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.withColumns({"key": F.substring("key", 2, 20).cast(big), "retry_after": F.col("retry_after").cast(big)})
+
+
+@check(
+    "progress_stream",
+    """SELECT user_id AS document_id, max_by(stage, k) AS stage, max_by(p, k)::bigint AS progress FROM (
+  SELECT user_id, ['queued', 'parsing', 'chunking', 'completed'][(event_id % 4)::int + 1] AS stage, [10, 24, 40, 100][(event_id % 4)::int + 1] AS p, epoch_us(ts) AS k FROM events) GROUP BY user_id""",
+)
+def _(spark, sf):
+    """The latest milestone of each document, kept by a stream whose files arrive out of order."""
+    root = work_folder(spark, "progress")
+    rows = event_stages(read_table(spark, sf, "events")).withColumn("turn", F.pmod(F.xxhash64("document_id", "at"), F.lit(1000)))
+    N.progress_sink(in_turns(rows, "turn", f"{root}/arriving"), f"{root}/out", f"{root}/cp").awaitTermination()
+    return N.current_progress(spark, f"{root}/out").select("document_id", "stage", F.col("progress").cast(big).alias("progress"))
 
 
 @check(

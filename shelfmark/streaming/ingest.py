@@ -6,9 +6,13 @@ manifest of the documents it replaced, so a retry overwrites its own output only
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from datetime import datetime, timezone
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from shelfmark.functions.progress import STAGE_PROGRESS
 from shelfmark.operators.governance import batch_dedup, find_duplicates
@@ -38,7 +42,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
 
     Every row ends in ``rejected`` (no id, KB or content) or its document in ``manifest``,
     as completed or failed. Documents are parsed once: the parsed rows are written and
-    the other tables are made from what was written.
+    the other tables are made from what was written. ``stages`` gets every milestone that a
+    document has reached, with the time of the step.
     """
     bad = (
         F.when(F.col("document_id").isNull(), "missing_document_id")
@@ -46,6 +51,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
         .when(F.col("content").isNull(), "missing_content")
     )
     spark = batch.sparkSession
+    times = {"begun": datetime.now(timezone.utc)}
     # The batch feeds several writes; it is bounded by the source's rate options.
     checked = batch.withColumn("reason", bad).persist()
     try:
@@ -55,11 +61,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
             write_batch(checked.groupBy(F.col("arrival.path").alias("path")).agg(F.count("*").alias("rows")), f"{root}/files", batch_id)
         good = _newest(checked.where("reason is null").drop("reason"))
         write_batch(parse_documents(good, kbs), f"{root}/parsed", batch_id)
+        times["parsed"] = datetime.now(timezone.utc)
     finally:
         checked.unpersist()
     done = split(spark.read.parquet(f"{root}/parsed/{BATCH}={batch_id}"))
     write_batch(done.chunks, f"{root}/chunks", batch_id, ("kb_id",))
     write_batch(done.assets, f"{root}/assets", batch_id)
+    times["stored"] = datetime.now(timezone.utc)
     manifest = done.outcomes.select(
         "document_id",
         "status",
@@ -68,9 +76,29 @@ def ingest_batch(batch: DataFrame, batch_id: int, kbs: DataFrame, root: str) ->
         "chunk_count",
     )
     write_batch(manifest, f"{root}/manifest", batch_id)
-    now = F.current_timestamp()
-    ended = manifest.where("status = 'completed'"), manifest.where("status = 'failed'")
-    write_batch(stage_rows(ended[0], "completed", now).unionByName(stage_rows(ended[1], "failed", now)), f"{root}/stages", batch_id)
+    times["ended"] = datetime.now(timezone.utc)
+    write_batch(milestones(manifest, times), f"{root}/stages", batch_id)
+
+
+#: Milestones of ingest by the step after which they are reached. Dense vectors come from outside.
+REACHED = {
+    "begun": ("queued", "reading_source"),
+    "parsed": ("parsing", "chunking", "chunks_ready"),
+    "stored": ("storing_assets", "embedding", "storing_chunks"),
+    "ended": ("indexing",),
+}
+
+
+def milestones(manifest: DataFrame, times: Mapping[str, datetime]) -> DataFrame:
+    """Every milestone of every document of a batch; a failed document stops after parsing."""
+
+    def rows(names, step: str) -> list:
+        at = F.lit(times[step]).cast("timestamp")
+        return [F.struct(F.lit(n).alias("stage"), F.lit(STAGE_PROGRESS[n]).alias("progress"), at.alias("at")) for n in names]
+
+    done = F.array(*[r for step, names in REACHED.items() for r in rows(names, step)], *rows(["completed"], "ended"))
+    failed = F.array(*rows(REACHED["begun"], "begun"), *rows(["parsing"], "parsed"), *rows(["failed"], "ended"))
+    return manifest.select("document_id", F.inline(F.when(F.col("status") == "completed", done).otherwise(failed)))
 
 
 def unread_files(spark: SparkSession, source: str, root: str) -> DataFrame:
@@ -181,3 +209,48 @@ def progress_stream(stages: DataFrame, checkpoint: str, table: str) -> Streaming
         .trigger(availableNow=True)
         .start()
     )
+
+
+class LatestStage(StatefulProcessor):
+    """The latest milestone of a document, as value state; a row goes out when it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "at timestamp, progress int, stage string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.latest.get()) if self.latest.exists() else None
+        best = old
+        for frame in rows:
+            row = frame.sort_values(["at", "progress", "stage"]).iloc[-1]
+            found = (row["at"].to_pydatetime(), int(row["progress"]), str(row["stage"]))
+            best = found if best is None or found > best else best
+        if best != old:
+            self.latest.update(best)
+            yield pd.DataFrame({"document_id": [key[0]], "stage": [best[2]], "progress": [best[1]], "at": [best[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def progress_sink(stages: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest milestone per document of arriving stage rows (document_id, stage, progress, at) below ``root``.
+
+    Each micro-batch writes the documents that moved on as one batch folder, so a retry
+    overwrites its own; ``current_progress`` reads the newest row of each document. Ids
+    may be of any type; ``at`` is a timestamp.
+    """
+    narrow = stages.select("document_id", "stage", F.col("progress").cast("int").alias("progress"), F.col("at").cast("timestamp").alias("at"))
+    schema = f"document_id {narrow.schema['document_id'].dataType.simpleString()}, stage string, progress int, at timestamp"
+    moved = narrow.groupBy("document_id").transformWithStateInPandas(LatestStage(), schema, "update", "None")
+    return (
+        moved.writeStream.foreachBatch(lambda df, n: write_batch(df, f"{root}/progress", n))
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_progress(spark: SparkSession, root: str) -> DataFrame:
+    """The newest milestone of each document that ``progress_sink`` has written."""
+    return latest_progress(spark.read.parquet(f"{root}/progress").drop(BATCH))

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from shelfmark.streaming import ingest as N
-from shelfmark.streaming.ratelimit import busy_runs, rate_limit, rate_limit_stream
+from shelfmark.streaming import ratelimit as R
+from shelfmark.streaming.ratelimit import admission_sink, rate_limit, rate_limit_stream
 
 
 def limit_reference(events, limit, window_ms):
@@ -34,11 +35,83 @@ def test_rate_limit_equals_one_by_one(spark, limit):
     assert got == limit_reference(rows, limit, 5000)
 
 
-def test_quiet_slots_start_new_runs(spark):
-    df = spark.createDataFrame([(1, 1, 0), (1, 2, 9_999), (1, 3, 15_000), (1, 4, 26_000)], "key long, event_id long, ts_ms long")
-    runs = {r["event_id"]: r["run"] for r in busy_runs(df, 5000).collect()}
-    # slots 0, 1, 3, 5
-    assert runs == {1: 0, 2: 0, 3: 1, 4: 2}
+def busy_key(kind, n=6000):
+    rng = random.Random(3)
+    if kind == "light":  # the guess comes true on the way
+        times = sorted(rng.randrange(0, 4_000_000) for _ in range(n))
+    elif kind == "even":  # two entry states never meet
+        times = [i * 100 for i in range(n)]
+    else:  # many events at one time
+        times = [i // 700 * 900 for i in range(n)]
+    return [("hot", i, t) for i, t in enumerate(times)] + [("cold", n + i, i * 977) for i in range(40)] + [(None, 2 * n + i, i * 400) for i in range(40)]
+
+
+@pytest.mark.parametrize("kind", ["light", "even", "crowded"])
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_a_key_that_holds_most_events_is_dealt_out(spark, kind, rounds, monkeypatch):
+    """Equal to one pass, and no task decides more than its part of the hot key."""
+    rows = busy_key(kind)
+    df = spark.createDataFrame(rows, "key string, event_id long, ts_ms long")
+    sizes = []
+    before = R.entry_states
+
+    def watched(placed, *options):
+        sizes.extend(r["n"] for r in placed.groupBy(R.F.spark_partition_id()).agg(R.F.count("*").alias("n")).collect())
+        return before(placed, *options)
+
+    monkeypatch.setattr(R, "entry_states", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in rate_limit(df, 3, 5, rounds).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == limit_reference([(k or "", i, t) for k, i, t in rows], 3, 5000)
+    assert len(sizes) >= 8 and max(sizes) <= len(rows) / 4
+
+
+def test_events_without_time_and_no_events(spark):
+    df = spark.createDataFrame([(1, 1, None), (1, 2, 5)], "key long, event_id long, ts_ms long")
+    got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in rate_limit(df, 1, 5).collect()}
+    assert got == {1: (None, None), 2: (True, 0)}
+    assert rate_limit(df.limit(0), 1, 5).collect() == []
+
+
+def arriving(spark, rows, schema, folder, parts):
+    """A stream of one micro-batch per part."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"p{n}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def test_rate_limit_stream_of_a_hot_text_key(spark, tmp_path):
+    """More rows of a key in a micro-batch than a frame holds go through map state."""
+    rng = random.Random(2)
+    rows = sorted([(rng.choice(["a", "a", "a", "b"]), i, rng.randrange(0, 90_000)) for i in range(900)], key=lambda e: e[2])
+    stream = arriving(spark, rows, "key string, event_id long, ts_ms long", tmp_path / "in", [rows[:500], rows[500:]])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        admission_sink(stream, 3, 5, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == limit_reference(rows, 3, 5000)
+
+
+def test_idle_state_expires(spark, tmp_path):
+    import time
+
+    rows = [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
+    stream = arriving(spark, rows, "key long, event_id long, ts_ms long", tmp_path / "in", [rows])
+    query = rate_limit_stream(stream, 1, 1, expire_idle=True).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not any(s["numRowsTotal"] == 0 and s["numRowsRemoved"] for p in query.recentProgress for s in p["stateOperators"]):
+            time.sleep(1)
+        assert sorted((r["event_id"], r["allowed"]) for r in spark.table("idle").collect()) == [(1, True), (2, False), (3, False)]
+    finally:
+        query.stop()
 
 
 def test_rate_limit_stream_keeps_state(spark, tmp_path):
