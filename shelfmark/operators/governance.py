@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +61,52 @@ def find_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def batch_dedup(incoming: DataFrame, position: str = "position") -> DataFrame:
+#: Rounds that settle short chains, and rows of a group that one task goes through in order.
+DEDUP_ROUNDS = 2
+DEDUP_SEGMENT = 200_000
+
+
+def _first_come(rows: pa.Table) -> pa.Table:
+    """Rows of one group that are accepted when taken in order of position."""
+    rows = rows.sort_by("__p")
+    names, hashes, kept = set(), set(), []
+    keys = zip(*(rows.column(c).to_pylist() for c in ("kb_id", "name", "file_hash")))
+    for i, (kb, name, digest) in enumerate(keys):
+        if (name is not None and (kb, name) in names) or (digest is not None and (kb, digest) in hashes):
+            continue
+        names.add((kb, name))
+        hashes.add((kb, digest))
+        kept.append(i)
+    return rows.take(kept)
+
+
+def dependent_groups(rows: DataFrame) -> DataFrame:
+    """Add ``__group``: the least position among rows that hang together by names or hashes of their KB.
+
+    Every round takes the least label of each name and of each hash and then the label of
+    that row's own label, so paths shrink by doubling.
+    """
+    labelled = cut_lineage(rows.withColumn("__group", F.col("__p")).withColumn("__moved", F.lit(True)))
+    while not labelled.where("__moved").isEmpty():
+        least = lambda key: labelled.where(F.col(key).isNotNull()).groupBy("kb_id", key).agg(F.min("__group").alias(f"__{key}"))
+        hooked = labelled.join(least("name"), ["kb_id", "name"], "left").join(least("file_hash"), ["kb_id", "file_hash"], "left")
+        hooked = hooked.withColumn("__hook", F.least("__group", "__name", "__file_hash"))
+        leaders = labelled.select(F.col("__p").alias("__hook"), F.col("__group").alias("__next"))
+        jumped = hooked.join(leaders, "__hook")
+        labelled = cut_lineage(jumped.select(*rows.columns, F.col("__next").alias("__group"), (F.col("__next") != F.col("__group")).alias("__moved")))
+    return labelled.drop("__moved")
+
+
+def batch_dedup(incoming: DataFrame, position: str = "position", segment: int = DEDUP_SEGMENT) -> DataFrame:
     """First-come acceptance inside one batch: adds ``reason`` (null when accepted).
 
-    A row is refused when an earlier accepted row of its KB has its name or its
-    hash; refused rows block nobody. Each round settles, for every name and every
-    hash, the earliest open row, so rounds are as many as the longest chain of
-    rows that depend on one another. Only per-value minima are shuffled.
+    A row is refused when an earlier accepted row of its KB has its name or its hash;
+    refused rows block nobody, and a missing name or hash matches nothing. ``position`` is
+    a unique number. Two rounds settle, for every name
+    and every hash, the earliest open row. What is open then hangs in longer chains. The
+    first rows of a chain do not depend on later ones, so the earliest ``segment`` rows of
+    each KB, or of each group of dependent rows where a KB has more open, are gone through
+    in order by one task per group; what they block goes, and the next segment follows.
     """
     def by_name(df: DataFrame, alias: str) -> DataFrame:
         return df.groupBy("kb_id", "name").agg(F.min("__p").alias(alias))
@@ -79,15 +119,37 @@ def batch_dedup(incoming: DataFrame, position: str = "position") -> DataFrame:
         named = df.join(by_name(source, "__named"), ["kb_id", "name"], "left")
         return named.join(by_hash(source, "__hashed"), ["kb_id", "file_hash"], "left")
 
-    p = F.col("__p")
+    def unblocked(df: DataFrame, winners: DataFrame) -> DataFrame:
+        return cut_lineage(looked_up(df, winners).where("__named is null and __hashed is null").select(*columns))
+
+    p, columns = F.col("__p"), ["kb_id", "name", "file_hash", "__p"]
     open_rows = cut_lineage(incoming.select("kb_id", "name", "file_hash", F.col(position).alias("__p")))
     accepted = open_rows.limit(0)
-    while not open_rows.isEmpty():
-        leads = (F.col("__named") == p) & F.coalesce(F.col("__hashed") == p, F.lit(True))
-        winners = cut_lineage(looked_up(open_rows, open_rows).where(leads).select(*open_rows.columns))
+    for _ in range(DEDUP_ROUNDS):
+        leads = F.coalesce(F.col("__named") == p, F.lit(True)) & F.coalesce(F.col("__hashed") == p, F.lit(True))
+        winners = cut_lineage(looked_up(open_rows, open_rows).where(leads).select(*columns))
+        accepted = accepted.unionByName(winners)
+        open_rows = unblocked(open_rows, winners)
+    schema = open_rows.schema
+    while most := open_rows.groupBy("kb_id").count().agg(F.max("count")).first()[0]:
+        grouped = open_rows.withColumn("__group", F.col("kb_id")) if most <= segment else dependent_groups(open_rows)
+        if most <= segment:
+            first, later = grouped, None
+        else:
+            # The position below which about ``segment`` rows of a group lie, from 200 quantiles taken while it is counted.
+            marks = F.percentile_approx("__p", [n / 200 for n in range(1, 201)], 2000)
+            cuts = grouped.groupBy("__group").agg(F.min("__p").alias("__low"), F.count("*").alias("__n"), marks.alias("__marks"))
+            rank = F.least(F.lit(200.0), F.lit(200.0 * segment) / F.col("__n"))
+            inside = F.floor(F.col("__low") + (F.element_at("__marks", 1) - F.col("__low")) * rank)
+            bound = F.when(rank >= 1, F.element_at("__marks", F.floor(rank).cast("int"))).otherwise(inside)
+            cuts = cuts.select("__group", bound.alias("__bound"))
+            placed = grouped.join(cuts, "__group")
+            first, later = placed.where(p <= F.col("__bound")).drop("__bound"), placed.where(p > F.col("__bound")).select(*columns)
+        winners = cut_lineage(first.groupBy("__group").applyInArrow(lambda rows: _first_come(rows.select(columns)), schema))
         accepted = accepted.unionByName(winners)
-        undecided = looked_up(open_rows, winners).where("__named is null and __hashed is null")
-        open_rows = cut_lineage(undecided.select(*open_rows.columns))
+        if later is None:
+            break
+        open_rows = unblocked(later, winners)
     # The reason is read off at the end: a name match counts even if a hash match came first.
     judged = looked_up(incoming.withColumn("__p", F.col(position)), accepted)
     return judged.select(

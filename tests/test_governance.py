@@ -43,7 +43,7 @@ def test_name_match_wins_over_hash(spark):
 def dedup_reference(rows):
     names, hashes, out = set(), set(), {}
     for kb, position, name, file_hash in sorted(rows, key=lambda r: (r[0], r[1])):
-        if (kb, name) in names:
+        if name is not None and (kb, name) in names:
             out[(kb, position)] = "duplicate_name"
         elif file_hash is not None and (kb, file_hash) in hashes:
             out[(kb, position)] = "duplicate_file_hash"
@@ -66,6 +66,34 @@ def test_batch_dedup_equals_one_by_one(spark, seed):
     assert got == dedup_reference(rows)
 
 
+def chain(n):
+    """Each row shares its name with one neighbour and its hash with the other."""
+    return [(1, i, f"n{i // 2}", f"h{(i + 1) // 2}") for i in range(n)]
+
+
+@pytest.mark.parametrize("segment", [7, 40])
+def test_batch_dedup_in_segments(spark, segment):
+    rng = random.Random(segment)
+    rows = [(rng.choice([1, 1, 2]), i, rng.choice([None, *[f"n{j}" for j in range(40)]]), rng.choice([None, *[f"h{j}" for j in range(40)]])) for i in range(150)]
+    rows += [(kb, 1000 + p, name, digest) for kb, p, name, digest in chain(60)]
+    df = spark.createDataFrame(rows, "kb_id int, position int, name string, file_hash string")
+    got = {(r["kb_id"], r["position"]): r["reason"] for r in G.batch_dedup(df, segment=segment).collect()}
+    assert got == dedup_reference(rows)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    rows = chain(10_000)
+    df = spark.createDataFrame(rows, "kb_id int, position int, name string, file_hash string")
+    spark.sparkContext.setJobGroup("long-chain", "long chain")
+    try:
+        got = {(r["kb_id"], r["position"]): r["reason"] for r in G.batch_dedup(df).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dedup_reference(rows)
+    assert jobs < 40
+
+
 def test_registration_outcome(spark):
     existing = documents(spark, document(1, name="a", file_hash="x"))
     columns = [c for c in DOCUMENT.replace(",", "").split()[::2] if c not in ("status", "current_version", "chunk_count", "error_message")]
