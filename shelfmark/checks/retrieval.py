@@ -12,6 +12,7 @@ from shelfmark.operators import context as O
 from shelfmark.operators import ranking as R
 from shelfmark.operators import results as J
 from shelfmark.operators.vectors import (
+    build_cells,
     dense_search,
     embed,
     hashed_embedder,
@@ -24,6 +25,7 @@ from shelfmark.plans.search import (
     Corpus,
     SearchOptions,
     advanced_search,
+    advanced_search_with_stats,
     column_reranker,
     multi_search,
     rerank_candidates,
@@ -124,6 +126,18 @@ def _(spark, sf):
     return hits(found, "kb_id", "chunk_id", "document_id")
 
 
+@check(
+    "dense_cells",
+    "SELECT qid AS request_id, kb_id, chunk_id, document_id, score, kb_rank FROM dense_hits",
+    ("dense_hits",),
+)
+def _(spark, sf):
+    """Search over an index in 16 cells; all are looked at, so nothing may be missing."""
+    index = X.dense_index(spark, sf)
+    found = dense_search(index, scoped_vectors(spark, sf), LIMIT, cells=build_cells(index, 16), probes=16)
+    return hits(found, "kb_id", "chunk_id", "document_id")
+
+
 @check(
     "visual_search",
     "SELECT qid AS request_id, kb_id, asset_id, chunk_id, score, kb_rank FROM visual_hits",
@@ -380,6 +394,46 @@ def _(spark, sf):
     )
 
 
+ADVANCED_HITS = f"""SELECT request_id, query_pos, row_number() OVER (PARTITION BY request_id, query_pos, kb_id ORDER BY score DESC, chunk_id) AS kr FROM (
+  SELECT q.request_id, q.query_pos, chunk_id, kb_id, sum(q.val * c.val) AS score FROM ({_xpost(UNIQUE_EXPANDED)}) q JOIN cpost c USING (idx) WHERE kb_id < 3 GROUP BY ALL)"""
+
+
+@check(
+    "advanced_stats",
+    f"""WITH each AS (SELECT request_id, query_pos, count(*) FILTER (kr <= 100) AS n FROM ({ADVANCED_HITS}) GROUP BY ALL),
+best AS (SELECT request_id, count(DISTINCT chunk_id) AS n FROM ({SPARSE_ONLY.format(keys='request_id, query_pos', qkeys='q.request_id, q.query_pos').replace('xpost q', '(' + _xpost(UNIQUE_EXPANDED) + ') q')}) GROUP BY ALL)
+SELECT item_id AS request_id, coalesce(sum(e.n), 0)::bigint AS total_candidates, coalesce(sum(least(e.n, 100)), 0)::bigint AS after_fusion,
+  least(coalesce(max(b.n), 0), 5)::bigint AS after_rerank, true AS timed
+FROM benchmark LEFT JOIN each e ON e.request_id = item_id LEFT JOIN best b ON b.request_id = item_id GROUP BY item_id""",
+    ("cpost", "docs"),
+)
+def _(spark, sf):
+    """Statistics of one measured run; latencies differ from run to run, so only their sum is looked at."""
+    tables = corpus(spark, sf, dense=False, visual=False)
+    _, stats = advanced_search_with_stats(X.requests(spark, sf), tables, rewrite=True, hyde=True, decompose=True, max_sub_queries=3)
+    timed = F.abs(F.aggregate(F.map_values("stages"), F.lit(0).cast(big), lambda a, b: a + b) - F.col("total_latency_ms")) <= F.size("stages")
+    return stats.select("request_id", "total_candidates", "after_fusion", "after_rerank", timed.alias("timed"))
+
+
+@check(
+    "cache_hit_log",
+    """SELECT qid AS request_id, coalesce(string_agg(chunk_id, ',' ORDER BY rank), '') AS chunk_ids, count(chunk_id) AS scores, 0::bigint AS total_latency_ms, 1::bigint AS cache_hit
+FROM reqs LEFT JOIN results USING (qid) WHERE qid % 2 = 0 GROUP BY qid""",
+    ("results", "reqs"),
+)
+def _(spark, sf):
+    """Log rows of the requests that a cache answered: every other one, with results of an unranked search."""
+    found = full_search(spark, sf).results.withColumnRenamed("qid", "request_id")
+    log = J.cache_hit_log(found, X.requests(spark, sf).where("request_id % 2 = 0").select("request_id"))
+    return log.select(
+        "request_id",
+        F.array_join("retrieved_chunk_ids", ",").alias("chunk_ids"),
+        F.size("rerank_scores").cast(big).alias("scores"),
+        "total_latency_ms",
+        F.col("stage_latencies")["cache_hit"].alias("cache_hit"),
+    )
+
+
 MULTI = "SELECT item_id // 10 AS request_id, item_id % 10 AS query_pos, text AS query FROM benchmark"
 
 

@@ -72,6 +72,30 @@ def kb_scope(requests: DataFrame, kbs: DataFrame) -> DataFrame:
     )
 
 
+def active_kbs(kbs: DataFrame) -> DataFrame:
+    return kbs.where("status = 'active'").select("kb_id")
+
+
+def open_scope(requests: DataFrame, kbs: DataFrame, key: str = "qid") -> DataFrame:
+    """As ``kb_scope``, but a request for every active KB keeps ``kb_ids`` null instead of a list of them all.
+
+    Listed ids are looked up one by one, so no request and no task holds the ids of the
+    KBs that it did not name.
+    """
+    asked = requests.withColumn("__all", F.coalesce(F.size("kb_ids") <= 0, F.lit(True)))
+    named = asked.where(~F.col("__all")).select(F.col(key).alias("__key"), F.posexplode(F.array_distinct("kb_ids")).alias("__at", "kb_id"))
+    known = active_kbs(kbs).dropDuplicates().withColumn("__known", F.lit(True))
+    usable = named.join(known, "kb_id", "left").groupBy("__key").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("__known"), F.struct("__at", "kb_id")))), lambda x: x["kb_id"]).alias("__ids"),
+        F.count_if(F.col("__known").isNull()).cast("int").alias("__missing"),
+    )
+    none = active_kbs(kbs).agg(F.count(F.lit(1)) == 0).scalar()
+    found = asked.join(usable, asked[key].eqNullSafe(F.col("__key")), "left")
+    scoped = found.withColumns({"kb_ids": F.when(~F.col("__all"), F.col("__ids")), "missing": F.coalesce("__missing", F.lit(0))})
+    error = F.when(F.col("missing") > 0, "knowledge_base_not_found").when(F.col("__all") & none, "no_active_knowledge_base")
+    return scoped.withColumn("scope_error", error).drop("__all", "__key", "__ids", "__missing")
+
+
 def facet_predicate(facet: str) -> Column:
     status = F.lower("status")
     if facet == "all":

@@ -20,16 +20,22 @@ DOCUMENT_COLUMNS = {
 }
 
 
-def hydrate(candidates: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def hydrate(candidates: DataFrame, chunks: DataFrame, docs: DataFrame, visible: Column | None = None) -> DataFrame:
     """Candidates with their chunk and document columns; vanished chunks drop out.
 
-    ``candidates`` may carry a broadcast hint from the caller, who knows its bound.
+    Documents come first: what ``visible``, a test of document columns, refuses never
+    meets the chunk table and its texts. ``candidates`` may carry a broadcast hint from the
+    caller, who knows its bound.
     """
     document = docs.select(
         F.col("document_id"), *[F.col(c).alias(n) for c, n in DOCUMENT_COLUMNS.items()]
     )
-    stored = chunks.drop("document_id", "kb_id") if "document_id" in candidates.columns else chunks
-    return candidates.join(stored, "chunk_id").join(document, "document_id")
+    if "document_id" not in candidates.columns:
+        found = candidates.join(chunks, "chunk_id").join(document, "document_id")
+        return found if visible is None else found.where(visible)
+    known = candidates.join(document, "document_id")
+    shown = known if visible is None else known.where(visible)
+    return shown.join(chunks.drop("document_id", "kb_id"), "chunk_id")
 
 
 def parent_context(results: DataFrame, chunks: DataFrame, enabled: bool = True) -> DataFrame:
@@ -135,6 +141,20 @@ def retrieval_log(results: DataFrame, requests: DataFrame, latencies: DataFrame
     return log
 
 
+def cache_hit_log(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """Log rows of requests that were answered from earlier results: nothing was spent, and the log says why.
+
+    ``results`` are the reused rows; a missing rerank score is logged as 0.
+    """
+    scored = results.withColumn("rerank_score", F.coalesce(F.col("rerank_score").cast("double"), F.lit(0.0)))
+    return retrieval_log(scored, requests).withColumns(
+        {
+            "stage_latencies": F.create_map(F.lit("cache_hit"), F.lit(1).cast("bigint")),
+            "total_latency_ms": F.lit(0).cast("bigint"),
+        }
+    )
+
+
 def stage_latency_sum(logs: DataFrame, key: str = "request_id") -> DataFrame:
     """Latency per stage summed over the responses of a request."""
     staged = logs.select(key, F.explode("stage_latencies").alias("stage", "ms"))

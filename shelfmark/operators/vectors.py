@@ -1,15 +1,20 @@
-"""Vectors per chunk, and exact top-k search over them.
+"""Vectors per chunk, and top-k search over them.
 
-Search never materialises query-chunk pairs. Each task streams its part of the
-index against a bounded block of queries with NumPy and keeps only the best k
-rows per query and KB; one small window then merges the local lists. A query set
-beyond the block bound is spread over a grid of (index tile, query block) groups
-instead, each of bounded size.
+Search never materialises query-chunk pairs. A scan carries a group of query vectors of
+bounded size, whatever their number and lengths, to every task; the task streams its part
+of the index against blocks of these queries with NumPy and keeps only the best k rows per
+query and KB. One small window then merges the local lists. More queries than one group
+holds take one more scan per group. The index is never shuffled or copied, and all sizes
+go the same way.
+
+Search is exact unless ``cells`` are given: then only the cells nearest to a query are
+looked at (``CellIndex``), and what is found there is scored exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,12 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import bound_input
+from shelfmark.session import cut_lineage
 
+#: Queries that are scored together, values of query vectors that one scan carries,
+#: scores and products that one step holds.
 MAX_BLOCK_QUERIES = 1024
-MAX_QUERY_VALUES = 2048
-MAX_SCOPE_VALUES = 1000
-TILE_ROWS = 100_000
+GROUP_VALUES = 4_000_000
 CELLS_PER_STEP = 4_000_000
+PAIRS_PER_STEP = 4_000_000
 DENSE_DIGITS = 6
 
 
@@ -122,56 +129,129 @@ def embed(
 # --- search ------------------------------------------------------------------
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1, norms)
+
+
+def _matrix(batch: pa.RecordBatch, field: str) -> np.ndarray:
+    flat = batch.column(field).flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(batch.num_rows, -1)
+
+
 class _DenseBlock:
     """Unit query vectors; scores are cosines rounded to a stable precision."""
 
     minimum = -np.inf
 
     def __init__(self, vectors: list, field: str):
-        self.field = field
-        self.matrix = self._unit(np.array(vectors, dtype=np.float64)).T if vectors else None
+        self.field, self.n = field, len(vectors)
+        self.matrix = _unit(np.array(vectors, dtype=np.float64)).T
 
-    @staticmethod
-    def _unit(rows: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        return rows / np.where(norms == 0, 1, norms)
+    def steps(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of rows whose scores fit into one step."""
+        size = max(1, CELLS_PER_STEP // self.n)
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        flat = batch.column(self.field).flatten().to_numpy(zero_copy_only=False)
-        rows = flat.astype(np.float64).reshape(batch.num_rows, -1)
-        return np.round(self._unit(rows) @ self.matrix, DENSE_DIGITS)
+        return np.round(_unit(_matrix(batch, self.field)) @ self.matrix, DENSE_DIGITS)
+
+    def limits(self, batch: pa.RecordBatch) -> np.ndarray | None:
+        return None
 
 
 class _SparseBlock:
-    """Query postings sorted by index; scores are dot products over shared indices."""
+    """Query postings sorted by index; scores are dot products over shared indices.
+
+    An index that many queries hold would make a product for each of them, row by row.
+    Such indices are a dense matrix instead, which rows meet by matrix multiplication.
+    The largest weight of each index bounds what a row can score with any query.
+    """
 
     minimum = 0.0
 
     def __init__(self, vectors: list, field: str):
-        self.field = field
-        self.n = len(vectors)
-        owner = [np.full(len(v["indices"]), q) for q, v in enumerate(vectors)]
-        idx = np.concatenate([np.array(v["indices"], dtype=np.int64) for v in vectors] or [[]])
+        self.field, self.n = field, len(vectors)
+        owner = np.concatenate([np.full(len(v["indices"]), q) for q, v in enumerate(vectors)] or [[]]).astype(np.int64)
+        idx = np.concatenate([np.array(v["indices"], dtype=np.int64) for v in vectors] or [[]]).astype(np.int64)
         val = np.concatenate([np.array(v["values"], dtype=np.float64) for v in vectors] or [[]])
         order = np.argsort(idx, kind="stable")
-        self.idx, self.val = idx[order], val[order]
-        self.owner = np.concatenate(owner or [[]]).astype(np.int64)[order]
-
-    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        idx, val, owner = idx[order], val[order], owner[order]
+        self.known, first, size = np.unique(idx, return_index=True, return_counts=True)
+        self.most = np.maximum.reduceat(val, first) if len(val) else np.zeros(0)
+        common = size > max(16, self.n // 8)
+        held = np.repeat(common, size)
+        # Rare indices: where the postings of each begin, and how many there are.
+        self.width = np.where(common, 0, size)
+        self.begin = np.concatenate(([0], np.cumsum(self.width)))[:-1]
+        self.owner, self.val = owner[~held], val[~held]
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.n))
+        np.add.at(self.dense, (np.repeat(self.column, size)[held], owner[held]), val[held])
+
+    def _hits(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place among the known indices, value) of the values that some query asks for."""
         column = batch.column(self.field)
         indices = column.field("indices")
         idx = indices.flatten().to_numpy(zero_copy_only=False)
         val = column.field("values").flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(batch.num_rows), np.diff(indices.offsets.to_numpy()))
-        low = np.searchsorted(self.idx, idx, "left")
-        width = np.searchsorted(self.idx, idx, "right") - low
-        hit = width > 0
-        low, width, row, val = low[hit], width[hit], row[hit], val[hit]
-        within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        at = np.repeat(low, width) + within
-        cell = np.repeat(row, width) * self.n + self.owner[at]
-        weight = np.repeat(val, width) * self.val[at]
-        return np.bincount(cell, weight, batch.num_rows * self.n).reshape(batch.num_rows, self.n)
+        if not len(self.known):
+            return row[:0], idx[:0], val[:0]
+        at = np.minimum(np.searchsorted(self.known, idx), len(self.known) - 1)
+        hit = self.known[at] == idx
+        return row[hit], at[hit], val[hit]
+
+    def steps(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of rows whose products and scores fit into one step; a single row always goes."""
+        row, at, _ = self._hits(batch)
+        pairs = np.concatenate(([0], np.cumsum(np.bincount(row, self.width[at], batch.num_rows))))
+        size = max(1, CELLS_PER_STEP // max(self.n, len(self.dense)))
+        start = 0
+        while start < batch.num_rows:
+            fits = int(np.searchsorted(pairs, pairs[start] + PAIRS_PER_STEP, "right")) - 1
+            stop = min(start + size, max(fits, start + 1))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+    def limits(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The most that each row can score with any query."""
+        row, at, val = self._hits(batch)
+        return np.bincount(row, val * self.most[at], batch.num_rows)
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        row, at, val = self._hits(batch)
+        dense = self.column[at] >= 0
+        n_dense = len(self.dense)
+        if n_dense:
+            mine = np.bincount(row[dense] * n_dense + self.column[at[dense]], val[dense], batch.num_rows * n_dense)
+            out = mine.reshape(batch.num_rows, n_dense) @ self.dense
+        else:
+            out = np.zeros((batch.num_rows, self.n))
+        row, at, val = row[~dense], at[~dense], val[~dense]
+        width = self.width[at]
+        place = np.repeat(self.begin[at], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        cell = np.repeat(row, width) * self.n + self.owner[place]
+        return out + np.bincount(cell, np.repeat(val, width) * self.val[place], out.size).reshape(out.shape)
+
+
+BLOCKS = {"dense": _DenseBlock, "sparse": _SparseBlock}
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Queries of one group as the tasks get them: vectors, KBs in scope (None: all), cells to look at (None: all)."""
+
+    qids: list
+    vectors: list
+    scopes: list
+    probes: list | None
+
+    def relevant(self, kb, cell) -> np.ndarray:
+        """Numbers of the queries that look at rows of this KB and cell."""
+        in_scope = (q for q, scope in enumerate(self.scopes) if scope is None or kb in scope)
+        return np.array([q for q in in_scope if self.probes is None or cell in self.probes[q]], dtype=np.int64)
 
 
 def _best_rows(found: pd.DataFrame, k: int, item: str) -> pd.DataFrame:
@@ -179,64 +259,136 @@ def _best_rows(found: pd.DataFrame, k: int, item: str) -> pd.DataFrame:
     return ordered.groupby(["__q", "kb_id"], sort=False).head(k)
 
 
-def _local_topk(
-    batches: Iterator[pa.RecordBatch], block, scopes: list, k: int, keep: list[str]
-) -> pd.DataFrame | None:
-    """Best k rows per (query, kb) over a stream of index batches."""
-    n_queries = len(scopes)
+def _local_topk(batches: Iterator[pa.RecordBatch], kind: str, asked: _Asked, k: int, field: str, keep: list[str], max_block: int) -> pd.DataFrame | None:
+    """Best k rows per (query, kb) over a stream of index batches.
+
+    Rows are taken together by KB and cell; each such part of a batch meets blocks of the
+    queries that look at it. A row that cannot reach the k-th score so far of any query of
+    a block is left out of its steps.
+    """
     item = keep[0]
+    blocks: dict[tuple, list] = {}
     floors: dict = {}
     best: list[pd.DataFrame] = []
     size = 0
-    step = max(256, CELLS_PER_STEP // max(n_queries, 1))
+
+    def blocks_for(kb, cell) -> list:
+        if (kb, cell) not in blocks:
+            wanted = asked.relevant(kb, cell)
+            parts = [wanted[i : i + max_block] for i in range(0, len(wanted), max_block)]
+            known = {tuple(p.tolist()): b for old in blocks.values() for p, b in old}
+            blocks[kb, cell] = [(p, known.get(tuple(p.tolist())) or BLOCKS[kind]([asked.vectors[q] for q in p], field)) for p in parts]
+        return blocks[kb, cell]
+
     for whole in batches:
-        for start in range(0, whole.num_rows, step):
-            batch = whole.slice(start, step)
-            scores = block.scores(batch)
-            kbs = batch.column("kb_id").to_pandas()
-            for kb, rows in kbs.groupby(kbs, sort=False).indices.items():
-                part = scores[rows]
-                allowed = np.array([kb in scope for scope in scopes])
-                floor = floors.get(kb, np.full(n_queries, -np.inf))
-                if len(rows) >= k:
-                    kth = np.partition(part, len(rows) - k, axis=0)[len(rows) - k]
-                    floor = floors[kb] = np.maximum(floor, kth)
-                r, q = np.nonzero((part >= floor) & (part > block.minimum) & allowed)
-                if len(r) == 0:
-                    continue
-                taken = batch.select(keep).take(pa.array(rows[r])).to_pandas()
-                best.append(taken.assign(kb_id=kb, score=part[r, q], __q=q))
-                size += len(r)
+        if not whole.num_rows:
+            continue
+        keys = ["kb_id"] if asked.probes is None else ["kb_id", "__cell"]
+        grouped = whole.select(keys).to_pandas()
+        for key, rows in grouped.groupby(keys, sort=False, dropna=False).indices.items():
+            kb, cell = (*(key if isinstance(key, tuple) else (key,)), None)[:2]
+            held = blocks_for(kb, cell)
+            part = whole if len(rows) == whole.num_rows else whole.take(pa.array(rows))
+            floor = floors.setdefault(kb, np.full(len(asked.qids), -np.inf))
+            for queries, block in held if part.num_rows else []:
+                some = part
+                limits = block.limits(part)
+                if limits is not None:
+                    some = part.filter(pa.array((limits > block.minimum) & (limits >= floor[queries].min())))
+                for step in block.steps(some):
+                    scores = block.scores(step)
+                    if step.num_rows >= k:
+                        kth = np.partition(scores, step.num_rows - k, axis=0)[step.num_rows - k]
+                        floor[queries] = np.maximum(floor[queries], kth)
+                    r, q = np.nonzero((scores >= floor[queries]) & (scores > block.minimum))
+                    if len(r):
+                        taken = step.select(keep).take(pa.array(r)).to_pandas()
+                        best.append(taken.assign(kb_id=kb, score=scores[r, q], __q=queries[q]))
+                        size += len(r)
             if size > 200_000:
                 best = [_best_rows(pd.concat(best), k, item)]
                 size = len(best[0])
     return _best_rows(pd.concat(best), k, item) if best else None
 
 
-def load_queries(
-    queries: DataFrame, fields: tuple[str, ...], max_block: int = MAX_BLOCK_QUERIES
-) -> list[Row] | None:
-    """Query rows (qid, kb_ids, vectors) when they form one small block, else None.
+def _sizes(queries: DataFrame, fields: tuple[str, ...]):
+    """Values of a query's vectors, as a column."""
+    sizes = [F.coalesce(F.size(f"{n}.indices" if isinstance(queries.schema[n].dataType, T.StructType) else n), F.lit(0)) for n in fields]
+    return sum((F.greatest(s, F.lit(0)) for s in sizes), F.lit(1))
+
 
-    One job. At most ``max_block + 1`` rows reach the driver, and a vector with
-    more than ``MAX_QUERY_VALUES`` values is not sent but counts as too large.
+def load_queries(queries: DataFrame, fields: tuple[str, ...], group_values: int = GROUP_VALUES) -> list[Row] | None:
+    """All query rows (qid, kb_ids, vectors) if their vectors make one group, else None.
+
+    Their size is summed up before anything is fetched.
     """
-    kept, sizes = [], []
-    for name in fields:
-        nested = isinstance(queries.schema[name].dataType, T.StructType)
-        size = F.coalesce(F.size(f"{name}.indices" if nested else name), F.lit(0))
-        kept.append(F.when(size <= MAX_QUERY_VALUES, F.col(name)).alias(name))
-        sizes.append(size)
-    widest = F.greatest(F.lit(0), *sizes).alias("__widest")
-    rows = queries.select("qid", "kb_ids", *kept, widest).limit(max_block + 1).collect()
-    small = len(rows) <= max_block and all(r["__widest"] <= MAX_QUERY_VALUES for r in rows)
-    return rows if small else None
+    held = queries.select("qid", "kb_ids", *fields)
+    if (held.agg(F.sum(_sizes(queries, fields))).first()[0] or 0) > group_values:
+        return None
+    return held.collect()
+
+
+def query_groups(queries: DataFrame, fields: tuple[str, ...], group_values: int = GROUP_VALUES) -> Iterator[list[Row]]:
+    """Query rows in groups of about ``group_values`` values of vectors; one group is fetched at a time."""
+    held = cut_lineage(queries.select("qid", "kb_ids", *fields))
+    total = held.agg(F.sum(_sizes(held, fields))).first()[0] or 0
+    groups = max(1, -(-2 * total // group_values))
+    for n in range(groups):
+        yield held.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == n).collect()
 
 
 def within_scope(df: DataFrame, rows: list[Row]) -> DataFrame:
-    """Only the KBs some query asks for, which prunes a table partitioned by kb_id."""
-    wanted = sorted({kb for r in rows for kb in r["kb_ids"] or []})
-    return df.where(F.col("kb_id").isin(wanted)) if len(wanted) <= MAX_SCOPE_VALUES else df
+    """Only the KBs some query asks for, which prunes a table partitioned by kb_id; all, if a query has no list."""
+    if any(r["kb_ids"] is None for r in rows):
+        return df
+    return df.where(F.col("kb_id").isin(sorted({kb for r in rows for kb in r["kb_ids"]})))
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """An index dealt into cells around ``centroids``; ``table`` is the index with ``__cell``.
+
+    Store the table partitioned by kb_id and __cell: a search then reads its cells only.
+    """
+
+    table: DataFrame
+    centroids: np.ndarray
+
+    def probes(self, vectors: list, n: int) -> list[set]:
+        """The ``n`` cells nearest to each vector."""
+        near = _unit(np.array(vectors, dtype=np.float64)) @ self.centroids.T
+        return [set(row.tolist()) for row in np.argsort(-near, axis=1, kind="stable")[:, :n]]
+
+
+#: Vectors that the centroids are learned from, and passes over them.
+CELL_SAMPLE, CELL_PASSES = 20_000, 12
+
+
+def build_cells(index: DataFrame, cells: int, field: str = "embedding", item: str = "chunk_id", sample: int = CELL_SAMPLE) -> CellIndex:
+    """Deal every row of an index to the nearest of ``cells`` centroids.
+
+    The centroids come from spherical k-means over ``sample`` vectors, those with the least
+    hash of their item; every row is dealt. Fewer vectors than cells make as many cells as vectors.
+    """
+    drawn = index.where(F.col(field).isNotNull()).orderBy(F.xxhash64(item), item).select(field).limit(sample).collect()
+    if not drawn:
+        return CellIndex(index.withColumn("__cell", F.lit(0)), np.zeros((1, 1)))
+    points = _unit(np.array([r[field] for r in drawn], dtype=np.float64))
+    centroids = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)]
+    for _ in range(CELL_PASSES):
+        owner = np.argmax(points @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, owner, points)
+        filled = np.bincount(owner, minlength=len(centroids)) > 0
+        centroids = np.where(filled[:, None], _unit(sums), centroids)
+
+    @F.arrow_udf("int")
+    def nearest(column: pa.Array) -> pa.Array:
+        rows = column.fill_null(pa.scalar([0.0] * centroids.shape[1], column.type)) if column.null_count else column
+        matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        return pa.array(np.argmax(matrix @ centroids.T, axis=1).astype(np.int32))
+
+    return CellIndex(index.withColumn("__cell", nearest(F.col(field))), centroids)
 
 
 def topk_search(
@@ -250,18 +402,22 @@ def topk_search(
     query_field: str | None = None,
     loaded: list[Row] | None = None,
     max_block: int = MAX_BLOCK_QUERIES,
+    group_values: int = GROUP_VALUES,
+    cells: CellIndex | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """Best k index rows per (query, KB in scope): qid, kb_id, ids, score, kb_rank.
 
-    ``queries`` has qid, kb_ids (the KBs to search) and a vector, named like the
-    index vector ``field`` unless ``query_field`` says otherwise. Equal scores are
-    ordered by item id. ``loaded`` may pass the result of ``load_queries`` on.
+    ``queries`` has qid, kb_ids (the KBs to search, null for all of the index) and a vector,
+    named like the index vector ``field`` unless ``query_field`` says otherwise. Equal scores
+    are ordered by item id. ``loaded`` may pass the result of ``load_queries`` on. With
+    ``cells`` (built from ``index``) a query looks at its ``probes`` nearest cells only.
     """
-    block_type = {"dense": _DenseBlock, "sparse": _SparseBlock}[kind]
     asked_field = query_field or field
     keep = [item, *extra]
     asked = queries.where(F.col(asked_field).isNotNull())
-    narrow = index.select(*keep, "kb_id", field)
+    source = index if cells is None else cells.table
+    narrow = source.select(*keep, "kb_id", field, *([] if cells is None else ["__cell"])).where(F.col(field).isNotNull())
     schema = T.StructType(
         [
             T.StructField("qid", queries.schema["qid"].dataType),
@@ -272,60 +428,45 @@ def topk_search(
     )
     arrow_schema = to_arrow_schema(schema)
 
-    def emit(found: pd.DataFrame | None, qids: list) -> pa.Table:
-        if found is None:
-            return arrow_schema.empty_table()
-        named = found.assign(qid=[qids[q] for q in found["__q"]])
-        return pa.Table.from_pandas(named[arrow_schema.names], schema=arrow_schema, preserve_index=False)
-
-    rows = loaded if loaded is not None else load_queries(asked, (asked_field,), max_block)
-    if rows is not None:
+    def scanned(rows: list[Row]) -> DataFrame:
         used = [r for r in rows if r[asked_field] is not None]
-        qids = [r["qid"] for r in used]
-        scopes = [set(r["kb_ids"] or []) for r in used]
         vectors = [r[asked_field] for r in used]
-        narrow = within_scope(narrow, used)
+        scopes = [None if r["kb_ids"] is None else set(r["kb_ids"]) for r in used]
+        looked_at = None if cells is None else cells.probes(vectors, probes) if vectors else []
+        group = _Asked([r["qid"] for r in used], vectors, scopes, looked_at)
+        part = within_scope(narrow, used)
+        if looked_at is not None:
+            part = part.where(F.col("__cell").isin(sorted(set().union(*looked_at))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not vectors:
-                return
-            block = block_type(vectors, field)
-            yield from emit(_local_topk(batches, block, scopes, k, keep), qids).to_batches()
+            found = _local_topk(batches, kind, group, k, field, keep, max_block) if vectors else None
+            if found is not None:
+                named = found.assign(qid=[group.qids[q] for q in found["__q"]])
+                yield from pa.Table.from_pandas(named[arrow_schema.names], schema=arrow_schema, preserve_index=False).to_batches()
 
-        local = narrow.mapInArrow(scan, schema)
-    else:
-        local = _grid_topk(narrow, asked, block_type, field, asked_field, keep, k, emit, schema, max_block)
+        return part.mapInArrow(scan, schema)
 
+    rows = loaded if loaded is not None else load_queries(asked, (asked_field,), group_values)
+    if rows is not None:
+        local = scanned(rows)
+    else:
+        local = None
+        for group in query_groups(asked, (asked_field,), group_values):
+            local = scanned(group) if local is None else local.unionByName(scanned(group))
     order = Window.partitionBy("qid", "kb_id").orderBy(F.desc("score"), F.asc(item))
     return local.withColumn("kb_rank", F.row_number().over(order)).where(F.col("kb_rank") <= k)
 
 
-def _grid_topk(narrow, asked, block_type, field, asked_field, keep, k, emit, schema, max_block) -> DataFrame:
-    """Query set too large for one block: every (index tile, query block) is one group."""
-    tiles = max(1, -(-narrow.count() // TILE_ROWS))
-    blocks = max(1, -(-2 * asked.count() // max_block))
-    tiled = narrow.withColumn("__tile", F.pmod(F.xxhash64(keep[0]), F.lit(tiles))).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    spread = asked.select("qid", "kb_ids", asked_field).withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn(
-        "__tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
-    )
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        if not rows or not left.num_rows:
-            return emit(None, [])
-        scopes = [set(r["kb_ids"] or []) for r in rows]
-        block = block_type([r[asked_field] for r in rows], field)
-        found = _local_topk(iter(left.combine_chunks().to_batches()), block, scopes, k, keep)
-        return emit(found, [r["qid"] for r in rows])
-
-    keys = ["__tile", "__block"]
-    return tiled.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(score, schema)
+def recall(found: DataFrame, exact: DataFrame, item: str = "chunk_id") -> float:
+    """Share of the exact hits that were found; 1.0 if there are none."""
+    keys = ["qid", "kb_id", item]
+    both = exact.select(*keys).join(found.select(*keys).withColumn("__hit", F.lit(1)), keys, "left")
+    row = both.agg(F.count(F.lit(1)).alias("n"), F.count("__hit").alias("hit")).first()
+    return row["hit"] / row["n"] if row["n"] else 1.0
 
 
 def dense_search(index: DataFrame, queries: DataFrame, k: int, field: str = "embedding", **options) -> DataFrame:
-    """Exact cosine top-k per query and KB."""
+    """Cosine top-k per query and KB; exact unless ``cells`` are given."""
     return topk_search(index, queries, k, field, "dense", **options)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from time import perf_counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import expand_query
-from shelfmark.operators.filters import governance_filter, governance_predicate, kb_scope, payload_filter
+from shelfmark.operators.filters import active_kbs, governance_predicate, include_metadata, open_scope, payload_filter
 from shelfmark.operators.ranking import (
     authority_rank,
     candidate_limit,
@@ -23,7 +24,8 @@ from shelfmark.operators.ranking import (
     union_rankings,
 )
 from shelfmark.operators.results import attach_assets, hydrate, parent_context, retrieval_stats
-from shelfmark.operators.vectors import dense_search, load_queries, sparse_search, visual_asset_keys, visual_search, within_scope
+from shelfmark.operators.vectors import CellIndex, dense_search, load_queries, sparse_search, visual_asset_keys, visual_search, within_scope
+from shelfmark.session import cut_lineage
 
 # Rows of fused candidates that may be broadcast: about 100 bytes each.
 MAX_BROADCAST_ROWS = 200_000
@@ -37,7 +39,8 @@ class SearchOptions:
     """Options shared by the requests of one call.
 
     ``governance_mode`` is ``post`` (filter fused candidates, so fewer than
-    ``top_k`` may remain) or ``pre`` (filter the indexes first).
+    ``top_k`` may remain) or ``pre`` (filter the indexes first). ``probes`` is the number
+    of cells a query looks at in indexes that are dealt into cells.
     """
 
     top_k: int = 5
@@ -48,11 +51,16 @@ class SearchOptions:
     score_threshold: float | None = None
     kb_merge: str = "score"
     governance_mode: str = "post"
+    include_metadata: bool = True
+    probes: int = 8
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables a search reads. Indexes a corpus lacks are skipped."""
+    """Tables a search reads. Indexes a corpus lacks are skipped.
+
+    Dense and visual indexes may come with their ``cells``, which makes their search approximate.
+    """
 
     knowledge_bases: DataFrame
     documents: DataFrame
@@ -61,6 +69,27 @@ class Corpus:
     dense_index: DataFrame | None = None
     visual_index: DataFrame | None = None
     assets: DataFrame | None = None
+    dense_cells: CellIndex | None = None
+    visual_cells: CellIndex | None = None
+
+
+class StageClock:
+    """Runs the stages of a search one by one and notes what each took and made.
+
+    A stage's rows are counted while it runs (``observe``) and written to the checkpoint
+    folder, so neither the stages after it nor the statistics compute it again.
+    """
+
+    def __init__(self) -> None:
+        self.ms: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+
+    def run(self, stage: str, df: DataFrame) -> DataFrame:
+        seen, started = Observation(), perf_counter()
+        done = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.ms[stage] = self.ms.get(stage, 0) + int((perf_counter() - started) * 1000)
+        self.rows[stage] = self.rows.get(stage, 0) + seen.get["rows"]
+        return done
 
 
 @dataclass(frozen=True)
@@ -114,19 +143,25 @@ def search(
     corpus: Corpus,
     options: SearchOptions = SearchOptions(),
     reranker: Reranker = disabled_reranker,
+    clock: StageClock | None = None,
 ) -> SearchOutput:
     """Answer requests (qid, query, kb_ids and, when known, dense / visual vectors).
 
     Per KB and modality the top candidates are taken, ranked, fused, cut to the
-    candidate limit, hydrated, filtered by governance, reranked, ordered by
-    authority and cut to ``top_k``.
+    candidate limit, joined to their documents, filtered by governance, given their texts,
+    reranked, ordered by authority and cut to ``top_k``. With a ``clock`` the stages run
+    one after another and are measured.
     """
     limit = candidate_limit(options.top_k, options.filters)
-    checked = kb_scope(requests, corpus.knowledge_bases)
+    staged = (lambda stage, df: clock.run(stage, df)) if clock else (lambda stage, df: df)
+    checked = open_scope(requests, corpus.knowledge_bases)
     scoped = checked.where("scope_error is null")
 
     def reachable(index: DataFrame) -> DataFrame:
         filtered = payload_filter(index, options.filters)
+        if loaded is None or any(r["kb_ids"] is None for r in loaded):
+            # Prunes the partitions of an index that is stored by KB.
+            filtered = filtered.join(active_kbs(corpus.knowledge_bases), "kb_id", "left_semi")
         if options.governance_mode != "pre":
             return filtered
         visible = corpus.documents.where(governance_predicate(options.filters)).select("document_id")
@@ -144,37 +179,44 @@ def search(
     # One job fetches the query vectors when they form a small block.
     loaded = load_queries(asked, fields)
 
+    def dealt(cells: CellIndex | None) -> dict:
+        if cells is None:
+            return {}
+        return {"cells": CellIndex(reachable(cells.table), cells.centroids), "probes": options.probes}
+
     rankings: dict[str, DataFrame] = {}
     asset_keys_by_chunk = None
     if "dense" in fields:
-        hits = dense_search(reachable(corpus.dense_index), asked, limit, query_field="dense", loaded=loaded)
-        rankings["dense"] = rank_candidates(hits, options.kb_merge)
+        hits = dense_search(reachable(corpus.dense_index), asked, limit, query_field="dense", loaded=loaded, **dealt(corpus.dense_cells))
+        rankings["dense"] = staged("vector_search_ms", rank_candidates(hits, options.kb_merge))
     if "sparse" in fields:
         hits = sparse_search(reachable(corpus.sparse_index), asked, limit, loaded=loaded)
-        rankings["sparse"] = rank_candidates(hits, options.kb_merge)
+        rankings["sparse"] = staged("sparse_search_ms", rank_candidates(hits, options.kb_merge))
     if "visual" in fields:
-        hits = visual_search(reachable(corpus.visual_index), asked, limit, query_field="visual", loaded=loaded)
-        ranked = rank_candidates(hits, options.kb_merge, item="asset_id")
+        hits = visual_search(reachable(corpus.visual_index), asked, limit, query_field="visual", loaded=loaded, **dealt(corpus.visual_cells))
+        ranked = staged("visual_search_ms", rank_candidates(hits, options.kb_merge, item="asset_id"))
         rankings["visual"] = ranked
         asset_keys_by_chunk = visual_asset_keys(ranked)
 
     candidates = union_rankings(rankings)
-    fused = top_per_query(
+    fused = staged("fusion_ms", top_per_query(
         score_threshold(rrf_fuse(candidates), options.score_threshold), limit, rank="fused_rank"
-    )
+    ))
 
     # At most ``limit`` narrow rows per request: a small block of requests bounds them.
     bounded = loaded is not None and len(loaded) * limit <= MAX_BROADCAST_ROWS
     placed = F.broadcast(fused) if bounded else fused
     chunks = corpus.chunks if loaded is None else within_scope(corpus.chunks, loaded)
-    hydrated = governance_filter(hydrate(placed, chunks, corpus.documents), options.filters)
+    hydrated = staged("fetch_content_ms", hydrate(placed, chunks, corpus.documents, governance_predicate(options.filters)))
 
     if options.enable_rerank:
         scored = reranker(hydrated.join(requests.select("qid", "query"), "qid"))
     else:
         scored = hydrated.withColumn("rerank_score", F.lit(None).cast("double"))
     ordered = authority_rank(rerank_order(scored, options.enable_rerank), options.enable_rerank)
-    results = ordered.where(F.col("rank") <= options.top_k)
+    results = staged("rerank_ms", ordered.where(F.col("rank") <= options.top_k))
+    if "metadata" in results.columns:
+        results = include_metadata(results, options.include_metadata)
     if options.include_parent_context:
         results = parent_context(results, corpus.chunks)
     if corpus.assets is not None:
@@ -216,6 +258,44 @@ def advanced_search(
     return merge_responses(found.join(keys, "qid"), options.top_k)
 
 
+def advanced_search_with_stats(
+    requests: DataFrame,
+    corpus: Corpus,
+    options: SearchOptions = SearchOptions(),
+    reranker: Reranker = disabled_reranker,
+    vectors: Callable[[DataFrame], DataFrame] = lambda df: df,
+    **enhancements,
+) -> tuple[DataFrame, DataFrame]:
+    """(results, stats): ``advanced_search`` in one measured run, with statistics per request.
+
+    Stats has request_id, total_candidates, after_fusion, after_rerank, stages (ms by
+    stage) and total_latency_ms. Candidates and fused rows are summed over a request's
+    sub-queries, after_rerank counts its merged results. All sub-queries run together: each
+    is charged an equal share of a stage, and a request the sum over its sub-queries.
+    """
+    clock = StageClock()
+    started = perf_counter()
+    expanded = cut_lineage(vectors(expand_requests(requests, **enhancements)))
+    clock.ms["embedding_ms"] = int((perf_counter() - started) * 1000)
+    out = search(expanded, corpus, options, reranker, clock)
+    keys = expanded.select("qid", "request_id", "query_pos")
+    results = merge_responses(out.results.join(keys, "qid"), options.top_k)
+
+    def per_request(df: DataFrame, name: str) -> DataFrame:
+        return df.join(keys.select("qid", "request_id"), "qid").groupBy("request_id").agg(F.count(F.lit(1)).alias(name))
+
+    counted = keys.groupBy("request_id").agg(F.count(F.lit(1)).alias("__n"))
+    parts = {"total_candidates": out.candidates, "after_fusion": out.fused}
+    for name, df in parts.items():
+        counted = counted.join(per_request(df, name), "request_id", "left")
+    merged = results.groupBy("request_id").agg(F.count(F.lit(1)).alias("after_rerank"))
+    counted = counted.join(merged, "request_id", "left").na.fill(0, [*parts, "after_rerank"])
+    run = max(1, expanded.count())
+    share = lambda ms: F.round(F.lit(ms) * F.col("__n") / run).cast("bigint")
+    stages = F.create_map(*[x for name, ms in clock.ms.items() for x in (F.lit(name), share(ms))])
+    return results, counted.select("request_id", *parts, "after_rerank", stages.alias("stages"), share(sum(clock.ms.values())).alias("total_latency_ms"))
+
+
 def multi_search(
     requests: DataFrame,
     corpus: Corpus,

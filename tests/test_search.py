@@ -5,7 +5,8 @@ from shelfmark.functions.hashing import cache_key
 from shelfmark.operators import ranking as R
 from shelfmark.operators import results as J
 from shelfmark.operators.vectors import sparse_vectors
-from shelfmark.plans.search import Corpus, SearchOptions, advanced_search, column_reranker, multi_search, search
+from shelfmark.operators import vectors as V
+from shelfmark.plans.search import Corpus, SearchOptions, StageClock, advanced_search, advanced_search_with_stats, column_reranker, multi_search, search
 
 DOCS = [
     # id, kb, name, source, authority, status
@@ -114,6 +115,59 @@ def test_advanced_merge_keeps_best_and_earliest(spark, corpus):
     assert [(r["chunk_id"], r["note"]) for r in merged] == [("b", "x"), ("a", "first")]
 
 
+def test_advanced_search_reports_stats_of_one_run(spark, corpus):
+    asked = spark.createDataFrame([(1, "panel and solar, rules", None), (2, "nothing", None), (3, "panel", [77])], "request_id long, query string, kb_ids array<long>")
+    results, stats = advanced_search_with_stats(asked, corpus, decompose=True)
+    plain = sorted(tuple(r) for r in advanced_search(asked, corpus, decompose=True).select("request_id", "rank", "chunk_id").collect())
+    assert sorted(tuple(r) for r in results.select("request_id", "rank", "chunk_id").collect()) == plain
+    rows = {r["request_id"]: r for r in stats.collect()}
+    # "panel" finds 4 candidates, "solar" 1, "rules" 1; drafts go after fusion
+    assert (rows[1]["total_candidates"], rows[1]["after_fusion"], rows[1]["after_rerank"]) == (6, 6, 3)
+    assert [(rows[i]["total_candidates"], rows[i]["after_rerank"]) for i in (2, 3)] == [(0, 0), (0, 0)]
+    assert {"embedding_ms", "sparse_search_ms", "fusion_ms", "fetch_content_ms", "rerank_ms"} == set(rows[1]["stages"])
+    assert all(abs(sum(r["stages"].values()) - r["total_latency_ms"]) <= len(r["stages"]) for r in rows.values())
+    assert rows[1]["total_latency_ms"] > rows[2]["total_latency_ms"] > 0
+
+
+def test_stage_clock_counts_rows(spark):
+    clock = StageClock()
+    assert clock.run("a", spark.range(7)).count() == 7 and clock.rows == {"a": 7} and clock.ms["a"] >= 0
+
+
+def test_scope_is_no_list_and_governance_comes_before_texts(spark, corpus):
+    from shelfmark.operators.filters import open_scope
+
+    asked = ask(spark, ("all", "panel", None), ("empty", "panel", []), ("some", "panel", [2, 1, 2]), ("bad", "panel", [2, 9, 8]))
+    got = {r["qid"]: (r["kb_ids"], r["missing"], r["scope_error"]) for r in open_scope(asked, corpus.knowledge_bases).collect()}
+    assert got == {"all": (None, 0, None), "empty": (None, 0, None), "some": ([2, 1], 0, None), "bad": ([2], 2, "knowledge_base_not_found")}
+    closed = open_scope(asked, corpus.knowledge_bases.where("status = 'archived'")).where("qid = 'all'").first()
+    assert closed["scope_error"] == "no_active_knowledge_base"
+    plan = search(asked, corpus).results._jdf.queryExecution().optimizedPlan().toString()
+    # Children are listed below their parents: the texts' scan joins what governance has left.
+    governed = next(line for line in plan.splitlines() if "published" in line)
+    joined = [line for line in plan.splitlines() if "Join" in line and "chunk_id" in line]
+    assert joined and plan.index(joined[-1]) < plan.index(governed)
+
+
+def test_metadata_option_and_cells(spark, corpus):
+    with_metadata = corpus.chunks.withColumn("metadata", F.create_map(F.lit("a"), F.lit("b")))
+    tables = Corpus(corpus.knowledge_bases, corpus.documents, with_metadata, sparse_index=corpus.sparse_index)
+    one = ask(spark, ("q", "solar", None))
+    assert search(one, tables).results.first()["metadata"] == {"a": "b"}
+    assert search(one, tables, SearchOptions(include_metadata=False)).results.first()["metadata"] == {}
+    dense = corpus.sparse_index.select("chunk_id", "document_id", "kb_id", "chunk_type", "tags", F.array(F.length("chunk_id").cast("float"), F.col("document_id").cast("float")).alias("embedding"))
+    both = Corpus(corpus.knowledge_bases, corpus.documents, corpus.chunks, dense_index=dense, dense_cells=V.build_cells(dense, 2))
+    vectors = one.withColumn("dense", F.array(F.lit(2.0), F.lit(1.0)).cast("array<float>"))
+    exact = Corpus(corpus.knowledge_bases, corpus.documents, corpus.chunks, dense_index=dense)
+    assert ids(search(vectors, both, SearchOptions(probes=2))) == ids(search(vectors, exact))
+
+
+def test_cache_hits_are_logged(spark):
+    reused = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", 0.5)], "request_id long, rank int, chunk_id string, rerank_score double")
+    (row,) = J.cache_hit_log(reused, spark.createDataFrame([(1, "q")], "request_id long, query string")).collect()
+    assert (row["retrieved_chunk_ids"], row["rerank_scores"], row["total_latency_ms"], row["stage_latencies"]) == (["a", "b"], [0.0, 0.5], 0, {"cache_hit": 1})
+
+
 def test_multi_search_keeps_lists_apart(spark, corpus):
     asked = spark.createDataFrame([(1, ["solar", "rules", "nothing"], None)], "request_id long, queries array<string>, kb_ids array<long>")
     rows = multi_search(asked, corpus).collect()

@@ -57,6 +57,74 @@ def test_sparse_search_is_exact_on_both_paths(spark, max_block):
             assert [(r["chunk_id"], r["score"]) for r in mine] == want
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse"])
+def test_queries_of_several_groups_and_open_scopes(spark, kind):
+    """Queries that do not fit into one scan, with and without a list of KBs."""
+    rows, index = corpus(spark, 240)
+    asked = [(q, None if q % 3 == 0 else [0, 2], rows[q][3]) for q in range(40)]
+    queries = spark.createDataFrame(asked, "qid long, kb_ids array<long>, embedding array<float>")
+    if kind == "sparse":
+        counts = lambda df: df.withColumn("sparse", V.F.struct(V.F.array(*[V.F.lit(i) for i in range(6)]).cast("array<bigint>").alias("indices"), V.F.transform("embedding", lambda x: V.F.ceil(V.F.abs(x)).cast("double")).alias("values")))
+        index, queries = counts(index), counts(queries)
+    run = V.dense_search if kind == "dense" else V.sparse_search
+    one = sorted(tuple(r) for r in run(index, queries, 5).collect())
+    assert sorted(tuple(r) for r in run(index, queries, 5, group_values=60, max_block=3).collect()) == one
+    if kind == "dense":
+        for q, scope, vector in asked:
+            mine = sorted((r[1], r[2], r[4], r[5]) for r in one if r[0] == q)
+            assert mine == expected_dense(rows, vector, scope or [0, 1, 2], 5)
+
+
+def test_many_sparse_queries_with_common_indices_stay_bounded(spark, monkeypatch):
+    """3,000 queries that share indices with each other and with every row equal brute force; every step is bounded."""
+    rng = np.random.default_rng(9)
+
+    def vector():
+        rare = rng.choice(np.arange(10, 2000), size=6, replace=False)
+        indices = np.sort(np.concatenate(([0, 1, 2], rare)))
+        return {"indices": [int(i) for i in indices], "values": [float(v) for v in rng.integers(1, 5, size=9)]}
+
+    vectors, rows = [vector() for _ in range(3000)], [(f"c{i:03d}", i, i % 2, vector()) for i in range(300)]
+    monkeypatch.setattr(V, "PAIRS_PER_STEP", 2000)
+    monkeypatch.setattr(V, "CELLS_PER_STEP", 60_000)
+    block = V._SparseBlock(vectors[:1024], "sparse")
+    assert sorted(block.known[block.column >= 0]) == [0, 1, 2]
+    schema = "chunk_id string, document_id long, kb_id long, sparse struct<indices: array<long>, values: array<double>>"
+    index = spark.createDataFrame(rows, schema)
+    batch = index.toArrow().combine_chunks().to_batches()[0]
+    steps = list(block.steps(batch))
+    assert sum(s.num_rows for s in steps) == 300
+    for step in steps:
+        row, at, _ = block._hits(step)
+        assert step.num_rows * block.n <= 60_000 and (step.num_rows == 1 or block.width[at].sum() <= 2000)
+    queries = spark.createDataFrame([(q, [0, 1], v) for q, v in enumerate(vectors)], "qid long, kb_ids array<long>, sparse struct<indices: array<long>, values: array<double>>")
+    got = {(r["qid"], r["kb_id"], r["kb_rank"]): (r["chunk_id"], r["score"]) for r in V.sparse_search(index, queries, 3).collect()}
+    dense = lambda v: np.bincount(v["indices"], v["values"], 2000)
+    scores = np.array([dense(r[3]) for r in rows]) @ np.array([dense(v) for v in vectors]).T
+    for q in range(3000):
+        for kb in (0, 1):
+            want = sorted((-scores[i, q], rows[i][0]) for i in range(300) if i % 2 == kb)[:3]
+            assert [got[q, kb, n + 1] for n in range(3)] == [(c, -s) for s, c in want]
+
+
+def test_cells_find_nearly_all_neighbours(spark):
+    """Recall at the default number of probes, and all hits when every cell is looked at."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    points = centres[rng.integers(60, size=8000)] + 0.4 * rng.normal(size=(8000, 16))
+    rows = [(f"c{i:05d}", i, i % 2, [float(x) for x in p]) for i, p in enumerate(points)]
+    index = spark.createDataFrame(rows + [("none", -1, 0, None)], "chunk_id string, document_id long, kb_id long, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame([(q, None, rows[q * 37][3]) for q in range(100)], "qid long, kb_ids array<long>, embedding array<float>")
+    exact = V.dense_search(index, queries, 10)
+    cells = V.build_cells(index, 64)
+    assert cells.table.where("embedding is not null").groupBy("__cell").count().count() > 50
+    found = V.dense_search(index, queries, 10, cells=cells, probes=8)
+    assert V.recall(found, exact) >= 0.95
+    every = V.dense_search(index, queries, 10, cells=cells, probes=64)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    assert V.build_cells(index.limit(0), 4).table.count() == 0
+
+
 def test_running_best_survives_many_batches(spark):
     """A small Arrow batch size makes the stream prune across batches."""
     rows, index = corpus(spark, 900)
