@@ -29,3 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``written``, in buckets by ``key``: a later join or grouping by it moves only the other side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
