@@ -400,11 +400,11 @@ ADVANCED_HITS = f"""SELECT request_id, query_pos, row_number() OVER (PARTITION B
 
 @check(
     "advanced_stats",
-    f"""WITH each AS (SELECT request_id, query_pos, count(*) FILTER (kr <= 100) AS n FROM ({ADVANCED_HITS}) GROUP BY ALL),
-best AS (SELECT request_id, count(DISTINCT chunk_id) AS n FROM ({SPARSE_ONLY.format(keys='request_id, query_pos', qkeys='q.request_id, q.query_pos').replace('xpost q', '(' + _xpost(UNIQUE_EXPANDED) + ') q')}) GROUP BY ALL)
-SELECT item_id AS request_id, coalesce(sum(e.n), 0)::bigint AS total_candidates, coalesce(sum(least(e.n, 100)), 0)::bigint AS after_fusion,
+    f"""SELECT item_id AS request_id, coalesce(sum(e.n), 0)::bigint AS total_candidates, coalesce(sum(least(e.n, 100)), 0)::bigint AS after_fusion,
   least(coalesce(max(b.n), 0), 5)::bigint AS after_rerank, true AS timed
-FROM benchmark LEFT JOIN each e ON e.request_id = item_id LEFT JOIN best b ON b.request_id = item_id GROUP BY item_id""",
+FROM benchmark LEFT JOIN (SELECT request_id, query_pos, count(*) FILTER (kr <= 100) AS n FROM ({ADVANCED_HITS}) GROUP BY ALL) e ON e.request_id = item_id
+LEFT JOIN (SELECT request_id, count(DISTINCT chunk_id) AS n FROM ({SPARSE_ONLY.format(keys='request_id, query_pos', qkeys='q.request_id, q.query_pos').replace('xpost q', '(' + _xpost(UNIQUE_EXPANDED) + ') q')}) GROUP BY ALL) b ON b.request_id = item_id
+GROUP BY item_id""",
     ("cpost", "docs"),
 )
 def _(spark, sf):

@@ -381,6 +381,21 @@ def _(spark, sf):
     )
 
 
+@check(
+    "title_path_levels",
+    """SELECT document_id, block_index, array_to_string(CASE WHEN level > 0 AND title <> '' THEN list_reduce(heads[:-2], lambda s, x: CASE WHEN x[1] = '0' THEN s ELSE list_append(s[1:x[1]::int - 1], x[2]) END)
+  ELSE list_reduce(heads, lambda s, x: CASE WHEN x[1] = '0' THEN s ELSE list_append(s[1:x[1]::int - 1], x[2]) END) END, ' / ') AS title_path FROM (
+  SELECT document_id, block_index, level, title, list_prepend([]::varchar[], list([CASE WHEN title = '' THEN '0' ELSE level::varchar END, title]) OVER (PARTITION BY document_id ORDER BY block_index)) AS heads FROM (
+    SELECT conv_id AS document_id, turn AS block_index, (turn * 7 + conv_id) % 6 AS level,
+      regexp_replace(string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1], '\\s+$', '') AS title FROM conversations))""",
+)
+def _(spark, sf):
+    """Headings of five levels in any order, so that levels are skipped and popped."""
+    b = X.blocks(spark, sf).withColumn("heading_level", ((F.col("block_index") * 7 + F.col("document_id")) % 6).cast("int"))
+    rows = M.title_path(b, segment_rows=3)
+    return rows.select("document_id", F.col("block_index").cast(big).alias("block_index"), F.array_join("title_path", " / ").alias("title_path"))
+
+
 @check(
     "block_profile",
     """SELECT conv_id AS document_id, count(*) AS block_count, count(DISTINCT turn) AS page_count,

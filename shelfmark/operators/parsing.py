@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.assets import file_extension, source_stem
 from shelfmark.functions.markup import (
@@ -22,7 +23,7 @@ from shelfmark.functions.markup import (
     splice_images,
 )
 from shelfmark.functions.text import LINE_BREAK, WS, WS_CHARS, let, normalized_type, strip
-from shelfmark.operators.segments import SEGMENT_ROWS, running
+from shelfmark.operators.segments import SEGMENT_ROWS, fold_segments
 
 _IMAGE_REF = rf"!\[([^\]]*)\]\(([^){WS_CHARS}]+)(?:{WS}+[^)]*)?\)"
 _TABLE_RULE = rf"\A{WS}*\|?{WS}*:?-{{3,}}:?{WS}*(?:\|{WS}*:?-{{3,}}:?{WS}*)+\|?{WS}*\z"
@@ -304,40 +305,68 @@ def route_by_type(docs: DataFrame, file_type: str = "file_type") -> DataFrame:
 # --- title paths over a long block table ---------------------------------------------------
 
 
+def _pushed(stack: list[str], level: int, title: str | None) -> list[str]:
+    """The stack of titles after a heading: it pops down to ``level - 1`` titles at most, then pushes its own."""
+    return [*stack[: level - 1], title] if title is not None else stack
+
+
+def summarize_titles(rows) -> dict:
+    """What a segment does to a stack of titles, for every depth the stack may have.
+
+    A heading of level L keeps min(depth, L - 1) titles of the stack it meets, so a segment
+    keeps some titles from the bottom and puts its own on top. Which ones depends on the
+    depth at its start only, and depths from its highest level on are all alike.
+    """
+    heads = [(row["heading_level"], row["__title"]) for row in rows if row["__title"] is not None]
+    ways = []
+    for depth in range(max((level for level, _ in heads), default=0)):
+        # Titles that were there before stand as their place; they only ever go from the top.
+        stack: list = list(range(depth))
+        for level, title in heads:
+            stack = _pushed(stack, level, (title,))
+        kept = sum(isinstance(x, int) for x in stack)
+        ways.append([kept, [x[0] for x in stack[kept:]]])
+    return {"ways": ways}
+
+
+def advance_titles(state: dict | None, summary: dict) -> dict:
+    stack = state["stack"] if state else []
+    if summary["ways"]:
+        kept, own = summary["ways"][min(len(stack), len(summary["ways"]) - 1)]
+        stack = stack[:kept] + own
+    return {"stack": stack}
+
+
 def title_path(
     blocks: DataFrame, inclusive: bool = False, max_level: int | None = None, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Add ``title_path`` to (document_id, block_index, heading_level, content) rows.
 
-    A heading's depth is min(its level, depth before + 1), which unrolls to a
-    running minimum, and the path at any block is the last title seen at each
-    depth. Both are prefix scans, so a document of any length is cut into
-    segments. ``block_index`` counts blocks from 0. Levels are read from the data
-    when ``max_level`` is not given.
+    The path is a stack: a heading of level L pops down to L - 1 titles before its own is
+    pushed; one without a title leaves it alone. A heading shows the path before itself
+    unless ``inclusive``. ``block_index`` counts blocks from 0. Long documents are cut into
+    segments that are summarised by what they do to a stack, so one fold does it, whatever
+    the levels. ``max_level`` treats deeper headings as headings of that level.
     """
     title = heading_title(F.col("content"))
-    marked = blocks.withColumn("__title", F.when((F.col("heading_level") > 0) & (title != ""), title))
-    if max_level is None:
-        max_level = marked.where("__title is not null").agg(F.max("heading_level")).first()[0] or 0
-    keys, order = ["document_id"], "block_index"
-    is_heading = F.col("__title").isNotNull()
-    numbered = running(marked, keys, order, {"__n": ("sum", is_heading.cast("int"))}, segment_rows)
-    slack = running(
-        numbered, keys, order, {"__m": ("min", F.when(is_heading, F.col("heading_level") - F.col("__n")))}, segment_rows
+    level = F.col("heading_level") if max_level is None else F.least(F.col("heading_level"), F.lit(max_level))
+    marked = blocks.withColumn("__title", F.when((level > 0) & (title != ""), title)).withColumn("__level", level)
+    schema = T.StructType([*blocks.schema.fields, T.StructField("title_path", T.ArrayType(T.StringType()))])
+
+    names = blocks.columns
+
+    def leveled(rows):
+        for row in rows:
+            yield {**row, "heading_level": row["__level"]}
+
+    def fold(rows, entry, last):
+        stack = entry["stack"] if entry else []
+        for row in rows:
+            after = _pushed(stack, row["__level"], row["__title"])
+            shown = after if inclusive or row["__title"] is None else stack
+            yield {**{c: row[c] for c in names}, "title_path": list(shown)}
+            stack = after
+
+    return fold_segments(
+        marked, ["document_id"], "block_index", fold, lambda rows: summarize_titles(leveled(rows)), advance_titles, schema, segment_rows
     )
-    deep = slack.withColumn("__depth", F.col("__n") + F.least(F.lit(0), F.coalesce("__m", F.lit(0))))
-    at_depth = {
-        f"__t{p}": ("last", F.when(is_heading & (F.col("__depth") == p), F.col("__title")))
-        for p in range(1, max_level + 1)
-    }
-    filled = running(deep, keys, order, at_depth, segment_rows) if at_depth else deep
-    titles = F.array(*[F.col(name) for name in at_depth]).cast("array<string>")
-    full = filled.withColumn("__after", F.slice(titles, F.lit(1), F.col("__depth")))
-    if inclusive:
-        return full.select(*blocks.columns, F.col("__after").alias("title_path"))
-    # The path before a heading is the path after the block in front of it.
-    before = full.select("document_id", (F.col(order) + 1).alias(order), F.col("__after").alias("__before"))
-    empty = F.array().cast("array<string>")
-    joined = full.join(before, ["document_id", order], "left")
-    path = F.when(is_heading, F.coalesce("__before", empty)).otherwise(F.col("__after"))
-    return joined.select(*blocks.columns, path.alias("title_path"))
