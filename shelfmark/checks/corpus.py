@@ -87,7 +87,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Embedded images of documents of all kinds in one ingest: content, a chunk that holds their URL, and no path left in any chunk."""
-    done = ingest(mixed_documents(spark, sf), X.knowledge_bases(spark, sf))
+    done = ingest(mixed_documents(spark, sf), X.knowledge_bases(spark, sf), once=True)
     counts = done.assets.groupBy("document_id").agg(F.count(F.lit(1)).alias("images"), F.max("file_hash").alias("image_hash"))
     held = done.chunks.select("chunk_id", "content")
     linked = done.assets.join(held.withColumnRenamed("content", "text"), "chunk_id").groupBy("document_id").agg(F.bool_and(F.col("text").contains(F.col("url"))).alias("linked"))
@@ -95,6 +95,51 @@ def _(spark, sf):
     return counts.join(linked, "document_id").join(paths, "document_id")
 
 
+def pictured_documents(spark, sf):
+    """(documents, delivered assets): every document as Markdown, HTML or a layout list with a picture after every line.
+
+    Each picture is a file of its own. References to it are written in the ways its aliases allow.
+    """
+    d = X.dealt(X.documents(spark, sf).select("document_id", "kb_id", "name", "tags", "content"))
+    turn, lines = F.col("document_id") % 3, F.split("content", "\n")
+    path = lambda n: F.concat(F.lit("images/p("), n.cast("string"), F.lit(").png"))
+    marked = F.transform(lines, lambda t, n: F.concat(F.lit("![p]( "), path(n), F.lit(" )\n\nline "), n.cast("string")))
+    tags = F.transform(lines, lambda t, n: F.concat(F.lit("<p>line "), n.cast("string"), F.lit("</p><img src='./IMAGES/P("), n.cast("string"), F.lit(").png'>")))
+    listed = F.to_json(F.flatten(F.transform(lines, lambda t, n: F.array(
+        F.struct(F.lit("text").alias("type"), F.concat(F.lit("line "), n.cast("string")).alias("text"), F.lit(None).cast("string").alias("img_path")),
+        F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), path(n).alias("img_path")),
+    ))))
+    docs = d.select(
+        "document_id", "kb_id", "name", "tags",
+        F.when(turn == 0, "md").when(turn == 1, "html").otherwise("pdf").alias("file_type"),
+        F.when(turn == 0, F.array_join(marked, "\n\n")).when(turn == 1, F.array_join(tags, "")).otherwise(listed).alias("content"),
+    )
+    files = d.select("document_id", "kb_id", F.posexplode(lines).alias("asset_index", "line"))
+    assets = files.select(
+        "document_id", "kb_id", "asset_index", F.lit("image").alias("asset_type"), path(F.col("asset_index")).alias("source_path"),
+        F.lit("image/png").alias("content_type"), F.array(F.concat(F.lit("./"), path(F.col("asset_index")))).alias("aliases"),
+        F.col("line").cast("binary").alias("content"),
+    )
+    return docs, assets
+
+
+@check(
+    "ingest_assets",
+    """SELECT document_id, len(string_split(content, chr(10)))::bigint AS images, true AS linked, 0::bigint AS paths_left FROM docs""",
+    ("docs",),
+)
+def _(spark, sf):
+    """Files delivered beside documents of three kinds in one ingest: each hangs on a chunk that holds its URL, and no path is left."""
+    docs, files = pictured_documents(spark, sf)
+    done = ingest(docs, X.knowledge_bases(spark, sf), assets=files, once=True)
+    held = done.chunks.select("chunk_id", F.col("content").alias("text"))
+    assets = done.assets.join(held, "chunk_id").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("images"), F.bool_and(F.col("text").contains(F.col("url"))).alias("linked")
+    )
+    paths = done.chunks.groupBy("document_id").agg(F.count(F.when(F.lower("content").contains("images/"), 1)).alias("paths_left"))
+    return assets.join(paths, "document_id")
+
+
 @check("build_structured_chunks")
 def _(spark, sf):
     pages = X.dealt(read_table(spark, sf, "pages")).select(

@@ -1,7 +1,8 @@
 """Rewriting of asset references inside block text.
 
-Targets are found in the text and joined on equality with the aliases of the
-document, so no block is compared with every alias and no alias list is gathered.
+The starts of targets are found in the text and joined on equality with those of the
+aliases of the document, so no block is compared with every alias and no alias is gathered
+that the text does not mean. The replacement itself looks targets up, the longest first.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.assets import is_external, normalize_reference
+from shelfmark.functions.text import rstrip
 
 _LINK = re.compile(r"\]\(\s*")
 _ATTRIBUTE = re.compile(r"""(?:src|href)\s*=\s*["']""", re.IGNORECASE)
-_TARGETS = "array<struct<start:int,stop:int,folded:boolean,target:string>>"
 
 
 def _closings(text: str, start: int, marks: str, extra: int):
@@ -59,11 +60,30 @@ def splice(text: str, edits: list) -> str:
     return "".join([*out, text[done:]])
 
 
-def rewrite_asset_refs(blocks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Replace alias targets of Markdown links and quoted src/href values by asset URLs.
+def reference_prefixes(text: str) -> set[tuple[bool, str]]:
+    """(folded, start of the target) of every link and attribute: what stands before the first mark that may close it."""
+    found = set()
+    for match in _LINK.finditer(text):
+        for stop in _closings(text, match.end(), ")", 0):
+            found.add((False, text[match.end() : stop].rstrip()))
+    for match in _ATTRIBUTE.finditer(text):
+        for stop in _closings(text, match.end(), "\"'", 0):
+            found.add((True, text[match.end() : stop].lower()))
+    return found
 
-    ``aliases`` has document_id, alias, url and asset_index; of several assets
-    with one alias the last wins.
+
+def rewritten(text: str, known: dict[tuple[bool, str], str], parens: int, quotes: int) -> str:
+    """``text`` with the targets of ``known`` replaced, the longest at each place; a URL that was put in is not looked at again."""
+    targets = reference_targets(text, parens, quotes)
+    return splice(text, [{**t, "url": known[t["folded"], t["target"]]} for t in targets if (t["folded"], t["target"]) in known])
+
+
+def alias_keys(aliases: DataFrame) -> DataFrame:
+    """(document_id, folded, prefix, target, url) of usable aliases.
+
+    Links take an alias as it is, attributes in any case. ``prefix`` is its part before the
+    first mark that may close a reference, which a text can be searched for without knowing
+    the alias. Of several assets with one alias the last wins.
     """
     clean = (
         aliases.withColumn("alias", normalize_reference(F.col("alias")))
@@ -71,30 +91,56 @@ def rewrite_asset_refs(blocks: DataFrame, aliases: DataFrame) -> DataFrame:
         .groupBy("document_id", "alias")
         .agg(F.max_by("url", "asset_index").alias("url"))
     )
-    marks = clean.agg(
-        F.max(F.length(F.regexp_replace("alias", r"[^)]", ""))).alias("parens"),
-        F.max(F.length(F.regexp_replace("alias", r"[^\"']", ""))).alias("quotes"),
-    ).first()
-    parens, quotes = marks["parens"] or 0, marks["quotes"] or 0
+    linked = clean.select("document_id", F.lit(False).alias("folded"), rstrip(F.substring_index("alias", ")", 1)).alias("prefix"), F.col("alias").alias("target"), "url")
+    any_case = clean.groupBy("document_id", F.lower("alias").alias("target")).agg(F.min_by("url", "alias").alias("url"))
+    quoted = any_case.select("document_id", F.lit(True).alias("folded"), F.regexp_extract("target", "\\A[^\"']*", 0).alias("prefix"), "target", "url")
+    return linked.unionByName(quoted)
 
-    @F.pandas_udf(_TARGETS)
-    def targets(texts: pd.Series) -> pd.Series:
-        return pd.Series([reference_targets(t or "", parens, quotes) for t in texts], dtype=object)
 
-    @F.pandas_udf("string")
-    def apply_edits(texts: pd.Series, edits: pd.Series) -> pd.Series:
-        return pd.Series([splice(t, list(e)) if e is not None else t for t, e in zip(texts, edits)], dtype=object)
+def referenced_aliases(texts: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``__pairs``: of the aliases of its document, those whose prefix a row of texts refers to.
 
-    keyed = clean.select("document_id", F.lit(False).alias("folded"), F.col("alias").alias("target"), "url")
-    any_case = clean.groupBy("document_id", F.lower("alias").alias("target")).agg(F.min_by("url", "alias").alias("url"))
-    keyed = keyed.unionByName(any_case.withColumn("folded", F.lit(True)))
-    used = blocks.select("document_id", "block_index", F.explode(targets(F.col("content"))).alias("t")).select(
-        "document_id", "block_index", "t.*"
-    )
-    edits = (
-        used.join(keyed, ["document_id", "folded", "target"])
-        .groupBy("document_id", "block_index")
-        .agg(F.collect_list(F.struct("start", "stop", "url")).alias("__edits"))
-    )
-    joined = blocks.join(edits, ["document_id", "block_index"], "left")
-    return joined.withColumn("content", apply_edits(F.col("content"), F.col("__edits"))).select(*blocks.columns)
+    ``texts`` has the keys (document_id among them) and ``content``, an array of texts. Only
+    aliases that a text may mean are gathered, so their number follows the text.
+    """
+
+    @F.pandas_udf("array<struct<folded:boolean,prefix:string>>")
+    def prefixes(column: pd.Series) -> pd.Series:
+        found = ({key for t in (texts if texts is not None else ()) if t for key in reference_prefixes(t)} for texts in column)
+        return pd.Series([[{"folded": f, "prefix": p} for f, p in sorted(keys)] for keys in found], dtype=object)
+
+    used = texts.select(*keys, F.explode(prefixes(F.col("content"))).alias("r")).select(*keys, "r.*")
+    meant = used.join(alias_keys(aliases), ["document_id", "folded", "prefix"])
+    return meant.groupBy(*keys).agg(F.collect_set(F.struct("folded", "target", "url")).alias("__pairs"))
+
+
+def rewrite_texts(texts: Column, pairs: Column) -> Column:
+    """An array of texts with the references of ``pairs`` (null: none) replaced by their URLs."""
+
+    @F.pandas_udf("array<string>")
+    def run(columns: pd.Series, known: pd.Series) -> pd.Series:
+        out = []
+        for own, found in zip(columns, known):
+            if own is None or found is None or not len(found):
+                out.append(own)
+                continue
+            table = {(p["folded"], p["target"]): p["url"] for p in found}
+            parens = max(target.count(")") for _, target in table)
+            quotes = max(target.count("'") + target.count('"') for _, target in table)
+            out.append([t if t is None else rewritten(t, table, parens, quotes) for t in own])
+        return pd.Series(out, dtype=object)
+
+    # Kept in a projection of its own, so that it runs once.
+    return run.asNondeterministic()(texts, pairs)
+
+
+def rewrite_asset_refs(blocks: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Replace alias targets of Markdown links and quoted src/href values by asset URLs.
+
+    ``aliases`` has document_id, alias, url and asset_index; of several assets
+    with one alias the last wins.
+    """
+    keys = ["document_id", "block_index"]
+    pairs = referenced_aliases(blocks.select(*keys, F.array("content").alias("content")), aliases, keys)
+    joined = blocks.join(pairs, keys, "left").withColumn("__texts", rewrite_texts(F.array("content"), F.col("__pairs")))
+    return joined.withColumn("content", F.get("__texts", F.lit(0))).select(*blocks.columns)

@@ -27,8 +27,10 @@ from shelfmark.operators.parsing import (
     markdown_block_array,
     route_by_type,
 )
+from shelfmark.operators.references import referenced_aliases, rewrite_texts
 from shelfmark.operators.results import link_assets
 from shelfmark.operators.vectors import sparse_vectors
+from shelfmark.session import cut_lineage
 from shelfmark.sources.sinks import content_snapshot
 
 NOT_A_LIST = "Layout output is not a list"
@@ -93,7 +95,40 @@ def overlaid(base: Column, top: Column) -> Column:
     return F.when(base.isNull(), top).otherwise(F.to_json(both))
 
 
-def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, BlockParser] = PARSERS) -> DataFrame:
+def delivered_assets(assets: DataFrame) -> DataFrame:
+    """Assets that a layout parser delivered as files, with the id and URL they get.
+
+    ``assets`` has document_id, kb_id, asset_index, asset_type, source_path, content_type and
+    content, and may have ``aliases``. Their ids do not meet those of embedded images.
+    """
+    known = F.col("aliases") if "aliases" in assets.columns else F.array().cast("array<string>")
+    index = F.concat(F.lit("file-"), F.col("asset_index").cast("string"))
+    named = assets.withColumn("aliases", F.array_distinct(F.concat(F.array("source_path"), F.coalesce(known, F.array().cast("array<string>")))))
+    return named.select(
+        "document_id", "kb_id", "asset_index", "asset_type", "source_path", "content_type",
+        F.octet_length("content").cast("bigint").alias("file_size"), F.sha2("content", 256).alias("file_hash"),
+        "aliases", "content", asset_id(F.col("document_id"), index).alias("asset_id"),
+    )
+
+
+def with_asset_urls(parsed: DataFrame, assets: DataFrame) -> DataFrame:
+    """Parsed documents whose blocks and texts refer to delivered assets by URL.
+
+    The blocks are written once: references are looked for in them, and then replaced.
+    """
+    held = cut_lineage(parsed)
+    url = asset_url(url_id(F.col("document_id")), F.col("asset_id"))
+    aliases = delivered_assets(assets).select("document_id", F.explode("aliases").alias("alias"), url.alias("url"), "asset_index")
+    is_list = F.col("route") == "layout"
+    texts = F.concat(F.array(F.when(~is_list, F.col("content"))), F.transform("__blocks", lambda b: b["content"]))
+    pairs = referenced_aliases(held.select("document_id", texts.alias("content")), aliases, ["document_id"])
+    done = held.join(pairs, "document_id", "left").withColumn("__texts", rewrite_texts(texts, F.col("__pairs")))
+    blocks = F.transform("__blocks", lambda b, i: b.withField("content", F.get("__texts", i + 1)))
+    text = F.when(is_list, F.col("content")).otherwise(F.get("__texts", F.lit(0)))
+    return done.withColumns({"__blocks": blocks, "content": text}).select(*parsed.columns)
+
+
+def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, BlockParser] = PARSERS, assets: DataFrame | None = None) -> DataFrame:
     """One row per document with ``error``, ``embedded`` images and ``made``, the array of its chunks.
 
     ``docs`` has document_id, kb_id, name, file_type, tags and content, and may have
@@ -101,7 +136,8 @@ def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, Block
     size and overlap; its join side is chosen by Spark from its size. Errors: unknown_kb,
     missing_content, unsupported_image, an unsupported type or a layout text that is no
     list, and empty_layout or empty_document where nothing visible was found. A Markdown
-    text without blocks is cut into paragraphs.
+    text without blocks is cut into paragraphs. References to ``assets`` (see
+    ``delivered_assets``) become their URLs before blocks are merged into chunks.
     """
     sizes = kbs.select("kb_id", "chunk_size", "chunk_overlap", F.lit(True).alias("__kb"))
     joined = route_by_type(docs).join(sizes, "kb_id", "left")
@@ -122,6 +158,8 @@ def parse_documents(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, Block
     own = {name: F.when(usable & (route == name), text).otherwise(F.lit("")) for name in parsers}
     blocks = F.concat(*[merge_input(parse(own[name])) for name, parse in parsers.items()])
     parsed = lifted.withColumn("__blocks", blocks)
+    if assets is not None:
+        parsed = with_asset_urls(parsed, assets)
     bare = usable & (route == "markdown") & (F.size("__blocks") == 0)
     filled = parsed.withColumn("__blocks", F.when(bare, plain_blocks(paragraphs(text))).otherwise(F.col("__blocks")))
     size, overlap = F.coalesce("chunk_size", F.lit(1)), F.coalesce("chunk_overlap", F.lit(0))
@@ -163,10 +201,16 @@ def chunk_rows(whole: DataFrame) -> DataFrame:
     )
 
 
-def split(whole: DataFrame) -> Ingested:
-    """Tables of parsed documents; ``whole`` is what ``parse_documents`` made, best read back from where it was written."""
+def split(whole: DataFrame, delivered: DataFrame | None = None) -> Ingested:
+    """Tables of parsed documents; ``whole`` is what ``parse_documents`` made, best read back from where it was written.
+
+    ``delivered`` are the assets that came as files; those of documents that failed are left out.
+    """
     bare = chunk_rows(whole)
-    assets = asset_rows(whole.where("error is null")).withColumn("asset_id", asset_id(F.col("document_id"), F.col("asset_index")))
+    done = whole.where("error is null")
+    assets = asset_rows(done).withColumn("asset_id", asset_id(F.col("document_id"), F.col("asset_index")))
+    if delivered is not None:
+        assets = assets.unionByName(delivered_assets(delivered).join(done.select("document_id"), "document_id", "left_semi"))
     by_url = lambda df: df.withColumn("__of", F.col("document_id")).withColumn("document_id", url_id(F.col("document_id")))
     linked = link_assets(by_url(assets), by_url(bare.select("chunk_id", "document_id", "chunk_index", "content")).drop("__of"))
     placed = linked.withColumn("url", asset_url(F.col("document_id"), F.col("asset_id"))).withColumn("document_id", F.col("__of")).drop("__of")
@@ -176,12 +220,15 @@ def split(whole: DataFrame) -> Ingested:
     return Ingested(whole, sparse_vectors(bare), placed, outcomes.where("error is not null").select("document_id", "error"), outcomes, snapshot)
 
 
-def ingest(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, BlockParser] = PARSERS) -> Ingested:
-    """Chunks with sparse vectors, embedded images linked to chunks, parsed texts, and an outcome per document.
+def ingest(docs: DataFrame, kbs: DataFrame, parsers: Mapping[str, BlockParser] = PARSERS, assets: DataFrame | None = None, once: bool = False) -> Ingested:
+    """Chunks with sparse vectors, assets linked to chunks, parsed texts, and an outcome per document.
 
-    Embedded images become assets, and their places in the text become asset URLs.
+    Embedded images become assets, and their places in the text become asset URLs; so do
+    references to ``assets``, the files that came with layout lists. ``once`` writes the
+    parsed documents to the checkpoint folder, so that using several tables parses once.
     """
-    return split(parse_documents(docs, kbs, parsers))
+    whole = parse_documents(docs, kbs, parsers, assets)
+    return split(cut_lineage(whole) if once else whole, assets)
 
 
 def build_chunks(docs: DataFrame, kbs: DataFrame) -> DataFrame:

@@ -214,3 +214,43 @@ def test_mixed_ingest_takes_all_kinds(spark, monkeypatch):
         if i % 8 == 3 and chunks.get(i):
             want = {w for b in json.loads(d["content"]) for w in b["text"].split()}
             assert {w for c in chunks[i].values() for w in c.split()} == want
+
+
+DOCS = "document_id string, kb_id long, name string, file_type string, tags array<string>, content string"
+
+
+def test_texts_are_tokenised_once(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.text import WS
+    from shelfmark.plans.ingest import build_chunks
+
+    kbs = spark.createDataFrame([(1, 8, 2)], "kb_id long, chunk_size int, chunk_overlap int")
+    docs = spark.createDataFrame([("a", 1, "a", "txt", [], "ww " * 50)], DOCS)
+    chunks = build_chunks(docs, kbs)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    # One split into words, and one window expression over what it made.
+    assert plan.count(f"{WS}+, -1)") == 1
+    assert [r["content"] for r in chunks.orderBy("chunk_index").collect()] == [" ".join(["ww"] * n) for n in [8] * 8]
+
+
+def test_delivered_assets_and_uuid_documents(spark):
+    """Files beside a layout list, in a document whose id is a UUID: URLs hold that id, and chunks and assets meet."""
+    import json
+
+    from shelfmark.plans.ingest import ingest
+
+    uuid = "123E4567-e89b-12d3-a456-426614174000"
+    kbs = spark.createDataFrame([(1, 128, 16)], "kb_id long, chunk_size int, chunk_overlap int")
+    layout = [{"type": "text", "text": "One."}, {"type": "image", "img_path": "images/p.png", "image_caption": ["cap"]}]
+    docs = spark.createDataFrame([(uuid, 1, "a.pdf", "pdf", [], json.dumps(layout)), ("7", 1, "b.md", "md", [], "see [x](images/p.png) here"), ("8", 1, "c.exe", "exe", [], "x")], DOCS)
+    files = spark.createDataFrame([(d, 1, 0, "image", "images/p.png", "image/png", None, bytearray(b"px")) for d in (uuid, "7", "8")], "document_id string, kb_id long, asset_index int, asset_type string, source_path string, content_type string, aliases array<string>, content binary")
+    done = ingest(docs, kbs, assets=files, once=True)
+    assets = {r["document_id"]: r for r in done.assets.collect()}
+    chunks = {(r["document_id"], r["chunk_index"]): r for r in done.chunks.collect()}
+    assert set(assets) == {uuid, "7"} and assets[uuid]["url"].startswith(f"/api/v1/documents/{uuid.lower()}/assets/")
+    assert chunks[uuid, 1]["content"] == f"cap\n![cap]({assets[uuid]['url']})" and assets[uuid]["chunk_id"] == chunks[uuid, 1]["chunk_id"]
+    assert chunks["7", 0]["content"] == f"see [x]({assets['7']['url']}) here" and assets["7"]["chunk_id"] == chunks["7", 0]["chunk_id"]
+    assert {r["document_id"]: (r["status"], r["chunk_count"]) for r in done.outcomes.collect()} == {uuid: ("completed", 2), "7": ("completed", 1), "8": ("failed", 0)}
+    assert "images/" not in {r["document_id"]: r for r in done.snapshot.collect()}["7"]["content"]

@@ -121,6 +121,17 @@ def test_references_are_rewritten(spark):
     assert out[2] == "[b](./b.png)"
 
 
+def test_prefixes_do_not_mix_aliases(spark):
+    """Aliases with closing marks, one a start of another, in links and attributes; other documents' aliases stay out."""
+    text = "![a](p(1).png) ![b](p(1) .png) [c](p(1) <a href=\"it's.png\"> <a href='it's.png'> [d](other.png)"
+    blocks = spark.createDataFrame([(1, 0, text), (1, 1, None), (2, 0, text)], "document_id long, block_index int, content string")
+    aliases = spark.createDataFrame([(1, "p(1).png", "/A", 0), (1, "p(1", "/B", 1), (1, "it's.png", "/C", 2), (3, "other.png", "/D", 3)], "document_id long, alias string, url string, asset_index int")
+    out = {(r["document_id"], r["block_index"]): r["content"] for r in rewrite_asset_refs(blocks, aliases).collect()}
+    assert out[1, 0] == "![a](/A) ![b](/B) .png) [c](/B) <a href=\"/C\"> <a href='/C'> [d](other.png)"
+    assert out[1, 1] is None and out[2, 0] == text
+    assert rewrite_asset_refs(blocks, aliases.limit(0)).where("document_id = 1 and block_index = 0").first()["content"] == text
+
+
 def path_reference(blocks, inclusive):
     path, out = [], []
     for level, text in blocks:
