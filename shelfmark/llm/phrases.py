@@ -12,7 +12,7 @@ in blocks (``packed``). At each level
    semi-join leaves only their occurrences for the next level.
 
 Relations are stored in buckets by block, so that what a block asked for travels to it and
-the relation stays where it is. Words and phrases are 64-bit hashes while they are counted, seeded by language. Every
+the relation stays where it is; a relation is deleted when the next one is written. Words and phrases are 64-bit hashes while they are counted, seeded by language. Every
 part of a frequent phrase is frequent, so all counts that the scores ask for are there.
 
 Defined results: a null text is empty; a null language is ``und``; repeated rows count
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import packed
 from shelfmark.llm.packed import look_up, pack, pack_sorted, unpack, unpack_sorted
-from shelfmark.llm.scratch import dealt, written
+from shelfmark.llm.scratch import dealt, discard, written
 from shelfmark.llm.words import LOWER, blocks, mix, text_bytes
 
 LEAST, LONGEST, PERCENT, TOP = 30, 4, 80, 2000
@@ -231,20 +231,25 @@ def phrases(documents: DataFrame, text: str = "text", lang: str = "lang", least:
     ``least`` times or more, the second (lang, n).
     """
     words = dealt(occurrences(documents, text, lang, block_words), "words", "block")
-    n = words.select(F.explode("n").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
+    n = written(words.select(F.explode("n").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")), "totals")
     enough = written(packed.totals(word_counts(words), least), "frequent")
     relations = dealt(packed.answered(words, enough, words.columns[2:], frequent_words, _FOUND), "relation", "block")
-    single = relations.select(F.inline("found")).select("key", "lang", "word", "f")
+    single = written(relations.select(F.inline("found")).select("key", "lang", "word", "f"), "single")
+    discard(words)
+    discard(enough)
     level = single.select("key", "lang", F.array("word").alias("words"), "f")
     out = level
     for width in range(1, longest):
         enough = written(packed.totals(extended_counts(relations, width), least), "frequent")
-        relations = dealt(packed.answered(relations, enough, relations.columns[2:-1], frequent_phrases(width), _FOUND), "relation", "block")
+        before, relations = relations, dealt(packed.answered(relations, enough, relations.columns[2:-1], frequent_phrases(width), _FOUND), "relation", "block")
         made = relations.select(F.inline("found")).select("key", "first", "last", "f")
-        before = level.select(F.col("key").alias("first"), "lang", "words")
-        named = made.join(before, "first").join(single.select(F.col("key").alias("last"), "word"), "last")
+        shorter = level.select(F.col("key").alias("first"), "lang", "words")
+        named = made.join(shorter, "first").join(single.select(F.col("key").alias("last"), "word"), "last")
         level = written(named.select("key", "lang", F.concat("words", F.array("word")).alias("words"), "f"), "level")
+        discard(before)
+        discard(enough)
         out = out.union(level)
+    discard(relations)
     return out.select("lang", "words", "f"), n
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,15 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, key).option("path", f"{folder(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``written`` or ``dealt`` made, once what was made from it is written itself."""
+    spark = df.sparkSession
+    for place in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        name = place.rsplit("/", 1)[1]
+        if not re.fullmatch(r"[\w-]+[_-][0-9a-f]{32}", name):
+            raise ValueError(f"{place} is no intermediate table")
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
