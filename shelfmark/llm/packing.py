@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 #: Numbering splits the pieces of one length into so many parts.
 PARTS = 512
-#: Runs and pieces that a Python worker remembers, and the longest remembered run.
-RUNS, PARTS_KEPT, MEMO_CHARS = 300_000, 150_000, 48
+#: Runs of the newer and of the older half of a Python worker's memory, pieces it remembers, and the longest remembered run.
+RUNS, PARTS_KEPT, MEMO_CHARS = 200_000, 300_000, 48
 # The definition of a tokenizer whose runs may be split before the model sees them.
 SHAPE = {
     "normalizer": {
@@ -53,8 +54,11 @@ def text_runs(text: str) -> list[str]:
     return _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
 
 
-#: Latin letters that small letters replace one by one, then ASCII characters that are neither letter nor digit.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-/:-@\\[-`{-~]*)")
+#: Latin letters that small letters replace one by one, and ASCII characters that are neither letter nor digit.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "!-/:-@\\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9]*")
+#: The splitting rule of SHAPE for such characters.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
 class RunTokenizer:
@@ -62,10 +66,11 @@ class RunTokenizer:
 
     The tokenizer must drop white space and never join what it separates; then a text's
     ids are those of its runs in order, and the runs seen before need not be encoded
-    again. A run of letters with a tail of ASCII marks is two pieces to a tokenizer that
-    brings texts to NFC, makes them small, and splits letters from marks; where the
-    definition says so, its model is asked for the pieces, which are kept, too. All other
-    runs go through the whole tokenizer.
+    again. A tokenizer that brings texts to NFC, makes them small, and splits letters,
+    digits and marks from each other does to a run of Latin letters, ASCII digits and marks
+    what the pattern of these classes does; where the definition says so, its model is
+    asked for the pieces, which are kept, too. All other runs go through the whole
+    tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -74,10 +79,12 @@ class RunTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         shape = json.loads(definition)
         self.split = SHAPE == {k: shape[k] for k in SHAPE}
-        self.special = tuple(x["content"] for x in shape["added_tokens"])
+        added = [re.escape(x["content"]) for x in shape["added_tokens"]]
+        self.special = re.compile("|".join(added)) if added else None
         self.byte_names = _byte_names()
 
     def piece(self, piece: str) -> bytes:
@@ -86,17 +93,13 @@ class RunTokenizer:
             if len(self.parts) >= PARTS_KEPT:
                 self.parts.clear()
             mapped = piece.encode().decode("latin-1").translate(self.byte_names)
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            found = self.parts[piece] = np.array(ids, dtype="<u4").tobytes()
+            found = self.parts[piece] = packed_ids([t.id for t in self.model.tokenize(mapped)])
         return found
 
     def run(self, run: str) -> bytes:
-        plain = _PLAIN.fullmatch(run) if self.split else None
-        if plain is None or any(x in run for x in self.special):
-            made = self.tokenizer.encode(run, add_special_tokens=False).ids
-            return np.array(made, dtype="<u4").tobytes()
-        letters, marks = plain.groups()
-        return (self.piece(letters.lower()) if letters else b"") + (self.piece(marks) if marks else b"")
+        if not self.split or not _PLAIN.fullmatch(run) or (self.special and self.special.search(run)):
+            return packed_ids(self.tokenizer.encode(run, add_special_tokens=False).ids)
+        return b"".join([self.piece(part) for part in _PARTS.findall(run.lower())])
 
     def encode(self, text: str) -> bytes:
         runs = text_runs(text)
@@ -109,15 +112,24 @@ class RunTokenizer:
         for run in runs:
             ids = known.get(run)
             if ids is None:
-                ids = self.run(run) if run else b""
+                ids = self.older.get(run)
+                if ids is None:
+                    ids = self.run(run) if run else b""
                 if len(run) <= MEMO_CHARS:
                     if len(known) >= RUNS:
-                        known.clear()
+                        # Runs in use come back from the older half one by one; the others go with it.
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[run] = ids
             out.append(ids)
         return b"".join(out)
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_names() -> dict[int, int]:
     """The characters that byte-level models use for bytes: printable Latin-1 ones as they are, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -173,29 +185,41 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     return source.mapInArrow(run, schema)
 
 
-class _Stock:
-    """Available counts per length, with hashed sums of one, two and three lengths."""
+class _Sums:
+    """Available counts per length, and an index of the sums that one, two and three of the lengths make.
+
+    ``pairs`` lists the pairs of lengths by their sum, the most unequal first; ``begin``
+    tells where each sum starts. A triple is a shorter length and a pair of the rest of the
+    sum, so the same index serves it. The index is set by the lengths, at most ``limit`` of
+    them; whether a combination is still available is read off the counts.
+    """
 
     def __init__(self, counts: dict[int, int], limit: int):
         self.n = np.zeros(limit + 1, dtype=np.int64)
         for length, count in counts.items():
             self.n[length] = count
+        held = np.flatnonzero(self.n)
+        low, high = (x.reshape(-1) for x in np.meshgrid(held, held, indexing="ij"))
+        kept = (low <= high) & (low + high <= limit)
+        low, high = low[kept], high[kept]
+        order = np.lexsort((low, low + high))
+        self.low, self.high = low[order], high[order]
+        self.begin = np.searchsorted(self.low + self.high, np.arange(limit + 2))
+        self.held = held
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.n[gap] else None
 
     def pair(self, gap: int, least: int = 1) -> tuple[int, ...] | None:
         """Two available lengths with the sum ``gap``, as unequal as possible, the shorter at least ``least``."""
-        if gap < 2 * least:
-            return None
-        low = np.arange(least, gap // 2 + 1)
-        high = gap - low
-        fits = (self.n[low] > 0) & (self.n[high] > (low == high))
-        i = int(fits.argmax())
-        return (int(high[i]), int(low[i])) if fits[i] else None
+        low, high = self.low[self.begin[gap] : self.begin[gap + 1]], self.high[self.begin[gap] : self.begin[gap + 1]]
+        at = int(np.searchsorted(low, least))
+        fits = (self.n[low[at:]] > 0) & (self.n[high[at:]] > (low[at:] == high[at:]))
+        i = int(fits.argmax()) if len(fits) else 0
+        return (int(high[at + i]), int(low[at + i])) if len(fits) and fits[i] else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        for low in range(1, gap // 3 + 1):
+        for low in self.held[: np.searchsorted(self.held, gap // 3, "right")].tolist():
             if self.n[low]:
                 self.n[low] -= 1
                 rest = self.pair(gap - low, low)
@@ -215,7 +239,7 @@ class _Stock:
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences). Uses every piece exactly once."""
-    stock = _Stock(counts, limit)
+    stock = _Sums(counts, limit)
     filled: dict[tuple[int, ...], int] = defaultdict(int)
     opened: list[tuple[int, int]] = []
     for length in range(limit, 0, -1):
