@@ -2,12 +2,10 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shelfmark.llm import fuzzy_lines as L
-from shelfmark.llm.words import blocks
 from tests.llm import plain
 
 
@@ -16,31 +14,25 @@ def words(line):
     return tuple(plain.WORD.findall(re.sub(r"[!-/:-@\[-`{-~]", " ", re.sub("[0-9]", "0", low))))
 
 
-def word_hash(word):
-    return int(next(blocks(pa.array([word]))).hashes[0])
+def expected(documents, percent=80, least=4):
+    """doc_id -> (lines, removed, text) by comparing all pairs of different lines by edit similarity alone.
 
-
-def expected(documents, percent=80, bits=3, least=4):
-    """doc_id -> (lines, removed, text) by comparing all pairs of different lines."""
+    Equal lines are one line however short; shorter ones than ``least`` words have no other link.
+    """
     first, rows = {}, []
     for i in sorted(documents):
         for j, line in enumerate((documents[i] or "").split("\n")):
-            w = words(line)
-            if len(w) >= least:
+            if w := words(line):
                 rows.append((i, j, w))
                 first.setdefault(w, (i, j))
-    hashes = {w: word_hash(w) for w in {x for line in first for x in line}}
-
-    def simhash(line):
-        return sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in line) > len(line))
-
     nodes = list(first)
-    sims = [simhash(w) for w in nodes]
     links = [
         (i, j)
         for i in range(len(nodes))
         for j in range(i)
-        if (sims[i] ^ sims[j]).bit_count() <= bits and 100 * plain.distance(nodes[i], nodes[j]) <= (100 - percent) * max(len(nodes[i]), len(nodes[j]))
+        if min(len(nodes[i]), len(nodes[j])) >= least
+        and 100 * abs(len(nodes[i]) - len(nodes[j])) <= (100 - percent) * max(len(nodes[i]), len(nodes[j]))
+        and 100 * plain.distance(nodes[i], nodes[j]) <= (100 - percent) * max(len(nodes[i]), len(nodes[j]))
     ]
     group = plain.grouped(range(len(nodes)), links)
     best = {}
@@ -135,15 +127,10 @@ def test_query(spark):
         assert (r["n_lines"], r["n_removed"], r["kept_sha256"]) == (n, removed, hashlib.sha256(text.encode()).hexdigest())
 
 
-def similar(documents):
-    """``expected`` with no rule but the edit similarity of lines of four words or more."""
-    return expected(documents, bits=64)
-
-
 def test_all_lines_of_the_stated_similarity(spark, monkeypatch):
     documents = near_lines(11) | {200 + i: t for i, t in enumerate(["one two three four five", "one two three four", "six six seven six eight six", "six six seven eight six six", "Chapter 1: the sea at night", "Chapter 2: the lake at night"])}
-    want, links = similar(documents)
-    assert links > expected(documents)[1]
+    want, links = expected(documents)
+    assert links > 100
     assert run(spark, documents) == want
     monkeypatch.setattr(L, "TILE", 4)
     monkeypatch.setattr(L, "SMALL", 2)
