@@ -8,6 +8,11 @@ place ``LENGTH``, so that the distance is a constant less ``2 * (LENGTH - max(pl
 for each pivot in common. The nearest share of each part is ranked again by the exact
 inner product of the original vectors, in double precision.
 
+Pivots are compared by angle, but the largest inner product may belong to a long vector at a
+wider angle. So every vector of the index, pivots included, gets one more component that
+brings it to the length of the longest, and queries get a zero there: their angles then
+order vectors as inner products do.
+
 Parts hold a bounded number of vectors, and the queries of a part stream past it, so
 memory does not grow with either table. Pivots are a bounded sample; every vector is
 indexed. Equal vectors are one entry of the index with the smallest keys only: as ties go
@@ -43,6 +48,11 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     return np.array([r["v"] for r in rows], dtype=np.float64)
 
 
+def raised(vectors: np.ndarray, top: float) -> np.ndarray:
+    """``vectors`` with one more component that gives each the length ``top``."""
+    return np.column_stack((vectors, np.sqrt(np.maximum(top * top - np.einsum("ij,ij->i", vectors, vectors), 0.0))))
+
+
 def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first, by cosine."""
     near = vectors @ (pivots / np.linalg.norm(pivots, axis=1, keepdims=True)).T
@@ -54,10 +64,11 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 class Part:
     """One part of the index."""
 
-    def __init__(self, keys: list[list[int]], vectors: np.ndarray, pivots: np.ndarray, length: int):
+    def __init__(self, keys: list[list[int]], vectors: np.ndarray, pivots: np.ndarray, length: int, compared: np.ndarray | None = None):
+        """``compared`` stands for the vectors where pivots are ordered."""
         self.keys, self.vectors = keys, vectors
         self.least = np.array([k[0] for k in keys], dtype=np.int64)
-        order = orders(vectors, pivots, length)
+        order = orders(vectors if compared is None else compared, pivots, length)
         self.length = order.shape[1]
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
@@ -74,7 +85,7 @@ class Part:
 
     def nearest(self, key: int, vector: np.ndarray, order: np.ndarray, k: int, share: float) -> list[tuple[float, int]]:
         n = len(self.keys)
-        wanted = min(n, max(int(np.ceil(share * n)), 50 * k))
+        wanted = min(n, max(int(np.ceil(share * n)), k + 1))
         gains = self.footrule(order)
         if wanted < n:
             limit = np.partition(gains, n - wanted)[n - wanted]
@@ -114,7 +125,10 @@ def search(
     schema = f"query_id long, rank int, {key} long, score double"
     if not len(chosen):
         return spark.createDataFrame([], schema)
-    pivot_rows = spark.sparkContext.broadcast(chosen)  # at most ``pivots`` vectors
+    longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    # Lengths beyond double precision stay as they are.
+    top = longest if longest is not None and longest < 1e150 else 0.0
+    pivot_rows = spark.sparkContext.broadcast(raised(chosen, top))  # at most ``pivots`` vectors
     copies = Window.partitionBy("h", "v").orderBy("key")
     first = rows.distinct().withColumn("h", F.xxhash64("v")).withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     entries = first.groupBy("h", "v").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most k + 1 keys
@@ -138,7 +152,7 @@ def search(
             out = []
             values = lists.flatten().to_numpy().reshape(len(sides), -1)
             asking = [i for i, s in enumerate(sides) if s]
-            order = dict(zip(asking, orders(values[asking], pivot_rows.value, length))) if asking else {}
+            order = dict(zip(asking, orders(np.column_stack((values[asking], np.zeros(len(asking)))), pivot_rows.value, length))) if asking else {}
             for i, side in enumerate(sides):
                 if place[i] != at:
                     at, keys, vectors, index = place[i], [], [], None
@@ -147,7 +161,8 @@ def search(
                     vectors.append(values[i])
                     continue
                 if index is None and keys:
-                    index = Part(keys, np.array(vectors), pivot_rows.value, length)
+                    held = np.array(vectors)
+                    index = Part(keys, held, pivot_rows.value, length, raised(held, top))
                     vectors = []
                 if index is not None:
                     out += [(names[i][0], other, s) for s, other in index.nearest(names[i][0], values[i], order[i], k, share)]

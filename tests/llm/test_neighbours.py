@@ -42,6 +42,25 @@ def test_recall_over_parts(spark):
             assert pairs == sorted(pairs, key=lambda p: (-p[1], p[0]))
 
 
+def test_recall_on_uneven_lengths():
+    """At the production share, in a part of 20,000: unit vectors, and lengths that differ by an order of magnitude."""
+    r = np.random.default_rng(0)
+    unit = r.standard_normal((20_000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for vectors in (unit, unit * r.lognormal(0, 0.5, 20_000)[:, None], unit * r.uniform(0.1, 3, 20_000)[:, None]):
+        top = np.linalg.norm(vectors, axis=1).max()
+        pivots = N.raised(vectors[r.choice(20_000, N.PIVOTS, replace=False)], top)
+        part = N.Part([[i] for i in range(20_000)], vectors, pivots, N.LENGTH, N.raised(vectors, top))
+        hits, asked = 0, r.choice(20_000, 60, replace=False)
+        for q in asked:
+            order = N.orders(np.append(vectors[q], 0.0)[None], pivots, N.LENGTH)[0]
+            got = {i for _, i in part.nearest(int(q), vectors[q], order, 20, N.SHARE)}
+            scores = vectors @ vectors[q]
+            scores[q] = -np.inf
+            hits += len(got & set(np.argsort(-scores)[:20].tolist()))
+        assert hits >= 0.97 * 20 * len(asked)
+
+
 def test_odd_vectors_ties_and_copies(spark):
     good = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(100 + i, [2.0, 2.0]) for i in range(50)]
     odd = [(200, None), (201, [0.0, 0.0]), (202, [float("nan"), 1.0]), (203, [None, 1.0]), (204, [float("inf"), 1.0]), (None, [1.0, 1.0]), (220, [0.0, 0.0])]
