@@ -229,7 +229,12 @@ def _(spark, sf):
     return C.overlap_stats(C.merge_overlaps(X.chunks(spark, sf)))
 
 
-@check("rebuild_documents")
+@check(
+    "rebuild_documents",
+    r"""SELECT document_id, 0 AS part, string_agg(CASE WHEN chunk_index > 0 AND text <> '' AND n = 0 THEN chr(10) || chr(10) ELSE '' END || substr(text, n + 1), '' ORDER BY chunk_index) AS content
+FROM overlap_steps GROUP BY document_id""",
+    ("overlap_steps",),
+)
 def _(spark, sf):
     return C.rebuild_documents(C.merge_overlaps(X.chunks(spark, sf)))
 

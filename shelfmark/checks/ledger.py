@@ -465,11 +465,14 @@ def _(spark, sf):
     return out.select("chunk_id", "document_id", F.col("chunk_index").cast(big).alias("chunk_index"), "content_hash")
 
 
-@check("dedup_stream")
+@check(
+    "dedup_stream",
+    "SELECT document_id, s.kb AS kb_id, r.name FROM dedup_steps s JOIN dedup_rows r USING (document_id) WHERE reason IS NULL",
+    ("dedup_steps",),
+)
 def _(spark, sf):
+    """First come, first registered, by a stream whose files arrive in order of position."""
     root = work_folder(spark, "dedup")
     d = X.documents(spark, sf).select("document_id", (F.col("document_id") % 2).alias("kb_id"), "name", "file_hash", F.col("document_id").alias("position"))
-    d.repartitionByRange(3, "position").write.parquet(f"{root}/arriving")
-    arriving = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
-    N.dedup_stream(arriving, f"{root}/out", f"{root}/cp").awaitTermination()
+    N.dedup_stream(in_turns(d, "position", f"{root}/arriving"), f"{root}/out", f"{root}/cp").awaitTermination()
     return spark.read.parquet(f"{root}/out/registered").select("document_id", "kb_id", "name")

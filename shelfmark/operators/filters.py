@@ -272,9 +272,16 @@ def page_chunks(chunks: DataFrame, offset: int = 0, limit: int = 50) -> DataFram
     return page.join(totals, "document_id")
 
 
+def _by_document(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows of a document together and in order; documents come in any order."""
+    return rows.repartition("document_id").sortWithinPartitions("document_id", *order)
+
+
 def version_history(versions: DataFrame) -> DataFrame:
-    return versions.orderBy("document_id", F.desc("version_number"))
+    """Versions of each document, the newest first."""
+    return _by_document(versions, F.desc("version_number"))
 
 
 def audit_history(audit: DataFrame) -> DataFrame:
-    return audit.orderBy("document_id", F.desc("created_at"), F.desc("audit_id"))
+    """Audit events of each document, the newest first."""
+    return _by_document(audit, F.desc("created_at"), F.desc("audit_id"))

@@ -348,6 +348,7 @@ class ContentChange:
     chunks: DataFrame
     assets: DataFrame
     rejected: DataFrame | None = None
+    snapshots: DataFrame | None = None
 
 
 def update_content(
@@ -395,8 +396,8 @@ def update_content(
     )
 
 
-def reprocess(docs: DataFrame, ids: DataFrame, chunks: DataFrame, assets: DataFrame) -> ContentChange:
-    """Queue documents again: chunks and assets go, no version is written."""
+def reprocess(docs: DataFrame, ids: DataFrame, chunks: DataFrame, assets: DataFrame, snapshots: DataFrame | None = None) -> ContentChange:
+    """Queue documents again: chunks, assets and the snapshots of parsed texts go, no version is written."""
     wanted = ids.select("document_id").distinct()
     reset = docs.join(wanted, "document_id", "left_semi").withColumns(
         {
@@ -412,6 +413,7 @@ def reprocess(docs: DataFrame, ids: DataFrame, chunks: DataFrame, assets: DataFr
         audit_events(reset, "document.reprocessed", REPROCESS_SUMMARY, None, snapshot()),
         delete_rows(chunks, wanted),
         delete_rows(assets, wanted),
+        snapshots=None if snapshots is None else delete_rows(snapshots, wanted),
     )
 
 

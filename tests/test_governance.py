@@ -151,7 +151,9 @@ def test_content_update_and_reprocess(spark):
     assert [r["chunk_id"] for r in done.chunks.collect()] == ["c2"] and done.assets.count() == 0
     assert done.audit.first()["summary"] == "Source content updated"
 
-    again = G.reprocess(docs, docs.where("document_id = 1"), chunks, assets)
+    snapshots = docs.select("document_id", F.lit("parsed").alias("content"))
+    again = G.reprocess(docs, docs.where("document_id = 1"), chunks, assets, snapshots)
+    assert {r["document_id"] for r in again.snapshots.collect()} == {r["document_id"] for r in docs.collect()} - {1}
     row = {r["document_id"]: r for r in again.documents.collect()}[1]
     assert (row["status"], row["error_message"], row["current_version"]) == ("pending", None, 1)
     assert again.versions.count() == 0
