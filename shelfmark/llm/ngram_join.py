@@ -19,13 +19,15 @@ exact under any order.
 
 Texts with the same words are one class, found by a 128-bit digest, and mostly one row
 (a bit table of fixed size lets the others be left out while scanning; those that slip
-through do no harm). The product is taken in two passes. The first links each head
-column's rows to a leader, the row of a size class in which the column comes earliest:
-it has the fewest rare columns of its own, so whatever is similar to another row of the
-column is mostly similar to it. This settles large groups of near copies without their
-pairs; frequent columns are dealt into parts with a leader each. The second pass takes
-the full product of the head columns that still hold rows of different components. Pairs
-of both passes are compared on heads and then verified on whole sets.
+through do no harm). The product is taken in three passes. The first links the first
+``FIRST`` head columns of each row to a leader, the row of a size class in which the
+column comes earliest: it has the fewest rare columns of its own, so whatever is similar to
+another row of the column is mostly similar to it. This settles large groups of near copies
+with a few pairs per row; frequent columns are dealt into parts with a leader each. The
+second pass does the same in all head columns that still hold several groups, with one row
+of each group, column and size class. The third takes the full product of the head columns
+that hold rows of different groups even then. Pairs of all passes are compared on heads and
+then verified on whole sets.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.links import KEY_BITS, components, key_bits
@@ -51,6 +53,8 @@ HEAD_CELLS = 1 << 27
 GROUP = 256
 #: Parts into which the rows of a frequent column are dealt in the first pass.
 PARTS = 32
+#: Columns of a row that the first pass looks at, of those it may share.
+FIRST = 2
 #: Rows of one column to a tile of the second pass.
 TILE = 2000
 
@@ -310,7 +314,7 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percen
 
 
 def _postings(table: DataFrame) -> DataFrame:
-    """(key, n, gram, hot, pos) of the head columns that may be in more than one row; pos counts from 0."""
+    """(key, n, gram, hot, pos, turn) of the head columns that may be in more than one row; pos counts all of a row's from 0, turn those."""
 
     def found(batch: pa.RecordBatch):
         yield _cells(batch.column(0).flatten().to_numpy().view(np.uint64), HEAD_CELLS)
@@ -324,13 +328,14 @@ def _postings(table: DataFrame) -> DataFrame:
             grams = batch.column(2).flatten().to_numpy()
             at = np.flatnonzero(_set(bits, _cells(grams.view(np.uint64), HEAD_CELLS)))
             place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
+            owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+            rows, turn = pa.array(owner), np.arange(len(owner)) - np.searchsorted(owner, owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at)), pa.array(place[at], pa.int64())],
-                ["key", "n", "gram", "hot", "pos"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at)), pa.array(place[at], pa.int64()), pa.array(turn, pa.int64())],
+                ["key", "n", "gram", "hot", "pos", "turn"],
             )
 
-    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean, pos long")
+    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean, pos long, turn long")
 
 
 def _room(n, pos, m, other, percent: int):
@@ -338,10 +343,28 @@ def _room(n, pos, m, other, percent: int):
     return F.least(n - pos, m - other) >= F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def _size_class() -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
+
+
+def _mixed(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """``postings`` with the component of each row by ``links``, in columns that hold more than one."""
+    stars = components(links)
+    placed = postings.join(stars, postings["key"] == stars["node"], "left").select("gram", "key", "n", "hot", "pos", F.coalesce("component", "key").alias("component"))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    return placed.join(mixed, "gram", "left_semi")
+
+
+def _representatives(postings: DataFrame) -> DataFrame:
+    """One row of each size class of a component in each column, the one that has the column earliest."""
+    row = F.struct("pos", "key", "n", "hot")
+    chosen = postings.withColumn("level", _size_class()).groupBy("gram", "component", "level").agg(F.min(row).alias("row"))
+    return chosen.select("gram", "row.*")
+
+
 def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each row of a column with the leader of its size class, and leaders with those of other parts and the class above."""
-    level = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
-    dealt = postings.withColumn("level", level).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(F.lit(0)))
+    dealt = postings.withColumn("level", _size_class()).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(F.lit(0)))
     early = F.shiftleft("pos", 36) + F.pmod(F.xxhash64("key"), F.lit(1 << 36))
     group = ["gram", "level", "part"]
     named = [F.min_by("key", early).alias("leader"), F.min_by("n", early).alias("m"), F.min(early).alias("early")]
@@ -430,7 +453,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     ``key`` holds integers; rows that repeat a key are one row of each distinct set.
     A-Z count as a-z. A text of fewer than ``width`` words has its whole sequence as the
-    one element of its set; a null, empty or blank text has no element and no link.
+    one element of its set; a null, empty or blank text has no element and no link. A row
+    with a null key takes no part: it comes back with nulls.
     """
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     table = written(digests(texts), "digests")
@@ -441,20 +465,20 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     single = texts.where("key is not null").select("key", "text", place)
     known = written(heads(single, first, frequent_cells(single, first, width), width, percent), "heads")
     shared = written(_postings(known.where("n > 0")), "postings")
-    near = written(verify(written(_leader_pairs(shared, percent), "pairs"), texts, known, width, percent), "links")
-    stars = components(near)
-    placed = shared.join(stars, shared["key"] == stars["node"], "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    found = written(_product(placed.join(mixed, "gram", "left_semi"), percent), "pairs")
+    # A row's first two columns link most copies. Of these groups only one row per column and size goes on.
+    begun = written(verify(written(_leader_pairs(shared.where(F.col("turn") < FIRST), percent), "pairs"), texts, known, width, percent), "links")
+    others = _representatives(written(_mixed(shared, begun), "open"))
+    near = begun.union(written(verify(written(_leader_pairs(others, percent), "pairs"), texts, known, width, percent), "links"))
+    found = written(_product(_mixed(shared, near), percent), "pairs")
     links = near.union(verify(found, texts, known, width, percent))
     group = components(links)
     sizes = known.select("key", "n").distinct()
     top = classes.join(group, classes["first"] == group["node"], "left").select("h1", "h2", "first", F.coalesce("component", "first").alias("component_id"))
     top = top.join(sizes, top["first"] == sizes["key"], "left").select("h1", "h2", "component_id", F.col("n").alias("size"))
     named = table.join(top, ["h1", "h2"], "left")
-    present = F.col("words") > 0
+    present, keyed = F.col("words") > 0, F.col("key").isNotNull()
     return named.select(
         F.col("key").alias(key),
-        F.when(present, F.col("size")).otherwise(F.lit(0)).cast("long").alias("n_shingles"),
-        F.when(present, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+        F.when(keyed, F.when(present, F.col("size")).otherwise(F.lit(0))).cast("long").alias("n_shingles"),
+        F.when(keyed, F.when(present, F.col("component_id")).otherwise(F.col("key"))).alias("component_id"),
     )

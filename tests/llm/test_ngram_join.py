@@ -71,3 +71,12 @@ def test_query(spark):
     documents = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op4_ngram_join"](spark, sf).collect()}
     assert got == plain.near_copies(documents)
+
+
+def test_null_keys_take_no_part(spark):
+    from shelfmark.llm import ngram_join
+
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(None, text), (5, text), (3, text), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.similar(df).collect()), key=repr)
+    assert got == [(3, 3, 3), (5, 3, 3), (None, None, None), (None, None, None)]
