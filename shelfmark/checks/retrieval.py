@@ -705,7 +705,7 @@ def pictured_results(spark, sf):
     f"""SELECT qid, asset_id, image_rank FROM (
   SELECT qid, asset_id, row_number() OVER (PARTITION BY qid ORDER BY r, p) AS image_rank FROM (
     SELECT a.document_id AS qid, a.asset_id, arg_min(u.chunk_index, u.chunk_index * 2 + u.pos) AS r, arg_min(u.pos, u.chunk_index * 2 + u.pos) AS p
-    FROM ({ASSETS_CTE}) a JOIN ({USES_SQL}) u ON a.d = u.d AND a.k * 2 = u.n WHERE a.k % 2 = 0 AND u.chunk_index < 50 GROUP BY ALL)) WHERE image_rank <= 2""",
+    FROM ({ASSETS_CTE}) a JOIN ({USES_SQL}) u ON a.d = u.d AND a.k * 2 = u.n WHERE a.k % 2 = 0 GROUP BY ALL)) WHERE image_rank <= 2""",
     ("chunks",),
 )
 def _(spark, sf):
