@@ -127,10 +127,10 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, i
         lo = hi
 
 
-def blocks(column: pa.Array, fold: np.ndarray | None = None) -> Iterator[Block]:
-    """The texts of ``column`` block by block; ``fold`` is a table that replaces each byte first."""
+def blocks(column: pa.Array, fold: np.ndarray | None = None, limit: int = BLOCK) -> Iterator[Block]:
+    """The texts of ``column`` in blocks of ``limit`` bytes; ``fold`` is a table that replaces each byte first."""
     everything, offsets = text_bytes(column)
-    for lo, hi in row_blocks(offsets):
+    for lo, hi in row_blocks(offsets, limit):
         data = everything[offsets[lo] : offsets[hi]]
         bounds = offsets[lo : hi + 1] - offsets[lo]
         if fold is not None:

@@ -36,6 +36,14 @@ def test_passages_do_not_depend_on_neighbours():
         assert np.abs(alone - x[first[i] : first[i + 1]]).max() < 1e-6
 
 
+def test_short_last_passage():
+    text = "w " * 64 + "x"
+    matrix = Q.projection()
+    alone, first = Q.encode(next(blocks(pa.array([text]))), matrix)
+    beside, _ = Q.encode(next(blocks(pa.array([text, "yz"]))), matrix)
+    assert first.tolist() == [0, 2] and np.abs(alone - beside[:2]).max() < 1e-6
+
+
 def test_score_table(spark):
     rows = [(1, "good plain words here", 9.0), (1, "good plain words here", 9.0), (2, None, 1.0), (3, "", 1.0), (4, " \t\n", 1.0), (5, "long " * 80_000, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
@@ -53,6 +61,32 @@ def test_fit_without_labels_or_with_one(spark):
     assert {r["score"] for r in Q.score(docs, Q.fit(docs, ones)).collect()} == {0.99}
 
 
+def test_fit_sees_every_document_and_passage(spark):
+    def fitted(texts, labels):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return Q.packed(Q.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int"), steps=3))
+
+    many, labels = [f"text {i}" for i in range(4100)], [i % 2 for i in range(4100)]
+    hashes = {r["id"]: r["h"] for r in spark.range(4100).selectExpr("id", "xxhash64(id) AS h").collect()}
+    last = max(hashes, key=hashes.get)
+    turned = [1 - x if i == last else x for i, x in enumerate(labels)]
+    assert np.abs(fitted(many, labels) - fitted(many, turned)).max() > 0
+    words = ["plain"] * 64 * 200
+    odd = words[:64] + ["#$%&"] * 64 + words[128:]  # the second of 200 passages
+    assert np.abs(fitted([" ".join(words), "x y"], [1, 0]) - fitted([" ".join(odd), "x y"], [1, 0])).max() > 0
+
+
+def test_search_finds_the_least_value():
+    seen = []
+
+    def valley(at):
+        seen.append(at)
+        x, y = at
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.array([-2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)])
+
+    assert np.abs(Q.search(valley, np.array([-1.2, 1.0]), 100) - 1).max() < 1e-4 and len(seen) <= 100
+
+
 def test_query_on_held_out_rows(spark):
     from shelfmark.llm.queries import QUERIES
 
