@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import text_hash
 from shelfmark.functions.progress import progress_struct
+from shelfmark.operators.filters import beside
 from shelfmark.operators.segments import running
 from shelfmark.schemas import SNAPSHOT_FIELDS, VERSION_FIELDS
 from shelfmark.session import cut_lineage
@@ -453,7 +454,7 @@ def delete_documents(
 
 def delete_kbs(tables: dict[str, DataFrame], kbs: DataFrame, kb_ids: DataFrame) -> dict[str, DataFrame]:
     """Delete KBs and everything in them; no audit row is written."""
-    gone = tables["documents"].join(kb_ids.select("kb_id").distinct(), "kb_id", "left_semi").select("document_id")
+    gone = tables["documents"].join(beside(kb_ids.select("kb_id").distinct()), "kb_id", "left_semi").select("document_id")
     out = delete_documents(tables, gone, audited=False)
     out["knowledge_bases"] = delete_rows(kbs, kb_ids, "kb_id")
     return out

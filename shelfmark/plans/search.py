@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import sparse_vector
 from shelfmark.functions.text import expand_query
-from shelfmark.operators.filters import active_kbs, governance_predicate, include_metadata, open_scope, payload_filter
+from shelfmark.operators.filters import active_kbs, beside, governance_predicate, include_metadata, open_scope, payload_filter
 from shelfmark.operators.ranking import (
     authority_rank,
     candidate_limit,
@@ -161,7 +161,7 @@ def search(
         filtered = payload_filter(index, options.filters)
         if loaded is None or any(r["kb_ids"] is None for r in loaded):
             # Prunes the partitions of an index that is stored by KB.
-            filtered = filtered.join(active_kbs(corpus.knowledge_bases), "kb_id", "left_semi")
+            filtered = filtered.join(active, "kb_id", "left_semi")
         if options.governance_mode != "pre":
             return filtered
         visible = corpus.documents.where(governance_predicate(options.filters)).select("document_id")
@@ -178,6 +178,7 @@ def search(
     fields = tuple(name for name, on in wanted.items() if on and name in asked.columns)
     # One job fetches the query vectors when they form a small block.
     loaded = load_queries(asked, fields)
+    active = beside(active_kbs(corpus.knowledge_bases))
 
     def dealt(cells: CellIndex | None) -> dict:
         if cells is None:

@@ -180,3 +180,23 @@ def test_visual_asset_keys_are_distinct_and_ordered(spark):
     df = spark.createDataFrame(rows, "qid int, chunk_id string, document_id int, asset_id string, rank int")
     got = {r["chunk_id"]: [k["asset_id"] for k in r["asset_keys"]] for r in V.visual_asset_keys(df).collect()}
     assert got == {"c": ["a2", "a1"], "d": ["a3"]}
+
+
+def test_few_kbs_never_deal_documents_by_kb(spark):
+    from shelfmark.operators.filters import beside
+    from shelfmark.plans.ingest import build_chunks
+
+    docs = spark.range(2000).selectExpr("id AS document_id", "id % 4 AS kb_id", "'n' AS name", "'txt' AS file_type", "array('t') AS tags", "repeat('word ', 20) AS content")
+    # As in the queries, the KBs come from a table as large as the documents.
+    kbs = docs.select("kb_id").distinct().selectExpr("kb_id", "8 AS chunk_size", "0 AS chunk_overlap", "'active' AS status")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = build_chunks(docs, kbs)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        many = beside(spark.range(200_001).withColumnRenamed("id", "kb_id"))
+        assert "Broadcast" not in docs.join(many, "kb_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    made = build_chunks(docs, kbs)
+    assert made.select("document_id").distinct().count() == 2000 and made.count() == 6000
