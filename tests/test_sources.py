@@ -34,3 +34,15 @@ def test_pages_and_text(spark):
     text = spark.createDataFrame([("é", "markdown"), ("b", None)], "content string, file_type string")
     rows = S.source_text(text).orderBy(F.desc("content")).collect()
     assert [(r["file_type"], r["file_size"]) for r in rows] == [("md", 2), ("txt", 1)]
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    long_texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    made = [r["n"] for r in long_texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(made) >= 400 * 50_000 and max(made) < 8 << 20
