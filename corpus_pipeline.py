@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
 it kept. All but the last return the columns of ``documents``; where a stage changes a
 text, ``n_chars`` follows. An empty table stays empty through all stages.
 
-1. The quality classifier learns from the labels of documents that are not held out;
+1. The quality classifier learns from all labels of documents that are not held out;
    documents that it scores below 0.5 go.
 2. Lines with a near copy earlier in the corpus go; a document that had words and loses
    all of its lines goes with them.
