@@ -23,6 +23,7 @@ can change are never near; the others are compared word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +40,8 @@ LEAST, PERCENT = 4, 80
 BUCKET, TILE, SMALL = 4096, 512, 16
 #: Cells of the word counts; one text in SAMPLE is counted, and one line in SAMPLE when crowded buckets are sought.
 CELLS, SAMPLE = 1 << 20, 8
+#: Passes over the lines, each with its share of the buckets, and rows of crowded buckets that may be broadcast.
+SLICES, MAX_BROADCAST = 4, 1_000_000
 
 FOLD = LOWER.copy()
 FOLD[48:58] = 48
@@ -210,11 +213,22 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
 
 
 def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> DataFrame:
-    """Pairs (a, b) of lines ``nodes`` (h, n, q0 .. q3, rare, component) of different components that may be near."""
+    """Pairs (a, b) of lines ``nodes`` (h, n, q0 .. q3, rare, component) of different components that may be near.
+
+    Lines travel to their buckets in SLICES passes, so a share of them is on disk at a time.
+    """
     columns = ["h", "n", "q0", "q1", "q2", "q3", "component"]
     seen = nodes.where(F.pmod("h", F.lit(SAMPLE)) == 0).select(F.explode("rare").alias("w")).groupBy("w").agg((F.count("*") * SAMPLE).alias("lines"))
-    crowded = seen.where(F.col("lines") > bucket).select("w", F.ceil(F.col("lines") / bucket).alias("parts"))
-    dealt = nodes.select(*columns, F.explode("rare").alias("w")).join(crowded, "w", "left")
+    crowded = written(seen.where(F.col("lines") > bucket).select("w", F.ceil(F.col("lines") / bucket).alias("parts")), "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST else crowded
+    words = nodes.select(*columns, F.explode("rare").alias("w"))
+    made = [written(_met(words.where(F.pmod("w", F.lit(SLICES)) == k), crowded, columns, first_only, percent), "pairs") for k in range(SLICES)]
+    return reduce(DataFrame.union, made).distinct()
+
+
+def _met(words: DataFrame, crowded: DataFrame, columns: list[str], first_only: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (``columns``, w) that share a bucket ``w`` and may be near."""
+    dealt = words.join(crowded, "w", "left")
     mine = F.pmod(F.xxhash64("h"), F.col("parts"))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
