@@ -22,8 +22,9 @@ Texts with the same words are one class, found by a 128-bit digest, and mostly o
 through do no harm). The product is taken in two passes. The first links each head
 column's rows to a leader, the row of a size class in which the column comes earliest:
 it has the fewest rare columns of its own, so whatever is similar to another row of the
-column is mostly similar to it. This settles large groups of near copies without their
-pairs; frequent columns are dealt into parts with a leader each. The second pass takes
+column is mostly similar to it. Of the leaders of its columns a row takes those that lead most of them.
+This settles large groups of near copies without their pairs; frequent columns are dealt
+into parts with a leader each. The second pass takes
 the full product of the head columns that still hold rows of different components. Pairs
 of both passes are compared on heads and then verified on whole sets.
 """
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.links import KEY_BITS, components, key_bits
-from shelfmark.llm.scratch import written
+from shelfmark.llm.scratch import discard, written
 from shelfmark.llm.words import LOWER, Block, blocks, constants, gram_hashes, mix, windows
 
 WIDTH, PERCENT = 5, 80
@@ -51,6 +53,10 @@ HEAD_CELLS = 1 << 27
 GROUP = 256
 #: Parts into which the rows of a frequent column are dealt in the first pass.
 PARTS = 32
+#: Leaders that a row is compared with in the first pass: those that lead most of its columns.
+LEADERS = 2
+#: Passes in which columns are dealt to find leaders, each with its share of them.
+SLICES = 4
 #: Rows of one column to a tile of the second pass.
 TILE = 2000
 
@@ -135,7 +141,7 @@ def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
     counted = source.mapInArrow(count, "row long, data binary")
     summed = counted.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, bits binary")
     bits = np.zeros((n_cells // CELL_ROW, CELL_ROW // 8), dtype=np.uint8)
-    for r, data in summed.collect():  # n_cells bits in all
+    for r, data in written(summed, "cells").collect():  # n_cells bits in all
         bits[r] = np.frombuffer(data, dtype=np.uint8)
     return bits.reshape(-1)
 
@@ -338,22 +344,40 @@ def _room(n, pos, m, other, percent: int):
     return F.least(n - pos, m - other) >= F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
-def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each row of a column with the leader of its size class, and leaders with those of other parts and the class above."""
+def _leader_votes(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b, votes): the rows ``a`` that lead a column of row ``b``, and how many.
+
+    Each row of a column goes with the leader of its size class, and leaders go with those of
+    other parts and the class above.
+    """
     level = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
     dealt = postings.withColumn("level", level).withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(F.lit(0)))
     early = F.shiftleft("pos", 36) + F.pmod(F.xxhash64("key"), F.lit(1 << 36))
     group = ["gram", "level", "part"]
     named = [F.min_by("key", early).alias("leader"), F.min_by("n", early).alias("m"), F.min(early).alias("early")]
-    leaders = dealt.groupBy(*group).agg(*named, F.count("*").alias("rows"))
+    leaders = written(dealt.groupBy(*group).agg(*named, F.count("*").alias("rows")), "leaders")
     near = _room(F.col("n"), F.col("pos"), F.col("m"), F.shiftright("early", 36), percent)
     inside = dealt.join(leaders.where("rows > 1"), group).where((F.col("key") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("key").alias("b"))
     heads = leaders.groupBy("gram", "level").agg(F.min_by("leader", "early").alias("head"))
     parts = leaders.join(heads, ["gram", "level"]).where("leader <> head").select(F.col("head").alias("a"), F.col("leader").alias("b"))
     above = heads.select("gram", (F.col("level") + 1).alias("level"), F.col("head").alias("other"))
     levels = heads.join(above, ["gram", "level"]).where("head <> other").select(F.col("head").alias("a"), F.col("other").alias("b"))
-    ordered = inside.union(parts).union(levels)
-    return ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = written(inside.union(parts).union(levels).groupBy("a", "b").agg(F.count("*").alias("votes")), "votes")
+    discard(leaders)
+    return found
+
+
+def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each row with the LEADERS rows that lead most of its columns.
+
+    A row has many columns, with as many leaders where near copies abound. What the chosen
+    ones leave apart is left to the full product of the second pass.
+    """
+    slices = [_leader_votes(postings.where(F.pmod("gram", F.lit(SLICES)) == k), percent) for k in range(SLICES)]
+    votes = reduce(DataFrame.union, slices).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    most = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
+    chosen = votes.withColumn("place", F.row_number().over(most)).where(F.col("place") <= LEADERS)
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _product(postings: DataFrame, percent: int) -> DataFrame:

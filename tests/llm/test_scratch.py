@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 from pathlib import Path
 
-from shelfmark.llm import fuzzy_lines
+from pyspark.sql import functions as F
+
+from shelfmark.llm import fuzzy_lines, ngram_join
 from shelfmark.llm.scratch import CLEANUP, written
 
 
@@ -33,3 +35,12 @@ def test_lines_travel_in_shares(spark, monkeypatch):
     nodes = spark.createDataFrame(rows, "h long, n int, q0 long, q1 long, q2 long, q3 long, rare array<long>, component long")
     fuzzy_lines._near(nodes, True, 80, 4096).count()
     assert sum(sent) == 1000 and max(sent) <= 500
+
+
+def test_a_row_meets_few_leaders(spark):
+    """Row 99 shares each of 50 columns with another row that leads it, one of them two columns."""
+    led = [(k, 10, 1000 + k, False, 0) for k in range(50)] + [(7, 10, 2000, False, 0)]
+    mine = [(99, 10, g, False, 1) for g in [*range(1000, 1050), 2000]]
+    postings = spark.createDataFrame(led + mine, "key long, n long, gram long, hot boolean, pos long")
+    pairs = [(r["a"], r["b"]) for r in ngram_join._leader_pairs(postings, 80).where(F.col("b") == 99).collect()]
+    assert sorted(pairs) == [(0, 99), (7, 99)]
