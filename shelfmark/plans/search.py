@@ -94,7 +94,10 @@ class StageClock:
 
 @dataclass(frozen=True)
 class SearchOutput:
-    """Results and what led to them; ``rejected`` holds the requests with a scope error."""
+    """Results and what led to them; ``rejected`` holds the requests with a scope error.
+
+    ``fused`` carries a broadcast hint where its size is bounded, so chunks are not dealt to meet it.
+    """
 
     results: DataFrame
     candidates: DataFrame
@@ -222,7 +225,7 @@ def search(
         results = parent_context(results, corpus.chunks)
     if corpus.assets is not None:
         results = attach_assets(results, corpus.assets, asset_keys_by_chunk)
-    return SearchOutput(results, candidates, fused, scoped.select("qid"), checked.where("scope_error is not null"))
+    return SearchOutput(results, candidates, placed, scoped.select("qid"), checked.where("scope_error is not null"))
 
 
 def expand_requests(
