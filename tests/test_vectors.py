@@ -200,3 +200,13 @@ def test_few_kbs_never_deal_documents_by_kb(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     made = build_chunks(docs, kbs)
     assert made.select("document_id").distinct().count() == 2000 and made.count() == 6000
+
+
+def test_dealt_tables_take_more_tasks_as_they_grow(spark):
+    from shelfmark.fixtures import dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = 5_000 * (cores + 2)
+    made = dealt(spark.range(0, rows, 1, 1))
+    assert made.rdd.getNumPartitions() == cores + 2 and made.distinct().count() == rows
+    assert dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
