@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.scratch import written
+from shelfmark.llm.scratch import discard, written
 
 #: Rounds after which a graph that still changes is taken for a fault.
 MOST_ROUNDS = 60
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = written(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        last, pairs = pairs, written(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        discard(last)
         now = pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
         if now == before:
             stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -24,9 +24,10 @@ column's rows to a leader, the row of a size class in which the column comes ear
 it has the fewest rare columns of its own, so whatever is similar to another row of the
 column is mostly similar to it. Of the leaders of its columns a row takes those that lead most of them.
 This settles large groups of near copies without their pairs; frequent columns are dealt
-into parts with a leader each. The second pass takes
+into parts with a leader each. Rows that are then still apart in a crowded column meet the few earliest
+rows of all of it. The second pass takes
 the full product of the head columns that still hold rows of different components. Pairs
-of both passes are compared on heads and then verified on whole sets.
+of all passes are compared on heads and then verified on whole sets.
 """
 
 from __future__ import annotations
@@ -47,14 +48,18 @@ from shelfmark.llm.words import LOWER, Block, blocks, constants, gram_hashes, mi
 WIDTH, PERCENT = 5, 80
 #: Cells of the frequency table, and cells to a row of it.
 CELLS, CELL_ROW = 1 << 25, 1 << 16
-#: Cells of the table that tells which head columns may be in several rows.
-HEAD_CELLS = 1 << 27
+#: Parts, for each shuffle partition, into which head columns are dealt to find those of several rows.
+PARTS_PER_TASK = 4
+#: Head columns that a task deals at once, and rows of a batch of those found.
+DEALT_COLUMNS, POSTED = 1_000_000, 20_000
 #: Pairs with one leader to a group of a comparison.
 GROUP = 256
 #: Parts into which the rows of a frequent column are dealt in the first pass.
 PARTS = 32
 #: Leaders that a row is compared with in the first pass: those that lead most of its columns.
 LEADERS = 2
+#: Rows from which a column that holds different components is crowded, and its rows that the others meet before the product.
+CROWD, EARLIEST = 32, 8
 #: Passes in which columns are dealt to find leaders, each with its share of them.
 SLICES = 4
 #: Rows of one column to a tile of the second pass.
@@ -141,8 +146,10 @@ def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
     counted = source.mapInArrow(count, "row long, data binary")
     summed = counted.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, bits binary")
     bits = np.zeros((n_cells // CELL_ROW, CELL_ROW // 8), dtype=np.uint8)
-    for r, data in written(summed, "cells").collect():  # n_cells bits in all
+    held = written(summed, "cells")
+    for r, data in held.collect():  # n_cells bits in all
         bits[r] = np.frombuffer(data, dtype=np.uint8)
+    discard(held)
     return bits.reshape(-1)
 
 
@@ -282,7 +289,7 @@ def _may_be_similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets reach the threshold.
+    """The pairs (a, b) of keys whose whole sets reach the threshold, written; ``pairs`` is deleted.
 
     Heads are compared first, whole sets then. Texts of keys that surely are in no pair
     are left out while scanning: a bit table of fixed size tells which, and the join
@@ -312,31 +319,88 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percen
                 data = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(block.rows)), pa.array(data, pa.binary())], ["key", "grams"])
 
-    return _compared(left, source.mapInArrow(build, "key long, grams binary"), _similar, percent)
+    links = written(_compared(left, source.mapInArrow(build, "key long, grams binary"), _similar, percent), "links")
+    discard(left)
+    discard(pairs)
+    return links
 
 
 def _postings(table: DataFrame) -> DataFrame:
-    """(key, n, gram, hot, pos) of the head columns that may be in more than one row; pos counts from 0."""
+    """(key, n, gram, hot, pos) of the head columns that are in more than one row; pos counts from 0.
 
-    def found(batch: pa.RecordBatch):
-        yield _cells(batch.column(0).flatten().to_numpy().view(np.uint64), HEAD_CELLS)
-
-    twice = table.sparkSession.sparkContext.broadcast(cell_bits(table.select("head"), found, HEAD_CELLS, lambda n: n > 1))  # HEAD_CELLS bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = twice.value
+    Columns are dealt by their hash in packed runs and sorted part by part, so the test is
+    exact whatever the corpus is. Frequent columns are taken without it: they are few, and
+    the parts hold no large group.
+    """
+    parts = PARTS_PER_TASK * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = table.select("key", "n", "head", "hot")
+
+    def columns(batch: pa.RecordBatch, hot: bool) -> tuple[np.ndarray, ...]:
+        """key, n, gram and pos of the frequent, or of the other head columns of a batch."""
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(batch.column(3).flatten().to_numpy(zero_copy_only=False) == hot)
+        row = np.repeat(np.arange(len(sizes)), sizes)[at]
+        return batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], batch.column(2).flatten().to_numpy()[at], place[at]
+
+    def posted(key: np.ndarray, n: np.ndarray, gram: np.ndarray, pos: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(key), POSTED):
+            some = slice(lo, lo + POSTED)
+            flags = pa.array(np.full(len(key[some]), hot))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some]), pa.array(gram[some]), flags, pa.array(pos[some])], ["key", "n", "gram", "hot", "pos"])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from posted(*columns(batch, True), True)
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """One row for each part: its columns as four runs of numbers."""
+        key, n, gram, pos = (np.concatenate(x) for x in zip(*held))
+        part = (mix(gram.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        key, n, gram, pos, part = key[order], n[order], gram[order], pos[order], part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        bounds = np.append(first, len(part))
+        for lo in range(0, len(first), 64):
+            data = [gram[i:j].tobytes() + key[i:j].tobytes() + n[i:j].tobytes() + pos[i:j].tobytes() for i, j in zip(bounds[lo : lo + 64], bounds[lo + 1 : lo + 65])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first[lo : lo + 64]]), pa.array(data, pa.binary())], ["part", "data"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            sizes = np.diff(batch.column(2).offsets.to_numpy())
-            grams = batch.column(2).flatten().to_numpy()
-            at = np.flatnonzero(_set(bits, _cells(grams.view(np.uint64), HEAD_CELLS)))
-            place = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams[at]), batch.column(3).flatten().take(pa.array(at)), pa.array(place[at], pa.int64())],
-                ["key", "n", "gram", "hot", "pos"],
-            )
+            held.append(columns(batch, False))
+            size += len(held[-1][0])
+            if size > DEALT_COLUMNS:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
+
+    def shared(runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Columns of one part that are there twice."""
+        gram, key, n, pos = (np.concatenate([r[k] for r in runs]) for k in range(4))
+        order = np.argsort(gram, kind="stable")
+        gram = gram[order]
+        same = gram[1:] == gram[:-1]
+        twice = np.append(False, same) | np.append(same, False)
+        at = order[twice]
+        yield from posted(key[at], n[at], gram[twice], pos[at], False)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, runs = None, []
+        for batch in batches:
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if p != part and runs:
+                    yield from shared(runs)
+                    runs = []
+                part = p
+                runs.append(np.frombuffer(data.as_buffer(), dtype=np.int64).reshape(4, -1).copy())
+        if runs:
+            yield from shared(runs)
 
-    return table.select("key", "n", "head", "hot").mapInArrow(run, "key long, n long, gram long, hot boolean, pos long")
+    kind = "key long, n long, gram long, hot boolean, pos long"
+    rare = narrow.mapInArrow(deal, "part long, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(gather, kind)
+    return narrow.where(F.exists("hot", lambda h: h)).mapInArrow(frequent, kind).union(rare)
 
 
 def _room(n, pos, m, other, percent: int):
@@ -377,7 +441,32 @@ def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
     votes = reduce(DataFrame.union, slices).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     most = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
     chosen = votes.withColumn("place", F.row_number().over(most)).where(F.col("place") <= LEADERS)
-    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    for some in slices:
+        discard(some)
+    return pairs
+
+
+def _apart(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """(gram, key, n, pos, component, rows) of the columns that hold rows of different components of ``links``."""
+    stars = components(links)
+    placed = postings.join(stars, postings["key"] == stars["node"], "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
+    columns = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    return placed.join(columns.where("low <> high").select("gram", "rows"), "gram")
+
+
+def _crowd_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows of crowded columns with the EARLIEST rows of these, where components differ.
+
+    Without them the product would hold every member of a large group for each near copy
+    that its leaders have missed.
+    """
+    crowd = apart.where(F.col("rows") >= CROWD)
+    early = crowd.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy("pos", "key"))).where(F.col("place") <= EARLIEST)
+    early = early.select("gram", F.col("key").alias("other"), F.col("component").alias("group"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    near = _room(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
+    met = crowd.join(early, "gram").where((F.col("component") != F.col("group")) & near)
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def _product(postings: DataFrame, percent: int) -> DataFrame:
@@ -466,14 +555,15 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     single = texts.where("key is not null").select("key", "text", place)
     known = written(heads(single, first, frequent_cells(single, first, width), width, percent), "heads")
     shared = written(_postings(known.where("n > 0")), "postings")
-    near = written(verify(written(_leader_pairs(shared, percent), "pairs"), texts, known, width, percent), "links")
-    stars = components(near)
-    placed = shared.join(stars, shared["key"] == stars["node"], "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    found = written(_product(placed.join(mixed, "gram", "left_semi"), percent), "pairs")
+    near = verify(_leader_pairs(shared, percent), texts, known, width, percent)
+    crowd = written(_crowd_pairs(_apart(shared, near), percent), "pairs")
+    near = near.union(verify(crowd, texts, known, width, percent))
+    found = written(_product(_apart(shared, near).drop("rows"), percent), "pairs")
+    discard(shared)
     links = near.union(verify(found, texts, known, width, percent))
     group = components(links)
-    sizes = known.select("key", "n").distinct()
+    sizes = written(known.select("key", "n").distinct(), "sizes")
+    discard(known)
     top = classes.join(group, classes["first"] == group["node"], "left").select("h1", "h2", "first", F.coalesce("component", "first").alias("component_id"))
     top = top.join(sizes, top["first"] == sizes["key"], "left").select("h1", "h2", "component_id", F.col("n").alias("size"))
     named = table.join(top, ["h1", "h2"], "left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import ngram_join as J
@@ -80,3 +81,30 @@ def test_null_keys_take_no_part(spark):
     df = spark.createDataFrame([(None, text), (5, text), (3, text), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in ngram_join.similar(df).collect()), key=repr)
     assert got == [(3, 3, 3), (5, 3, 3), (None, None, None), (None, None, None)]
+
+
+def test_columns_of_one_row_are_not_posted(spark):
+    """300,000 columns of one row each, which no table of bits tells apart, and two that rows share."""
+    draw = np.random.default_rng(5)
+    rows = [(k, 5000, draw.integers(-(2**63), 2**63 - 1, 3000).tolist(), [False] * 3000) for k in range(100)]
+    rows[3][2][7] = rows[60][2][9] = 11
+    rows[4][2][0], rows[4][3][0] = 12, True
+    table = spark.createDataFrame(rows, "key long, n long, head array<long>, hot array<boolean>")
+    got = sorted(tuple(r) for r in J._postings(table).collect())
+    assert got == [(3, 5000, 11, False, 7), (4, 5000, 12, True, 0), (60, 5000, 11, False, 9)]
+
+
+def test_large_group_of_near_copies_is_linked_before_the_product(spark, monkeypatch):
+    """400 copies of a text, each with some of its words changed: what the product is left with."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    documents = {}
+    for n in range(400):
+        text = list(base)
+        for at in r.sample(range(150), r.randint(0, 4)):
+            text[at] = f"x{r.randrange(10**6)}"
+        documents[n] = " ".join(text)
+    sent, product = [], J._product
+    monkeypatch.setattr(J, "_product", lambda *rest: sent.append(product(*rest).count()) or product(*rest))
+    assert run(spark, documents) == plain.near_copies(documents)
+    assert sum(sent) < 4 * len(documents)
