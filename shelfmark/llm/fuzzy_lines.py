@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.links import KEY_BITS, components, key_bits
-from shelfmark.llm.scratch import written
+from shelfmark.llm.scratch import discard, written
 from shelfmark.llm.words import LOWER, Block, blocks, constants, hash_words, mix
 
 LEAST, PERCENT = 4, 80
@@ -385,19 +385,27 @@ def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket:
     sketch = ["h", "n", "q0", "q1", "q2", "q3", "rare"]
     once = rows.where("not again").groupBy(*sketch)
     nodes = written(once.agg(F.min("key").alias("first"), F.min_by("line", "key").alias("line"), F.max("key").alias("last")), "nodes")
-    pairs = written(_near(nodes.select(*sketch, F.col("h").alias("component")), True, percent, bucket), "pairs")
+    met = _near(nodes.select(*sketch, F.col("h").alias("component")), True, percent, bucket)
+    pairs = written(met, "pairs")
+    discard(met)
     # Every line that is near another one is in some pair of the first pass.
     some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
     sequences = written(_sequences(some, df, key, text), "sequences")
     near = written(_verify(pairs, sequences, percent), "links")
     placed = some.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    tried = written(_near(placed.select(*sketch, "component"), False, percent, bucket).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = near.union(_verify(tried, sequences, percent))
+    met = _near(placed.select(*sketch, "component"), False, percent, bucket)
+    tried = written(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = near.union(written(_verify(tried, sequences, percent), "links"))
+    for done in (met, pairs, tried, sequences):
+        discard(done)
     grouped = nodes.join(components(links).withColumnRenamed("node", "h"), "h")
     best = grouped.groupBy("component").agg(F.min(F.struct("first", "line", "h")).alias("best"))
     linked = grouped.join(best, "component").select("h", F.col("best.first").alias("keeper"), (F.col("h") == F.col("best.h")).alias("stays"))
     copied = nodes.where("first <> last").join(linked.select("h"), "h", "left_anti").select("h", F.col("first").alias("keeper"), F.lit(True).alias("stays"))
-    judged = rows.select("key", "version", "line", "again", "h").join(linked.union(copied), "h", "left")
+    fate = written(linked.union(copied), "fate")
+    for done in (nodes, links):
+        discard(done)
+    judged = rows.select("key", "version", "line", "again", "h").join(fate, "h", "left")
     kept = ~F.col("again") & (F.col("keeper").isNull() | (F.col("stays") & (F.col("key") == F.col("keeper"))))
     return judged.where(~kept).groupBy("key", "version").agg(F.collect_set("line").alias("gone"))
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from shelfmark.llm import fuzzy_lines, ngram_join
-from shelfmark.llm.scratch import CLEANUP, written
+from shelfmark.llm.scratch import CLEANUP, folder, written
 
 
 def test_shuffle_files_go_with_the_write(spark):
@@ -44,3 +44,11 @@ def test_a_row_meets_few_leaders(spark):
     postings = spark.createDataFrame(led + mine, "key long, n long, gram long, hot boolean, pos long")
     pairs = [(r["a"], r["b"]) for r in ngram_join._leader_pairs(postings, 80).where(F.col("b") == 99).collect()]
     assert sorted(pairs) == [(0, 99), (7, 99)]
+
+
+def test_tables_of_line_dedup_go_once_used(spark):
+    kept = lambda: {p.name for p in Path(folder(spark).removeprefix("file:")).iterdir() if p.name.startswith(("nodes-", "pairs-", "sequences-"))}
+    before = kept()
+    df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five seven"), (3, "other words")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in fuzzy_lines.dedup(df).collect()) == [(1, 0), (2, 1), (3, 0)]
+    assert kept() == before
