@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.memory import handing_back
 from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import discard, written
 from shelfmark.llm.words import LOWER, Block, blocks, constants, hash_words, mix
@@ -42,6 +43,8 @@ BUCKET, TILE, SMALL = 4096, 512, 16
 CELLS, SAMPLE = 1 << 20, 8
 #: Passes over the lines, each with its share of the buckets, and rows of crowded buckets that may be broadcast.
 SLICES, MAX_BROADCAST = 4, 1_000_000
+#: Bytes of text that are cut at once.
+TEXT = 1 << 19
 
 FOLD = LOWER.copy()
 FOLD[48:58] = 48
@@ -154,7 +157,7 @@ def counts(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in map(units, blocks(batch.column(0), FOLD)):
+            for block in map(units, blocks(batch.column(0), FOLD, TEXT)):
                 found = lines(block)
                 if len(found.line):
                     cell, n = np.unique(cells(tokens(block, found)[0]), return_counts=True)
@@ -162,7 +165,7 @@ def counts(df: DataFrame, text: str) -> np.ndarray:
 
     text = F.col(text).cast("string")
     some = df.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    summed = some.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    summed = some.mapInArrow(handing_back(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
     out = np.zeros(CELLS, dtype=np.int32)
     out[summed.column("cell").to_numpy()] = np.minimum(summed.column("n").to_numpy(), (1 << 24) - 1)
     return out
@@ -190,7 +193,7 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in map(units, blocks(batch.column(2), FOLD)):
+            for block in map(units, blocks(batch.column(2), FOLD, TEXT)):
                 found = lines(block)
                 if not len(found.line):
                     continue
@@ -209,7 +212,7 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
 
     text = F.col(text).cast("string")
     source = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("version"), text.alias("text")).where("key is not null and text is not null")
-    return source.mapInArrow(run, "key long, version long, line int, again boolean, h long, n int, q0 long, q1 long, q2 long, q3 long, rare array<long>")
+    return source.mapInArrow(handing_back(run), "key long, version long, line int, again boolean, h long, n int, q0 long, q1 long, q2 long, q3 long, rare array<long>")
 
 
 def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> DataFrame:
@@ -302,7 +305,7 @@ def _met(words: DataFrame, crowded: DataFrame, columns: list[str], first_only: b
         if rest is not None and rest.num_rows:
             yield from batch_of(pairs(rest, True))
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(handing_back(run), "a long, b long").distinct()
 
 
 def _each(found: Iterator, done: list[int]) -> Iterator:
@@ -347,7 +350,7 @@ def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFra
         table = bits.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for block in map(units, blocks(batch.column(1), FOLD)):
+            for block in map(units, blocks(batch.column(1), FOLD, TEXT)):
                 found = lines(block)
                 owner = keys[block.rows.start + found.text]
                 spot = (found.digest ^ owner ^ (found.line.astype(np.int64) << 20)) % KEY_BITS
@@ -357,7 +360,7 @@ def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, ["key", "line", "h", "words"])
 
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
-    read = source.mapInArrow(build, "key long, line int, h long, words binary").join(asked, ["h", "key", "line"], "left_semi")
+    read = source.mapInArrow(handing_back(build), "key long, line int, h long, words binary").join(asked, ["h", "key", "line"], "left_semi")
     return read.dropDuplicates(["h"]).select("h", "words")
 
 
@@ -376,7 +379,7 @@ def _verify(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sequences.select(F.col("h").alias("a"), F.col("words").alias("x")), "a")
     both = left.join(sequences.select(F.col("h").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(handing_back(compare), "a long, b long")
 
 
 def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket: int) -> DataFrame:

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.memory import handing_back
 from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import discard, written
 from shelfmark.llm.words import LOWER, Block, blocks, constants, gram_hashes, mix, windows
@@ -51,7 +52,9 @@ CELLS, CELL_ROW = 1 << 25, 1 << 16
 #: Parts, for each shuffle partition, into which head columns are dealt to find those of several rows.
 PARTS_PER_TASK = 4
 #: Head columns that a task deals at once, and rows of a batch of those found.
-DEALT_COLUMNS, POSTED = 1_000_000, 20_000
+DEALT_COLUMNS, POSTED = 500_000, 20_000
+#: Bytes of text that are cut at once.
+TEXT = 1 << 19
 #: Pairs with one leader to a group of a comparison.
 GROUP = 256
 #: Parts into which the rows of a frequent column are dealt in the first pass.
@@ -143,8 +146,8 @@ def cell_bits(source: DataFrame, found, n_cells: int, rule) -> np.ndarray:
         if row >= 0:
             yield out()
 
-    counted = source.mapInArrow(count, "row long, data binary")
-    summed = counted.repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, bits binary")
+    counted = source.mapInArrow(handing_back(count), "row long, data binary")
+    summed = counted.repartition("row").sortWithinPartitions("row").mapInArrow(handing_back(add), "row long, bits binary")
     bits = np.zeros((n_cells // CELL_ROW, CELL_ROW // 8), dtype=np.uint8)
     held = written(summed, "cells")
     for r, data in held.collect():  # n_cells bits in all
@@ -167,7 +170,7 @@ def frequent_cells(df: DataFrame, first, width: int) -> np.ndarray:
     """Bits of the cells that hold clearly more columns than a cell's usual share, over the texts that ``first`` lets through."""
 
     def found(batch: pa.RecordBatch):
-        for block in blocks(_let_through(batch, first.value).column(1), LOWER):
+        for block in blocks(_let_through(batch, first.value).column(1), LOWER, TEXT):
             starts, _ = windows(block, width)
             yield _cells(gram_hashes(block.hashes, starts, width), CELLS)
 
@@ -184,7 +187,7 @@ def digests(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), LOWER):
+            for block in blocks(batch.column(1), LOWER, TEXT):
                 size = np.diff(block.first)
                 inside = np.arange(len(block.hashes)) - np.repeat(block.first[:-1], size)
                 made = []
@@ -195,7 +198,7 @@ def digests(df: DataFrame) -> DataFrame:
                 rows = batch.column(0).slice(block.rows.start, len(block.rows))
                 yield pa.RecordBatch.from_arrays([rows, pa.array(size, pa.int64()), *made], ["key", "words", "h1", "h2"])
 
-    return df.select("key", "text").mapInArrow(run, "key long, words long, h1 long, h2 long")
+    return df.select("key", "text").mapInArrow(handing_back(run), "key long, words long, h1 long, h2 long")
 
 
 def heads(df: DataFrame, first, bits: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -212,7 +215,7 @@ def heads(df: DataFrame, first, bits: np.ndarray, width: int, percent: int) -> D
         table = frequent.value
         for batch in batches:
             batch = _let_through(batch, first.value)
-            for block in blocks(batch.column(1), LOWER):
+            for block in blocks(batch.column(1), LOWER, TEXT):
                 owner, keys = sets(block, width)
                 rows = len(block.rows)
                 size = np.bincount(owner, minlength=rows)
@@ -235,7 +238,7 @@ def heads(df: DataFrame, first, bits: np.ndarray, width: int, percent: int) -> D
                     names,
                 )
 
-    return df.mapInArrow(run, "key long, n long, head array<long>, hot array<boolean>")
+    return df.mapInArrow(handing_back(run), "key long, n long, head array<long>, hot array<boolean>")
 
 
 def _compared(pairs: DataFrame, columns: DataFrame, keep, percent: int) -> DataFrame:
@@ -263,7 +266,7 @@ def _compared(pairs: DataFrame, columns: DataFrame, keep, percent: int) -> DataF
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(handing_back(run), "a long, b long")
 
 
 def _overlap(p: np.ndarray, q: np.ndarray) -> int:
@@ -302,7 +305,7 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percen
             data = [np.append(np.uint64(n), np.sort(x.values.to_numpy().view(np.uint64))).tobytes() for n, x in zip(size, batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "grams"])
 
-    packed = table.where("n > 0").select("key", "n", "head").mapInArrow(pack, "key long, grams binary")
+    packed = table.where("n > 0").select("key", "n", "head").mapInArrow(handing_back(pack), "key long, grams binary")
     left = written(_compared(pairs, packed, _may_be_similar, percent), "pairs")
     bits = key_bits(left.select(F.explode(F.array("a", "b")).alias("key")), F.xxhash64("key"))
     wanted = df.sparkSession.sparkContext.broadcast(bits)  # KEY_BITS bits
@@ -313,13 +316,13 @@ def verify(pairs: DataFrame, df: DataFrame, table: DataFrame, width: int, percen
         marks = wanted.value
         for batch in batches:
             batch = _let_through(batch, marks)
-            for block in blocks(batch.column(1), LOWER):
+            for block in blocks(batch.column(1), LOWER, TEXT):
                 owner, keys = sets(block, width)
                 bounds = np.searchsorted(owner, np.arange(len(block.rows) + 1))
                 data = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(block.rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(block.rows)), pa.array(data, pa.binary())], ["key", "grams"])
 
-    links = written(_compared(left, source.mapInArrow(build, "key long, grams binary"), _similar, percent), "links")
+    links = written(_compared(left, source.mapInArrow(handing_back(build), "key long, grams binary"), _similar, percent), "links")
     discard(left)
     discard(pairs)
     return links
@@ -399,8 +402,8 @@ def _postings(table: DataFrame) -> DataFrame:
             yield from shared(runs)
 
     kind = "key long, n long, gram long, hot boolean, pos long"
-    rare = narrow.mapInArrow(deal, "part long, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(gather, kind)
-    return narrow.where(F.exists("hot", lambda h: h)).mapInArrow(frequent, kind).union(rare)
+    rare = narrow.mapInArrow(handing_back(deal), "part long, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(handing_back(gather), kind)
+    return narrow.where(F.exists("hot", lambda h: h)).mapInArrow(handing_back(frequent), kind).union(rare)
 
 
 def _room(n, pos, m, other, percent: int):
@@ -535,7 +538,7 @@ def _product(postings: DataFrame, percent: int) -> DataFrame:
 
         yield from packed(all_groups())
 
-    return sorted_rows.mapInArrow(multiply, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(handing_back(multiply), "a long, b long").distinct()
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.memory import handing_back
+
 LIMIT = 2048
 #: Numbering splits the pieces of one length into so many parts.
 PARTS = 512
@@ -182,7 +184,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     source = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
     schema = source.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(handing_back(run), schema)
 
 
 class _Sums:
@@ -352,4 +354,4 @@ def pack(df: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
                 offset[rows] = offsets[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return numbered(df.select(*kept), "length", [key, "piece"], "__number").mapInArrow(run, schema)
+    return numbered(df.select(*kept), "length", [key, "piece"], "__number").mapInArrow(handing_back(run), schema)

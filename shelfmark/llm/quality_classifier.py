@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.quality_rules import cells
+from shelfmark.functions.memory import handing_back
 from shelfmark.llm.scratch import discard, written
 from shelfmark.llm.words import Block, blocks, row_blocks
 
@@ -232,7 +233,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
     texts = df.select(F.col(key), F.col(text).cast("string").alias("text")).where("text is not null")
     joined = texts.join(F.broadcast(usable) if few else usable, key).select(F.col("label").cast("double"), "text")
-    held = written(joined.mapInArrow(encoded, "label double, x binary"), "passages")
+    held = written(joined.mapInArrow(handing_back(encoded), "label double, x binary"), "passages")
     counts = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
     n = sum(counts.values())
 
@@ -252,7 +253,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
                     total += packed(slope)
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["loss", "slope"])
 
-        sums = held.mapInArrow(run, "loss double, slope binary").collect()
+        sums = held.mapInArrow(handing_back(run), "loss double, slope binary").collect()
         slope = sum(np.frombuffer(r["slope"]) for r in sums) / n
         value = sum(r["loss"] for r in sums) / n
         return round(value, DIGITS) + DECAY / 2 * values @ values, np.round(slope, DIGITS) + DECAY * values
@@ -285,4 +286,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 part = batch.slice(block.rows.start, len(block.rows))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.round(scores, 9))], [*kept, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(handing_back(run), schema)
