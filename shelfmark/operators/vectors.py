@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfmark.functions.hashing import sparse_vector
+from shelfmark.functions.memory import handing_back
 from shelfmark.functions.text import bound_input
 from shelfmark.session import cut_lineage
 
@@ -32,8 +33,8 @@ from shelfmark.session import cut_lineage
 #: scores and products that one step holds.
 MAX_BLOCK_QUERIES = 1024
 GROUP_VALUES = 4_000_000
-CELLS_PER_STEP = 4_000_000
-PAIRS_PER_STEP = 4_000_000
+CELLS_PER_STEP = 1_000_000
+PAIRS_PER_STEP = 1_000_000
 DENSE_DIGITS = 6
 
 
@@ -444,7 +445,7 @@ def topk_search(
                 named = found.assign(qid=[group.qids[q] for q in found["__q"]])
                 yield from pa.Table.from_pandas(named[arrow_schema.names], schema=arrow_schema, preserve_index=False).to_batches()
 
-        return part.mapInArrow(scan, schema)
+        return part.mapInArrow(handing_back(scan), schema)
 
     rows = loaded if loaded is not None else load_queries(asked, (asked_field,), group_values)
     if rows is not None:

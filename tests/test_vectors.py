@@ -210,3 +210,35 @@ def test_dealt_tables_take_more_tasks_as_they_grow(spark):
     made = dealt(spark.range(0, rows, 1, 1))
     assert made.rdd.getNumPartitions() == cores + 2 and made.distinct().count() == rows
     assert dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+
+
+def test_steps_of_a_search_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    many = lambda n, of: [np.sort(r.choice(of, 60, replace=False)) for _ in range(n)]
+    asked = V._Asked(list(range(1000)), [{"indices": i.tolist(), "values": [1.0] * 60} for i in many(1000, 4000)], [None] * 1000, None)
+    rows = many(4000, 4000)
+    sparse = pa.StructArray.from_arrays([pa.array([i.tolist() for i in rows]), pa.array([[1.0] * 60] * 4000)], ["indices", "values"])
+    columns = [pa.array([f"{n:032d}" for n in range(4000)]), pa.array(range(4000)), pa.array([0] * 4000), sparse]
+    batch = pa.RecordBatch.from_arrays(columns, ["chunk_id", "document_id", "kb_id", "sparse"])
+    tracemalloc.start()
+    found = V._local_topk(iter([batch]), "sparse", asked, 20, "sparse", ["chunk_id", "document_id"], 1024)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(found) == 20_000 and peak < 110
+    held = np.zeros((4000, 4000))
+    held[np.repeat(np.arange(4000), 60), np.concatenate(rows)] = 1
+    for q in (0, 999):
+        scores = held[:, asked.vectors[q]["indices"]].sum(axis=1)
+        best = sorted(range(4000), key=lambda n: (-scores[n], n))[:20]
+        assert found[found["__q"] == q]["document_id"].tolist() == best
+
+
+def test_sparse_vectors_of_long_batches(spark):
+    texts = [f"a{n % 7} b{n} b{n}" if n % 5 else None for n in range(1300)]
+    made = V.sparse_vectors(spark.createDataFrame(list(enumerate(texts)), "n long, content string").coalesce(1)).orderBy("n").collect()
+    for n, text in enumerate(texts):
+        assert sorted(made[n]["sparse"]["values"]) == ([1.0, 2.0] if text else [])
