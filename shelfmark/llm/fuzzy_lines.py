@@ -17,7 +17,8 @@ and every two parts meet. A first pass links each line of a bucket to the first
 on either side, which settles large groups of near copies without their pairs; a second
 one takes all pairs that are near and still in different groups. Lines whose words, hashed
 to the parities of 256 cells, differ in more cells than the edits that their lengths allow
-can change are never near; the others are compared word by word.
+can change are never near; two long lines are held against each other by more cells (``WIDE``),
+since 256 say nothing about them. The others are compared word by word.
 """
 
 from __future__ import annotations
@@ -28,17 +29,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.memory import handing_back
 from shelfmark.llm.links import KEY_BITS, components, key_bits
 from shelfmark.llm.scratch import discard, written
-from shelfmark.llm.words import LOWER, Block, blocks, constants, hash_words, mix
+from shelfmark.llm.words import LOWER, Block, blocks, constants, hash_words, mix, text_bytes
 
 LEAST, PERCENT = 4, 80
-#: Lines to a bucket before it is split, lines compared at a time, and lines of a bucket whose pairs are all taken.
-BUCKET, TILE, SMALL = 4096, 512, 16
+#: Lines to a bucket before it is split, pairs of lines looked at together, and lines of a bucket whose pairs are all taken.
+BUCKET, TILE, SMALL = 4096, 1 << 18, 16
+#: From so many words on, a line has so many more cells, 64 to a number. Cells of a longer line are those of a shorter one, split.
+WIDE = ((192, 8), (448, 16), (896, 64), (3584, 256))
 #: Cells of the word counts; one text in SAMPLE is counted, and one line in SAMPLE when crowded buckets are sought.
 CELLS, SAMPLE = 1 << 20, 8
 #: Passes over the lines, each with its share of the buckets, and rows of crowded buckets that may be broadcast.
@@ -91,12 +95,12 @@ def units(block: Block) -> Block:
     data, size = block.data, len(block.data)
     if not size:
         return block
-    two = np.zeros(size, dtype=np.int64)  # the first two bytes of each character that has three or four
-    two[:-1] = np.where(data[:-1] >= 0xE0, data[:-1].astype(np.int64) << 8 | data[1:], 0)
+    at = np.flatnonzero(data[:-1] >= 0xE0)  # characters that have three or four bytes
+    two = data[at].astype(np.int64) << 8 | data[at + 1]
     # Thai, Lao, Tibetan; Myanmar; Khmer; kana to ideographs; compatibility ideographs; the planes of rarer ideographs.
     alone = (two >= 0xE0B8) & (two <= 0xE0BF) | (two >= 0xE180) & (two <= 0xE182) | (two >= 0xE19E) & (two <= 0xE19F)
     alone |= (two >= 0xE380) & (two <= 0xE9BF) | (two >= 0xEFA4) & (two <= 0xEFAB) | (two >= 0xF0A0) & (two <= 0xF0BF)
-    at = np.flatnonzero(alone)
+    at = at[alone]
     if not len(at):
         return block
     after = at + np.where(data[at] >= 0xF0, 4, 3)
@@ -134,13 +138,63 @@ def parities(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[n
     return [np.bitwise_xor.reduceat(np.append(np.where(word == i, bits, np.uint64(0)), np.uint64(0)), runs)[::2].view(np.int64) for i in range(4)]
 
 
+def wide(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each run of words, the parities of the cells of ``WIDE`` for its length; null for shorter ones."""
+    n = ends - starts
+    level = np.searchsorted([least for least, _ in WIDE], n, side="right")
+    out: list[bytes | None] = [None] * len(n)
+    for k, (_, width) in enumerate(WIDE, 1):
+        at = np.flatnonzero(level == k)
+        if not len(at):
+            continue
+        size = n[at]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        words = hashes[np.repeat(starts[at], size) + inside]
+        place = ((words >> np.uint64(56)) & np.uint64(3) | ((words >> np.uint64(50)) & np.uint64(63)) << np.uint64(2)) % np.uint64(width)
+        cell = (place << np.uint64(6) | words >> np.uint64(58)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(at)), size) * (64 * width) + cell, minlength=64 * width * len(at)) & 1
+        for i, row in zip(at, np.packbits(odd.astype(np.uint8), bitorder="little").reshape(len(at), -1)):
+            out[i] = row.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def folded(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width of ``WIDE``: (number of each row in the table or -1, table of the parities folded to that width)."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy() // 8
+    found = []
+    for _, width in WIDE:
+        at = np.flatnonzero(size >= width)
+        if not len(at):
+            break
+        table = np.empty((len(at), width), dtype=np.uint64)
+        for own in np.unique(size[at]):
+            mine = np.flatnonzero(size[at] == own)
+            data = np.frombuffer(b"".join(column.take(pa.array(at[mine])).to_pylist()), dtype=np.uint64)
+            table[mine] = np.bitwise_xor.reduce(data.reshape(len(mine), -1, width), axis=1)
+        number = np.full(len(size), -1)
+        number[at] = np.arange(len(at))
+        found.append((number, table))
+    return found
+
+
+def by_line(line: np.ndarray, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The order by ``line``, which is sorted, and in each line by ``first`` and ``then``."""
+    if len(line) and line[-1] < 1 << 16:
+        order = np.argsort(first)  # far faster than by two keys, but equal ones come in any order
+        order = order[np.argsort(line.astype(np.uint16)[order], kind="stable")]
+        a, b = order[:-1], order[1:]
+        if not np.any((first[a] == first[b]) & (then[a] != then[b]) & (line[a] == line[b])):
+            return order
+    return np.lexsort((then, first, line))
+
+
 def tokens(block: Block, found: Lines) -> tuple[np.ndarray, np.ndarray]:
     """(token, number of its line) by line: the words of ``found``, repeats within a line told apart by their number."""
     n = found.end - found.start
     line = np.repeat(np.arange(len(n)), n)
     hashes = block.hashes[np.repeat(found.start, n) + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)]
-    order = np.lexsort((hashes, line))
-    hashes = hashes[order]
+    hashes = hashes[by_line(line, hashes, hashes)]
+    order = np.arange(len(hashes))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
     at = np.flatnonzero(fresh)
@@ -175,7 +229,7 @@ def rare(block: Block, found: Lines, table: np.ndarray, least: int, percent: int
     """(tokens, how many of each line): the rarest tokens of each line, one more than it may have edits, none of short lines."""
     token, line = tokens(block, found)
     rank = table[cells(token)].astype(np.uint64) << np.uint64(40) | token >> np.uint64(24)
-    order = np.lexsort((token, rank, line))
+    order = by_line(line, rank, token)
     n = found.end - found.start
     inside = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
     take = np.where(n < least, 0, np.minimum((100 - percent) * n // 100 + 1, n))
@@ -183,11 +237,11 @@ def rare(block: Block, found: Lines, table: np.ndarray, least: int, percent: int
 
 
 def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) -> DataFrame:
-    """(key, version, line, again, h, n, q0 .. q3, rare) of every line; again tells a line that the same text had before.
+    """(key, version, line, again, h, n, q0 .. q3, wide, rare) of every line; again tells a line that the same text had before.
 
-    ``version`` is a hash of the text, which tells texts of one key apart. Lines that are there again have no ``rare`` words.
+    ``version`` is a hash of the text, which tells texts of one key apart. Lines that are there again have no ``rare`` words and nothing ``wide``.
     """
-    names = ["key", "version", "line", "again", "h", "n", "q0", "q1", "q2", "q3", "rare"]
+    names = ["key", "version", "line", "again", "h", "n", "q0", "q1", "q2", "q3", "wide", "rare"]
     table = df.sparkSession.sparkContext.broadcast(counts(df, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,63 +261,61 @@ def occurrences(df: DataFrame, key: str, text: str, least: int, percent: int) ->
                 taken[1:][~again] = n
                 part = pa.ListArray.from_arrays(pa.array(np.cumsum(taken, dtype=np.int32)), pa.array(token.view(np.int64)))
                 columns = [keys[rows], versions[rows], found.line.astype(np.int32), again, found.digest, (found.end - found.start).astype(np.int32)]
-                columns += parities(block.hashes, found.start, found.end)
+                columns += [*parities(block.hashes, found.start, found.end), wide(block.hashes, found.start, np.where(again, found.start, found.end))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part], names)
 
     text = F.col(text).cast("string")
     source = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("version"), text.alias("text")).where("key is not null and text is not null")
-    return source.mapInArrow(handing_back(run), "key long, version long, line int, again boolean, h long, n int, q0 long, q1 long, q2 long, q3 long, rare array<long>")
+    return source.mapInArrow(handing_back(run), "key long, version long, line int, again boolean, h long, n int, q0 long, q1 long, q2 long, q3 long, wide binary, rare array<long>")
 
 
 def _near(nodes: DataFrame, first_only: bool, percent: int, bucket: int) -> DataFrame:
-    """Pairs (a, b) of lines ``nodes`` (h, n, q0 .. q3, rare, component) of different components that may be near.
+    """Pairs (a, b) of lines ``nodes`` (h, n, q0 .. q3, rare) of different components that may be near.
+
+    ``nodes`` may have the columns component, else each line is one of its own, and wide.
 
     Lines travel to their buckets in SLICES passes, so a share of them is on disk at a time.
     """
-    columns = ["h", "n", "q0", "q1", "q2", "q3", "component"]
+    columns = [c for c in ("h", "n", "q0", "q1", "q2", "q3", "component", "wide") if c in nodes.columns]
     seen = nodes.where(F.pmod("h", F.lit(SAMPLE)) == 0).select(F.explode("rare").alias("w")).groupBy("w").agg((F.count("*") * SAMPLE).alias("lines"))
     crowded = written(seen.where(F.col("lines") > bucket).select("w", F.ceil(F.col("lines") / bucket).alias("parts")), "crowded")
-    crowded = F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST else crowded
+    many = crowded.count()
+    crowded = None if not many else F.broadcast(crowded) if many <= MAX_BROADCAST else crowded
     words = nodes.select(*columns, F.explode("rare").alias("w"))
     made = [written(_met(words.where(F.pmod("w", F.lit(SLICES)) == k), crowded, columns, first_only, percent), "pairs") for k in range(SLICES)]
     return reduce(DataFrame.union, made).distinct()
 
 
-def _met(words: DataFrame, crowded: DataFrame, columns: list[str], first_only: bool, percent: int) -> DataFrame:
+def _met(words: DataFrame, crowded: DataFrame | None, columns: list[str], first_only: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of the rows (``columns``, w) that share a bucket ``w`` and may be near."""
-    dealt = words.join(crowded, "w", "left")
-    mine = F.pmod(F.xxhash64("h"), F.col("parts"))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    group = ["w", "i", "j"]
-    split = dealt.select(*columns, "w", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(meets)).alias("p")).select(*columns, "w", "p.i", "p.j")
-    placed = split.repartition(*group).sortWithinPartitions(*group, "n", "h")
+    group = ["w"]
+    if crowded is not None:
+        dealt = words.join(crowded, "w", "left")
+        mine = F.pmod(F.xxhash64("h"), F.col("parts"))
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
+        alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+        group = ["w", "i", "j"]
+        words = dealt.select(*columns, "w", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(meets)).alias("p")).select(*columns, "w", "p.i", "p.j")
+    placed = words.repartition(*group).sortWithinPartitions(*group, "n", "h")
 
     def fitting(c, a, b):
-        """Those of the row pairs (a, b) that are not ruled out."""
-        edits = (100 - percent) * np.maximum(c["n"][a], c["n"][b]) // 100
-        fits = (np.abs(c["n"][a] - c["n"][b]) <= edits) & (c["component"][a] != c["component"][b])
-        a, b, edits = a[fits], b[fits], edits[fits]
-        apart = sum(np.bitwise_count(c[q][a] ^ c[q][b]).astype(np.int64) for q in ("q0", "q1", "q2", "q3"))
-        return a[apart <= 2 * edits], b[apart <= 2 * edits]
-
-    def compare(c, first, until):
-        """Tiles of rows of one bucket against all rows before them."""
-        for lo in range(first, until, TILE):
-            for before in range(first, lo + 1, TILE):
-                p, q = np.arange(before, min(before + TILE, until)), np.arange(lo, min(lo + TILE, until))
-                n, m = c["n"][p], c["n"][q]
-                if m[0] - n[-1] > (100 - percent) * m[0] // 100:  # rows come by length
-                    continue
-                a, b = (x.reshape(-1) for x in np.meshgrid(p, q, indexing="ij"))
-                a, b = fitting(c, a[a < b], b[a < b])
-                if first_only and len(a):
-                    _, earlier = np.unique(b, return_index=True)  # rows come in order of a, then b
-                    _, later = np.unique(a, return_index=True)
-                    some = np.union1d(earlier, later)
-                    a, b = a[some], b[some]
-                if len(a):
-                    yield c["h"][a], c["h"][b]
+        """Those of the row pairs (a, b), where b is no shorter, that are not ruled out."""
+        most, apart = c["most"][b], 0
+        for q in ("q0", "q1", "q2", "q3"):
+            apart = apart + np.bitwise_count(c[q][a] ^ c[q][b]).astype(np.int32)
+            fits = apart <= most
+            a, b, most, apart = a[fits], b[fits], most[fits], apart[fits]
+        fits = c["component"][a] != c["component"][b]
+        a, b = a[fits], b[fits]
+        for number, table in c["wide"]:
+            fits = np.ones(len(a), dtype=bool)
+            both = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
+            step = max(1, TILE // table.shape[1])
+            for some in (both[i : i + step] for i in range(0, len(both), step)):
+                apart = np.bitwise_count(table[number[a[some]]] ^ table[number[b[some]]]).sum(axis=1, dtype=np.int64)
+                fits[some] = apart <= c["most"][b[some]]
+            a, b = a[fits], b[fits]
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -273,25 +325,39 @@ def _met(words: DataFrame, crowded: DataFrame, columns: list[str], first_only: b
             marks = [table.column(x).to_numpy() for x in group]
             change = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             bounds = np.array([0, *change.tolist(), *([table.num_rows] if last else [])])
-            c = {x: table.column(x).to_numpy() for x in columns}
-            c["n"] = c["n"].astype(np.int64)
-            size = np.diff(bounds)
-            end = np.repeat(bounds[1:], np.where(size <= SMALL, size, 0))
-            at = np.flatnonzero(np.repeat(size <= SMALL, size))
-            for step in range(1, SMALL):
-                a = at[at + step < end]
-                if not len(a):
-                    break
-                a, b = fitting(c, a, a + step)
-                yield c["h"][a], c["h"][b]
-            for k in np.flatnonzero(size > SMALL):
-                lo, hi = int(bounds[k]), int(bounds[k + 1])
-                if (c["component"][lo:hi] != c["component"][lo]).any():
-                    yield from compare(c, lo, hi)
-            return int(bounds[-1])
+            size, until = np.diff(bounds), int(bounds[-1])
+            if not until:
+                return until
+            table = table.slice(0, until)
+            c = {x: table.column(x).to_numpy() for x in columns if x != "wide"}
+            c.setdefault("component", c["h"])
+            n = c["n"].astype(np.int64)
+            edits = (100 - percent) * n // 100
+            c |= {"most": (2 * edits).astype(np.int32), "wide": folded(table.column("wide").combine_chunks()) if "wide" in columns else []}
+            # Rows come by length: what may be near a row and no shorter is what follows it, up to the last that allows enough edits.
+            bucket = np.repeat(np.arange(len(size)), size)
+            count = np.searchsorted(bucket << 32 | n - edits, bucket << 32 | n, side="right") - np.arange(until) - 1
+            first = np.repeat(bounds[:-1], size)
+            mixed = np.logical_or.reduceat(c["component"] != c["component"][first], bounds[:-1])
+            count[~mixed[bucket]] = 0
+            total, large, lo = np.cumsum(count), size[bucket] > SMALL, 0
+            while lo < until:
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + TILE, side="right")))
+                k = count[lo:hi]
+                a = np.repeat(np.arange(lo, hi), k)
+                a, b = fitting(c, a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k))
+                if first_only and len(a):
+                    some = ~large[a]  # pairs come in order of a, then b
+                    some[np.unique(b, return_index=True)[1]] = True
+                    some[np.unique(a, return_index=True)[1]] = True
+                    a, b = a[some], b[some]
+                if len(a):
+                    yield c["h"][a], c["h"][b]
+                lo = hi
+            return until
 
         def batch_of(found):
-            held = [(a, b) for a, b in _each(found, done) if len(a)]
+            held = list(_each(found, done))
             if held:
                 a, b = (np.concatenate(x) for x in zip(*held))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -340,23 +406,41 @@ def edit_distance(a: list, b: list) -> int:
     return distance
 
 
+def line_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, number in it, start, end) of each line of the texts between ``offsets``, empty ones too."""
+    feeds = offsets[0] + np.flatnonzero(data[offsets[0] : offsets[-1]] == 10)
+    n = len(offsets) - 1
+    text = np.concatenate((np.arange(n), np.searchsorted(offsets, feeds, side="right") - 1))
+    start = np.concatenate((offsets[:-1], feeds + 1))
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    first = np.searchsorted(text, np.arange(n))
+    last = np.append(first[1:], len(text))[text] - 1 == np.arange(len(text))
+    end = np.where(last, offsets[text + 1], np.append(start[1:], 0) - 1)
+    return text, np.arange(len(text)) - first[text], start, end
+
+
 def _sequences(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """(h, words) of the lines ``wanted`` (h, first, line): their word hashes, read at their first occurrence."""
     asked = wanted.select("h", F.col("first").alias("key"), "line")
-    place = F.col("h").bitwiseXOR(F.col("key")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 20))
+    place = F.col("key").bitwiseXOR(F.shiftright("key", 25)).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 20))
     bits = df.sparkSession.sparkContext.broadcast(key_bits(asked, place))  # KEY_BITS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for block in map(units, blocks(batch.column(1), FOLD, TEXT)):
+            keys, (data, offsets) = batch.column(0).to_numpy(), text_bytes(batch.column(1))
+            text, number, start, end = line_ranges(data, offsets)
+            spot = (keys[text] ^ keys[text] >> 25 ^ number << 20) % KEY_BITS
+            at = np.flatnonzero((table[spot >> 3] >> (spot & 7)) & 1)
+            size, view = end[at] - start[at], memoryview(data)
+            picked = pa.py_buffer(b"".join([view[a:b] for a, b in zip(start[at], end[at])]))
+            places = pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64))
+            for block in map(units, blocks(pa.Array.from_buffers(pa.large_string(), len(at), [None, places, picked]), FOLD, TEXT)):
                 found = lines(block)
-                owner = keys[block.rows.start + found.text]
-                spot = (found.digest ^ owner ^ (found.line.astype(np.int64) << 20)) % KEY_BITS
-                at = np.flatnonzero((table[spot >> 3] >> (spot & 7)) & 1)
-                data = [block.hashes[a:b].tobytes() for a, b in zip(found.start[at], found.end[at])]
-                columns = [pa.array(owner[at]), pa.array(found.line[at].astype(np.int32)), pa.array(found.digest[at]), pa.array(data, pa.binary())]
+                row = at[block.rows.start + found.text]
+                words = [block.hashes[a:b].tobytes() for a, b in zip(found.start, found.end)]
+                columns = [pa.array(keys[text[row]]), pa.array(number[row].astype(np.int32)), pa.array(found.digest), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "line", "h", "words"])
 
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
@@ -385,21 +469,25 @@ def _verify(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
 def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket: int) -> DataFrame:
     """(key, version, gone): numbers of the lines that each text loses."""
     rows = written(occurrences(df, key, text, least, percent), "lines")
-    sketch = ["h", "n", "q0", "q1", "q2", "q3", "rare"]
+    sketch = ["h", "n", "q0", "q1", "q2", "q3", "wide", "rare"]
     once = rows.where("not again").groupBy(*sketch)
     nodes = written(once.agg(F.min("key").alias("first"), F.min_by("line", "key").alias("line"), F.max("key").alias("last")), "nodes")
-    met = _near(nodes.select(*sketch, F.col("h").alias("component")), True, percent, bucket)
+    places = written(rows.select("key", "version", "line", "again", "h"), "places")
+    discard(rows)
+    met = _near(nodes.select(*sketch), True, percent, bucket)
     pairs = written(met, "pairs")
     discard(met)
     # Every line that is near another one is in some pair of the first pass.
-    some = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
+    some = written(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi"), "nodes")
     sequences = written(_sequences(some, df, key, text), "sequences")
     near = written(_verify(pairs, sequences, percent), "links")
     placed = some.join(components(near).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    met = _near(placed.select(*sketch, "component"), False, percent, bucket)
+    placed = written(placed.select(*sketch, "component"), "nodes")
+    discard(some)
+    met = _near(placed, False, percent, bucket)
     tried = written(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = near.union(written(_verify(tried, sequences, percent), "links"))
-    for done in (met, pairs, tried, sequences):
+    for done in (met, pairs, tried, sequences, placed):
         discard(done)
     grouped = nodes.join(components(links).withColumnRenamed("node", "h"), "h")
     best = grouped.groupBy("component").agg(F.min(F.struct("first", "line", "h")).alias("best"))
@@ -408,7 +496,7 @@ def losers(df: DataFrame, key: str, text: str, least: int, percent: int, bucket:
     fate = written(linked.union(copied), "fate")
     for done in (nodes, links):
         discard(done)
-    judged = rows.select("key", "version", "line", "again", "h").join(fate, "h", "left")
+    judged = places.join(fate, "h", "left")
     kept = ~F.col("again") & (F.col("keeper").isNull() | (F.col("stays") & (F.col("key") == F.col("keeper"))))
     return judged.where(~kept).groupBy("key", "version").agg(F.collect_set("line").alias("gone"))
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfmark.llm import fuzzy_lines as L
 from tests.llm import plain
@@ -148,3 +149,47 @@ def test_short_lines_and_scripts_without_spaces(spark):
         1: "Read more\nMenu\n\n---", 2: "Home\n\n---", 3: "read less",
         4: documents[4], 5: "", 6: documents[6], 7: "日本語", 8: documents[8], 9: "", 10: documents[10], 11: documents[11],
     }
+
+
+def test_unrelated_long_lines_never_meet_word_by_word(spark):
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    documents = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([400, 700, 1200])))) for i in range(30)]
+    nodes = L.occurrences(spark.createDataFrame(documents, "doc_id long, text string"), "doc_id", "text", 4, 80).withColumn("component", F.col("h"))
+    assert L._near(nodes, False, 80, 4096).count() == 0
+
+
+def test_long_lines_of_different_widths(spark):
+    """Copies of long lines that lose words, so that their sketches have 4, 8, 16 or 64 numbers."""
+    r = random.Random(4)
+    documents, at = {}, 0
+    for n in (200, 460, 910):
+        line = [f"{r.choice('abcdefgh')}{r.choice('abcdefgh')}{r.choice('abcdefgh')}" for _ in range(n)]
+        for lost in (0, n // 20, n // 8, n // 4):
+            gone = set(r.sample(range(n), lost))
+            documents[at] = " ".join(w for i, w in enumerate(line) if i not in gone)
+            at += 1
+    want, links = expected(documents)
+    assert 6 <= links < 18
+    assert run(spark, documents) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(a=st.lists(st.integers(0, 900), min_size=185, max_size=215), b=st.lists(st.integers(0, 900), min_size=430, max_size=470))
+def test_wide_sketches_fold(a, b):
+    """Folded to the narrower width, a sketch is the one that the narrower width would have had."""
+    hashes = L.mix(np.array(a + b, dtype=np.uint64))
+    starts, ends = np.array([0, len(a)]), np.array([len(a), len(a) + len(b)])
+    got = L.wide(hashes, starts, ends)
+    assert [len(x) if x else 0 for x in got.to_pylist()] == [64 * (len(a) >= 192), 64 + 64 * (len(b) >= 448)]
+    number, table = L.folded(got)[0]
+    assert (number == [0 if len(a) >= 192 else -1, 1 if len(a) >= 192 else 0]).all()
+    cells = np.bincount(((hashes[len(a):] >> np.uint64(56)) & np.uint64(3) | ((hashes[len(a):] >> np.uint64(50)) & np.uint64(1)) << np.uint64(2)).astype(np.int64) * 64 + (hashes[len(a):] >> np.uint64(58)).astype(np.int64), minlength=512) & 1
+    assert (np.packbits(cells.astype(np.uint8), bitorder="little").view(np.uint64) == table[-1]).all()
+
+
+def test_lines_of_texts():
+    texts = ["a\n\nb\n", "", "\n", "xy", "p\nq"]
+    data, offsets = np.frombuffer("".join(["zz", *texts]).encode(), dtype=np.uint8), 2 + np.cumsum([0] + [len(t) for t in texts])
+    got = [(int(t), int(k), data[a:b].tobytes().decode()) for t, k, a, b in zip(*L.line_ranges(data, offsets))]
+    assert got == [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]

@@ -52,3 +52,17 @@ def test_tables_of_line_dedup_go_once_used(spark):
     df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five seven"), (3, "other words")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in fuzzy_lines.dedup(df).collect()) == [(1, 0), (2, 1), (3, 0)]
     assert kept() == before
+
+
+def test_wide_rows_of_line_dedup_go_before_lines_travel(spark, monkeypatch):
+    seen, near = [], fuzzy_lines._near
+
+    def watched(*rest):
+        seen.append({p.name for p in Path(folder(spark).removeprefix("file:")).iterdir() if p.name.startswith("lines-")})
+        return near(*rest)
+
+    before = {p.name for p in Path(folder(spark).removeprefix("file:")).iterdir()}
+    monkeypatch.setattr(fuzzy_lines, "_near", watched)
+    df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five seven")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in fuzzy_lines.dedup(df).collect()) == [(1, 0), (2, 1)]
+    assert len(seen) == 2 and not set.union(*seen) - before
